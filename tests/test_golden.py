@@ -1,0 +1,91 @@
+"""Published result tables reproduced from the reconstructed run (FIXTURES §2)."""
+
+import pytest
+
+from recallscope.operators import compare, metrics, report, sections
+from tests import golden
+
+
+@pytest.fixture(scope="module")
+def preds(spark):
+    return golden.golden_predictions(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def metric_rows(preds):
+    return {(r.vendor, r.condition): r for r in metrics.metrics_by_setting(preds).collect()}
+
+
+def test_metrics_bit_equal(metric_rows):
+    assert len(metric_rows) == 15
+    for v, c, acc, f1, n_total, n_valid, n_inv, n_err, pct in golden.METRICS:
+        r = metric_rows[(v, c)]
+        assert r.model == golden.MODELS[v]
+        assert (r.accuracy, r.f1_macro) == (acc, f1)
+        assert (r.n_total, r.n_valid, r.n_invalid, r.n_error) == (n_total, n_valid, n_inv, n_err)
+        assert r.pct_valid == pct
+
+
+def test_report_strings(preds):
+    rows = report.report_table(preds, with_order=True).orderBy("condition_ord", "vendor_ord").collect()
+    got = [tuple(r)[:7] for r in rows]
+    assert got == golden.REPORT
+
+
+def test_degradation(preds):
+    m = metrics.metrics_by_setting(preds)
+    rows = compare.degradation(m).collect()
+    assert len(rows) == 15
+    for r in rows:
+        if r.condition == "baseline":
+            assert r.abs_degradation == 0.0 and r.rel_degradation_pct == 0.0
+        else:
+            assert r.rel_degradation_pct == golden.DEGRADATION_REL[(r.vendor, r.condition)]
+            assert r.abs_degradation == golden.DEGRADATION_ABS[(r.vendor, r.condition)]
+
+
+def test_baseline_vs_counterfactual(preds):
+    m = metrics.metrics_by_setting(preds)
+    got = {tuple(r) for r in compare.baseline_vs_counterfactual(m).collect()}
+    assert got == set(golden.BASELINE_VS_CF)
+
+
+def test_f1_pivot(preds, metric_rows):
+    m = metrics.metrics_by_setting(preds)
+    p = compare.f1_pivot(m)
+    assert p.columns == ["vendor", "baseline", "title_only", "doi_only", "counterfactual", "counterfactual_with_doi"]
+    for r in p.collect():
+        for c in p.columns[1:]:
+            assert r[c] == metric_rows[(r.vendor, c)].f1_macro
+
+
+def test_counterfactual_metrics(preds):
+    m = metrics.metrics_by_setting(preds)
+    rows = compare.counterfactual_metrics(m).collect()
+    assert sorted(r.vendor for r in rows) == ["anthropic", "gemini", "openai"]
+
+
+def test_top_f1(preds):
+    m = metrics.metrics_by_setting(preds)
+    rows = compare.top_f1(m).collect()
+    assert [(r.vendor, r.condition) for r in rows] == [
+        ("openai", "counterfactual"), ("openai", "counterfactual_with_doi"), ("gemini", "counterfactual"),
+        ("anthropic", "baseline"), ("gemini", "counterfactual_with_doi")]
+
+
+def test_sections(spark):
+    t = golden.golden_trials(spark)
+    got = [tuple(r) for r in sections.section_counts(t).collect()]
+    assert got == [("title", 13, 5.2), ("methods", 4, 1.6), ("results", 250, 100.0), ("conclusion", 250, 100.0)]
+    mods = [tuple(r) for r in sections.section_modifications(t).collect()]
+    assert mods == [("Title", 13, 5.2), ("Introduction", 0, 0.0), ("Methods", 4, 1.6),
+                    ("Results", 250, 100.0), ("Conclusion", 250, 100.0)]
+    pats = sorted((tuple(r) for r in sections.pattern_counts(t).collect()), key=lambda x: -x[1])
+    assert pats == [('["results", "conclusion"]', 233, 93.2), ('["title", "results", "conclusion"]', 13, 5.2),
+                    ('["methods", "results", "conclusion"]', 4, 1.6)]
+    dist = sorted(tuple(r) for r in sections.sections_per_trial(t).collect())
+    # published as "93.2%" / "6.8%" (formatted); the raw value is 17/250*100 in floating point
+    assert [(n, k, f"{p:.1f}") for n, k, p in dist] == [(2, 233, "93.2"), (3, 17, "6.8")]
+    assert dist[1][2] == 17 / 250 * 100
+    s = sections.sections_per_trial_summary(t).first()
+    assert (round(s.mean_sections, 2), s.median_sections) == (2.07, 2.0)
