@@ -91,7 +91,7 @@ PROMPT_LAYOUTS = {
     "counterfactual": ("Title: ", "title", "\n\nAbstract: ", "abstract"),
     "counterfactual_with_doi": ("DOI: ", "doi", "\n\nTitle: ", "title", "\n\nAbstract: ", "abstract"),
 }
-_FIELDS = ("title", "abstract", "doi")
+PROMPT_FIELDS = ("title", "abstract", "doi")
 
 
 def prompt_expr(layouts: dict = PROMPT_LAYOUTS, missing_text: str = "nan") -> Column:
@@ -101,7 +101,7 @@ def prompt_expr(layouts: dict = PROMPT_LAYOUTS, missing_text: str = "nan") -> Co
     missing CSV value as ``nan``); an unknown condition fails the job.
     """
     def part(p):
-        return F.coalesce(F.col(p), F.lit(missing_text)) if p in _FIELDS else F.lit(p)
+        return F.coalesce(F.col(p), F.lit(missing_text)) if p in PROMPT_FIELDS else F.lit(p)
 
     out = None
     for cond, parts in layouts.items():

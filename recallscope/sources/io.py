@@ -49,7 +49,12 @@ METRIC_SCHEMA = T.StructType([
     T.StructField("pct_valid", T.DoubleType()),
 ])
 
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# An unquoted empty field is a missing value; a quoted one ("") an empty string.
+# The NUL marker never occurs in text, so only unquoted empties become NULL.
+_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "nullValue": "\u0000"}
+# Spark's CSV writer trims values unless told otherwise; answers keep their padding.
+CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
+                     "ignoreTrailingWhiteSpace": "false"}
 
 
 def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
@@ -129,5 +134,5 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv",
             out = out.sortWithinPartitions(*order_by[name])
         w = out.write.mode("overwrite")
         if fmt == "csv":
-            w = w.option("header", "true").option("escape", '"').option("emptyValue", "")
+            w = w.options(**CSV_WRITE_OPTIONS)
         w.format(fmt).save(f"{out_dir.rstrip('/')}/{name}")
