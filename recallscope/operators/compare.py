@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design
+from recallscope.session import materialize
 
 
 def _present(metrics: DataFrame, column: str, known) -> list[str]:
@@ -32,6 +33,7 @@ def f1_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
     order; only known vendors with some defined F1 become rows. Cells are the
     F1 of the setting (first non-null), NULL when absent.
     """
+    metrics = materialize(metrics)  # read three times below; one row per setting
     defined = metrics.where(F.col("f1_macro").isNotNull())
     conditions = _present(metrics, "condition", design.conditions)
     vendors_with_f1 = defined.select("vendor").distinct()

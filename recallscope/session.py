@@ -57,3 +57,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def materialize(df):
+    """Compute a small result once and cut its lineage.
+
+    For tables bounded by the experiment design (one row per setting) that
+    several later steps read. ``checkpoint`` writes to the shared checkpoint
+    folder, so the result survives the loss of any executor.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
