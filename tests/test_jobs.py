@@ -1,0 +1,110 @@
+"""Properties of the scoring jobs, streams and readers."""
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from recallscope.operators import metrics, scoring, worklist
+from recallscope.session import fresh_path
+from recallscope.sources import io, views
+from recallscope.streaming import run_stream_metrics, stream_scoring
+from tests.conftest import SF001
+
+KEYS = list(worklist.KEYS)
+
+
+def _trials(spark):
+    return views.trials_v(spark, SF001)
+
+
+def test_run_scoring_resumes_without_duplicates(spark):
+    path = fresh_path(spark, "t-scoring")
+    t = _trials(spark)
+    n = t.count()
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, vendors=["openai"], conditions=["baseline"])
+    assert io.read_predictions(spark, path).count() == n
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer)
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer)
+    preds = io.read_predictions(spark, path)
+    assert preds.count() == 15 * n
+    assert preds.select(*KEYS).distinct().count() == 15 * n
+    assert worklist.pending_work(worklist.build_worklist(t), preds).count() == 0
+    # the stored answers are the scorer's
+    batch = worklist.assemble_predictions(scoring.score(scoring.prompts_for(worklist.build_worklist(t)),
+                                                        scoring.byte_length_scorer))
+    assert preds.exceptAll(batch).count() == 0 and batch.exceptAll(preds).count() == 0
+
+
+def _broken():
+    def call(vendor, model, system_prompt, user_prompt):
+        raise ConnectionError("service down")
+    return call
+
+
+def test_failing_scorer_gives_error_rows(spark):
+    path = fresh_path(spark, "t-broken")
+    t = worklist.limit_trials(_trials(spark), 10)
+    scoring.run_scoring(spark, t, path, _broken, conditions=["title_only"])
+    p = io.read_predictions(spark, path)
+    assert p.count() == 30
+    assert {r.parsed_output for r in p.select("parsed_output").distinct().collect()} == {"ERROR"}
+    assert p.where(F.col("raw_output").isNotNull()).count() == 0
+
+
+def test_stream_scoring_matches_batch(spark):
+    landing = fresh_path(spark, "t-landing")
+    _trials(spark).repartition(3).write.parquet(landing)
+    target = fresh_path(spark, "t-stream")
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1)
+    # a rerun with a fresh checkpoint replays every file: the anti join adds nothing
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer)
+    s = io.read_predictions(spark, target)
+    n = _trials(spark).count()
+    assert s.count() == 15 * n and s.select(*KEYS).distinct().count() == 15 * n
+
+
+def test_stream_metrics_match_batch(spark):
+    landing = fresh_path(spark, "t-preds-landing")
+    p = views.preds_v(spark, SF001)
+    worklist.assemble_predictions(p.withColumn("raw_output", F.lit(None).cast("string"))) \
+        .repartition(4).write.parquet(landing)
+    out = fresh_path(spark, "t-stream-metrics")
+    run_stream_metrics(spark, landing, out, max_files_per_trigger=1)
+    streamed = io.read_metrics(spark, out)
+    batch = metrics.metrics_by_setting(p)
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_count_identities(spark):
+    p = views.preds_v(spark, SF001)
+    s = metrics.with_scores(metrics.setting_counts(p)).collect()
+    for r in s:
+        assert r.n_total == r.n_valid + r.n_invalid + r.n_error
+        assert r.tp + r.fn + r.fp + r.tn <= r.n_valid
+
+
+def test_read_trials_csv_positions(spark):
+    path = tempfile.mkdtemp(prefix="trials-csv-", dir="/tmp") + "/t"
+    rows = [("T1", 'Abstract with "quotes",\ncommas and a newline', "10.1/x", "POSITIVE", "T1'", "A1'",
+             "NEGATIVE", '["results"]'),
+            ("T2", None, "10.1/y", "NEGATIVE", "T2'", "A2'", "POSITIVE", "[]")]
+    cols = ["title", "abstract", "doi", "Annotation_accept", "counterfactual_title", "counterfactual_abstract",
+            "target_label", "sections_modified"]
+    spark.createDataFrame(rows, cols).coalesce(1).write.options(**io.CSV_WRITE_OPTIONS).csv(path)
+    t = io.read_trials(spark, path, fmt="csv").orderBy("trial_idx").collect()
+    assert [(r.trial_idx, r.title, r.abstract) for r in t] == [
+        (0, "T1", 'Abstract with "quotes",\ncommas and a newline'), (1, "T2", None)]
+    # a missing text prints as "nan" in the prompt, as the reference's formatting does
+    w = worklist.build_prompt(worklist.route_fields(worklist.build_worklist(
+        io.read_trials(spark, path, fmt="csv"), vendors=["openai"], conditions=["baseline"])))
+    prompts = {r.trial_idx: r.prompt for r in w.collect()}
+    assert prompts[1] == "Title: T2\n\nAbstract: nan"
+
+
+def test_limit_trials_dense_and_sparse(spark):
+    t = _trials(spark)
+    first = [r.trial_idx for r in worklist.limit_trials(t, 5).collect()]
+    assert first == sorted(r.trial_idx for r in t.select("trial_idx").collect())[:5]
+    assert worklist.limit_trials(t, 0).count() == t.count()
+    dense = spark.range(20).withColumnRenamed("id", "trial_idx")
+    assert worklist.limit_trials(dense, 7, dense=True).count() == 7
