@@ -20,13 +20,17 @@ def limit_trials(trials: DataFrame, n: int | None, dense: bool = False) -> DataF
     """The first ``n`` trials by key; 0 or None means all.
 
     With a dense 0-based key (row positions, as :func:`read_trials` assigns)
-    this is a pushed-down filter. Otherwise a top-k by key.
+    this is a pushed-down filter. Otherwise the n-th smallest key is found by
+    a top-k over the key column alone (a scalar subquery: only n keys, never
+    the texts, meet in one task) and the rows are selected by a range filter.
+    Keys are unique, so exactly n rows remain.
     """
     if not n:
         return trials
     if dense:
         return trials.where(F.col("trial_idx") < F.lit(n))
-    return trials.orderBy("trial_idx").limit(n)
+    last = trials.select("trial_idx").orderBy("trial_idx").limit(n).agg(F.max("trial_idx")).scalar()
+    return trials.where(F.col("trial_idx") <= last)
 
 
 def settings(design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) -> list[tuple[str, str]]:
