@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.functions import parse_output
 from recallscope.operators.worklist import (
-    KEYS,
     assemble_predictions,
     build_prompt,
     build_worklist,
     limit_trials,
     model_expr,
+    pending_work,
     route_fields,
 )
 from recallscope.sources.io import append_predictions, read_predictions
@@ -118,8 +118,7 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
     if preds_path is None or not path_exists(spark, preds_path):
         return prompts_for(build_worklist(trials, design, vendors, conditions), design)
     keys = build_worklist(trials.select("trial_idx"), design, vendors, conditions)
-    done = read_predictions(spark, preds_path).select(*KEYS)
-    pending = keys.join(done, list(KEYS), "left_anti")
+    pending = pending_work(keys, read_predictions(spark, preds_path))
     return prompts_for(pending.join(trials, "trial_idx"), design)
 
 

@@ -128,11 +128,15 @@ def completed_keys(preds: DataFrame) -> DataFrame:
 def pending_work(work: DataFrame, preds: DataFrame) -> DataFrame:
     """Work items with no row in the log.
 
-    Reads only the key columns of the log. Small logs are broadcast by AQE;
-    large ones shuffle both sides on the key, and a hot key is split by AQE's
-    skew handling (left anti joins are supported).
+    Reads only the key columns of the log and de-duplicates them first: the
+    partial aggregate collapses repeated keys inside each task, so a key
+    copied into a third of the log ships one row per task, not its copies
+    (AQE's skew split cannot help here, as it splits only the left side of
+    an anti join). The distinct's hash partitioning on the key is the one the
+    join needs, so the log side shuffles once. Small logs are broadcast by
+    AQE; a hot key on the work side is split by AQE's skew handling.
     """
-    return work.join(preds.select(*KEYS), list(KEYS), "left_anti")
+    return work.join(completed_keys(preds), list(KEYS), "left_anti")
 
 
 def remaining_count(work: DataFrame, preds: DataFrame) -> DataFrame:

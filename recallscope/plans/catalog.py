@@ -75,11 +75,14 @@ REFERENCE_TRIAL_COLUMNS = ("title", "abstract", "doi", "Annotation_accept", "cou
 
 
 def q_scan_trials(spark, sf):
-    """A trials CSV in the reference's dialect, keyed by row position."""
+    """A trials CSV in the reference's dialect, keyed by row position.
+
+    The sorted write range-partitions the trials, so part files follow key
+    order and positions read back (files in path order) follow it too.
+    """
     path = fresh_path(spark, "trials-csv")
     t = _trials(spark, sf).withColumnRenamed("annotation_accept", "Annotation_accept")
-    # one ordered file: row positions of a single-file CSV are well defined
-    (t.orderBy("trial_idx").select(*REFERENCE_TRIAL_COLUMNS).coalesce(1)
+    (t.orderBy("trial_idx").select(*REFERENCE_TRIAL_COLUMNS)
      .write.options(**io.CSV_WRITE_OPTIONS).csv(path))
     return io.read_trials(spark, path, fmt="csv")
 

@@ -7,7 +7,7 @@ it to Parquet once (:func:`csv_to_parquet`) and run every job on Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,21 +66,45 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     return r.format(fmt)
 
 
+def with_positions(scan: DataFrame, name: str = "trial_idx") -> DataFrame:
+    """Add the 0-based row position of a file scan: files in path order
+    (part files of one write sort in write order), rows in file order.
+
+    Every input split (file, block start) is read whole by one task, so its
+    rows get consecutive ids from ``monotonically_increasing_id``. A small
+    aggregate (one row per split: first id and row count, partial per task)
+    and a running sum over the splits give each split its first position;
+    rows pick it up by an equi join on the split key. That join is a
+    broadcast when AQE measures the split table small, else a shuffle whose
+    keys are splits, none above ``spark.sql.files.maxPartitionBytes``. Texts
+    never leave the JVM and nothing meets in one task but the split table
+    (file-listing sized).
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    cols = [F.col(f"`{c}`") for c in scan.columns]
+    tagged = scan.select(*split, F.monotonically_increasing_id().alias("_rid"), *cols)
+    splits = (tagged.groupBy("_file", "_start")
+              .agg(F.min("_rid").alias("_first_rid"), F.count(F.lit(1)).alias("_n")))
+    order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = splits.select("_file", "_start",
+                          (F.sum("_n").over(order) - F.col("_n") - F.col("_first_rid")).alias("_base"))
+    return (tagged.join(bases, ["_file", "_start"])
+            .select((F.col("_rid") + F.col("_base")).alias(name), *cols))
+
+
 def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Trials table keyed by ``trial_idx``.
 
     A CSV in the reference's layout has no key column: the 0-based row
-    position is the key. The position is assigned with ``zipWithIndex``
-    (one pass to count rows per partition, no shuffle, no single partition).
-    The label column is read case-insensitively as ``annotation_accept``.
+    position is the key (:func:`with_positions`, JVM-side; across several
+    files, files count in path order). The label column is read
+    case-insensitively as ``annotation_accept``.
     """
     df = _reader(spark, fmt, None).load(path)
+    if not any(c.lower() == "trial_idx" for c in df.columns):
+        df = with_positions(df)
     rename = {c: c.lower() for c in df.columns if c.lower() in TRIAL_SCHEMA.names}
     df = df.select([F.col(f"`{c}`").alias(rename.get(c, c)) for c in df.columns])
-    if "trial_idx" not in df.columns:
-        cols = df.columns
-        indexed = df.rdd.zipWithIndex().map(lambda rx: (rx[1], *rx[0]))
-        df = indexed.toDF(["trial_idx", *cols])
     if "sections_modified" not in df.columns:
         df = df.withColumn("sections_modified", F.lit(None).cast("string"))
     return df.select([F.col(f.name).cast(f.dataType) for f in TRIAL_SCHEMA.fields])

@@ -101,6 +101,24 @@ def test_read_trials_csv_positions(spark):
     assert prompts[1] == "Title: T2\n\nAbstract: nan"
 
 
+def test_read_trials_positions_across_files(spark):
+    """Several part files, several tasks: positions follow files in path
+    order, rows in file order, with no gap and no repeat."""
+    path = tempfile.mkdtemp(prefix="trials-multi-", dir="/tmp") + "/t"
+    src = (spark.range(0, 500).select(
+        F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"),
+        F.concat(F.lit('line one "q"\nline two '), F.col("id").cast("string")).alias("abstract"),
+        F.col("id").cast("string").alias("doi"), F.lit("POSITIVE").alias("Annotation_accept"),
+        F.lit("t").alias("counterfactual_title"), F.lit("a").alias("counterfactual_abstract"),
+        F.lit("NEGATIVE").alias("target_label"), F.lit("[]").alias("sections_modified"),
+        F.col("id")))
+    src.repartitionByRange(7, "id").sortWithinPartitions("id").drop("id") \
+        .write.options(**io.CSV_WRITE_OPTIONS).csv(path)
+    t = io.read_trials(spark, path, fmt="csv")
+    got = [(r.trial_idx, r.doi, r.abstract) for r in t.orderBy("trial_idx").collect()]
+    assert got == [(i, str(i), f'line one "q"\nline two {i}') for i in range(500)]
+
+
 def test_limit_trials_dense_and_sparse(spark):
     t = _trials(spark)
     first = [r.trial_idx for r in worklist.limit_trials(t, 5).collect()]
