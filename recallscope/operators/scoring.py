@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.functions import parse_output
 from recallscope.operators.worklist import (
+    KEYS,
     assemble_predictions,
     build_prompt,
     build_worklist,
@@ -106,22 +107,41 @@ def prompts_for(work: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
 
 def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | None,
                     design: Design = DEFAULT_DESIGN, max_trials: int | None = None,
-                    vendors=None, conditions=None, dense: bool = False) -> DataFrame:
+                    vendors=None, conditions=None, dense: bool = False,
+                    trial_range: tuple | None = None) -> DataFrame:
     """Prompts still to score.
 
     The resume check runs on narrow keys: (trial key x settings) anti join
     the log's key columns, then the pending keys join the trials once to pick
     up the texts. Texts are shuffled at most once per trial instead of once
     per (trial, setting); with no log yet there is no shuffle at all.
+    ``trial_range`` bounds the keys of ``trials`` (see :func:`logged_keys`).
     """
     trials = limit_trials(trials, max_trials, dense)
     if preds_path is None or not path_exists(spark, preds_path):
         return prompts_for(build_worklist(trials, design, vendors, conditions), design)
     keys = build_worklist(trials.select("trial_idx"), design, vendors, conditions)
-    pending = pending_work(keys, read_predictions(spark, preds_path))
+    pending = pending_work(keys, logged_keys(spark, preds_path, design, vendors, conditions, trial_range))
     return prompts_for(pending.join(trials, "trial_idx"), design)
 
 
+def logged_keys(spark: SparkSession, preds_path: str, design: Design = DEFAULT_DESIGN, vendors=None,
+                conditions=None, trial_range: tuple | None = None) -> DataFrame:
+    """Key columns of the log that can matter for a run.
+
+    The chosen vendors and conditions are the log's partition columns, so a
+    subset run lists only its directories; a ``(low, high)`` trial range is a
+    pushed-down Parquet filter, so files and row groups whose key statistics
+    lie outside it are skipped unread.
+    """
+    log = read_predictions(spark, preds_path).select(*KEYS)
+    cond = F.col("vendor").isin(*design.check_vendors(vendors)) & \
+        F.col("condition").isin(*design.check_conditions(conditions))
+    if trial_range is not None:
+        cond = cond & F.col("trial_idx").between(F.lit(trial_range[0]), F.lit(trial_range[1]))
+    return log.where(cond)
+
+
 def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory: Callable,
                 design: Design = DEFAULT_DESIGN, max_trials: int | None = None, vendors=None,
                 conditions=None, parallelism: int | None = None, dense: bool = False,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import metrics, scoring, worklist
 from recallscope.session import fresh_path, path_exists
-from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions, read_predictions
+from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions
 
 
 def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factory: Callable,
@@ -24,10 +24,16 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
                    vendors=None, conditions=None):
     """Score trials as their files arrive.
 
-    Each micro-batch builds its worklist, drops keys repeated inside the
-    batch, anti-joins the keys already in the target (re-read every batch,
-    so a replayed batch after a failure adds nothing twice), scores and
-    appends. ``available_now`` processes what is there and stops.
+    Each micro-batch drops trials repeated inside it (one shuffle of the
+    texts, before the 15-fold worklist exists; copies collapse map-side),
+    anti-joins its narrow (trial, setting) keys against the keys already in
+    the target (re-read every batch, so a replayed batch after a failure adds
+    nothing twice), joins the pending keys back to the texts, scores and
+    appends. The target is read only within the batch's trial-key range and
+    chosen settings: pushed-down filters skip the row groups and partition
+    directories written for other trials, so the cost of the check follows
+    the batch rather than the whole log. ``available_now`` processes what is
+    there and stops.
     """
     checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-scoring")
     reader = spark.readStream.schema(TRIAL_SCHEMA)
@@ -36,11 +42,15 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
     trials = reader.parquet(trials_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        work = worklist.build_worklist(batch, design, vendors, conditions).dropDuplicates(list(worklist.KEYS))
+        unique = batch.dropDuplicates(["trial_idx"])
+        low = high = None
         if path_exists(spark, preds_path):
-            work = worklist.pending_work(work, read_predictions(spark, preds_path))
-        scored = scoring.score(scoring.prompts_for(work, design), factory, design)
-        append_predictions(worklist.assemble_predictions(scored), preds_path)
+            low, high = batch.agg(F.min("trial_idx"), F.max("trial_idx")).first()
+        # NULL keys never match a logged key: without a non-NULL key, skip the check
+        target = preds_path if low is not None else None
+        todo = scoring.pending_prompts(spark, unique, target, design, vendors=vendors, conditions=conditions,
+                                       trial_range=(low, high))
+        append_predictions(worklist.assemble_predictions(scoring.score(todo, factory, design)), preds_path)
 
     writer = trials.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

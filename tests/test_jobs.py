@@ -63,6 +63,34 @@ def test_stream_scoring_matches_batch(spark):
     assert s.count() == 15 * n and s.select(*KEYS).distinct().count() == 15 * n
 
 
+def test_stream_scoring_duplicate_trials(spark):
+    """The same trials in several landing files (one micro-batch, then a
+    later one) are scored once per key."""
+    landing = fresh_path(spark, "t-landing-dup")
+    t = worklist.limit_trials(_trials(spark), 20)
+    t.unionByName(t).repartition(2).write.parquet(landing)
+    t.repartition(1).write.mode("append").parquet(landing)
+    target = fresh_path(spark, "t-stream-dup")
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=2)
+    s = io.read_predictions(spark, target)
+    assert s.count() == 15 * 20 and s.select(*KEYS).distinct().count() == 15 * 20
+
+
+def test_logged_keys_prunes(spark):
+    """The resume check reads the log only within the trial range and the
+    chosen settings: pushed Parquet filter and partition filters."""
+    path = fresh_path(spark, "t-prune")
+    t = worklist.limit_trials(_trials(spark), 10)
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer)
+    keys = scoring.logged_keys(spark, path, vendors=["openai"], conditions=["baseline"], trial_range=(0, 5))
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "isnotnull(vendor" in plan
+    assert "GreaterThanOrEqual(trial_idx,0)" in plan and "LessThanOrEqual(trial_idx,5)" in plan
+    assert keys.count() == t.where(F.col("trial_idx").between(0, 5)).count()
+    assert {(r.vendor, r.condition) for r in keys.select("vendor", "condition").distinct().collect()} \
+        <= {("openai", "baseline")}
+
+
 def test_stream_metrics_match_batch(spark):
     landing = fresh_path(spark, "t-preds-landing")
     p = views.preds_v(spark, SF001)
