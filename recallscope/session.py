@@ -23,6 +23,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         # scorer batches carry whole texts: bound them by bytes, not only rows
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture costs JVM round trips for every Column built on the driver
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )

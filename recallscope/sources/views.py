@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed values of the synthetic answer grid (vendor index, condition index, skill %).
 GRID_VENDORS = (("openai", 0), ("gemini", 1), ("anthropic", 2))
@@ -22,8 +23,20 @@ GRID_CONDITIONS = (
 )
 
 
+# Schemas of the driver's (read-only) tables, learnt on first read per path.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. Its schema is inferred once per path (a footer-reading
+    job) and then declared, as for any table of known layout."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def trials_v(spark: SparkSession, sf_dir: str) -> DataFrame:
