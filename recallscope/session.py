@@ -35,8 +35,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) do we pick a scratch
-    folder of our own and register it as the checkpoint directory.
+    Only when the session names none and runs in local mode (tests) do we
+    pick a scratch folder of our own and register it as the checkpoint
+    directory; on a cluster a machine-local folder would not survive the
+    loss of an executor, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc_dir = sc.getCheckpointDir()
     if sc_dir:
         return sc_dir.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder shared by the cluster "
+                         "(results and stream progress are kept there)")
     local = tempfile.mkdtemp(prefix="recallscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
