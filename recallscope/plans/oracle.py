@@ -109,14 +109,15 @@ BASE_PREDS = (PREDS_V,)
 
 
 def count_cols(pred="parsed_output", truth="ground_truth") -> str:
+    # DuckDB's count_if is HUGEINT; counts are BIGINT in Spark
     return f"""count(*) as n_total,
-    count_if({pred} in ('POSITIVE','NEGATIVE')) as n_valid,
-    count_if({pred} = 'INVALID') as n_invalid,
-    count_if({pred} = 'ERROR') as n_error,
-    count_if({truth} = 'POSITIVE' and {pred} = 'POSITIVE') as tp,
-    count_if({truth} = 'POSITIVE' and {pred} = 'NEGATIVE') as fn,
-    count_if({truth} = 'NEGATIVE' and {pred} = 'POSITIVE') as fp,
-    count_if({truth} = 'NEGATIVE' and {pred} = 'NEGATIVE') as tn"""
+    cast(count_if({pred} in ('POSITIVE','NEGATIVE')) as bigint) as n_valid,
+    cast(count_if({pred} = 'INVALID') as bigint) as n_invalid,
+    cast(count_if({pred} = 'ERROR') as bigint) as n_error,
+    cast(count_if({truth} = 'POSITIVE' and {pred} = 'POSITIVE') as bigint) as tp,
+    cast(count_if({truth} = 'POSITIVE' and {pred} = 'NEGATIVE') as bigint) as fn,
+    cast(count_if({truth} = 'NEGATIVE' and {pred} = 'POSITIVE') as bigint) as fp,
+    cast(count_if({truth} = 'NEGATIVE' and {pred} = 'NEGATIVE') as bigint) as tn"""
 
 
 def counts_cte(src: str, name: str = "counts", by=("vendor", "condition")) -> str:

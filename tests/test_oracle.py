@@ -29,6 +29,10 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+# DuckDB result type -> Spark type name
+SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_duckdb(spark, con, name):
     df = QUERIES[name](spark, SF001)
@@ -38,3 +42,6 @@ def test_matches_duckdb(spark, con, name):
     d_rows = rows_of(d_cols, cur.fetchall())
     assert sorted(df.columns) == sorted(d_cols)
     assert s_rows == d_rows
+    rel = con.sql(SQL[name])
+    d_types = {c: SPARK_TYPE.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert dict(df.dtypes) == d_types
