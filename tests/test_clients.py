@@ -1,0 +1,121 @@
+"""Hosted-API scorers with fake clients (no network): request settings, the
+per-API empty-answer rule, dispatch, throttling, and use inside ``score``."""
+
+import time
+from types import SimpleNamespace as NS
+
+import pytest
+from pyspark.sql import functions as F
+
+from recallscope.design import SYSTEM_PROMPT
+from recallscope.operators import clients, scoring, worklist
+from recallscope.sources import views
+from tests.conftest import SF001
+
+
+class FakeChat:
+    def __init__(self, content):
+        self.content, self.calls = content, []
+        self.chat = NS(completions=NS(create=self.create))
+
+    def create(self, **kw):
+        self.calls.append(kw)
+        return NS(choices=[NS(message=NS(content=self.content))])
+
+
+class FakeGenerate:
+    def __init__(self, text):
+        self.text, self.calls = text, []
+        self.models = NS(generate_content=self.generate_content)
+
+    def generate_content(self, **kw):
+        self.calls.append(kw)
+        return NS(text=self.text)
+
+
+class FakeMessages:
+    def __init__(self, blocks):
+        self.blocks, self.calls = blocks, []
+        self.messages = NS(create=self.create)
+
+    def create(self, **kw):
+        self.calls.append(kw)
+        return NS(content=[NS(text=t) for t in self.blocks])
+
+
+def test_chat_completions_request_and_answers():
+    fake = FakeChat("  POSITIVE\n")
+    assert clients.ChatCompletionsCall(fake)("m1", "sys", "user") == "POSITIVE"
+    (kw,) = fake.calls
+    assert kw == {"model": "m1", "messages": [{"role": "system", "content": "sys"},
+                                             {"role": "user", "content": "user"}],
+                  "temperature": 0, "max_completion_tokens": 500}
+    assert clients.ChatCompletionsCall(FakeChat(""))("m", "s", "u") is None
+    assert clients.ChatCompletionsCall(FakeChat(None))("m", "s", "u") is None
+    assert clients.ChatCompletionsCall(FakeChat("  "))("m", "s", "u") == ""
+
+
+def test_generate_content_request_and_answers():
+    fake = FakeGenerate("negative ")
+    assert clients.GenerateContentCall(fake)("m2", "sys", "user") == "negative"
+    (kw,) = fake.calls
+    assert kw == {"model": "m2", "contents": "user",
+                  "config": {"system_instruction": "sys", "temperature": 0, "max_output_tokens": 500}}
+    assert clients.GenerateContentCall(FakeGenerate(""))("m", "s", "u") is None
+    assert clients.GenerateContentCall(FakeGenerate(None))("m", "s", "u") is None
+
+
+def test_messages_request_and_answers():
+    fake = FakeMessages([" POSITIVE "])
+    assert clients.MessagesCall(fake)("m3", "sys", "user") == "POSITIVE"
+    (kw,) = fake.calls
+    assert kw == {"model": "m3", "max_tokens": 500, "system": "sys",
+                  "messages": [{"role": "user", "content": "user"}]}
+    assert "temperature" not in kw
+    # an empty first block is "", hence INVALID, unlike the other two APIs
+    assert clients.MessagesCall(FakeMessages([""]))("m", "s", "u") == ""
+    assert clients.MessagesCall(FakeMessages([]))("m", "s", "u") is None
+
+
+def test_dispatch_and_unknown_vendor():
+    chat, gen, msg = FakeChat("A"), FakeGenerate("B"), FakeMessages(["C"])
+    s = clients.HostedScorer({"openai": clients.ChatCompletionsCall(chat),
+                              "gemini": clients.GenerateContentCall(gen),
+                              "anthropic": clients.MessagesCall(msg)})
+    assert [s(v, "m", "s", "u") for v in ("openai", "gemini", "anthropic")] == ["A", "B", "C"]
+    with pytest.raises(ValueError):
+        s("other", "m", "s", "u")
+
+
+def test_min_interval_spaces_calls():
+    s = clients.HostedScorer({"openai": clients.ChatCompletionsCall(FakeChat("x"))}, min_interval=0.05)
+    t0 = time.monotonic()
+    for _ in range(4):
+        s("openai", "m", "s", "u")
+    assert time.monotonic() - t0 >= 0.15
+
+
+def _fake_hosted():
+    """Factory run on the executor: answers depend on the vendor's API rule."""
+    return clients.HostedScorer({
+        "openai": clients.ChatCompletionsCall(FakeChat("")),          # empty -> None -> ERROR
+        "gemini": clients.GenerateContentCall(FakeGenerate(" positive ")),
+        "anthropic": clients.MessagesCall(FakeMessages([""])),       # empty -> "" -> INVALID
+    })
+
+
+def test_hosted_scorer_inside_score(spark):
+    t = worklist.limit_trials(views.trials_v(spark, SF001), 5)
+    todo = scoring.prompts_for(worklist.build_worklist(t, conditions=["baseline"]))
+    out = scoring.score(todo, _fake_hosted)
+    got = {(r.vendor, r.raw_output, r.parsed_output)
+           for r in out.select("vendor", "raw_output", "parsed_output").distinct().collect()}
+    assert got == {("openai", None, "ERROR"), ("gemini", "positive", "POSITIVE"), ("anthropic", "", "INVALID")}
+    assert out.where(F.col("model").isNull()).count() == 0
+
+
+def test_system_prompt_is_passed():
+    fake = FakeMessages(["POSITIVE"])
+    s = clients.HostedScorer({"anthropic": clients.MessagesCall(fake)})
+    s("anthropic", "m", SYSTEM_PROMPT, "Title: x")
+    assert fake.calls[0]["system"] == SYSTEM_PROMPT
