@@ -111,3 +111,65 @@ def sections_per_trial_summary(trials: DataFrame) -> DataFrame:
     return sized.agg(F.count(F.lit(1)).alias("n_trials"),
                      F.avg("n_sections").alias("mean_sections"),
                      F.median("n_sections").cast("double").alias("median_sections"))
+
+
+# Fixed layout of the section report text (read off the published file):
+# title, rules of 60 "=" and 40 "-", column widths 16/15/13 and 18/13/13.
+SECTION_REPORT_TITLE = ("Counterfactual Abstract Section Modifications (N=", " trials)")
+RULE_WIDE, RULE = "=" * 60, "-" * 40
+FREQUENCY_HEADING = "Section Modification Frequency"
+PER_TRIAL_HEADING = "Number of Sections Modified per Trial"
+
+
+def _left(c: Column, width: int) -> Column:
+    """``f"{c:<width}"``: pad on the right, never cut."""
+    return F.rpad(c, F.greatest(F.lit(width), F.length(c)), " ")
+
+
+def _right(c: Column, width: int) -> Column:
+    """``f"{c:>width}"``: pad on the left, never cut."""
+    return F.lpad(c, F.greatest(F.lit(width), F.length(c)), " ")
+
+
+def _pct_cell(pct: Column) -> Column:
+    return F.concat(_right(F.coalesce(F.format_number(pct, 1), F.lit("nan")), 12), F.lit("%"))
+
+
+def section_report_lines(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> DataFrame:
+    """S5 + S6 as the text report, ``(block, pos, line)`` rows in order.
+
+    Blocks 1 and 3 hold the data rows (one per report section, one per
+    distinct number of sections); blocks 0, 2 and 4 the title, rules,
+    headings and the mean / median lines. Every part is an aggregate of the
+    trials; nothing but the finished lines is small enough to gather.
+    """
+    known = _known_counts(trials, [s.lower() for s in sections], sections)
+    per_section = known.select(
+        F.lit(1).alias("block"), F.col("ord").cast("bigint").alias("pos"),
+        F.concat(_left(F.col("section"), 16), _right(F.col("n_modified").cast("string"), 15),
+                 _pct_cell(F.col("n_modified").cast("double") / F.col("total").cast("double") * F.lit(100.0))
+                 ).alias("line"))
+    per_trial = sections_per_trial(trials).select(
+        F.lit(3).alias("block"), F.col("n_sections").alias("pos"),
+        F.concat(_left(F.col("n_sections").cast("string"), 18), _right(F.col("n_trials").cast("string"), 13),
+                 _pct_cell(F.col("pct_trials"))).alias("line"))
+    summary = sections_per_trial_summary(trials)
+
+    def fixed(block, pos, text):
+        return F.struct(F.lit(block).alias("block"), F.lit(pos).cast("bigint").alias("pos"),
+                        (F.lit(text) if isinstance(text, str) else text).alias("line"))
+
+    title = F.concat(F.lit(SECTION_REPORT_TITLE[0]), F.col("n_trials").cast("string"), F.lit(SECTION_REPORT_TITLE[1]))
+    header_1 = "Section".ljust(16) + "Trials Modified".rjust(15) + "Percentage".rjust(13)
+    header_2 = "Sections Modified".ljust(18) + "Trials".rjust(13) + "Percentage".rjust(13)
+    mean = F.concat(F.lit("Mean: "), F.coalesce(F.format_number("mean_sections", 2), F.lit("nan")), F.lit(" sections"))
+    median = F.concat(F.lit("Median: "), F.coalesce(F.format_number("median_sections", 1), F.lit("nan")),
+                      F.lit(" sections"))
+    frame = summary.select(F.inline(F.array(
+        fixed(0, 0, title), fixed(0, 1, RULE_WIDE), fixed(0, 2, ""), fixed(0, 3, FREQUENCY_HEADING),
+        fixed(0, 4, RULE), fixed(0, 5, header_1), fixed(0, 6, RULE),
+        fixed(2, 0, RULE), fixed(2, 1, ""), fixed(2, 2, PER_TRIAL_HEADING), fixed(2, 3, RULE),
+        fixed(2, 4, header_2), fixed(2, 5, RULE),
+        fixed(4, 0, RULE), fixed(4, 1, ""), fixed(4, 2, mean), fixed(4, 3, median),
+    )))
+    return frame.unionByName(per_section).unionByName(per_trial)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import compare, metrics, plotdata, report, sections
 from recallscope.session import materialize
-from recallscope.sources.io import write_tables
+from recallscope.sources.io import write_tables, write_text
 
 
 def result_tables(preds: DataFrame, trials: DataFrame | None = None,
@@ -27,7 +27,8 @@ def result_tables(preds: DataFrame, trials: DataFrame | None = None,
         "metrics": m,
         "table_f1_by_condition": compare.f1_pivot(m, design),
         "table_degradation": compare.degradation(m, design),
-        "table_manuscript": report.report_table(preds, design, with_order=True),
+        # read twice (CSV and text): one row per setting, computed once
+        "table_manuscript": materialize(report.report_table(preds, design, with_order=True)),
         "summary_f1_mean": compare.f1_pivot_mean(m),
         "summary_top_f1": compare.top_f1(m, 5, design),
     }
@@ -78,4 +79,11 @@ def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFra
     write_tables({k: v for k, v in tables.items() if k != "table_manuscript"}, out_dir, order_by=order)
     manuscript = tables["table_manuscript"].coalesce(1).sortWithinPartitions("condition_ord", "vendor_ord")
     write_tables({"table_manuscript": manuscript.select(*report.REPORT_COLUMNS)}, out_dir)
+    # the text renderings: a handful of lines each, joined on the driver
+    out = out_dir.rstrip("/")
+    write_text(spark, f"{out}/table_manuscript.txt", report.lines_text(report.render_lines(tables["table_manuscript"])))
+    if "table_counterfactual_section_modifications" in tables:
+        lines = sections.section_report_lines(trials)
+        write_text(spark, f"{out}/table_counterfactual_section_modifications.txt",
+                   report.lines_text(lines, order=("block", "pos"), trailing_newline=True))
     return tables

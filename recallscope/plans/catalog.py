@@ -292,6 +292,11 @@ def q_report_table_log(spark, sf):
     return report.report_table(_preds(spark, sf), FLAG_DESIGN)
 
 
+def q_report_text(spark, sf):
+    """R8 rendered as the reference's fixed-width text (one row per line)."""
+    return report.report_lines(_parsed(spark, sf), DEFAULT_DESIGN)
+
+
 # --- sections ------------------------------------------------------------------
 
 def q_parse_sections(spark, sf):
@@ -324,6 +329,11 @@ def q_sections_per_trial_summary(spark, sf):
     return sections.sections_per_trial_summary(_trials(spark, sf))
 
 
+def q_section_report_text(spark, sf):
+    """S5 + S6 rendered as the section report text (one row per line)."""
+    return sections.section_report_lines(_trials(spark, sf))
+
+
 # --- chart data ----------------------------------------------------------------
 
 def q_display_names(spark, sf):
@@ -552,6 +562,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                                    + O.compare_sql(FLAG_DESIGN.baseline, FLAG_DESIGN.counterfactual)),
     "report_table": (q_report_table, O.report_sql(DEFAULT_DESIGN, O.BASE_RAW)),
     "report_table_log": (q_report_table_log, O.report_sql(FLAG_DESIGN, O.BASE_PREDS)),
+    "report_text": (q_report_text, O.report_lines_sql(DEFAULT_DESIGN, O.BASE_RAW)),
     # sections
     "parse_sections": (q_parse_sections, O.with_(*O.BASE_TRIALS)
                        + f"select trial_idx, len({O.sections_list_sql()}) as n_sections, "
@@ -576,6 +587,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                                    + "select count(*) as n_trials, avg(n) as mean_sections, "
                                      "cast(median(n) as double) as median_sections from "
                                      f"(select len({O.sections_list_sql()}) as n from trials_v)"),
+    "section_report_text": (q_section_report_text, O.section_report_lines_sql(SECTION_REPORT_ROWS)),
     # chart data
     "display_names": (q_display_names, _sql_raw_metrics() + f"select {O.METRIC_SELECT}, "
                       f"{O.vendor_display_sql(DEFAULT_DESIGN)} as vendor_display, "

@@ -229,7 +229,7 @@ join (select vendor, max(f1_macro) as f1 from metrics where condition = {q(secon
   on a.vendor = b.vendor"""
 
 
-def report_sql(design: Design, src: str) -> str:
+def report_select(design: Design, with_order: bool = False) -> str:
     cols = [
         f"{case_map('condition', design.report_condition_labels)} as \"Condition\"",
         f"{case_map('vendor', design.vendor_labels)} as \"Model\"",
@@ -239,11 +239,39 @@ def report_sql(design: Design, src: str) -> str:
               "specificity": "Specificity (95% CI)", "f1_macro": "F1 Score (95% CI)"}
     for m, size in INTERVAL_SIZES.items():
         cols.append(f"{format_ci_sql(m, size)} as {ident(titles[m])}")
-    return (with_(*src, counts_cte("parsed_v" if "parsed_v" in src[-1] else "preds_v"), scored_cte())
-            + "select " + ",\n  ".join(cols) + "\nfrom scored\n"
+    if with_order:
+        cols += [f"{ord_sql('condition', design.conditions)} as condition_ord",
+                 f"{ord_sql('vendor', design.vendors)} as vendor_ord"]
+    return ("select " + ",\n  ".join(cols) + "\nfrom scored\n"
             + f"where condition in {in_list(design.conditions)} and vendor in {in_list(design.vendors)}")
 
 
+def _report_ctes(src) -> tuple:
+    return (*src, counts_cte("parsed_v" if "parsed_v" in src[-1] else "preds_v"), scored_cte())
+
+
+def report_sql(design: Design, src) -> str:
+    return with_(*_report_ctes(src)) + report_select(design)
+
+
+REPORT_TITLES = ("Condition", "Model", "Valid predictions (%)", "Accuracy (95% CI)", "Sensitivity (95% CI)",
+                 "Specificity (95% CI)", "F1 Score (95% CI)")
+
+
+def report_lines_sql(design: Design, src) -> str:
+    """The report as fixed-width lines: titles as one more row, widths by window."""
+    titles = ", ".join(q(t) for t in REPORT_TITLES)
+    widths = ", ".join(f"max(length({ident(t)})) over () as w{i}" for i, t in enumerate(REPORT_TITLES))
+    padded = " || ' ' || ".join(f"lpad({ident(t)}, cast(w{i} as integer), ' ')" for i, t in enumerate(REPORT_TITLES))
+    return (with_(*_report_ctes(src), f"rep as ({report_select(design, with_order=True)})",
+                  f"cells as (select * from rep union all select {titles}, -1, -1)",
+                  f"sized as (select *, count(*) over () as n_cells, {widths} from cells)")
+            + f"""select cast(row_number() over (order by condition_ord, vendor_ord) - 1 as bigint) as line_no,
+  case when n_cells = 1 then 'Empty DataFrame' || chr(10) || 'Columns: []' || chr(10) || 'Index: []'
+       else {padded} end as line
+from sized""")
+
+
 def grid_values(vendors, conditions) -> str:
     rows = ", ".join(f"({q(v)}, {q(c)}, {vi}, {ci})"
                      for ci, c in enumerate(conditions) for vi, v in enumerate(vendors))
@@ -327,3 +355,53 @@ def sections_list_sql(col: str = "sections_modified") -> str:
 
 FLAG = FLAG_DESIGN
 DEFAULT = DEFAULT_DESIGN
+
+
+def section_report_lines_sql(report_rows) -> str:
+    """S5 + S6 as the text report's (block, pos, line) rows."""
+    lst = sections_list_sql()
+    parts = []
+    for i, label in enumerate(report_rows):
+        occ = f"cast(coalesce(sum(len(list_filter({lst}, lambda x: x = {q(label.lower())}))), 0) as bigint)"
+        parts.append(f"select {i} as ord, {q(label)} as section, {occ} as n_modified, "
+                     f"cast(count(*) as double) as total from trials_v")
+    sec = "\nunion all\n".join(parts)
+
+    def pct_cell(x):
+        return f"lpad(coalesce(printf('%.1f', {x}), 'nan'), 12, ' ') || '%'"
+
+    def left(x, w):
+        return f"rpad({x}, cast(greatest({w}, length({x})) as integer), ' ')"
+
+    def right(x, w):
+        return f"lpad({x}, cast(greatest({w}, length({x})) as integer), ' ')"
+
+    fixed = [
+        (0, 0, "'Counterfactual Abstract Section Modifications (N=' || cast(n_trials as varchar) || ' trials)'"),
+        (0, 1, q("=" * 60)), (0, 2, "''"), (0, 3, q("Section Modification Frequency")), (0, 4, q("-" * 40)),
+        (0, 5, q("Section".ljust(16) + "Trials Modified".rjust(15) + "Percentage".rjust(13))), (0, 6, q("-" * 40)),
+        (2, 0, q("-" * 40)), (2, 1, "''"), (2, 2, q("Number of Sections Modified per Trial")), (2, 3, q("-" * 40)),
+        (2, 4, q("Sections Modified".ljust(18) + "Trials".rjust(13) + "Percentage".rjust(13))), (2, 5, q("-" * 40)),
+        (4, 0, q("-" * 40)), (4, 1, "''"),
+        (4, 2, "'Mean: ' || coalesce(printf('%.2f', mean_sections), 'nan') || ' sections'"),
+        (4, 3, "'Median: ' || coalesce(printf('%.1f', median_sections), 'nan') || ' sections'"),
+    ]
+    fixed_sql = "\nunion all\n".join(f"select {b} as block, cast({p} as bigint) as pos, {line} as line from summ"
+                                       for b, p, line in fixed)
+    n_cast = "cast(n_modified as varchar)"
+    return (with_(*BASE_TRIALS,
+                  f"sec as ({sec})",
+                  f"sized as (select cast(len({lst}) as bigint) as n_sections from trials_v)",
+                  "dist as (select n_sections, count(*) as n_trials, cast(count(*) as double) / "
+                  "cast((select count(*) from trials_v) as double) * cast(100.0 as double) as pct_trials "
+                  "from sized group by n_sections)",
+                  "summ as (select count(*) as n_trials, avg(n_sections) as mean_sections, "
+                  "cast(median(n_sections) as double) as median_sections from sized)")
+            + fixed_sql
+            + f"""
+union all
+select 1, cast(ord as bigint), {left('section', 16)} || {right(n_cast, 15)}
+  || {pct_cell("cast(n_modified as double) / total * cast(100.0 as double)")} from sec
+union all
+select 3, n_sections, {left('cast(n_sections as varchar)', 18)} || {right('cast(n_trials as varchar)', 13)}
+  || {pct_cell('pct_trials')} from dist""")

@@ -160,3 +160,16 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv",
         if fmt == "csv":
             w = w.options(**CSV_WRITE_OPTIONS)
         w.format(fmt).save(f"{out_dir.rstrip('/')}/{name}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small text file (a rendered report) through Hadoop's
+    FileSystem, so it lands as exactly these bytes on any shared store."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

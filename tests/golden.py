@@ -92,6 +92,54 @@ SECTION_PATTERNS = [('["results", "conclusion"]', 233), ('["title", "results", "
                     ('["methods", "results", "conclusion"]', 4)]
 
 
+# published text renderings, verbatim (the report file ends without a newline)
+REPORT_TEXT = "\n".join([
+    '           Condition           Model Valid predictions (%) Accuracy (95% CI) Sensitivity (95% CI) Specificity (95% CI) F1 Score (95% CI)',
+    '            Baseline         GPT-5.2                 100.0  0.96 (0.94-0.99)     0.97 (0.94-1.00)     0.96 (0.92-1.00)  0.96 (0.94-0.99)',
+    '            Baseline  Gemini 3 Flash                  99.2  0.96 (0.94-0.99)     0.96 (0.93-0.99)     0.97 (0.94-1.00)  0.96 (0.94-0.99)',
+    '            Baseline Claude Opus 4.5                 100.0  0.97 (0.95-0.99)     0.97 (0.94-1.00)     0.98 (0.95-1.00)  0.97 (0.95-0.99)',
+    '          Title only         GPT-5.2                 100.0  0.82 (0.78-0.87)     0.82 (0.75-0.88)     0.84 (0.77-0.91)  0.82 (0.77-0.87)',
+    '          Title only  Gemini 3 Flash                  99.2  0.88 (0.84-0.92)     0.88 (0.83-0.93)     0.88 (0.81-0.94)  0.88 (0.84-0.92)',
+    '          Title only Claude Opus 4.5                 100.0  0.79 (0.74-0.84)     0.79 (0.73-0.86)     0.78 (0.70-0.86)  0.78 (0.73-0.83)',
+    '            DOI only         GPT-5.2                 100.0  0.67 (0.61-0.73)     0.76 (0.69-0.83)     0.55 (0.45-0.64)  0.66 (0.60-0.71)',
+    '            DOI only  Gemini 3 Flash                  97.2  0.63 (0.57-0.69)     0.55 (0.47-0.63)     0.75 (0.67-0.84)  0.63 (0.57-0.69)',
+    '            DOI only Claude Opus 4.5                  99.6  0.63 (0.57-0.69)     0.63 (0.55-0.71)     0.63 (0.54-0.73)  0.63 (0.57-0.69)',
+    '      Counterfactual         GPT-5.2                  99.2  0.99 (0.98-1.00)     0.99 (0.97-1.00)     0.99 (0.98-1.00)  0.99 (0.98-1.00)',
+    '      Counterfactual  Gemini 3 Flash                  97.6  0.98 (0.96-1.00)     0.96 (0.92-1.00)     0.99 (0.98-1.00)  0.98 (0.96-1.00)',
+    '      Counterfactual Claude Opus 4.5                  99.2  0.96 (0.94-0.99)     0.92 (0.87-0.97)     0.99 (0.98-1.00)  0.96 (0.94-0.99)',
+    'Counterfactual + DOI         GPT-5.2                 100.0  0.99 (0.97-1.00)     0.99 (0.97-1.00)     0.99 (0.97-1.00)  0.99 (0.97-1.00)',
+    'Counterfactual + DOI  Gemini 3 Flash                  97.6  0.97 (0.94-0.99)     0.92 (0.87-0.97)     1.00 (1.00-1.00)  0.97 (0.94-0.99)',
+    'Counterfactual + DOI Claude Opus 4.5                  99.2  0.95 (0.92-0.98)     0.90 (0.84-0.96)     0.98 (0.96-1.00)  0.95 (0.92-0.97)',
+])
+SECTION_REPORT_TEXT = "\n".join([
+    'Counterfactual Abstract Section Modifications (N=250 trials)',
+    '============================================================',
+    '',
+    'Section Modification Frequency',
+    '----------------------------------------',
+    'Section         Trials Modified   Percentage',
+    '----------------------------------------',
+    'Title                        13         5.2%',
+    'Introduction                  0         0.0%',
+    'Methods                       4         1.6%',
+    'Results                     250       100.0%',
+    'Conclusion                  250       100.0%',
+    '----------------------------------------',
+    '',
+    'Number of Sections Modified per Trial',
+    '----------------------------------------',
+    'Sections Modified        Trials   Percentage',
+    '----------------------------------------',
+    '2                           233        93.2%',
+    '3                            17         6.8%',
+    '----------------------------------------',
+    '',
+    'Mean: 2.07 sections',
+    'Median: 2.0 sections',
+    '',
+])
+
+
 def golden_predictions(spark):
     """Expand the 15 settings into 3,750 prediction rows with Spark."""
     from pyspark.sql import functions as F

@@ -33,5 +33,9 @@ def test_analyze_writes_published_tables(spark):
     assert [r[0] for r in pivot[1:]] == ["openai", "gemini", "anthropic"]
     patterns = _read(f"{out}/table_counterfactual_patterns")
     assert [(p, int(n)) for p, n, _ in patterns[1:]] == golden.SECTION_PATTERNS
+    with open(f"{out}/table_manuscript.txt", newline="") as fh:
+        assert fh.read() == golden.REPORT_TEXT
+    with open(f"{out}/table_counterfactual_section_modifications.txt", newline="") as fh:
+        assert fh.read() == golden.SECTION_REPORT_TEXT
     for name in ("plot_f1_by_condition", "plot_confusion_matrices_combined", "plot_counterfactual_performance"):
         assert os.path.isdir(f"{out}/{name}")

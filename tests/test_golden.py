@@ -89,3 +89,18 @@ def test_sections(spark):
     assert dist[1][2] == 17 / 250 * 100
     s = sections.sections_per_trial_summary(t).first()
     assert (round(s.mean_sections, 2), s.median_sections) == (2.07, 2.0)
+
+
+def test_report_text(preds):
+    """The fixed-width report equals the published text file byte for byte."""
+    assert report.lines_text(report.report_lines(preds)) == golden.REPORT_TEXT
+
+
+def test_section_report_text(spark):
+    lines = sections.section_report_lines(golden.golden_trials(spark))
+    assert report.lines_text(lines, order=("block", "pos"), trailing_newline=True) == golden.SECTION_REPORT_TEXT
+
+
+def test_report_text_of_nothing(spark, preds):
+    """No known setting: pandas' text of an empty frame."""
+    assert report.lines_text(report.report_lines(preds.limit(0))) == report.EMPTY_FRAME_TEXT
