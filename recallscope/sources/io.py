@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.session import path_exists
+from recallscope.session import materialize, path_exists
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_idx", T.LongType()),
@@ -66,7 +66,12 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     return r.format(fmt)
 
 
-def with_positions(scan: DataFrame, name: str = "trial_idx") -> DataFrame:
+# Largest split table (one row per input split) sent whole to every task.
+POSITION_BROADCAST_LIMIT = 256 * 1024 * 1024
+
+
+def with_positions(scan: DataFrame, name: str = "trial_idx",
+                   broadcast_limit: int = POSITION_BROADCAST_LIMIT) -> DataFrame:
     """Add the 0-based row position of a file scan: files in path order
     (part files of one write sort in write order), rows in file order.
 
@@ -74,11 +79,12 @@ def with_positions(scan: DataFrame, name: str = "trial_idx") -> DataFrame:
     rows get consecutive ids from ``monotonically_increasing_id``. A small
     aggregate (one row per split: first id and row count, partial per task)
     and a running sum over the splits give each split its first position;
-    rows pick it up by an equi join on the split key. That join is a
-    broadcast when AQE measures the split table small, else a shuffle whose
-    keys are splits, none above ``spark.sql.files.maxPartitionBytes``. Texts
-    never leave the JVM and nothing meets in one task but the split table
-    (file-listing sized).
+    rows pick it up by an equi join on the split key. The split table is
+    materialized in the shared folder and measured: it is broadcast when its
+    size (paths plus three numbers per split) is within ``broadcast_limit``,
+    and otherwise joined by a shuffle whose keys are splits, none above
+    ``spark.sql.files.maxPartitionBytes``. Texts never leave the JVM, and only
+    the split table (file-listing sized) meets in one task.
     """
     split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
     cols = [F.col(f"`{c}`") for c in scan.columns]
@@ -86,8 +92,11 @@ def with_positions(scan: DataFrame, name: str = "trial_idx") -> DataFrame:
     splits = (tagged.groupBy("_file", "_start")
               .agg(F.min("_rid").alias("_first_rid"), F.count(F.lit(1)).alias("_n")))
     order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = splits.select("_file", "_start",
-                          (F.sum("_n").over(order) - F.col("_n") - F.col("_first_rid")).alias("_base"))
+    bases = materialize(splits.select("_file", "_start",
+                                      (F.sum("_n").over(order) - F.col("_n") - F.col("_first_rid")).alias("_base")))
+    n_splits, path_bytes = bases.agg(F.count(F.lit(1)), F.sum(F.length("_file"))).first()
+    if (path_bytes or 0) + 24 * n_splits <= broadcast_limit:
+        bases = F.broadcast(bases)
     return (tagged.join(bases, ["_file", "_start"])
             .select((F.col("_rid") + F.col("_base")).alias(name), *cols))
 
