@@ -150,6 +150,12 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
 
     One lazy plan up to one write: rerunning adds no key twice, and a failed
     call is written as ERROR (not retried), as in the reference.
+
+    ``parallelism`` is the number of scorer tasks, i.e. the concurrency of
+    the calls. Left unset, the prompts keep the partitioning of their input,
+    which for a small trials file is a single task (the reference's one call
+    at a time); set it to what the API's rate limits allow. The prompts are
+    then spread round-robin, a shuffle that costs far less than the calls.
     """
     todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense)
     scored = score(todo, factory, design, parallelism)
