@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF001
-from tools.oracle_check import TABLES, rows_of
+from tools.oracle_check import SPARK_TYPE, TABLES, rows_of
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -29,10 +29,6 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-# DuckDB result type -> Spark type name
-SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_duckdb(spark, con, name):
     df = QUERIES[name](spark, SF001)
