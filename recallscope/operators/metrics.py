@@ -103,23 +103,47 @@ def with_scores(counts: DataFrame) -> DataFrame:
     })
 
 
-def setting_stats(preds: DataFrame) -> DataFrame:
+def model_counts(preds: DataFrame) -> DataFrame:
+    """M2 + M5 per (vendor, condition, model), NULL keys kept as groups.
+
+    The one aggregate of the log that every result table derives from: a
+    row per setting (plus at most a few NULL-key groups), combined map-side.
+    Filters on its keys are pushed below it by the optimizer.
+    """
+    return preds.groupBy("vendor", "condition", "model").agg(*count_aggregates())
+
+
+def sum_models(counts: DataFrame) -> DataFrame:
+    """Counts per (vendor, condition) from :func:`model_counts` rows that
+    have a vendor and a condition."""
+    return keyed(counts).groupBy("vendor", "condition").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+
+
+def stats_from_counts(counts: DataFrame) -> DataFrame:
     """All counts and scores, one row per (vendor, model, condition).
 
     Counts are taken over *all* rows of the (vendor, condition), whatever the
     model, as the reference masks on vendor and condition only. The window
     runs over the aggregate (a handful of rows per setting), not the log.
     """
-    per_model = keyed(preds).groupBy("vendor", "condition", "model").agg(*count_aggregates())
     w = Window.partitionBy("vendor", "condition")
-    summed = per_model.select("vendor", "model", "condition",
-                              *[F.sum(c).over(w).alias(c) for c in COUNT_COLUMNS])
+    summed = keyed(counts).select("vendor", "model", "condition",
+                                  *[F.sum(c).over(w).alias(c) for c in COUNT_COLUMNS])
     return with_scores(summed).withColumn("pct_valid", pct_valid())
 
 
+def setting_stats(preds: DataFrame) -> DataFrame:
+    return stats_from_counts(model_counts(preds))
+
+
+def metrics_from_counts(counts: DataFrame) -> DataFrame:
+    """M10 from :func:`model_counts`."""
+    return stats_from_counts(counts).select(*METRIC_COLUMNS)
+
+
 def metrics_by_setting(preds: DataFrame) -> DataFrame:
     """The metrics table."""
-    return setting_stats(preds).select(*METRIC_COLUMNS)
+    return metrics_from_counts(model_counts(preds))
 
 
 def metric_intervals(stats: DataFrame, z: float = 1.96) -> DataFrame:

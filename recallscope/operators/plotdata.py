@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design, literal_map
 from recallscope.operators.compare import f1_pivot
-from recallscope.operators.metrics import setting_counts, with_scores
+from recallscope.operators.metrics import setting_counts, sum_models, with_scores
 
 
 def vendor_display(design: Design = DEFAULT_DESIGN, col: str = "vendor") -> Column:
@@ -114,8 +114,15 @@ def confusion_panels(preds: DataFrame, conditions=None, design: Design = DEFAULT
     conditions = design.conditions if conditions is None else conditions
     counts = setting_counts(
         preds.where(F.col("vendor").isin(*design.vendors) & F.col("condition").isin(*conditions)))
-    scored = with_scores(counts).select("vendor", "condition", "tp", "fn", "fp", "tn", "f1_macro")
-    g = grid(preds.sparkSession, design.vendors, conditions)
+    return panels_from_counts(counts, conditions, design)
+
+
+def panels_from_counts(counts: DataFrame, conditions=None, design: Design = DEFAULT_DESIGN) -> DataFrame:
+    """V6/V8 from (vendor, condition) count rows."""
+    conditions = design.conditions if conditions is None else conditions
+    cells = counts.where(F.col("vendor").isin(*design.vendors) & F.col("condition").isin(*conditions))
+    scored = with_scores(cells).select("vendor", "condition", "tp", "fn", "fp", "tn", "f1_macro")
+    g = grid(counts.sparkSession, design.vendors, conditions)
     j = g.join(scored, ["vendor", "condition"], "left")
     n = F.coalesce(F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"), F.lit(0))
     return j.select(
@@ -134,3 +141,10 @@ def panels_confusion_cf(preds: DataFrame, design: Design = DEFAULT_DESIGN) -> Da
     """V8: rewritten conditions; empty when there is no rewritten prediction."""
     return (confusion_panels(preds, design.rewritten_conditions, design)
             .where(_has_condition(preds, design.counterfactual)))
+
+
+def panels_cf_from_counts(model_counts: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
+    """V8 from :func:`recallscope.operators.metrics.model_counts` (whose NULL-key
+    groups still tell whether any rewritten prediction exists)."""
+    return (panels_from_counts(sum_models(model_counts), design.rewritten_conditions, design)
+            .where(_has_condition(model_counts, design.counterfactual)))

@@ -21,10 +21,14 @@ _INTERVALS = {
 }
 
 
+def scores_from_counts(counts: DataFrame) -> DataFrame:
+    """Scores of (vendor, condition) count rows."""
+    return with_scores(counts).withColumn("pct_valid", pct_valid())
+
+
 def setting_scores(preds: DataFrame) -> DataFrame:
     """Counts and scores per (vendor, condition), model ignored."""
-    counts = setting_counts(preds, ("vendor", "condition"))
-    return with_scores(counts).withColumn("pct_valid", pct_valid())
+    return scores_from_counts(setting_counts(preds, ("vendor", "condition")))
 
 
 def report_table(preds: DataFrame, design: Design = DEFAULT_DESIGN, with_order: bool = False,
@@ -34,7 +38,13 @@ def report_table(preds: DataFrame, design: Design = DEFAULT_DESIGN, with_order:
     Labels come from literal maps, so unknown vendors or conditions drop out
     without a join. ``with_order`` adds the two order columns for the sink.
     """
-    known = setting_scores(preds).where(design.condition_ord().isNotNull() & design.vendor_ord().isNotNull())
+    return report_from_scores(setting_scores(preds), design, with_order, z)
+
+
+def report_from_scores(scores: DataFrame, design: Design = DEFAULT_DESIGN, with_order: bool = False,
+                       z: float = 1.96) -> DataFrame:
+    """R8 from per-(vendor, condition) scores (see :func:`report_table`)."""
+    known = scores.where(design.condition_ord().isNotNull() & design.vendor_ord().isNotNull())
     cols = [
         literal_map(design.report_condition_labels)[F.col("condition")].alias("Condition"),
         literal_map(design.vendor_labels)[F.col("vendor")].alias("Model"),

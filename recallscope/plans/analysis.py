@@ -1,11 +1,10 @@
 """The whole analysis as one job: predictions (+ trials) -> every result table.
 
-The prediction log is scanned once per aggregate: the per-setting metrics
-table (one row per setting) is materialized, and the pivot, ranking,
-degradation and comparison tables are derived from it; the report needs
-counts per (vendor, condition) and has its own single-pass aggregate.
-Section tables read the trials table. All outputs are small and written as
-one file each.
+The prediction log is scanned once: its counts per (vendor, condition,
+model) are materialized (a row per setting), and the metrics table, the
+report, the pivot, ranking, degradation and comparison tables and the chart
+data all derive from those rows. Section tables read the trials table. All
+outputs are small and written as one file each.
 """
 
 from __future__ import annotations
@@ -19,16 +18,25 @@ from recallscope.session import materialize
 from recallscope.sources.io import write_tables, write_text
 
 
+def log_counts(preds: DataFrame) -> DataFrame:
+    """The one pass over the prediction log: counts per (vendor, condition,
+    model), materialized in the shared folder. Every table below derives from
+    these few rows."""
+    return materialize(metrics.model_counts(preds))
+
+
 def result_tables(preds: DataFrame, trials: DataFrame | None = None,
-                  design: Design = DEFAULT_DESIGN) -> dict[str, DataFrame]:
+                  design: Design = DEFAULT_DESIGN, counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every result table of the analysis, keyed by its output name."""
-    m = materialize(metrics.metrics_by_setting(preds))
+    counts = log_counts(preds) if counts is None else counts
+    m = materialize(metrics.metrics_from_counts(counts))
+    per_setting = report.scores_from_counts(metrics.sum_models(counts))
     tables = {
         "metrics": m,
         "table_f1_by_condition": compare.f1_pivot(m, design),
         "table_degradation": compare.degradation(m, design),
         # read twice (CSV and text): one row per setting, computed once
-        "table_manuscript": materialize(report.report_table(preds, design, with_order=True)),
+        "table_manuscript": materialize(report.report_from_scores(per_setting, design, with_order=True)),
         "summary_f1_mean": compare.f1_pivot_mean(m),
         "summary_top_f1": compare.top_f1(m, 5, design),
     }
@@ -44,18 +52,21 @@ def result_tables(preds: DataFrame, trials: DataFrame | None = None,
     return tables
 
 
-def chart_tables(preds: DataFrame, design: Design = DEFAULT_DESIGN,
-                 m: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The data behind the eight charts (``m``: an already computed metrics table)."""
-    m = materialize(metrics.metrics_by_setting(preds)) if m is None else m
+def chart_tables(preds: DataFrame, design: Design = DEFAULT_DESIGN, m: DataFrame | None = None,
+                 counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The data behind the eight charts (``counts``: :func:`log_counts`
+    already taken; ``m``: the metrics table already computed from them)."""
+    counts = log_counts(preds) if counts is None else counts
+    m = materialize(metrics.metrics_from_counts(counts)) if m is None else m
     return {
         "f1_by_condition": plotdata.grid_f1(m, design),
         "performance_degradation": plotdata.series_degradation(m, design),
         "f1_heatmap": plotdata.heatmap_pivot(m, design),
         "valid_rates": plotdata.grid_valid_rate(m, design),
-        "confusion_matrices_combined": plotdata.panels_confusion(preds, design),
+        "confusion_matrices_combined": plotdata.panels_from_counts(metrics.sum_models(counts),
+                                                                   design.conditions, design),
         "counterfactual_f1_comparison": plotdata.grid_counterfactual(m, design),
-        "counterfactual_confusion_matrices": plotdata.panels_confusion_cf(preds, design),
+        "counterfactual_confusion_matrices": plotdata.panels_cf_from_counts(counts, design),
         "counterfactual_performance": plotdata.grid_counterfactual_only(m, design),
     }
 
@@ -63,9 +74,10 @@ def chart_tables(preds: DataFrame, design: Design = DEFAULT_DESIGN,
 def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFrame | None = None,
             design: Design = DEFAULT_DESIGN, charts: bool = False) -> dict[str, DataFrame]:
     """Write every result table (and optionally the chart data) to ``out_dir``."""
-    tables = result_tables(preds, trials, design)
+    counts = log_counts(preds)
+    tables = result_tables(preds, trials, design, counts)
     if charts:
-        charted = chart_tables(preds, design, tables["metrics"])
+        charted = chart_tables(preds, design, tables["metrics"], counts)
         tables.update({f"plot_{k}": v for k, v in charted.items()})
     order = {
         "metrics": [design.condition_ord().asc_nulls_last(), design.vendor_ord().asc_nulls_last(),

@@ -39,3 +39,29 @@ def test_analyze_writes_published_tables(spark):
         assert fh.read() == golden.SECTION_REPORT_TEXT
     for name in ("plot_f1_by_condition", "plot_confusion_matrices_combined", "plot_counterfactual_performance"):
         assert os.path.isdir(f"{out}/{name}")
+
+
+def test_analysis_reads_the_log_once(spark):
+    """Every table derives from the materialized counts: none re-reads the
+    log, and each equals the standalone query over the log."""
+    from recallscope.operators import metrics, plotdata, report
+    from recallscope.sources import io
+
+    log = tempfile.mkdtemp(prefix="analysis-log-", dir="/tmp") + "/preds"
+    io.append_predictions(golden.golden_predictions(spark), log)
+    preds = io.read_predictions(spark, log)
+    counts = analysis.log_counts(preds)
+    tables = analysis.result_tables(preds, None, counts=counts)
+    tables.update(analysis.chart_tables(preds, m=tables["metrics"], counts=counts))
+    for name, t in tables.items():
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan, name  # no trials here: the log is the only file source
+    same = {
+        "metrics": metrics.metrics_by_setting(preds),
+        "table_manuscript": report.report_table(preds, with_order=True),
+        "confusion_matrices_combined": plotdata.panels_confusion(preds),
+        "counterfactual_confusion_matrices": plotdata.panels_confusion_cf(preds),
+    }
+    for name, df in same.items():
+        got = tables[name]
+        assert got.exceptAll(df).count() == 0 and df.exceptAll(got).count() == 0, name
