@@ -37,24 +37,52 @@ def with_sections(trials: DataFrame, on_error: str = "raise") -> DataFrame:
                          parse_sections("sections_modified", on_error).alias("sections"))
 
 
-def section_counts_raw(trials: DataFrame) -> DataFrame:
-    """Occurrences of every section name (repeats within a trial count)."""
-    return (with_sections(trials)
-            .select(F.explode("sections").alias("section"))
-            .groupBy("section").agg(F.count(F.lit(1)).alias("n_modified")))
+def pattern_table(trials: DataFrame) -> DataFrame:
+    """Trials per raw ``sections_modified`` string, each string parsed once.
+
+    One pass over the trials' section column, combined map-side (the usual
+    case, one pattern for most trials, collapses inside each task); the JSON
+    of every distinct string is then parsed once instead of once per trial.
+    Every section table (S2-S6) derives from these rows. A malformed or
+    missing value fails the job when its pattern is parsed, as in S1.
+    """
+    return (trials.groupBy(F.col("sections_modified").alias("pattern"))
+            .agg(F.count(F.lit(1)).alias("n_trials"))
+            .select("pattern", "n_trials", parse_sections("pattern").alias("sections")))
 
 
 def _total(trials: DataFrame) -> Column:
+    """Number of trials (a count: Parquet answers it from file footers)."""
     return trials.select(F.count(F.lit(1))).scalar()
 
 
-def _known_counts(trials: DataFrame, sections, labels) -> DataFrame:
-    parsed = with_sections(trials)
+def pattern_total(patterns: DataFrame) -> Column:
+    """Number of trials from a (materialized) pattern table."""
+    return patterns.select(F.coalesce(F.sum("n_trials"), F.lit(0)).cast("bigint")).scalar()
+
+
+def _pct(n: str, total: Column) -> Column:
+    return F.col(n).cast("double") / total.cast("double") * F.lit(100.0)
+
+
+def raw_counts_from(patterns: DataFrame) -> DataFrame:
+    return (patterns.select(F.explode("sections").alias("section"), "n_trials")
+            .groupBy("section").agg(F.sum("n_trials").alias("n_modified")))
+
+
+def section_counts_raw(trials: DataFrame) -> DataFrame:
+    """Occurrences of every section name (repeats within a trial count)."""
+    return raw_counts_from(pattern_table(trials))
+
+
+def _known_counts(patterns: DataFrame, sections, labels) -> DataFrame:
+    """(total, ord, section, n_modified) for a fixed section list, one global
+    aggregate over the pattern rows."""
     def occurrences_of(name):
-        return F.size(F.filter("sections", lambda s: s == F.lit(name)))
+        return F.col("n_trials") * F.size(F.filter("sections", lambda s: s == F.lit(name)))
 
     occurrences = [F.sum(occurrences_of(name)).alias(f"c{i}") for i, name in enumerate(sections)]
-    agg = parsed.agg(F.count(F.lit(1)).alias("total"), *occurrences)
+    agg = patterns.agg(F.coalesce(F.sum("n_trials"), F.lit(0)).cast("bigint").alias("total"), *occurrences)
     rows = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(label).alias("section"),
                  F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("bigint").alias("n_modified"))
@@ -63,21 +91,32 @@ def _known_counts(trials: DataFrame, sections, labels) -> DataFrame:
     return agg.select("total", F.inline(rows))
 
 
+def section_counts_from(patterns: DataFrame, sections=SECTIONS) -> DataFrame:
+    t = _known_counts(patterns, sections, sections)
+    return t.select("section", "n_modified", _pct("n_modified", F.col("total")).alias("pct_modified"))
+
+
 def section_counts(trials: DataFrame, sections=SECTIONS) -> DataFrame:
     """S3: fixed section list, count (0 if absent) and percent of all trials."""
-    t = _known_counts(trials, sections, sections)
-    return t.select("section", "n_modified",
-                    (F.col("n_modified").cast("double") / F.col("total").cast("double") * F.lit(100.0))
-                    .alias("pct_modified"))
+    return section_counts_from(pattern_table(trials), sections)
 
 
-def section_modifications(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> DataFrame:
-    """The report form: title-cased labels, Introduction included."""
-    t = _known_counts(trials, [s.lower() for s in sections], sections)
+def section_modifications_from(patterns: DataFrame, sections=SECTION_REPORT_ROWS) -> DataFrame:
+    t = _known_counts(patterns, [s.lower() for s in sections], sections)
     return t.select(F.col("section").alias("Section"),
                     F.col("n_modified").alias("Trials Modified"),
-                    (F.col("n_modified").cast("double") / F.col("total").cast("double") * F.lit(100.0))
-                    .alias("Percentage (%)"))
+                    _pct("n_modified", F.col("total")).alias("Percentage (%)"))
+
+
+def section_modifications(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> DataFrame:
+    """The report form: title-cased labels, Introduction included."""
+    return section_modifications_from(pattern_table(trials), sections)
+
+
+def pattern_counts_from(patterns: DataFrame, total: Column) -> DataFrame:
+    # the key is the raw string, but only once it has parsed (else the job fails)
+    return patterns.select(F.when(F.col("sections").isNotNull(), F.col("pattern")).alias("pattern"),
+                           "n_trials", _pct("n_trials", total).alias("pct_trials"))
 
 
 def pattern_counts(trials: DataFrame) -> DataFrame:
@@ -85,32 +124,33 @@ def pattern_counts(trials: DataFrame) -> DataFrame:
 
     The percent is of all trials. Every value must parse (as in S1).
     """
-    raw = F.col("sections_modified")
-    # the key is the raw string, but only once it has parsed (else the job fails)
-    key = F.when(parse_sections(raw).isNotNull(), raw)
-    return (trials.groupBy(key.alias("pattern"))
-            .agg(F.count(F.lit(1)).alias("n_trials"))
-            .select("pattern", "n_trials",
-                    (F.col("n_trials").cast("double") / _total(trials).cast("double") * F.lit(100.0))
-                    .alias("pct_trials")))
+    return pattern_counts_from(pattern_table(trials), _total(trials))
+
+
+def sections_per_trial_from(patterns: DataFrame, total: Column) -> DataFrame:
+    return (patterns.groupBy(F.size("sections").cast("bigint").alias("n_sections"))
+            .agg(F.sum("n_trials").alias("n_trials"))
+            .select("n_sections", "n_trials", _pct("n_trials", total).alias("pct_trials")))
 
 
 def sections_per_trial(trials: DataFrame) -> DataFrame:
     """Distribution of the number of sections changed per trial."""
-    sized = with_sections(trials).select(F.size("sections").cast("bigint").alias("n_sections"))
-    return (sized.groupBy("n_sections").agg(F.count(F.lit(1)).alias("n_trials"))
-            .select("n_sections", "n_trials",
-                    (F.col("n_trials").cast("double") / _total(trials).cast("double") * F.lit(100.0))
-                    .alias("pct_trials")))
+    return sections_per_trial_from(pattern_table(trials), _total(trials))
+
+
+def summary_from(patterns: DataFrame) -> DataFrame:
+    size = F.size("sections")
+    n = F.col("n_trials")
+    return patterns.agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_trials"),
+        (F.sum(size * n).cast("double") / F.sum(n).cast("double")).alias("mean_sections"),
+        F.percentile(size, 0.5, n).cast("double").alias("median_sections"))
 
 
 def sections_per_trial_summary(trials: DataFrame) -> DataFrame:
-    """Mean and median number of sections per trial (exact median;
-    its buffer holds one count per distinct size, which is small)."""
-    sized = with_sections(trials).select(F.size("sections").alias("n_sections"))
-    return sized.agg(F.count(F.lit(1)).alias("n_trials"),
-                     F.avg("n_sections").alias("mean_sections"),
-                     F.median("n_sections").cast("double").alias("median_sections"))
+    """Mean and median number of sections per trial. The median is exact:
+    a percentile over the pattern rows weighted by their trial counts."""
+    return summary_from(pattern_table(trials))
 
 
 # Fixed layout of the section report text (read off the published file):
@@ -141,19 +181,23 @@ def section_report_lines(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> Dat
     Blocks 1 and 3 hold the data rows (one per report section, one per
     distinct number of sections); blocks 0, 2 and 4 the title, rules,
     headings and the mean / median lines. Every part is an aggregate of the
-    trials; nothing but the finished lines is small enough to gather.
+    pattern table (computed once: its exchange is reused across the three
+    branches); nothing but the finished lines is small enough to gather.
     """
-    known = _known_counts(trials, [s.lower() for s in sections], sections)
+    return section_report_lines_from(pattern_table(trials), _total(trials), sections)
+
+
+def section_report_lines_from(patterns: DataFrame, total: Column, sections=SECTION_REPORT_ROWS) -> DataFrame:
+    known = _known_counts(patterns, [s.lower() for s in sections], sections)
     per_section = known.select(
         F.lit(1).alias("block"), F.col("ord").cast("bigint").alias("pos"),
         F.concat(_left(F.col("section"), 16), _right(F.col("n_modified").cast("string"), 15),
-                 _pct_cell(F.col("n_modified").cast("double") / F.col("total").cast("double") * F.lit(100.0))
-                 ).alias("line"))
-    per_trial = sections_per_trial(trials).select(
+                 _pct_cell(_pct("n_modified", F.col("total")))).alias("line"))
+    per_trial = sections_per_trial_from(patterns, total).select(
         F.lit(3).alias("block"), F.col("n_sections").alias("pos"),
         F.concat(_left(F.col("n_sections").cast("string"), 18), _right(F.col("n_trials").cast("string"), 13),
                  _pct_cell(F.col("pct_trials"))).alias("line"))
-    summary = sections_per_trial_summary(trials)
+    summary = summary_from(patterns)
 
     def fixed(block, pos, text):
         return F.struct(F.lit(block).alias("block"), F.lit(pos).cast("bigint").alias("pos"),
@@ -173,3 +217,19 @@ def section_report_lines(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> Dat
         fixed(4, 0, RULE), fixed(4, 1, ""), fixed(4, 2, mean), fixed(4, 3, median),
     )))
     return frame.unionByName(per_section).unionByName(per_trial)
+
+
+def section_tables(trials: DataFrame) -> dict[str, DataFrame]:
+    """S3-S6 and the report lines from one materialized pattern table (the
+    analysis job's single pass over the trials)."""
+    from recallscope.session import materialize
+
+    patterns = materialize(pattern_table(trials))
+    total = pattern_total(patterns)
+    return {
+        "sections": section_counts_from(patterns),
+        "patterns": pattern_counts_from(patterns, total),
+        "modifications": section_modifications_from(patterns),
+        "per_trial": sections_per_trial_from(patterns, total),
+        "report_lines": section_report_lines_from(patterns, total),
+    }

@@ -18,6 +18,10 @@ from recallscope.session import materialize
 from recallscope.sources.io import write_tables, write_text
 
 
+# key of the section report's lines among the result tables (written as text)
+SECTION_LINES = "_section_report_lines"
+
+
 def log_counts(preds: DataFrame) -> DataFrame:
     """The one pass over the prediction log: counts per (vendor, condition,
     model), materialized in the shared folder. Every table below derives from
@@ -45,10 +49,12 @@ def result_tables(preds: DataFrame, trials: DataFrame | None = None,
         tables["table_counterfactual_metrics"] = cf
         tables["table_baseline_vs_counterfactual"] = compare.baseline_vs_counterfactual(m, design)
         if trials is not None and "sections_modified" in trials.columns:
-            tables["table_counterfactual_sections"] = sections.section_counts(trials)
-            tables["table_counterfactual_patterns"] = sections.pattern_counts(trials)
-            tables["table_counterfactual_section_modifications"] = sections.section_modifications(trials)
-            tables["table_sections_per_trial"] = sections.sections_per_trial(trials)
+            sec = sections.section_tables(trials)  # one pass over the trials' section column
+            tables["table_counterfactual_sections"] = sec["sections"]
+            tables["table_counterfactual_patterns"] = sec["patterns"]
+            tables["table_counterfactual_section_modifications"] = sec["modifications"]
+            tables["table_sections_per_trial"] = sec["per_trial"]
+            tables[SECTION_LINES] = sec["report_lines"]  # text, not a table: analyze writes it
     return tables
 
 
@@ -76,6 +82,7 @@ def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFra
     """Write every result table (and optionally the chart data) to ``out_dir``."""
     counts = log_counts(preds)
     tables = result_tables(preds, trials, design, counts)
+    section_lines = tables.pop(SECTION_LINES, None)
     if charts:
         charted = chart_tables(preds, design, tables["metrics"], counts)
         tables.update({f"plot_{k}": v for k, v in charted.items()})
@@ -94,8 +101,7 @@ def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFra
     # the text renderings: a handful of lines each, joined on the driver
     out = out_dir.rstrip("/")
     write_text(spark, f"{out}/table_manuscript.txt", report.lines_text(report.render_lines(tables["table_manuscript"])))
-    if "table_counterfactual_section_modifications" in tables:
-        lines = sections.section_report_lines(trials)
+    if section_lines is not None:
         write_text(spark, f"{out}/table_counterfactual_section_modifications.txt",
-                   report.lines_text(lines, order=("block", "pos"), trailing_newline=True))
+                   report.lines_text(section_lines, order=("block", "pos"), trailing_newline=True))
     return tables
