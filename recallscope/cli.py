@@ -84,6 +84,11 @@ def _score(spark: SparkSession, args) -> None:
         print(f"Trials: {row.n_trials}")
         print(f"Total API calls: {row.total_calls}")
         return
+    if not args.scorer:
+        # a missing SDK would turn every call into an ERROR row, which counts as done
+        missing = clients.missing_sdks(DEFAULT_DESIGN.check_vendors(vendors))
+        if missing:
+            raise SystemExit(f"cannot import {', '.join(missing)}: install it or pass --scorer")
     scoring.run_scoring(spark, trials, args.predictions, _factory(args.scorer, args.min_interval),
                         max_trials=args.max_trials, vendors=vendors, conditions=conditions,
                         parallelism=args.parallelism, dense=dense)

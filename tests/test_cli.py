@@ -46,3 +46,17 @@ def test_score_resume_and_analyze(spark):
         assert os.path.isdir(f"{out}/{name}")
     with open(f"{out}/table_manuscript.txt") as fh:
         assert fh.readline().lstrip().startswith("Condition")
+
+
+def test_hosted_scoring_needs_its_sdks(spark):
+    import pytest
+
+    from recallscope.operators import clients
+
+    path = _trials_csv(spark, 3)
+    missing = clients.missing_sdks(["openai", "gemini", "anthropic"])
+    if not missing:
+        pytest.skip("vendor SDKs are installed here")
+    with pytest.raises(SystemExit):
+        cli.main(["score", "--trials", path, "--predictions", path + ".log"])
+    assert not os.path.exists(path + ".log")
