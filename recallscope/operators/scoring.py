@@ -120,6 +120,8 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
     trials = limit_trials(trials, max_trials, dense)
     if preds_path is None or not path_exists(spark, preds_path):
         return prompts_for(build_worklist(trials, design, vendors, conditions), design)
+    if trial_range is None and dense and max_trials:
+        trial_range = (0, max_trials - 1)  # dense keys: the limit is this key range
     keys = build_worklist(trials.select("trial_idx"), design, vendors, conditions)
     pending = pending_work(keys, logged_keys(spark, preds_path, design, vendors, conditions, trial_range))
     return prompts_for(pending.join(trials, "trial_idx"), design)

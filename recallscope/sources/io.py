@@ -141,9 +141,14 @@ def append_predictions(df: DataFrame, path: str, partition_by=("vendor", "condit
     """Append scored rows in one write per job or micro-batch.
 
     Partitioning by (vendor, condition) lets subset reruns, condition filters
-    and the completed-key lookup prune whole directories.
+    and the completed-key lookup prune whole directories; rows are sorted by
+    trial key inside each task (no shuffle), so every row group covers a
+    narrow key range and a range filter on ``trial_idx`` skips the rest.
     """
-    w = df.select(*PREDICTION_COLUMNS).write.mode("append")
+    rows = df.select(*PREDICTION_COLUMNS)
+    if partition_by:
+        rows = rows.sortWithinPartitions(*partition_by, "trial_idx")
+    w = rows.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
