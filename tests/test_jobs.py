@@ -158,3 +158,24 @@ def test_limit_trials_dense_and_sparse(spark):
     assert worklist.limit_trials(t, 0).count() == t.count()
     dense = spark.range(20).withColumnRenamed("id", "trial_idx")
     assert worklist.limit_trials(dense, 7, dense=True).count() == 7
+
+
+def test_positions_across_parquet_splits(spark):
+    """One Parquet file read as several splits (row groups in several tasks):
+    positions follow the file's row order."""
+    path = tempfile.mkdtemp(prefix="trials-pq-", dir="/tmp") + "/t"
+    n = 20000
+    rows = spark.range(0, n, numPartitions=1).select(
+        F.col("id").cast("string").alias("title"),
+        F.sha2(F.col("id").cast("string"), 256).alias("abstract"))  # incompressible enough for many row groups
+    rows.write.option("parquet.block.size", 64 * 1024).parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024))
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > 2
+        t = io.with_positions(df)
+        got = [(r.trial_idx, r.title) for r in t.select("trial_idx", "title").orderBy("trial_idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, str(i)) for i in range(n)]
