@@ -5,10 +5,13 @@ from recallscope.sources.io import (
     PREDICTION_SCHEMA,
     TRIAL_SCHEMA,
     append_predictions,
+    csv_to_parquet,
     read_metrics,
     read_predictions,
     read_trials,
+    with_positions,
     write_tables,
+    write_text,
 )
 
 __all__ = [
@@ -16,8 +19,11 @@ __all__ = [
     "PREDICTION_SCHEMA",
     "TRIAL_SCHEMA",
     "append_predictions",
+    "csv_to_parquet",
     "read_metrics",
     "read_predictions",
     "read_trials",
+    "with_positions",
     "write_tables",
+    "write_text",
 ]
