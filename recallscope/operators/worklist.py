@@ -125,6 +125,32 @@ def completed_keys(preds: DataFrame) -> DataFrame:
     return preds.select(*KEYS).distinct()
 
 
+def _keep_order() -> Column:
+    """Which copy of a key to keep: a labelled answer, then INVALID, then
+    ERROR, then anything else; ties by model, raw answer, truth and label
+    (missing values last), so the choice never depends on file order."""
+    status = F.col("parsed_output")
+    rank = (F.when(status.isin("POSITIVE", "NEGATIVE"), 0).when(status == "INVALID", 1)
+            .when(status == "ERROR", 2).otherwise(3))
+    parts = [rank.alias("rank")]
+    for c in ("model", "raw_output", "ground_truth", "parsed_output"):
+        parts += [F.col(c).isNull().alias(f"{c}_missing"), F.col(c).alias(c)]
+    return F.struct(*parts)
+
+
+def dedupe_predictions(preds: DataFrame) -> DataFrame:
+    """One row per (trial_idx, vendor, condition), an optional clean-up step
+    (the analysis counts repeated rows, as the reference does).
+
+    ``min_by`` under ``groupBy`` is combined map-side: copies of one key
+    collapse inside each task, so a key copied into a third of the log never
+    meets in one task (a window would gather all its copies).
+    """
+    row = F.struct(*[F.col(c) for c in PREDICTION_ORDER])
+    return (preds.groupBy(*KEYS).agg(F.min_by(row, _keep_order()).alias("_row"))
+            .select(*[F.col(f"_row.{c}").alias(c) for c in PREDICTION_ORDER]))
+
+
 def pending_work(work: DataFrame, preds: DataFrame) -> DataFrame:
     """Work items with no row in the log.
 

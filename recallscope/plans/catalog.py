@@ -161,6 +161,20 @@ def q_attach_model(spark, sf):
     return worklist.attach_model(_work(spark, sf).select("trial_idx", "condition", "vendor"))
 
 
+def _rerun_log(spark, sf):
+    """The parsed log plus a second, failed run of the first three
+    conditions (every call of it an ERROR row): keys now repeat."""
+    p = worklist.assemble_predictions(_parsed(spark, sf))
+    failed = (p.where(F.col("condition").isin(*DONE_CONDITIONS))
+              .withColumn("raw_output", F.lit(None).cast("string"))
+              .withColumn("parsed_output", F.lit("ERROR")))
+    return p.unionByName(failed)
+
+
+def q_dedupe_predictions(spark, sf):
+    return worklist.dedupe_predictions(_rerun_log(spark, sf))
+
+
 def q_score_batch(spark, sf):
     todo = scoring.prompts_for(_work(spark, sf))
     return worklist.assemble_predictions(scoring.score(todo, scoring.byte_length_scorer))
@@ -477,6 +491,19 @@ def _remaining_sql():
      as remaining_naive""")
 
 
+def _dedupe_sql():
+    rank = ("case when parsed_output in ('POSITIVE','NEGATIVE') then 0 when parsed_output = 'INVALID' then 1 "
+            "when parsed_output = 'ERROR' then 2 else 3 end")
+    ties = ", ".join(f"{c} is null, {c}" for c in ("model", "raw_output", "ground_truth", "parsed_output"))
+    return (O.with_(*O.BASE_RAW,
+                    f"log as (select {PRED_COLS} from parsed_v union all select trial_idx, vendor, model, condition, "
+                    f"cast(null as varchar) as raw_output, 'ERROR' as parsed_output, ground_truth from parsed_v "
+                    f"where condition in {O.in_list(DONE_CONDITIONS)})")
+            + f"""select {PRED_COLS} from (
+  select *, row_number() over (partition by trial_idx, vendor, condition order by {rank}, {ties}) as rn from log)
+where rn = 1""")
+
+
 def _prompt_select():
     return f"select trial_idx, vendor, condition, {O.prompt_sql()} as prompt, ground_truth from ({O.routed_sql()})"
 
@@ -512,6 +539,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                        "where l.trial_idx = w.trial_idx and l.vendor = w.vendor and l.condition = w.condition)"),
     "remaining_count": (q_remaining_count, _remaining_sql()),
     "attach_model": (q_attach_model, _work_sql(f"select trial_idx, condition, vendor, {_MODEL_CASE} as model from work")),
+    "dedupe_predictions": (q_dedupe_predictions, _dedupe_sql()),
     "score_batch": (q_score_batch, O.scored_predictions_sql()),
     "parse_output": (q_parse_output, O.with_(*O.BASE_RAW)
                      + "select trial_idx, vendor, model, condition, ground_truth, raw_output, parsed_output from parsed_v"),

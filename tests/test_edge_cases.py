@@ -204,3 +204,21 @@ def test_unknown_settings_rejected_before_running():
     with pytest.raises(ValueError):
         settings(Design(), conditions=["abstract_only"])
     assert settings(Design(), vendors="gemini", conditions="doi_only") == [("doi_only", "gemini")]
+
+
+def test_dedupe_keeps_labelled_copy_and_combines_map_side(spark):
+    from recallscope.operators import worklist
+
+    cols = "trial_idx long, vendor string, model string, condition string, raw_output string, " \
+           "parsed_output string, ground_truth string"
+    hot = [(1, "openai", "m", "baseline", None, "ERROR", "POSITIVE")] * 3000       # a third of the log
+    rows = hot + [(1, "openai", "m", "baseline", "x", "INVALID", "POSITIVE"),
+                  (1, "openai", "m", "baseline", "NEGATIVE", "NEGATIVE", "POSITIVE")] + \
+        [(i, "gemini", "m", "baseline", "POSITIVE", "POSITIVE", "NEGATIVE") for i in range(6000)]
+    preds = spark.createDataFrame(rows, cols).repartition(8)
+    out = worklist.dedupe_predictions(preds)
+    kept = out.where("trial_idx = 1 and vendor = 'openai'").collect()
+    assert [(r.raw_output, r.parsed_output) for r in kept] == [("NEGATIVE", "NEGATIVE")]
+    assert out.count() == 6001
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
