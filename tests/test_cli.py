@@ -60,3 +60,16 @@ def test_hosted_scoring_needs_its_sdks(spark):
     with pytest.raises(SystemExit):
         cli.main(["score", "--trials", path, "--predictions", path + ".log"])
     assert not os.path.exists(path + ".log")
+
+
+def test_convert_predictions_csv(spark):
+    """A predictions CSV in the reference's dialect becomes Parquet once."""
+    base = tempfile.mkdtemp(prefix="cli-conv-", dir="/tmp")
+    rows = [(0, "openai", "m", "baseline", '  "POSITIVE",\nsure ', "INVALID", "POSITIVE"),
+            (1, "gemini", "g", "doi_only", None, "ERROR", "NEGATIVE"),
+            (2, "anthropic", "a", "title_only", "", "INVALID", None)]
+    df = spark.createDataFrame(rows, io.PREDICTION_SCHEMA)
+    df.coalesce(1).write.options(**io.CSV_WRITE_OPTIONS).csv(f"{base}/predictions.csv")
+    cli.main(["convert", "--kind", "predictions", "--csv", f"{base}/predictions.csv", "--out", f"{base}/p"])
+    back = io.read_predictions(spark, f"{base}/p")
+    assert sorted(back.collect()) == sorted(df.collect())
