@@ -29,7 +29,7 @@ def log_counts(preds: DataFrame) -> DataFrame:
     return materialize(metrics.model_counts(preds))
 
 
-def result_tables(preds: DataFrame, trials: DataFrame | None = None,
+def result_tables(preds: DataFrame | None, trials: DataFrame | None = None,
                   design: Design = DEFAULT_DESIGN, counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every result table of the analysis, keyed by its output name."""
     counts = log_counts(preds) if counts is None else counts
@@ -58,7 +58,7 @@ def result_tables(preds: DataFrame, trials: DataFrame | None = None,
     return tables
 
 
-def chart_tables(preds: DataFrame, design: Design = DEFAULT_DESIGN, m: DataFrame | None = None,
+def chart_tables(preds: DataFrame | None, design: Design = DEFAULT_DESIGN, m: DataFrame | None = None,
                  counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """The data behind the eight charts (``counts``: :func:`log_counts`
     already taken; ``m``: the metrics table already computed from them)."""
@@ -80,11 +80,17 @@ def chart_tables(preds: DataFrame, design: Design = DEFAULT_DESIGN, m: DataFrame
 def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFrame | None = None,
             design: Design = DEFAULT_DESIGN, charts: bool = False) -> dict[str, DataFrame]:
     """Write every result table (and optionally the chart data) to ``out_dir``."""
-    counts = log_counts(preds)
-    tables = result_tables(preds, trials, design, counts)
+    return analyze_counts(spark, log_counts(preds), out_dir, trials, design, charts)
+
+
+def analyze_counts(spark: SparkSession, counts: DataFrame, out_dir: str, trials: DataFrame | None = None,
+                   design: Design = DEFAULT_DESIGN, charts: bool = False) -> dict[str, DataFrame]:
+    """:func:`analyze` from counts per (vendor, condition, model) already
+    taken (:func:`log_counts`, or a streaming aggregate's complete output)."""
+    tables = result_tables(None, trials, design, counts)
     section_lines = tables.pop(SECTION_LINES, None)
     if charts:
-        charted = chart_tables(preds, design, tables["metrics"], counts)
+        charted = chart_tables(None, design, tables["metrics"], counts)
         tables.update({f"plot_{k}": v for k, v in charted.items()})
     order = {
         "metrics": [design.condition_ord().asc_nulls_last(), design.vendor_ord().asc_nulls_last(),

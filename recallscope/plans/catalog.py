@@ -268,6 +268,21 @@ def q_stream_metrics(spark, sf):
     return io.read_metrics(spark, out)
 
 
+def q_stream_report(spark, sf):
+    """The whole analysis kept current by a stream over landing prediction
+    files; the report table it wrote is read back."""
+    from recallscope.streaming import run_stream_analysis
+
+    landing = fresh_path(spark, "preds-landing-analysis")
+    worklist.assemble_predictions(
+        _preds(spark, sf).withColumn("raw_output", F.lit(None).cast("string"))
+    ).repartition(4).write.parquet(landing)
+    out = fresh_path(spark, "stream-analysis")
+    run_stream_analysis(spark, landing, out, design=FLAG_DESIGN, max_files_per_trigger=2)
+    schema = ", ".join(f"`{c}` string" for c in report.REPORT_COLUMNS)
+    return spark.read.schema(schema).options(**io.CSV_WRITE_OPTIONS).csv(f"{out}/table_manuscript")
+
+
 # --- comparisons ---------------------------------------------------------------
 
 def q_f1_pivot(spark, sf):
@@ -575,6 +590,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "format_ci": (q_format_ci, _sql_scored_counts(O.BASE_PREDS, "preds_v")
                   + f"select vendor, condition, {_format_cols()} from scored"),
     "stream_metrics": (q_stream_metrics, _stream_metrics_sql()),
+    "stream_report": (q_stream_report, O.report_sql(FLAG_DESIGN, O.BASE_PREDS)),
     # comparisons
     "f1_pivot": (q_f1_pivot, _pivot_sql(FLAG_DESIGN, FLAG_DESIGN.conditions)),
     "pivot_reorder": (q_pivot_reorder, _pivot_sql(REORDER_DESIGN, REORDER_DESIGN.conditions)),

@@ -1,5 +1,5 @@
 """Incremental versions of the scoring job and the metrics table."""
 
-from recallscope.streaming.jobs import run_stream_metrics, stream_counts, stream_scoring
+from recallscope.streaming.jobs import run_stream_analysis, run_stream_metrics, stream_counts, stream_scoring
 
-__all__ = ["run_stream_metrics", "stream_counts", "stream_scoring"]
+__all__ = ["run_stream_analysis", "run_stream_metrics", "stream_counts", "stream_scoring"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import metrics, scoring, worklist
-from recallscope.session import fresh_path, path_exists
+from recallscope.session import fresh_path, materialize, path_exists
 from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions
 
 
@@ -99,3 +99,35 @@ def run_stream_metrics(spark: SparkSession, preds_dir: str, out_path: str, check
     if available_now:
         query.awaitTermination()
     return query
+
+
+def run_stream_analysis(spark: SparkSession, preds_dir: str, out_dir: str, trials: DataFrame | None = None,
+                        design: Design = DEFAULT_DESIGN, charts: bool = False, checkpoint: str | None = None,
+                        max_files_per_trigger: int | None = None, available_now: bool = True):
+    """Keep every result table and both text reports current as prediction
+    files arrive (the reference re-runs its whole analysis over the grown log).
+
+    The streaming state is the count table per (vendor, condition, model),
+    one row per setting plus at most a few NULL-key groups; complete output
+    mode hands each micro-batch that whole table, which is materialized and
+    given to the analysis, which derives every table from it and overwrites
+    the outputs. No micro-batch re-reads the log.
+    """
+    from recallscope.plans import analysis
+
+    checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-analysis")
+    reader = spark.readStream.schema(PREDICTION_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    counts = metrics.model_counts(reader.parquet(preds_dir))
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        analysis.analyze_counts(spark, materialize(batch), out_dir, trials, design, charts)
+
+    writer = (counts.writeStream.outputMode("complete").foreachBatch(publish)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    query = writer.start()
+    if available_now:
+        query.awaitTermination()
+    return query
