@@ -3,8 +3,10 @@
 The prediction log is scanned once: its counts per (vendor, condition,
 model) are materialized (a row per setting), and the metrics table, the
 report, the pivot, ranking, degradation and comparison tables and the chart
-data all derive from those rows. Section tables read the trials table. All
-outputs are small and written as one file each.
+data all derive from those rows. The section tables derive from one pattern
+table of the trials (one pass over their section column). All outputs are
+small and written as one file each. :func:`analyze_counts` starts from the
+counts themselves, which is how the streaming analysis publishes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ def log_counts(preds: DataFrame) -> DataFrame:
 
 def result_tables(preds: DataFrame | None, trials: DataFrame | None = None,
                   design: Design = DEFAULT_DESIGN, counts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every result table of the analysis, keyed by its output name."""
+    """Every result table of the analysis, keyed by its output name
+    (``preds`` is not read when ``counts`` are given)."""
     counts = log_counts(preds) if counts is None else counts
     m = materialize(metrics.metrics_from_counts(counts))
     per_setting = report.scores_from_counts(metrics.sum_models(counts))
