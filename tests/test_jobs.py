@@ -179,3 +179,27 @@ def test_positions_across_parquet_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(i, str(i)) for i in range(n)]
+
+
+def test_stream_scoring_replayed_batch_adds_nothing(spark):
+    """A crash after a micro-batch wrote its rows but before it was committed:
+    restarting from that checkpoint replays the batch, and the anti join
+    against the target keeps every key once."""
+    import os
+    import shutil
+
+    landing = fresh_path(spark, "t-landing-replay")
+    worklist.limit_trials(_trials(spark), 30).repartition(3).write.parquet(landing)
+    target = fresh_path(spark, "t-stream-replay")
+    ckpt = fresh_path(spark, "t-ckpt-replay")
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, checkpoint=ckpt, max_files_per_trigger=1)
+    committed = sorted(int(n) for n in os.listdir(f"{ckpt}/commits") if n.isdigit())
+    assert len(committed) >= 2
+    crashed = fresh_path(spark, "t-ckpt-crashed")  # the same checkpoint without its last commit marker
+    last = str(committed[-1])
+    shutil.copytree(ckpt, crashed, ignore=lambda d, names: [last, f".{last}.crc"] if d.endswith("commits") else [])
+    assert not os.path.exists(f"{crashed}/commits/{last}")
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, checkpoint=crashed, max_files_per_trigger=1)
+    assert os.path.exists(f"{crashed}/commits/{last}")  # the batch ran again and committed
+    s = io.read_predictions(spark, target)
+    assert s.count() == 15 * 30 and s.select(*KEYS).distinct().count() == 15 * 30
