@@ -8,7 +8,7 @@ shuffle. Resume is a left anti join on the narrow key columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design, literal_map
@@ -16,23 +16,60 @@ from recallscope.design import DEFAULT_DESIGN, Design, literal_map
 KEYS = ("trial_idx", "vendor", "condition")
 
 
-def limit_trials(trials: DataFrame, n: int | None, dense: bool = False) -> DataFrame:
+# Above this many trials, ``limit_trials`` on sparse keys locates the n-th key
+# by approximate quantiles plus an exact rank in a narrow band, so the first
+# n keys never meet in one task; the approximation's relative error is
+# 1 / LIMIT_ACCURACY, which bounds the band.
+LIMIT_TOP_K = 1_000_000
+LIMIT_ACCURACY = 1_000_000
+
+
+def limit_trials(trials: DataFrame, n: int | None, dense: bool = False,
+                 top_k: int = LIMIT_TOP_K, accuracy: int = LIMIT_ACCURACY) -> DataFrame:
     """The first ``n`` trials by key; 0 or None means all.
 
     With a dense 0-based key (row positions, as :func:`read_trials` assigns)
-    this is a pushed-down filter. Otherwise the n-th smallest key is found by
-    a top-k over the key column alone (a scalar subquery: only n keys, never
-    the texts, meet in one task) and the rows are selected by a range filter.
-    Keys are unique, so exactly n rows remain.
+    this is a pushed-down filter. Otherwise the n-th smallest key is found
+    over the key column alone and the rows are selected by a range filter
+    (keys are unique, so exactly n rows remain): for ``n <= top_k`` by a
+    top-n (a scalar subquery; at most ``top_k`` keys meet in one task),
+    beyond that by :func:`_nth_key_by_band`.
     """
     if not n:
         return trials
     if dense:
         return trials.where(F.col("trial_idx") < F.lit(n))
-    last = trials.select("trial_idx").orderBy("trial_idx").limit(n).agg(F.max("trial_idx")).scalar()
+    keys = trials.select("trial_idx").where(F.col("trial_idx").isNotNull())
+    if n <= top_k:
+        last = keys.orderBy("trial_idx").limit(n).agg(F.max("trial_idx")).scalar()
+    else:
+        last = _nth_key_by_band(keys, n, accuracy)
     return trials.where(F.col("trial_idx") <= last)
 
 
+def _nth_key_by_band(keys: DataFrame, n: int, accuracy: int) -> Column:
+    """The n-th smallest key, exactly, without gathering n keys.
+
+    ``percentile_approx`` places a key within ``total / accuracy`` ranks of
+    any target rank, so quantiles aimed a little below and above rank n
+    bracket the n-th key in a band of at most about ``6 * total / accuracy``
+    keys. The keys below the band are counted, and the n-th key is the one
+    of matching rank inside the band (a window over the band alone). One
+    count runs first: quantile targets must be constants.
+    """
+    total = keys.count()
+    if n >= total:
+        return keys.agg(F.max("trial_idx")).scalar()
+    eps = total // accuracy + 1
+    fractions = [max(0.0, (n - 2 * eps) / total), min(1.0, (n + 2 * eps) / total)]
+    bounds = keys.agg(F.percentile_approx("trial_idx", fractions, accuracy).alias("b"))
+    low, high = bounds.select(F.col("b")[0]).scalar(), bounds.select(F.col("b")[1]).scalar()
+    below = keys.where(F.col("trial_idx") < low).agg(F.count(F.lit(1))).scalar()
+    band = keys.where(F.col("trial_idx").between(low, high))
+    ranked = band.select("trial_idx", F.row_number().over(Window.orderBy("trial_idx")).alias("rank"))
+    return ranked.where(F.col("rank") == F.lit(n) - below).agg(F.max("trial_idx")).scalar()
+
+
 def settings(design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) -> list[tuple[str, str]]:
     """Validated (condition, vendor) cells in run order; unknown names fail
     before any job starts."""

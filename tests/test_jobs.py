@@ -203,3 +203,15 @@ def test_stream_scoring_replayed_batch_adds_nothing(spark):
     assert os.path.exists(f"{crashed}/commits/{last}")  # the batch ran again and committed
     s = io.read_predictions(spark, target)
     assert s.count() == 15 * 30 and s.select(*KEYS).distinct().count() == 15 * 30
+
+
+def test_limit_trials_by_quantile_band(spark):
+    """Large n on sparse keys: the n-th key from approximate quantiles and an
+    exact rank inside the band equals the plain top-n (forced here with tiny
+    thresholds so the band is narrow but not trivial)."""
+    keys = [r.trial_idx for r in _trials(spark).select("trial_idx").collect()]
+    t = _trials(spark)
+    for n in (1, 7, 50, len(keys) - 1, len(keys), len(keys) + 5):
+        got = sorted(r.trial_idx for r in worklist.limit_trials(t, n, top_k=0, accuracy=20).select(
+            "trial_idx").collect())
+        assert got == sorted(keys)[:n], n
