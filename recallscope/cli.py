@@ -52,6 +52,9 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--parallelism", type=int, default=None, help="concurrent scorer tasks")
     s.add_argument("--min-interval", type=float, default=0.0, help="seconds between calls of one task")
     s.add_argument("--scorer", default=None, help="module:factory of another scorer")
+    s.add_argument("--trial-block", type=int, default=None,
+                   help="also partition the log by trial_idx div N (resume checks over a key range read only "
+                        "those blocks); keep one value per log")
 
     a = sub.add_parser("analyze", help="write every result table")
     a.add_argument("--predictions", required=True)
@@ -91,7 +94,7 @@ def _score(spark: SparkSession, args) -> None:
             raise SystemExit(f"cannot import {', '.join(missing)}: install it or pass --scorer")
     scoring.run_scoring(spark, trials, args.predictions, _factory(args.scorer, args.min_interval),
                         max_trials=args.max_trials, vendors=vendors, conditions=conditions,
-                        parallelism=args.parallelism, dense=dense)
+                        parallelism=args.parallelism, dense=dense, trial_block=args.trial_block)
 
 
 def _analyze(spark: SparkSession, args) -> None:

@@ -34,7 +34,12 @@ from recallscope.operators.worklist import (
     pending_work,
     route_fields,
 )
-from recallscope.sources.io import append_predictions, read_predictions
+from recallscope.sources.io import (
+    append_predictions,
+    read_prediction_blocks,
+    read_predictions,
+    trial_block_of,
+)
 from recallscope.session import path_exists
 
 SCORED_SCHEMA = ("trial_idx long, vendor string, model string, condition string, "
@@ -108,7 +113,7 @@ def prompts_for(work: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
 def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | None,
                     design: Design = DEFAULT_DESIGN, max_trials: int | None = None,
                     vendors=None, conditions=None, dense: bool = False,
-                    trial_range: tuple | None = None) -> DataFrame:
+                    trial_range: tuple | None = None, trial_block: int | None = None) -> DataFrame:
     """Prompts still to score.
 
     The resume check runs on narrow keys: (trial key x settings) anti join
@@ -123,31 +128,49 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
     if trial_range is None and dense and max_trials:
         trial_range = (0, max_trials - 1)  # dense keys: the limit is this key range
     keys = build_worklist(trials.select("trial_idx"), design, vendors, conditions)
-    pending = pending_work(keys, logged_keys(spark, preds_path, design, vendors, conditions, trial_range))
+    done = logged_keys(spark, preds_path, design, vendors, conditions, trial_range, trial_block)
+    pending = keys if done is None else pending_work(keys, done)
     return prompts_for(pending.join(trials, "trial_idx"), design)
 
 
+# Most trial blocks one resume check lists by name; a wider key range reads the
+# whole log with the range filter instead.
+MAX_LISTED_BLOCKS = 1000
+
+
 def logged_keys(spark: SparkSession, preds_path: str, design: Design = DEFAULT_DESIGN, vendors=None,
-                conditions=None, trial_range: tuple | None = None) -> DataFrame:
-    """Key columns of the log that can matter for a run.
+                conditions=None, trial_range: tuple | None = None,
+                trial_block: int | None = None) -> DataFrame | None:
+    """Key columns of the log that can matter for a run (``None``: nothing
+    logged there).
 
     The chosen vendors and conditions are the log's partition columns, so a
     subset run lists only its directories; a ``(low, high)`` trial range is a
     pushed-down Parquet filter, so files and row groups whose key statistics
-    lie outside it are skipped unread.
+    lie outside it are skipped unread. A log written with ``trial_block``
+    is read only in the blocks of the range: nothing else is even listed.
     """
-    log = read_predictions(spark, preds_path).select(*KEYS)
+    if trial_range is not None and trial_block:
+        first, last = (trial_block_of(k, trial_block) for k in trial_range)
+        if last - first < MAX_LISTED_BLOCKS:
+            log = read_prediction_blocks(spark, preds_path, range(first, last + 1))
+            if log is None:
+                return None
+        else:
+            log = read_predictions(spark, preds_path)
+    else:
+        log = read_predictions(spark, preds_path)
     cond = F.col("vendor").isin(*design.check_vendors(vendors)) & \
         F.col("condition").isin(*design.check_conditions(conditions))
     if trial_range is not None:
         cond = cond & F.col("trial_idx").between(F.lit(trial_range[0]), F.lit(trial_range[1]))
-    return log.where(cond)
+    return log.select(*KEYS).where(cond)
 
 
 def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory: Callable,
                 design: Design = DEFAULT_DESIGN, max_trials: int | None = None, vendors=None,
                 conditions=None, parallelism: int | None = None, dense: bool = False,
-                partition_by=("vendor", "condition")) -> None:
+                partition_by=("vendor", "condition"), trial_block: int | None = None) -> None:
     """Score everything not yet in ``preds_path`` and append it.
 
     One lazy plan up to one write: rerunning adds no key twice, and a failed
@@ -159,6 +182,7 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
     at a time); set it to what the API's rate limits allow. The prompts are
     then spread round-robin, a shuffle that costs far less than the calls.
     """
-    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense)
+    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense,
+                           trial_block=trial_block)
     scored = score(todo, factory, design, parallelism)
-    append_predictions(assemble_predictions(scored), preds_path, partition_by)
+    append_predictions(assemble_predictions(scored), preds_path, partition_by, trial_block)

@@ -28,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # condition by condition), so resume has real work left.
 DONE_CONDITIONS = DEFAULT_DESIGN.conditions[:3]
 TOP_K = 5
+# the streamed log is partitioned by blocks of this many trial keys
+STREAM_TRIAL_BLOCK = 500
 LIMIT_N = 100
 SUBSET_VENDORS = ("gemini", "anthropic")
 SUBSET_CONDITIONS = ("title_only",)
@@ -205,7 +207,8 @@ def q_stream_scoring(spark, sf):
     landing = fresh_path(spark, "trials-landing")
     _trials(spark, sf).repartition(3).write.parquet(landing)
     target = fresh_path(spark, "stream-scoring")
-    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1)
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1,
+                   trial_block=STREAM_TRIAL_BLOCK)
     return io.read_predictions(spark, target)
 
 

@@ -137,23 +137,55 @@ def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, kind: str
     df.write.mode("overwrite").parquet(out_path)
 
 
-def append_predictions(df: DataFrame, path: str, partition_by=("vendor", "condition")) -> None:
+TRIAL_BLOCK = "trial_block"
+
+
+def trial_block_of(key: int, size: int) -> int:
+    """The block of a trial key as Spark's ``div`` computes it (truncating)."""
+    return key // size if key >= 0 else -((-key) // size)
+
+
+def append_predictions(df: DataFrame, path: str, partition_by=("vendor", "condition"),
+                       trial_block: int | None = None) -> None:
     """Append scored rows in one write per job or micro-batch.
 
     Partitioning by (vendor, condition) lets subset reruns, condition filters
     and the completed-key lookup prune whole directories; rows are sorted by
     trial key inside each task (no shuffle), so every row group covers a
     narrow key range and a range filter on ``trial_idx`` skips the rest.
+    With ``trial_block`` the log is also partitioned by ``trial_idx div
+    trial_block``, so a resume check over a key range lists and reads only
+    the directories of its blocks (:func:`read_predictions` drops the column).
     """
     rows = df.select(*PREDICTION_COLUMNS)
-    if partition_by:
-        rows = rows.sortWithinPartitions(*partition_by, "trial_idx")
+    parts = list(partition_by or ())
+    if trial_block:
+        rows = rows.withColumn(TRIAL_BLOCK, F.expr(f"trial_idx div {int(trial_block)}"))
+        parts.append(TRIAL_BLOCK)
+    if parts:
+        rows = rows.sortWithinPartitions(*parts, "trial_idx")
     w = rows.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    if parts:
+        w = w.partitionBy(*parts)
     w.parquet(path)
 
 
+def read_prediction_blocks(spark: SparkSession, path: str, blocks, levels: int = 2) -> DataFrame | None:
+    """The log's rows in the given trial blocks only: a glob over the block
+    directories below ``levels`` partition levels, so nothing else is listed
+    or opened. ``None`` when no such directory exists."""
+    alternatives = ",".join(str(b) for b in blocks)
+    glob = f"{path.rstrip('/')}/{'/'.join(['*'] * levels)}/{TRIAL_BLOCK}={{{alternatives}}}"
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(glob)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jpath)
+    if found is None or len(found) == 0:
+        return None
+    return (spark.read.schema(PREDICTION_SCHEMA).option("basePath", path).parquet(glob)
+            .select(*PREDICTION_COLUMNS))
+
+
 def predictions_exist(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path)
 

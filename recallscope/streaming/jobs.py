@@ -21,7 +21,7 @@ from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predi
 def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factory: Callable,
                    design: Design = DEFAULT_DESIGN, checkpoint: str | None = None,
                    max_files_per_trigger: int | None = None, available_now: bool = True,
-                   vendors=None, conditions=None):
+                   vendors=None, conditions=None, trial_block: int | None = None):
     """Score trials as their files arrive.
 
     Each micro-batch drops trials repeated inside it (one shuffle of the
@@ -32,8 +32,9 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
     appends. The target is read only within the batch's trial-key range and
     chosen settings: pushed-down filters skip the row groups and partition
     directories written for other trials, so the cost of the check follows
-    the batch rather than the whole log. ``available_now`` processes what is
-    there and stops.
+    the batch rather than the whole log; with ``trial_block`` the log is
+    partitioned by key block and only the batch's blocks are listed at all.
+    ``available_now`` processes what is there and stops.
     """
     checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-scoring")
     reader = spark.readStream.schema(TRIAL_SCHEMA)
@@ -49,8 +50,9 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
         # NULL keys never match a logged key: without a non-NULL key, skip the check
         target = preds_path if low is not None else None
         todo = scoring.pending_prompts(spark, unique, target, design, vendors=vendors, conditions=conditions,
-                                       trial_range=(low, high))
-        append_predictions(worklist.assemble_predictions(scoring.score(todo, factory, design)), preds_path)
+                                       trial_range=(low, high), trial_block=trial_block)
+        append_predictions(worklist.assemble_predictions(scoring.score(todo, factory, design)), preds_path,
+                           trial_block=trial_block)
 
     writer = trials.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

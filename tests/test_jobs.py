@@ -215,3 +215,24 @@ def test_limit_trials_by_quantile_band(spark):
         got = sorted(r.trial_idx for r in worklist.limit_trials(t, n, top_k=0, accuracy=20).select(
             "trial_idx").collect())
         assert got == sorted(keys)[:n], n
+
+
+def test_stream_scoring_with_trial_blocks(spark):
+    """A log partitioned by trial block: the stream still adds every key once
+    (also on a full replay), and a resume check over a key range opens only
+    the files of that range's blocks."""
+    landing = fresh_path(spark, "t-landing-blocks")
+    t = worklist.limit_trials(_trials(spark), 40)
+    t.repartition(4).write.parquet(landing)
+    target = fresh_path(spark, "t-stream-blocks")
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1, trial_block=10)
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, trial_block=10)  # fresh checkpoint
+    s = io.read_predictions(spark, target)
+    assert s.count() == 15 * 40 and s.select(*KEYS).distinct().count() == 15 * 40
+    keys = sorted(r.trial_idx for r in t.select("trial_idx").collect())
+    low, high = keys[5], keys[12]
+    done = scoring.logged_keys(spark, target, trial_range=(low, high), trial_block=10)
+    blocks = {f"trial_block={b}" for b in range(low // 10, high // 10 + 1)}
+    assert done.inputFiles() and all(any(b in f for b in blocks) for f in done.inputFiles())
+    assert done.count() == 15 * sum(low <= k <= high for k in keys)
+    assert scoring.logged_keys(spark, target, trial_range=(10**9, 10**9 + 5), trial_block=10) is None
