@@ -73,3 +73,18 @@ def test_convert_predictions_csv(spark):
     cli.main(["convert", "--kind", "predictions", "--csv", f"{base}/predictions.csv", "--out", f"{base}/p"])
     back = io.read_predictions(spark, f"{base}/p")
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_score_with_trial_blocks(spark):
+    """``--trial-block`` partitions the log by key block; a dense subset rerun
+    reads only its blocks and adds nothing."""
+    path = _trials_csv(spark)
+    log = path.rsplit("/", 1)[0] + "/blocked"
+    args = ["score", "--trials", path, "--predictions", log, "--scorer", SCORER, "--trial-block", "4"]
+    cli.main(args + ["--max-trials", "6"])
+    cli.main(args + ["--max-trials", "6"])
+    blocks = {d for v in os.listdir(log) if v.startswith("vendor=")
+              for c in os.listdir(f"{log}/{v}") for d in os.listdir(f"{log}/{v}/{c}") if d.startswith("trial_block=")}
+    assert blocks == {"trial_block=0", "trial_block=1"}
+    p = io.read_predictions(spark, log)
+    assert p.count() == 6 * 15 and p.select("trial_idx", "vendor", "condition").distinct().count() == 6 * 15
