@@ -26,14 +26,15 @@ def _present(metrics: DataFrame, column: str, known) -> list[str]:
     return [k for k in known if k in have]
 
 
-def f1_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
+def f1_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN, materialized: bool = False) -> DataFrame:
     """R1 + R2: vendors x conditions of macro F1.
 
     Only known conditions that have a defined F1 become columns, in design
     order; only known vendors with some defined F1 become rows. Cells are the
     F1 of the setting (first non-null), NULL when absent.
     """
-    metrics = materialize(metrics)  # read three times below; one row per setting
+    if not materialized:
+        metrics = materialize(metrics)  # read three times below; one row per setting
     defined = metrics.where(F.col("f1_macro").isNotNull())
     conditions = _present(metrics, "condition", design.conditions)
     vendors_with_f1 = defined.select("vendor").distinct()

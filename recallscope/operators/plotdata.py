@@ -76,9 +76,9 @@ def grid_valid_rate(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> Data
     return fill_grid(metrics, "pct_valid", 0.0, design=design)
 
 
-def heatmap_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
+def heatmap_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN, materialized: bool = False) -> DataFrame:
     """V4: the F1 pivot with display names on both axes."""
-    pivot = f1_pivot(metrics, design)
+    pivot = f1_pivot(metrics, design, materialized)
     renamed = [vendor_display(design).alias("vendor")]
     for c in pivot.columns:
         if c != "vendor":

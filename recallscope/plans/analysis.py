@@ -40,7 +40,7 @@ def result_tables(preds: DataFrame | None, trials: DataFrame | None = None,
     per_setting = report.scores_from_counts(metrics.sum_models(counts))
     tables = {
         "metrics": m,
-        "table_f1_by_condition": compare.f1_pivot(m, design),
+        "table_f1_by_condition": compare.f1_pivot(m, design, materialized=True),
         "table_degradation": compare.degradation(m, design),
         # read twice (CSV and text): one row per setting, computed once
         "table_manuscript": materialize(report.report_from_scores(per_setting, design, with_order=True)),
@@ -70,7 +70,7 @@ def chart_tables(preds: DataFrame | None, design: Design = DEFAULT_DESIGN, m: Da
     return {
         "f1_by_condition": plotdata.grid_f1(m, design),
         "performance_degradation": plotdata.series_degradation(m, design),
-        "f1_heatmap": plotdata.heatmap_pivot(m, design),
+        "f1_heatmap": plotdata.heatmap_pivot(m, design, materialized=True),
         "valid_rates": plotdata.grid_valid_rate(m, design),
         "confusion_matrices_combined": plotdata.panels_from_counts(metrics.sum_models(counts),
                                                                    design.conditions, design),
