@@ -182,7 +182,9 @@ def read_prediction_blocks(spark: SparkSession, path: str, blocks, levels: int =
     found = fs.globStatus(jpath)
     if found is None or len(found) == 0:
         return None
-    return (spark.read.schema(PREDICTION_SCHEMA).option("basePath", path).parquet(glob)
+    # the matched directories themselves (the glob is expanded once, here)
+    dirs = [status.getPath().toString() for status in found]
+    return (spark.read.schema(PREDICTION_SCHEMA).option("basePath", path).parquet(*dirs)
             .select(*PREDICTION_COLUMNS))
 
 
