@@ -236,3 +236,37 @@ def test_stream_scoring_with_trial_blocks(spark):
     assert done.inputFiles() and all(any(b in f for b in blocks) for f in done.inputFiles())
     assert done.count() == 15 * sum(low <= k <= high for k in keys)
     assert scoring.logged_keys(spark, target, trial_range=(10**9, 10**9 + 5), trial_block=10) is None
+
+
+def test_cluster_session_needs_a_shared_checkpoint_folder():
+    """Off local mode, an unset spark.checkpoint.dir is an error, never a
+    machine-local scratch folder; a set one is used as it is."""
+    import pytest
+
+    from recallscope.session import shared_dir
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Context:
+        def __init__(self, master, values):
+            self.master, self._conf = master, Conf(values)
+
+        def getConf(self):
+            return self._conf
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        def __init__(self, master, values=None):
+            self.sparkContext = Context(master, values or {})
+            self.conf = Conf({})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session("yarn"))
+    assert shared_dir(Session("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/ckpt/"})) == "hdfs://nn/shared/ckpt"
