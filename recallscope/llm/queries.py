@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recallscope.llm import oracle
 from recallscope.llm.substring_dedup import substring_dedup
+from recallscope.llm.token_counts import token_counts
+from recallscope.llm.vector_packing import vector_pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +22,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = vector_pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op6_vector_packing": op6_vector_packing,
+        "op8_token_counts": op8_token_counts,
     }
 
 
