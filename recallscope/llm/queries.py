@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallscope.llm import oracle
+from recallscope.llm.katz import katz_scores
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
 from recallscope.llm.vector_packing import vector_pack
@@ -28,6 +29,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 10
+    scored = katz_scores(docs, train=fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score")
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = vector_pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -42,6 +51,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op5_katz_backoff": op5_katz_backoff,
         "op6_vector_packing": op6_vector_packing,
         "op8_token_counts": op8_token_counts,
     }
