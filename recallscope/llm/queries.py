@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallscope.llm import oracle
+from recallscope.llm.jaccard_join import jaccard_join
 from recallscope.llm.katz import katz_scores
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
@@ -29,6 +30,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "n_copies", "keep")
+
+
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 10
@@ -51,6 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_katz_backoff": op5_katz_backoff,
         "op6_vector_packing": op6_vector_packing,
         "op8_token_counts": op8_token_counts,
