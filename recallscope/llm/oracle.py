@@ -11,7 +11,7 @@ hit as (select doc_id, p from win join least using (s) where m < doc_id),
 gone as (select doc_id, list(distinct p + k) as g from hit, (select unnest(range(50)) as k) group by doc_id),
 kept as (
   select doc_id, len(w) as n_words, len(coalesce(g, [])) as n_removed,
-         case when g is null then w else list_filter(w, (x, i) -> not list_contains(g, i)) end as k
+         case when g is null then w else [w[i] for i in range(1, len(w) + 1) if not list_contains(g, i)] end as k
   from d left join gone using (doc_id))
 select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
 """

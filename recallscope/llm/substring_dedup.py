@@ -29,7 +29,7 @@ from recallscope.llm.arrays import U64, Words, lookup, runs, utf8
 from recallscope.llm.exchange import (ASK, PART, bucket_bounds, blobs, pack_keys, planes, text_parts, unpack_keys,
                                       unplanes, with_part)
 
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20  # text of one part; a task holds about 25 times as much in arrays
 LAST_ID = np.iinfo(np.int64).max
 ADDED = ("n_words", "n_removed", "removed_spans", "kept_sha256", "kept_text")
 
@@ -152,7 +152,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("window must be at least 2 words")
     docs = docs.drop(*[c for c in (*ADDED, PART) if c in docs.columns])
-    parts = buckets = text_parts(docs, text_col, part_bytes)
+    parts = text_parts(docs, text_col, part_bytes)
+    buckets = -(-parts // 2)  # a bucket holds fewer bytes a key than a part
     dealt = with_part(docs, id_col, parts)
     make = lambda t: _Part(t, id_col, text_col, window, buckets)
 
