@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recallscope.llm import oracle
 from recallscope.llm.jaccard_join import jaccard_join
 from recallscope.llm.katz import katz_scores
+from recallscope.llm.order_minhash import edited_neighbours
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
 from recallscope.llm.vector_packing import vector_pack
@@ -54,6 +55,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, _vocabulary("word_bpe_49k.json"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_katz_backoff": op5_katz_backoff,
         "op6_vector_packing": op6_vector_packing,
         "op8_token_counts": op8_token_counts,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
