@@ -11,6 +11,7 @@ from recallscope.llm import oracle
 from recallscope.llm.jaccard_join import jaccard_join
 from recallscope.llm.katz import katz_scores
 from recallscope.llm.order_minhash import edited_neighbours
+from recallscope.llm.outlier_rules import BASE, outlier_rules
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
 from recallscope.llm.vector_packing import vector_pack
@@ -31,6 +32,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outlier_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept", "distance")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "n_copies", "keep")
@@ -62,6 +68,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_outlier_rules": op3_outlier_rules,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_katz_backoff": op5_katz_backoff,
         "op6_vector_packing": op6_vector_packing,
