@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallscope.llm import oracle
+from recallscope.llm.host_trust import host_trust
 from recallscope.llm.jaccard_join import jaccard_join
 from recallscope.llm.katz import katz_scores
+from recallscope.llm.language_id import language_id, page_evidence
 from recallscope.llm.order_minhash import edited_neighbours
 from recallscope.llm.outlier_rules import BASE, outlier_rules
+from recallscope.llm.pfair_mix import pfair_mix, tempered_targets
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
 from recallscope.llm.vector_packing import vector_pack
@@ -32,6 +35,19 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_id(docs, declared=F.col("lang"), host=F.col("source"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence: markup, address, host and domain."""
+    pages = page_evidence(table(spark, sf_dir, "pages")).drop("html")
+    found = language_id(pages, text_col="__page_text", declared=F.col("__markup"), host=F.col("__page_host"),
+                        domain=F.col("__page_domain"), suffix=F.col("__address"))
+    return found.select("page_id", "url", "predicted", "posterior", "kept")
+
+
 def op3_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outlier_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *BASE, "base_failed", "kept", "distance")
@@ -56,11 +72,26 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = pfair_mix(docs, tempered_targets(docs))
+    return mixed.select("doc_id", "source", "block", "release", "deadline", "slot", "block_offset")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, _vocabulary("word_bpe_49k.json"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = host_trust(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,11 +99,15 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_language_id": op2_language_id,
+        "language_id_pages": language_id_pages,
         "op3_outlier_rules": op3_outlier_rules,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_katz_backoff": op5_katz_backoff,
         "op6_vector_packing": op6_vector_packing,
+        "op7_pfair_mix": op7_pfair_mix,
         "op8_token_counts": op8_token_counts,
+        "op9_host_trust": op9_host_trust,
         "op10_order_minhash": op10_order_minhash,
     }
 
