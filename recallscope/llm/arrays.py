@@ -68,6 +68,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22):
+    """A batch in runs of rows of about ``limit`` bytes of text (one row at least)."""
+    _, offsets = utf8(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 class Words:
     """Words of a run of texts: byte ranges, first word per text, text of each word."""
 
@@ -130,6 +140,22 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (numpy's own ``unique`` hashes, which is ten times slower)."""
+    keys = np.sort(keys)
+    return keys[runs(keys)]
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    start = runs(ranked)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
+    return ranked[start], place
+
+
 def lookup(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of each key in a sorted array of distinct keys, and whether it is there."""
     if len(sorted_keys) == 0:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import CHUNK_BYTES, utf8
+from recallscope.llm.arrays import CHUNK_BYTES, byte_slices, utf8
 from recallscope.session import materialize
 
 SLOTS = 1 << 16  # hashed trigrams
@@ -125,7 +125,7 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     kinds = [f for f in rows.schema.fields if f.name != "__text"]
 
     def score(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in byte_slices(whole, whole.schema.get_field_index("__text"))):
             data, offsets = utf8(batch.column(batch.schema.get_field_index("__text")))
             s = (_scores(data, offsets, model) * TEMPER).ravel()
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n)
