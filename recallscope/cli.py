@@ -18,7 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from recallscope.design import DEFAULT_DESIGN
-from recallscope.operators import clients, scoring, worklist
+from recallscope.operators import scoring, worklist
 from recallscope.plans import analysis
 from recallscope.sources import io
 
@@ -29,10 +29,8 @@ def _fmt(path: str, given: str | None) -> str:
     return "csv" if path.rstrip("/").lower().endswith(".csv") else "parquet"
 
 
-def _factory(spec: str | None, min_interval: float):
-    """``module:callable`` naming a scorer factory; the hosted APIs by default."""
-    if not spec:
-        return clients.hosted_scorer(min_interval)
+def _factory(spec: str):
+    """``module:callable`` naming a scorer factory."""
     module, _, name = spec.partition(":")
     return getattr(importlib.import_module(module), name)
 
@@ -50,11 +48,11 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--vendor", choices=DEFAULT_DESIGN.vendors, default=None)
     s.add_argument("--dry-run", action="store_true", help="print the number of calls and stop")
     s.add_argument("--parallelism", type=int, default=None, help="concurrent scorer tasks")
-    s.add_argument("--min-interval", type=float, default=0.0, help="seconds between calls of one task")
-    s.add_argument("--scorer", default=None, help="module:factory of another scorer")
-    s.add_argument("--trial-block", type=int, default=None,
-                   help="also partition the log by trial_idx div N (resume checks over a key range read only "
-                        "those blocks); keep one value per log")
+    s.add_argument("--in-flight", type=int, default=1, help="calls at once in one task")
+    s.add_argument("--scorer", default=None, help="module:factory of the scorer (not needed for --dry-run)")
+    s.add_argument("--key-buckets", type=int, default=None,
+                   help="also partition the log by a hash of the trial key (resume checks read only the buckets of "
+                        "their keys); recorded with the log, another value is refused later")
 
     a = sub.add_parser("analyze", help="write every result table")
     a.add_argument("--predictions", required=True)
@@ -80,21 +78,16 @@ def _score(spark: SparkSession, args) -> None:
     if args.dry_run:
         limited = worklist.limit_trials(trials, args.max_trials, dense)
         row = worklist.count_worklist(limited, vendors=vendors, conditions=conditions).first()
-        vs = DEFAULT_DESIGN.check_vendors(vendors)
-        cs = DEFAULT_DESIGN.check_conditions(conditions)
-        print(f"Conditions: {len(cs)} ({', '.join(cs)})")
-        print(f"Vendors: {len(vs)} ({', '.join(vs)})")
-        print(f"Trials: {row.n_trials}")
-        print(f"Total API calls: {row.total_calls}")
+        print(f"{row.n_trials} trials x {row.n_conditions} conditions x {row.n_vendors} vendors = {row.total_calls} calls")
         return
     if not args.scorer:
-        # a missing SDK would turn every call into an ERROR row, which counts as done
-        missing = clients.missing_sdks(DEFAULT_DESIGN.check_vendors(vendors))
-        if missing:
-            raise SystemExit(f"cannot import {', '.join(missing)}: install it or pass --scorer")
-    scoring.run_scoring(spark, trials, args.predictions, _factory(args.scorer, args.min_interval),
-                        max_trials=args.max_trials, vendors=vendors, conditions=conditions,
-                        parallelism=args.parallelism, dense=dense, trial_block=args.trial_block)
+        raise SystemExit("--scorer module:factory is needed to make calls")
+    failures = scoring.run_scoring(spark, trials, args.predictions, _factory(args.scorer),
+                                   max_trials=args.max_trials, vendors=vendors, conditions=conditions,
+                                   parallelism=args.parallelism, dense=dense, key_buckets=args.key_buckets,
+                                   in_flight=args.in_flight)
+    if failures.get("failed"):
+        print(f"{failures['failed']} calls failed: {', '.join(sorted(failures['reasons']))}", file=sys.stderr)
 
 
 def _analyze(spark: SparkSession, args) -> None:

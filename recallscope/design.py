@@ -61,6 +61,7 @@ HEATMAP_CONDITION_LABELS = {
 }
 SECTIONS = ("title", "methods", "results", "conclusion")
 SECTION_REPORT_ROWS = ("Title", "Introduction", "Methods", "Results", "Conclusion")
+DEGRADATION_SERIES = ("baseline", "title_only", "doi_only")
 LABELS = ("POSITIVE", "NEGATIVE")
 STATUS_INVALID = "INVALID"
 STATUS_ERROR = "ERROR"
@@ -88,11 +89,7 @@ class Design:
     plot_condition_labels: dict = field(default_factory=lambda: dict(PLOT_CONDITION_LABELS))
     heatmap_condition_labels: dict = field(default_factory=lambda: dict(HEATMAP_CONDITION_LABELS))
     system_prompt: str = SYSTEM_PROMPT
-
-    # plot series of the reference's charts, expressed by role
-    @property
-    def degradation_series(self) -> tuple[str, ...]:
-        return tuple(self.conditions[:3])
+    degradation_series: tuple[str, ...] = DEGRADATION_SERIES  # conditions of the degradation chart
 
     @property
     def counterfactual_series(self) -> tuple[str, ...]:
@@ -135,6 +132,7 @@ FLAG_DESIGN = Design(
     baseline="1-URGENT",
     counterfactual="4-NOT SPECIFIED",
     rewritten_conditions=("4-NOT SPECIFIED", "5-LOW"),
+    degradation_series=("1-URGENT", "2-HIGH", "3-MEDIUM"),
     report_condition_labels={p: p.split("-", 1)[1].title() for p in PRIORITIES},
     vendor_labels={"A": "Flag A", "N": "Flag N", "R": "Flag R"},
     plot_condition_labels={},

@@ -1,2 +1,2 @@
-"""DataFrame operators: worklist, scoring (and hosted-API clients), metrics, comparisons,
-sections, report, chart data."""
+"""DataFrame operators: worklist, scoring, metrics, comparisons, sections,
+report, chart data."""

@@ -47,21 +47,27 @@ def f1_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN, materialized:
             .agg(F.max("f1_macro")))
 
 
-def f1_pivot_mean(metrics: DataFrame) -> DataFrame:
+def f1_pivot_mean(metrics: DataFrame, materialized: bool = False) -> DataFrame:
     """Summary pivot, mean per cell, all present values, no reordering."""
-    return (metrics.where(F.col("f1_macro").isNotNull())
-            .groupBy("vendor").pivot("condition").agg(F.avg("f1_macro")))
+    if not materialized:
+        metrics = materialize(metrics)  # read for the columns, then for the cells; one row per setting
+    defined = metrics.where(F.col("f1_macro").isNotNull())
+    conditions = sorted(r[0] for r in defined.select("condition").distinct().collect())
+    if not conditions:
+        return defined.select("vendor").distinct()
+    return defined.groupBy("vendor").pivot("condition", conditions).agg(F.avg("f1_macro"))
 
 
 def top_f1(metrics: DataFrame, k: int = 5, design: Design = DEFAULT_DESIGN) -> DataFrame:
-    """K best settings by F1 (undefined F1 never ranks).
+    """K best settings by F1; undefined ones come last, and only when fewer
+    than k are defined.
 
     Ties keep the first setting in design order (condition, then vendor, then
     model). ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: a top-k
     per task, then one merge of k rows per task.
     """
-    return (metrics.where(F.col("f1_macro").isNotNull())
-            .orderBy(F.desc("f1_macro"),
+    return (metrics
+            .orderBy(F.desc_nulls_last("f1_macro"),
                      design.condition_ord().asc_nulls_last(), design.vendor_ord().asc_nulls_last(),
                      F.col("condition").asc_nulls_last(), F.col("vendor").asc_nulls_last(),
                      F.col("model").asc_nulls_last())

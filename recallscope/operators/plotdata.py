@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design, literal_map
 from recallscope.operators.compare import f1_pivot
-from recallscope.operators.metrics import setting_counts, sum_models, with_scores
+from recallscope.operators.metrics import model_counts, setting_counts, sum_models, with_scores
+from recallscope.session import materialize
 
 
 def vendor_display(design: Design = DEFAULT_DESIGN, col: str = "vendor") -> Column:
@@ -87,26 +88,28 @@ def heatmap_pivot(metrics: DataFrame, design: Design = DEFAULT_DESIGN, materiali
 
 
 def _has_condition(df: DataFrame, condition: str) -> Column:
-    """Uncorrelated EXISTS: planned as a scalar subquery with LIMIT 1, so the
-    scan stops at the first matching row."""
+    """Uncorrelated EXISTS over materialized rows (a few per setting)."""
     return df.where(F.col("condition") == condition).select("condition").exists()
 
 
-def _counterfactual_grid(metrics: DataFrame, conditions, design: Design) -> DataFrame:
+def _counterfactual_grid(metrics: DataFrame, conditions, design: Design, materialized: bool) -> DataFrame:
+    if not materialized:
+        metrics = materialize(metrics)  # read for the cells and for the existence test; one row per setting
     g = fill_grid(metrics, "f1_macro", 0.0, conditions=conditions, design=design)
     show = F.coalesce(F.col("f1_macro") > 0, F.lit(False))
     return (g.withColumn("show_label", show)
             .where(_has_condition(metrics, design.counterfactual)))
 
 
-def grid_counterfactual(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
+def grid_counterfactual(metrics: DataFrame, design: Design = DEFAULT_DESIGN, materialized: bool = False) -> DataFrame:
     """V7: baseline vs the rewritten conditions; empty without rewritten rows."""
-    return _counterfactual_grid(metrics, design.counterfactual_series, design)
+    return _counterfactual_grid(metrics, design.counterfactual_series, design, materialized)
 
 
-def grid_counterfactual_only(metrics: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
+def grid_counterfactual_only(metrics: DataFrame, design: Design = DEFAULT_DESIGN,
+                             materialized: bool = False) -> DataFrame:
     """V9: the rewritten conditions only."""
-    return _counterfactual_grid(metrics, design.rewritten_conditions, design)
+    return _counterfactual_grid(metrics, design.rewritten_conditions, design, materialized)
 
 
 def confusion_panels(preds: DataFrame, conditions=None, design: Design = DEFAULT_DESIGN) -> DataFrame:
@@ -139,8 +142,7 @@ def panels_confusion(preds: DataFrame, design: Design = DEFAULT_DESIGN) -> DataF
 
 def panels_confusion_cf(preds: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
     """V8: rewritten conditions; empty when there is no rewritten prediction."""
-    return (confusion_panels(preds, design.rewritten_conditions, design)
-            .where(_has_condition(preds, design.counterfactual)))
+    return panels_cf_from_counts(materialize(model_counts(preds)), design)
 
 
 def panels_cf_from_counts(model_counts: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:

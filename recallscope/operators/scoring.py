@@ -1,25 +1,30 @@
 """Scoring: pluggable scorer, answer parsing and the resumable job.
 
 A scorer is any picklable zero-argument factory returning a callable
-``(vendor, model, system_prompt, user_prompt) -> str | None``. The factory
-runs once per task on the executor (clients are built there, not on the
-driver); calls run inside ``mapInPandas`` over Arrow batches. Any exception
-becomes a NULL answer, hence an ERROR row, and the job finishes.
+``(vendor, model, system_prompt, user_prompt) -> str | None``, or a mapping from
+vendor to such callables. The factory runs once per task on the executor
+(clients are built there, not on the driver); calls run inside ``mapInPandas``
+over Arrow batches, up to ``in_flight`` at once per task. An exception of the
+call itself becomes a NULL answer, hence an ERROR row, its class is reported,
+and the job finishes; a factory that fails or a vendor without a callable fails
+the job.
 
 Exactly-once notes: a scored DataFrame is written once and never evaluated
 twice (no count before the write); resume skips keys already in the target.
 Keep speculative execution off for paid scorers: a retried task repeats its
 calls, although the anti join keeps the table itself free of repeated keys
-across runs. Prompts can be large: size
-``spark.sql.execution.arrow.maxRecordsPerBatch`` so a batch fits in memory.
+across runs. Prompts can be large: batches are bounded by bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, set where the scoring plan is built).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design
@@ -31,19 +36,15 @@ from recallscope.operators.worklist import (
     build_worklist,
     limit_trials,
     model_expr,
+    one_per_key,
     pending_work,
     route_fields,
 )
-from recallscope.sources.io import (
-    append_predictions,
-    read_prediction_blocks,
-    read_predictions,
-    trial_block_of,
-)
-from recallscope.session import path_exists
+from recallscope.sources.io import append_predictions, check_layout, key_bucket, log_layout, read_log_keys
 
 SCORED_SCHEMA = ("trial_idx long, vendor string, model string, condition string, "
-                 "ground_truth string, raw_output string")
+                 "ground_truth string, raw_output string, error string")
+ARROW_BATCH_BYTES = 64 << 20  # a batch carries whole prompts: bounded by bytes, not only rows
 
 
 class ByteLengthScorer:
@@ -70,36 +71,58 @@ def byte_length_scorer() -> ByteLengthScorer:
     return ByteLengthScorer()
 
 
-def _call_batches(factory: Callable, system_prompt: str):
+def _call_batches(factory: Callable, system_prompt: str, in_flight: int):
     def run(batches):
         client = factory()
-        for pdf in batches:
-            answers = []
-            for vendor, model, prompt in zip(pdf["vendor"], pdf["model"], pdf["prompt"]):
-                try:
-                    answers.append(client(vendor, model, system_prompt, prompt))
-                except Exception:  # a failed call is recorded, not retried
-                    answers.append(None)
-            out = pdf[["trial_idx", "vendor", "model", "condition", "ground_truth"]].copy()
-            out["raw_output"] = pd.Series(answers, index=out.index, dtype=object)
-            yield out
+
+        def ask(call, vendor, model, prompt):
+            try:
+                return call(vendor, model, system_prompt, prompt), None
+            except Exception as e:  # a failed call is recorded, not retried
+                return None, type(e).__name__
+
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for pdf in batches:
+                # dispatch outside the guarded call: an unknown vendor is an error of the job
+                calls = [client[v] if isinstance(client, Mapping) else client for v in pdf["vendor"]]
+                answers = list(pool.map(ask, calls, pdf["vendor"], pdf["model"], pdf["prompt"]))
+                out = pdf[["trial_idx", "vendor", "model", "condition", "ground_truth"]].copy()
+                out["raw_output"] = pd.Series([a for a, _ in answers], index=out.index, dtype=object)
+                out["error"] = pd.Series([e for _, e in answers], index=out.index, dtype=object)
+                yield out
     return run
 
 
-def score(work: DataFrame, factory: Callable, design: Design = DEFAULT_DESIGN,
-          parallelism: int | None = None) -> DataFrame:
+def score(work: DataFrame, factory: Callable, design: Design = DEFAULT_DESIGN, in_flight: int = 1) -> DataFrame:
     """W11 + W12: call the scorer on every prompt, then parse the answers.
 
     ``work`` needs trial_idx, vendor, model, condition, prompt, ground_truth.
-    Parsing runs JVM-side after the Python step.
+    Parsing runs JVM-side after the Python step; ``error`` names the exception
+    class of a failed call.
     """
+    work.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     cols = work.select("trial_idx", "vendor", "model", "condition", "prompt", "ground_truth")
-    if parallelism:
-        cols = cols.repartition(parallelism)
-    raw = cols.mapInPandas(_call_batches(factory, design.system_prompt), SCORED_SCHEMA)
+    raw = cols.mapInPandas(_call_batches(factory, design.system_prompt, in_flight), SCORED_SCHEMA)
     return raw.withColumn("parsed_output", parse_output("raw_output"))
 
 
+def failures(seen: Observation) -> dict:
+    """What :func:`with_failures` saw, after the write. A write that had nothing to do
+    has no metrics (the plan was replaced by an empty one)."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return {"failed": 0, "reasons": []}
+
+
+def with_failures(scored: DataFrame) -> tuple[DataFrame, Observation]:
+    """``scored`` observed while it is written: how many calls failed, and of which
+    exception classes (no second evaluation)."""
+    seen = Observation()
+    return scored.observe(seen, F.count_if(F.col("error").isNotNull()).alias("failed"),
+                          F.collect_set("error").alias("reasons")), seen
+
+
 def parse_outputs(raw: DataFrame) -> DataFrame:
     """W12 on a table with ``raw_output``."""
     return raw.withColumn("parsed_output", parse_output("raw_output"))
@@ -113,76 +136,70 @@ def prompts_for(work: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
 def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | None,
                     design: Design = DEFAULT_DESIGN, max_trials: int | None = None,
                     vendors=None, conditions=None, dense: bool = False,
-                    trial_range: tuple | None = None, trial_block: int | None = None) -> DataFrame:
-    """Prompts still to score.
-
-    The resume check runs on narrow keys: (trial key x settings) anti join
-    the log's key columns, then the pending keys join the trials once to pick
-    up the texts. Texts are shuffled at most once per trial instead of once
-    per (trial, setting); with no log yet there is no shuffle at all.
-    ``trial_range`` bounds the keys of ``trials`` (see :func:`logged_keys`).
+                    parallelism: int | None = None) -> DataFrame:
+    """Prompts still to score, spread over ``parallelism`` tasks.
+
+    One trial per key (:func:`one_per_key`), log or no log. The resume check runs
+    on narrow keys: (trial key x settings) anti join the log's key columns; the
+    pending settings of a trial are gathered (at most one per setting), joined to
+    the trials, and only then expanded to prompts, so texts are shuffled per trial
+    and not per (trial, setting), and calls run in as many tasks as asked for, even
+    when the trials are one unsplittable file.
     """
     trials = limit_trials(trials, max_trials, dense)
-    if preds_path is None or not path_exists(spark, preds_path):
-        return prompts_for(build_worklist(trials, design, vendors, conditions), design)
-    if trial_range is None and dense and max_trials:
-        trial_range = (0, max_trials - 1)  # dense keys: the limit is this key range
-    keys = build_worklist(trials.select("trial_idx"), design, vendors, conditions)
-    done = logged_keys(spark, preds_path, design, vendors, conditions, trial_range, trial_block)
-    pending = keys if done is None else pending_work(keys, done)
-    return prompts_for(pending.join(trials, "trial_idx"), design)
-
-
-# Most trial blocks one resume check lists by name; a wider key range reads the
-# whole log with the range filter instead.
-MAX_LISTED_BLOCKS = 1000
+    if not (dense or max_trials):
+        trials = one_per_key(trials)
+    tasks = parallelism or spark.sparkContext.defaultParallelism
+    layout = log_layout(spark, preds_path) if preds_path is not None else None
+    if layout is None:
+        return prompts_for(build_worklist(trials.repartition(tasks), design, vendors, conditions), design)
+    trial_range = (0, max_trials - 1) if dense and max_trials else None  # dense keys: the limit is this key range
+    narrow = trials.select("trial_idx")
+    buckets = None
+    if layout["key_buckets"]:  # at most that many values
+        buckets = [r[0] for r in narrow.select(key_bucket(layout["key_buckets"])).distinct().collect()]
+    done = logged_keys(spark, preds_path, design, vendors, conditions, trial_range, buckets)
+    pending = pending_work(build_worklist(narrow, design, vendors, conditions), done)
+    cells = pending.groupBy("trial_idx").agg(F.collect_list(F.struct("condition", "vendor")).alias("_cells"))
+    spread = trials.join(cells, "trial_idx").repartition(tasks)
+    return prompts_for(spread.select(*trials.columns, F.inline("_cells")), design)
 
 
 def logged_keys(spark: SparkSession, preds_path: str, design: Design = DEFAULT_DESIGN, vendors=None,
-                conditions=None, trial_range: tuple | None = None,
-                trial_block: int | None = None) -> DataFrame | None:
-    """Key columns of the log that can matter for a run (``None``: nothing
-    logged there).
-
-    The chosen vendors and conditions are the log's partition columns, so a
-    subset run lists only its directories; a ``(low, high)`` trial range is a
-    pushed-down Parquet filter, so files and row groups whose key statistics
-    lie outside it are skipped unread. A log written with ``trial_block``
-    is read only in the blocks of the range: nothing else is even listed.
+                conditions=None, trial_range: tuple | None = None, buckets=None) -> DataFrame:
+    """Key columns of the log that can matter for a run.
+
+    The chosen vendors and conditions, and the keys' buckets of a bucketed log, are
+    partition filters, so other directories are not read; a ``(low, high)`` trial
+    range is a pushed-down Parquet filter, so files and row groups whose key
+    statistics lie outside it are skipped unread.
     """
-    if trial_range is not None and trial_block:
-        first, last = (trial_block_of(k, trial_block) for k in trial_range)
-        if last - first < MAX_LISTED_BLOCKS:
-            log = read_prediction_blocks(spark, preds_path, range(first, last + 1))
-            if log is None:
-                return None
-        else:
-            log = read_predictions(spark, preds_path)
-    else:
-        log = read_predictions(spark, preds_path)
+    log = read_log_keys(spark, preds_path, buckets)
     cond = F.col("vendor").isin(*design.check_vendors(vendors)) & \
         F.col("condition").isin(*design.check_conditions(conditions))
     if trial_range is not None:
         cond = cond & F.col("trial_idx").between(F.lit(trial_range[0]), F.lit(trial_range[1]))
-    return log.select(*KEYS).where(cond)
+    return log.where(cond).select(*KEYS)
 
 
 def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory: Callable,
                 design: Design = DEFAULT_DESIGN, max_trials: int | None = None, vendors=None,
                 conditions=None, parallelism: int | None = None, dense: bool = False,
-                partition_by=("vendor", "condition"), trial_block: int | None = None) -> None:
+                partition_by=("vendor", "condition"), key_buckets: int | None = None,
+                in_flight: int = 1) -> dict:
     """Score everything not yet in ``preds_path`` and append it.
 
     One lazy plan up to one write: rerunning adds no key twice, and a failed
-    call is written as ERROR (not retried), as in the reference.
+    call is written as ERROR (not retried), as in the reference. Returns the number
+    of failed calls and their exception classes. A log of another layout is refused
+    before any call.
 
-    ``parallelism`` is the number of scorer tasks, i.e. the concurrency of
-    the calls. Left unset, the prompts keep the partitioning of their input,
-    which for a small trials file is a single task (the reference's one call
-    at a time); set it to what the API's rate limits allow. The prompts are
-    then spread round-robin, a shuffle that costs far less than the calls.
+    ``parallelism`` is the number of scorer tasks (the session's default parallelism
+    if unset) and ``in_flight`` the calls at once in each; set them to what the
+    API's rate limits allow.
     """
-    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense,
-                           trial_block=trial_block)
-    scored = score(todo, factory, design, parallelism)
-    append_predictions(assemble_predictions(scored), preds_path, partition_by, trial_block)
+    check_layout(spark, preds_path, partition_by, key_buckets)
+    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense, parallelism)
+    scored, seen = with_failures(score(todo, factory, design, in_flight))
+    append_predictions(assemble_predictions(scored), preds_path, partition_by, key_buckets)
+    return failures(seen)

@@ -2,8 +2,8 @@
 
 The per-trial value is a JSON array of section names stored as a string.
 Known-section counts are one global aggregation (partial per task, one row
-per task to merge); totals enter as scalar subqueries, so no join or
-unpartitioned window is needed.
+per task to merge); totals enter as scalar subqueries over the materialized
+pattern rows, so no join or unpartitioned window is needed.
 """
 
 from __future__ import annotations
@@ -12,18 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallscope.design import SECTION_REPORT_ROWS, SECTIONS
+from recallscope.session import materialize
 
 SECTIONS_TYPE = "array<string>"
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_GAP = r"[ \t\n\r]*+"
+STRING_ARRAY = rf"\A{_GAP}\[{_GAP}(?:{_STRING}{_GAP}(?:,{_GAP}{_STRING}{_GAP})*+)?\]{_GAP}\z"
 
 
 def parse_sections(col: Column | str = "sections_modified", on_error: str = "raise") -> Column:
     """JSON string -> array<string>.
 
-    Malformed JSON, a non-array, or a missing value fails the job, as
-    ``json.loads`` does; ``on_error="null"`` returns NULL instead.
+    Malformed JSON (single quotes, text after the array), anything but an array of
+    strings, or a missing value fails the job; ``on_error="null"`` returns NULL
+    instead. Spark's own parser is more lenient, so the text must first match the
+    JSON grammar of a string array.
     """
     col = F.col(col) if isinstance(col, str) else col
-    parsed = F.from_json(col, SECTIONS_TYPE)
+    parsed = F.when(col.rlike(STRING_ARRAY), F.from_json(col, SECTIONS_TYPE))
     if on_error == "null":
         return parsed
     return F.when(parsed.isNull(),
@@ -51,11 +57,6 @@ def pattern_table(trials: DataFrame) -> DataFrame:
             .select("pattern", "n_trials", parse_sections("pattern").alias("sections")))
 
 
-def _total(trials: DataFrame) -> Column:
-    """Number of trials (a count: Parquet answers it from file footers)."""
-    return trials.select(F.count(F.lit(1))).scalar()
-
-
 def pattern_total(patterns: DataFrame) -> Column:
     """Number of trials from a (materialized) pattern table."""
     return patterns.select(F.coalesce(F.sum("n_trials"), F.lit(0)).cast("bigint")).scalar()
@@ -124,7 +125,8 @@ def pattern_counts(trials: DataFrame) -> DataFrame:
 
     The percent is of all trials. Every value must parse (as in S1).
     """
-    return pattern_counts_from(pattern_table(trials), _total(trials))
+    patterns = materialize(pattern_table(trials))
+    return pattern_counts_from(patterns, pattern_total(patterns))
 
 
 def sections_per_trial_from(patterns: DataFrame, total: Column) -> DataFrame:
@@ -135,7 +137,8 @@ def sections_per_trial_from(patterns: DataFrame, total: Column) -> DataFrame:
 
 def sections_per_trial(trials: DataFrame) -> DataFrame:
     """Distribution of the number of sections changed per trial."""
-    return sections_per_trial_from(pattern_table(trials), _total(trials))
+    patterns = materialize(pattern_table(trials))
+    return sections_per_trial_from(patterns, pattern_total(patterns))
 
 
 def summary_from(patterns: DataFrame) -> DataFrame:
@@ -181,10 +184,11 @@ def section_report_lines(trials: DataFrame, sections=SECTION_REPORT_ROWS) -> Dat
     Blocks 1 and 3 hold the data rows (one per report section, one per
     distinct number of sections); blocks 0, 2 and 4 the title, rules,
     headings and the mean / median lines. Every part is an aggregate of the
-    pattern table (computed once: its exchange is reused across the three
-    branches); nothing but the finished lines is small enough to gather.
+    pattern table (materialized once for the three branches); nothing but the
+    finished lines is small enough to gather.
     """
-    return section_report_lines_from(pattern_table(trials), _total(trials), sections)
+    patterns = materialize(pattern_table(trials))
+    return section_report_lines_from(patterns, pattern_total(patterns), sections)
 
 
 def section_report_lines_from(patterns: DataFrame, total: Column, sections=SECTION_REPORT_ROWS) -> DataFrame:
@@ -222,8 +226,6 @@ def section_report_lines_from(patterns: DataFrame, total: Column, sections=SECTI
 def section_tables(trials: DataFrame) -> dict[str, DataFrame]:
     """S3-S6 and the report lines from one materialized pattern table (the
     analysis job's single pass over the trials)."""
-    from recallscope.session import materialize
-
     patterns = materialize(pattern_table(trials))
     total = pattern_total(patterns)
     return {

@@ -8,66 +8,61 @@ shuffle. Resume is a left anti join on the narrow key columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, Design, literal_map
+from recallscope.session import materialize
 
 KEYS = ("trial_idx", "vendor", "condition")
 
 
-# Above this many trials, ``limit_trials`` on sparse keys locates the n-th key
-# by approximate quantiles plus an exact rank in a narrow band, so the first
-# n keys never meet in one task; the approximation's relative error is
-# 1 / LIMIT_ACCURACY, which bounds the band.
-LIMIT_TOP_K = 1_000_000
-LIMIT_ACCURACY = 1_000_000
+KEYS_PER_TASK = 1_000_000  # keys one task sorts when the n-th is looked for
 
 
-def limit_trials(trials: DataFrame, n: int | None, dense: bool = False,
-                 top_k: int = LIMIT_TOP_K, accuracy: int = LIMIT_ACCURACY) -> DataFrame:
-    """The first ``n`` trials by key; 0 or None means all.
+def one_per_key(trials: DataFrame) -> DataFrame:
+    """The rule for trial keys, used wherever trials are limited or scored: a NULL
+    key is an error, and of rows that repeat a key the least one (by all columns)
+    stays, whatever is in the log. The check reads the key column only; texts are
+    shuffled only when a key does repeat."""
+    counts = trials.groupBy("trial_idx").agg(F.count(F.lit(1)).alias("n"))
+    nulls, repeated = counts.agg(F.count_if(F.col("trial_idx").isNull()), F.count_if(F.col("n") > 1)).first()
+    if nulls:
+        raise ValueError("trials without a key (trial_idx is NULL) cannot be scored or resumed")
+    if not repeated:
+        return trials
+    rest = [c for c in trials.columns if c != "trial_idx"]
+    least = trials.groupBy("trial_idx").agg(F.min(F.struct(*rest)).alias("_row"))
+    return least.select(*[F.col("_row")[c].alias(c) if c != "trial_idx" else F.col(c) for c in trials.columns])
+
+
+def limit_trials(trials: DataFrame, n: int | None, dense: bool = False, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
+    """The first ``n`` trials by key, one per key (:func:`one_per_key`); 0 or None means all.
 
     With a dense 0-based key (row positions, as :func:`read_trials` assigns)
-    this is a pushed-down filter. Otherwise the n-th smallest key is found
-    over the key column alone and the rows are selected by a range filter
-    (keys are unique, so exactly n rows remain): for ``n <= top_k`` by a
-    top-n (a scalar subquery; at most ``top_k`` keys meet in one task),
-    beyond that by :func:`_nth_key_by_band`.
+    this is a pushed-down filter. Otherwise the n-th key is found exactly over the
+    key column alone: the keys are range-partitioned (about ``keys_per_task``
+    each) and counted per partition, and the partition that holds rank n is
+    ordered; the rows are then a range filter on the scan.
     """
     if not n:
         return trials
     if dense:
         return trials.where(F.col("trial_idx") < F.lit(n))
-    keys = trials.select("trial_idx").where(F.col("trial_idx").isNotNull())
-    if n <= top_k:
-        last = keys.orderBy("trial_idx").limit(n).agg(F.max("trial_idx")).scalar()
-    else:
-        last = _nth_key_by_band(keys, n, accuracy)
-    return trials.where(F.col("trial_idx") <= last)
-
-
-def _nth_key_by_band(keys: DataFrame, n: int, accuracy: int) -> Column:
-    """The n-th smallest key, exactly, without gathering n keys.
-
-    ``percentile_approx`` places a key within ``total / accuracy`` ranks of
-    any target rank, so quantiles aimed a little below and above rank n
-    bracket the n-th key in a band of at most about ``6 * total / accuracy``
-    keys. The keys below the band are counted, and the n-th key is the one
-    of matching rank inside the band (a window over the band alone). One
-    count runs first: quantile targets must be constants.
-    """
+    trials = one_per_key(trials)
+    keys = trials.select("trial_idx")
     total = keys.count()
     if n >= total:
-        return keys.agg(F.max("trial_idx")).scalar()
-    eps = total // accuracy + 1
-    fractions = [max(0.0, (n - 2 * eps) / total), min(1.0, (n + 2 * eps) / total)]
-    bounds = keys.agg(F.percentile_approx("trial_idx", fractions, accuracy).alias("b"))
-    low, high = bounds.select(F.col("b")[0]).scalar(), bounds.select(F.col("b")[1]).scalar()
-    below = keys.where(F.col("trial_idx") < low).agg(F.count(F.lit(1))).scalar()
-    band = keys.where(F.col("trial_idx").between(low, high))
-    ranked = band.select("trial_idx", F.row_number().over(Window.orderBy("trial_idx")).alias("rank"))
-    return ranked.where(F.col("rank") == F.lit(n) - below).agg(F.max("trial_idx")).scalar()
+        return trials
+    parts = -(-total // keys_per_task)
+    ranged = materialize(keys.repartitionByRange(parts, "trial_idx").withColumn("_part", F.spark_partition_id()))
+    left = n
+    for part, size in sorted(tuple(r) for r in ranged.groupBy("_part").count().collect()):  # a row per partition
+        if left <= size:
+            break
+        left -= size
+    last = ranged.where(F.col("_part") == part).orderBy("trial_idx").limit(left).agg(F.max("trial_idx")).first()[0]
+    return trials.where(F.col("trial_idx") <= F.lit(last))
 
 
 def settings(design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) -> list[tuple[str, str]]:
@@ -78,17 +73,6 @@ def settings(design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) ->
     return [(c, v) for c in cs for v in vs]
 
 
-def settings_frame(trials: DataFrame, design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) -> DataFrame:
-    """W2 as a table: one row per chosen setting with its model and order."""
-    cells = settings(design, vendors, conditions)
-    arr = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(c).alias("condition"), F.lit(v).alias("vendor"),
-                 F.lit(design.models.get(v)).alias("model"))
-        for i, (c, v) in enumerate(cells)
-    ])
-    return trials.sparkSession.range(1).select(F.inline(arr))
-
-
 def _cells_array(cells) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(v).alias("vendor")) for c, v in cells])
 
@@ -204,16 +188,23 @@ def pending_work(work: DataFrame, preds: DataFrame) -> DataFrame:
 
 def remaining_count(work: DataFrame, preds: DataFrame) -> DataFrame:
     """Total, completed, remaining (true count) and the reference's naive
-    ``total - completed`` (which counts completed keys outside the work)."""
-    total = F.count(F.lit(1))
-    done = completed_keys(preds).agg(F.count(F.lit(1))).scalar()
-    remaining = pending_work(work, preds).agg(F.count(F.lit(1))).scalar()
-    return work.agg(total.alias("total_calls")).select(
-        "total_calls",
-        done.alias("n_completed"),
-        remaining.alias("remaining"),
-        (F.col("total_calls") - done).alias("remaining_naive"),
-    )
+    ``total - completed`` (which counts completed keys outside the work).
+
+    One pass over either side: work and log keys are stacked with a flag and
+    counted per key (combined map-side), and all four numbers are sums over that.
+    A key with a NULL part matches nothing, so such work stays to be done.
+    """
+    items = work.select(*KEYS, F.lit(1).alias("_work"), F.lit(0).alias("_done"))
+    logged = preds.select(*KEYS, F.lit(0).alias("_work"), F.lit(1).alias("_done"))
+    per_key = items.unionByName(logged).groupBy(*KEYS).agg(F.sum("_work").alias("w"), F.max("_done").alias("d"))
+    whole = F.lit(True)
+    for k in KEYS:
+        whole = whole & F.col(k).isNotNull()
+    zero = F.lit(0).cast("bigint")
+    sums = per_key.agg(F.coalesce(F.sum("w"), zero).alias("total_calls"), F.count_if(F.col("d") == 1).alias("n_completed"),
+                       F.coalesce(F.sum(F.when((F.col("d") == 0) | ~whole, F.col("w"))), zero).alias("remaining"))
+    return sums.select("total_calls", "n_completed", "remaining",
+                       (F.col("total_calls") - F.col("n_completed")).alias("remaining_naive"))
 
 
 def model_expr(design: Design = DEFAULT_DESIGN) -> Column:

@@ -5,7 +5,8 @@ model) are materialized (a row per setting), and the metrics table, the
 report, the pivot, ranking, degradation and comparison tables and the chart
 data all derive from those rows. The section tables derive from one pattern
 table of the trials (one pass over their section column). All outputs are
-small and written as one file each. :func:`analyze_counts` starts from the
+small and written as one file each, but for the pattern table, whose rows come
+from the data and are written in parallel. :func:`analyze_counts` starts from the
 counts themselves, which is how the streaming analysis publishes.
 """
 
@@ -44,7 +45,7 @@ def result_tables(preds: DataFrame | None, trials: DataFrame | None = None,
         "table_degradation": compare.degradation(m, design),
         # read twice (CSV and text): one row per setting, computed once
         "table_manuscript": materialize(report.report_from_scores(per_setting, design, with_order=True)),
-        "summary_f1_mean": compare.f1_pivot_mean(m),
+        "summary_f1_mean": compare.f1_pivot_mean(m, materialized=True),
         "summary_top_f1": compare.top_f1(m, 5, design),
     }
     cf = compare.counterfactual_metrics(m, design)
@@ -74,9 +75,9 @@ def chart_tables(preds: DataFrame | None, design: Design = DEFAULT_DESIGN, m: Da
         "valid_rates": plotdata.grid_valid_rate(m, design),
         "confusion_matrices_combined": plotdata.panels_from_counts(metrics.sum_models(counts),
                                                                    design.conditions, design),
-        "counterfactual_f1_comparison": plotdata.grid_counterfactual(m, design),
+        "counterfactual_f1_comparison": plotdata.grid_counterfactual(m, design, materialized=True),
         "counterfactual_confusion_matrices": plotdata.panels_cf_from_counts(counts, design),
-        "counterfactual_performance": plotdata.grid_counterfactual_only(m, design),
+        "counterfactual_performance": plotdata.grid_counterfactual_only(m, design, materialized=True),
     }
 
 
@@ -104,7 +105,8 @@ def analyze_counts(spark: SparkSession, counts: DataFrame, out_dir: str, trials:
         "table_f1_by_condition": [design.vendor_ord()],
         "table_counterfactual_patterns": [F.desc("n_trials"), F.col("pattern")],
     }
-    write_tables({k: v for k, v in tables.items() if k != "table_manuscript"}, out_dir, order_by=order)
+    write_tables({k: v for k, v in tables.items() if k != "table_manuscript"}, out_dir, order_by=order,
+                 parallel=("table_counterfactual_patterns",))
     manuscript = tables["table_manuscript"].coalesce(1).sortWithinPartitions("condition_ord", "vendor_ord")
     write_tables({"table_manuscript": manuscript.select(*report.REPORT_COLUMNS)}, out_dir)
     # the text renderings: a handful of lines each, joined on the driver

@@ -28,8 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # condition by condition), so resume has real work left.
 DONE_CONDITIONS = DEFAULT_DESIGN.conditions[:3]
 TOP_K = 5
-# the streamed log is partitioned by blocks of this many trial keys
-STREAM_TRIAL_BLOCK = 500
+# the streamed log is partitioned into this many key buckets
+STREAM_KEY_BUCKETS = 4
 LIMIT_N = 100
 SUBSET_VENDORS = ("gemini", "anthropic")
 SUBSET_CONDITIONS = ("title_only",)
@@ -80,10 +80,13 @@ def q_scan_trials(spark, sf):
     """A trials CSV in the reference's dialect, keyed by row position.
 
     The sorted write range-partitions the trials, so part files follow key
-    order and positions read back (files in path order) follow it too.
+    order and positions read back (files in path order) follow it too. Some
+    identifiers are written as markers of a missing value.
     """
     path = fresh_path(spark, "trials-csv")
-    t = _trials(spark, sf).withColumnRenamed("annotation_accept", "Annotation_accept")
+    marker = F.col("trial_idx") % 50
+    t = _trials(spark, sf).withColumnRenamed("annotation_accept", "Annotation_accept").withColumn(
+        "doi", F.when(marker == 7, "NA").when(marker == 8, "N/A").when(marker == 9, "").otherwise(F.col("doi")))
     (t.orderBy("trial_idx").select(*REFERENCE_TRIAL_COLUMNS)
      .write.options(**io.CSV_WRITE_OPTIONS).csv(path))
     return io.read_trials(spark, path, fmt="csv")
@@ -208,7 +211,7 @@ def q_stream_scoring(spark, sf):
     _trials(spark, sf).repartition(3).write.parquet(landing)
     target = fresh_path(spark, "stream-scoring")
     stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1,
-                   trial_block=STREAM_TRIAL_BLOCK)
+                   key_buckets=STREAM_KEY_BUCKETS)
     return io.read_predictions(spark, target)
 
 
@@ -304,6 +307,14 @@ def q_top_f1(spark, sf):
     return compare.top_f1(_metrics(spark, sf), TOP_K, FLAG_DESIGN)
 
 
+def q_top_f1_undefined(spark, sf):
+    """R4 with more places than settings, two of which have no valid answer."""
+    p = _preds(spark, sf)
+    dead = (F.col("condition") == FLAG_DESIGN.conditions[1]) & F.col("vendor").isin("A", "R")
+    p = p.withColumn("parsed_output", F.when(dead, "INVALID").otherwise(F.col("parsed_output")))
+    return compare.top_f1(metrics.metrics_by_setting(p), 20, FLAG_DESIGN)
+
+
 def q_degradation(spark, sf):
     return compare.degradation(_metrics(spark, sf), FLAG_DESIGN)
 
@@ -486,8 +497,9 @@ def _heatmap_sql(design=DEFAULT_DESIGN):
 
 def _scan_trials_sql():
     return (O.with_(*O.BASE_TRIALS)
-            + """select cast(row_number() over (order by trial_idx) - 1 as bigint) as trial_idx, title, abstract,
-  annotation_accept, doi, counterfactual_title, counterfactual_abstract, target_label, sections_modified
+            + """select cast(row_number() over (order by trial_idx) - 1 as bigint) as trial_idx, nullif(title, '') as title,
+  nullif(abstract, '') as abstract, annotation_accept,
+  case when trial_idx % 50 not in (7, 8, 9) then doi end as doi, counterfactual_title, counterfactual_abstract, target_label, sections_modified
 from trials_v""")
 
 
@@ -601,6 +613,9 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         f"avg(case when condition = {O.q(c)} then f1_macro end) as {O.ident(c)}" for c in sorted(FLAG_DESIGN.conditions))
         + " from metrics where f1_macro is not null group by vendor"),
     "top_f1": (q_top_f1, _sql_preds_metrics() + O.top_f1_sql(FLAG_DESIGN, TOP_K)),
+    "top_f1_undefined": (q_top_f1_undefined, O.with_(O.PREDS_V, """dead_v as (
+  select * replace (case when condition = '2-HIGH' and vendor in ('A', 'R') then 'INVALID' else parsed_output end
+    as parsed_output) from preds_v)""", O.metrics_cte("dead_v")) + O.top_f1_sql(FLAG_DESIGN, 20)),
     "degradation": (q_degradation, _sql_preds_metrics() + O.degradation_sql(FLAG_DESIGN)),
     "counterfactual_metrics": (q_counterfactual_metrics, _sql_preds_metrics()
                                + f"select {O.METRIC_SELECT} from metrics where condition = "

@@ -8,8 +8,10 @@ order with explicit double casts, so values agree bit for bit.
 from __future__ import annotations
 
 from recallscope.design import DEFAULT_DESIGN, FLAG_DESIGN, Design
-from recallscope.functions.text import WHITESPACE
-from recallscope.operators.worklist import PROMPT_FIELDS, PROMPT_LAYOUTS
+
+# The code points that Python's str.strip() removes.
+STRIPPED = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199,
+            8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)
 
 D = "cast({} as double)"
 
@@ -43,15 +45,15 @@ def in_list(values) -> str:
 TRIALS_V = """trials_v as (
   select d.doc_id as trial_idx, split_part(d.text, chr(10), 1) as title, d.text as abstract,
     concat('10.5555/', d.source, '.', cast(d.doc_id as varchar)) as doi,
-    case when l.quality = 1 then 'POSITIVE' else 'NEGATIVE' end as annotation_accept,
+    case when l.quality = 1 then 'POSITIVE' when l.quality is not null then 'NEGATIVE' end as annotation_accept,
     concat('Revised: ', split_part(d.text, chr(10), 1)) as counterfactual_title,
     concat('Revised. ', d.text) as counterfactual_abstract,
-    case when l.quality = 1 then 'NEGATIVE' else 'POSITIVE' end as target_label,
+    case when l.quality = 1 then 'NEGATIVE' when l.quality is not null then 'POSITIVE' end as target_label,
     case when d.doc_id % 20 = 0 then '["title", "results", "conclusion"]'
          when d.doc_id % 20 = 1 then '["methods", "results", "conclusion"]'
          when d.doc_id % 20 = 2 then '[]'
          else '["results", "conclusion"]' end as sections_modified
-  from documents d join labels l on d.doc_id = l.doc_id)"""
+  from documents d left join labels l on d.doc_id = l.doc_id)"""
 
 GRID_V = """grid_v as (
   select * from (values ('openai',0),('gemini',1),('anthropic',2)) v(vendor, v_ix)
@@ -66,7 +68,8 @@ RAW_V = """raw_v as (
          when h % 7 = 0 then concat('  ', lower(ans), chr(10))
          when h % 11 = 0 then concat(chr(160), ans, chr(9))
          else ans end as raw_output
-  from (select *, case when (h % 100) < skill then gt
+  from (select *, case when gt is null then case when h % 2 = 0 then 'POSITIVE' else 'NEGATIVE' end
+                       when (h % 100) < skill then gt
                        when gt = 'POSITIVE' then 'NEGATIVE' else 'POSITIVE' end as ans
     from (select t.trial_idx, g.vendor, g.condition, g.skill,
             (t.trial_idx*37 + g.v_ix*53 + g.c_ix*71 + t.trial_idx*t.trial_idx) % 9973 as h,
@@ -87,7 +90,7 @@ PREDS_V = """preds_v as (
 
 
 def parse_sql(col: str) -> str:
-    norm = f"upper(trim({col}, {sql_chars(WHITESPACE)}))"
+    norm = f"upper(trim({col}, {sql_chars(''.join(map(chr, STRIPPED)))}))"
     return (f"(case when {col} is null then 'ERROR' when {norm} = 'POSITIVE' then 'POSITIVE' "
             f"when {norm} = 'NEGATIVE' then 'NEGATIVE' else 'INVALID' end)")
 
@@ -206,8 +209,7 @@ def present_sql(column: str, known) -> str:
 
 def top_f1_sql(design: Design, k: int = 5) -> str:
     return f"""select vendor, condition, f1_macro, accuracy, pct_valid from metrics
-where f1_macro is not null
-order by f1_macro desc, {ord_sql('condition', design.conditions)} nulls last,
+order by f1_macro desc nulls last, {ord_sql('condition', design.conditions)} nulls last,
   {ord_sql('vendor', design.vendors)} nulls last, condition nulls last, vendor nulls last, model nulls last
 limit {k}"""
 
@@ -307,12 +309,22 @@ left join (select * from scored where vendor in {in_list(design.vendors)}
   on g.vendor = s.vendor and g.condition = s.condition"""
 
 
-def prompt_sql(missing: str = "nan") -> str:
-    whens = []
-    for cond, parts in PROMPT_LAYOUTS.items():
-        pieces = [f"coalesce({p}, {q(missing)})" if p in PROMPT_FIELDS else q(p) for p in parts]
-        whens.append(f"when condition = {q(cond)} then " + " || ".join(pieces))
-    return "(case " + " ".join(whens) + " end)"
+PROMPT_SQL = """(case
+  when condition = 'baseline' then
+    'Title: ' || coalesce(title, 'nan') || chr(10) || chr(10) || 'Abstract: ' || coalesce(abstract, 'nan')
+  when condition = 'title_only' then 'Title: ' || coalesce(title, 'nan')
+  when condition = 'doi_only' then 'DOI: ' || coalesce(doi, 'nan')
+  when condition = 'counterfactual' then
+    'Title: ' || coalesce(title, 'nan') || chr(10) || chr(10) || 'Abstract: ' || coalesce(abstract, 'nan')
+  when condition = 'counterfactual_with_doi' then
+    'DOI: ' || coalesce(doi, 'nan') || chr(10) || chr(10) || 'Title: ' || coalesce(title, 'nan')
+    || chr(10) || chr(10) || 'Abstract: ' || coalesce(abstract, 'nan')
+  end)"""
+
+
+def prompt_sql() -> str:
+    """The five prompt layouts, written out here independently of the code under test."""
+    return PROMPT_SQL
 
 
 def routed_sql(design: Design = DEFAULT_DESIGN) -> str:

@@ -7,11 +7,13 @@ it to Parquet once (:func:`csv_to_parquet`) and run every job on Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.session import materialize, path_exists
+from recallscope.session import fresh_path, materialize, path_exists
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_idx", T.LongType()),
@@ -66,39 +68,47 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     return r.format(fmt)
 
 
-# Largest split table (one row per input split) sent whole to every task.
-POSITION_BROADCAST_LIMIT = 256 * 1024 * 1024
+# Largest file table (one row per input file) sent whole to every task.
+POSITION_BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
-def with_positions(scan: DataFrame, name: str = "trial_idx",
+def with_positions(scan: DataFrame, fmt: str, name: str = "trial_idx",
                    broadcast_limit: int = POSITION_BROADCAST_LIMIT) -> DataFrame:
     """Add the 0-based row position of a file scan: files in path order
     (part files of one write sort in write order), rows in file order.
 
-    Every input split (file, block start) is read whole by one task, so its
-    rows get consecutive ids from ``monotonically_increasing_id``. A small
-    aggregate (one row per split: first id and row count, partial per task)
-    and a running sum over the splits give each split its first position;
-    rows pick it up by an equi join on the split key. The split table is
-    materialized in the shared folder and measured: it is broadcast when its
-    size (paths plus three numbers per split) is within ``broadcast_limit``,
-    and otherwise joined by a shuffle whose keys are splits, none above
-    ``spark.sql.files.maxPartitionBytes``. Texts never leave the JVM, and only
-    the split table (file-listing sized) meets in one task.
+    Positions come from facts of the files, never from how a scan happens to be
+    split, which may change between two executions: a Parquet row knows its index
+    in its file; any other format is read once, numbered in that one execution
+    (its files are not split) and copied to the shared folder, and everything
+    else derives from the copy. A row count per file and a running sum over the
+    files (one row each) give each file its first position. That table is
+    materialized and measured: it is broadcast when its size is within
+    ``broadcast_limit`` and joined by a shuffle otherwise. A row whose file has no
+    entry fails the job.
     """
-    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    spark = scan.sparkSession
     cols = [F.col(f"`{c}`") for c in scan.columns]
-    tagged = scan.select(*split, F.monotonically_increasing_id().alias("_rid"), *cols)
-    splits = (tagged.groupBy("_file", "_start")
-              .agg(F.min("_rid").alias("_first_rid"), F.count(F.lit(1)).alias("_n")))
-    order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = materialize(splits.select("_file", "_start",
-                                      (F.sum("_n").over(order) - F.col("_n") - F.col("_first_rid")).alias("_base")))
-    n_splits, path_bytes = bases.agg(F.count(F.lit(1)), F.sum(F.length("_file"))).first()
-    if (path_bytes or 0) + 24 * n_splits <= broadcast_limit:
+    file = F.col("_metadata.file_path").alias("_file")
+    if fmt == "parquet":
+        tagged = scan.select(file, F.col("_metadata.row_index").alias("_rid"), *cols)
+    else:
+        path = fresh_path(spark, "positions")
+        scan.select(file, F.monotonically_increasing_id().alias("_rid"), *cols).write.parquet(path)
+        tagged = spark.read.parquet(path)
+    files = tagged.groupBy("_file").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = materialize(files.select("_file", (F.sum("_n").over(order) - F.col("_n") - F.col("_first")).alias("_base")))
+    n_files, path_bytes = bases.agg(F.count(F.lit(1)), F.sum(F.length("_file"))).first()
+    if (path_bytes or 0) + 24 * n_files <= broadcast_limit:
         bases = F.broadcast(bases)
-    return (tagged.join(bases, ["_file", "_start"])
-            .select((F.col("_rid") + F.col("_base")).alias(name), *cols))
+    base = F.coalesce("_base", F.raise_error(F.concat(F.lit("no position for rows of "), F.col("_file"))).cast("long"))
+    return tagged.join(bases, "_file", "left").select((F.col("_rid") + base).alias(name), *cols)
+
+
+# The texts a CSV reader of the reference's kind takes for a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+           "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -107,11 +117,14 @@ def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     A CSV in the reference's layout has no key column: the 0-based row
     position is the key (:func:`with_positions`, JVM-side; across several
     files, files count in path order). The label column is read
-    case-insensitively as ``annotation_accept``.
+    case-insensitively as ``annotation_accept``. In a CSV the usual markers of
+    a missing value, and a quoted empty field, are missing values.
     """
     df = _reader(spark, fmt, None).load(path)
     if not any(c.lower() == "trial_idx" for c in df.columns):
-        df = with_positions(df)
+        df = with_positions(df, fmt)
+    if fmt == "csv":
+        df = df.select([F.when(~F.col(f"`{c}`").cast("string").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
     rename = {c: c.lower() for c in df.columns if c.lower() in TRIAL_SCHEMA.names}
     df = df.select([F.col(f"`{c}`").alias(rename.get(c, c)) for c in df.columns])
     if "sections_modified" not in df.columns:
@@ -137,79 +150,112 @@ def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, kind: str
     df.write.mode("overwrite").parquet(out_path)
 
 
-TRIAL_BLOCK = "trial_block"
+KEY_BUCKET = "key_bucket"
+LAYOUT_FILE = "_layout.json"  # a hidden file of the log: Spark's readers skip it
 
 
-def trial_block_of(key: int, size: int) -> int:
-    """The block of a trial key as Spark's ``div`` computes it (truncating)."""
-    return key // size if key >= 0 else -((-key) // size)
+def key_bucket(key_buckets: int) -> Column:
+    """The bucket of a trial key: a hash, so any keys spread evenly."""
+    return F.pmod(F.xxhash64("trial_idx"), F.lit(int(key_buckets))).cast("int").alias(KEY_BUCKET)
+
+
+def log_layout(spark: SparkSession, path: str) -> dict | None:
+    """How the log at ``path`` is partitioned; ``None`` when there is no log. A log
+    without a record has the plain layout."""
+    if not path_exists(spark, path):
+        return None
+    text = read_text(spark, f"{path.rstrip('/')}/{LAYOUT_FILE}")
+    return json.loads(text) if text is not None else {"partition_by": ["vendor", "condition"], "key_buckets": None}
+
+
+def check_layout(spark: SparkSession, path: str, partition_by=("vendor", "condition"), key_buckets: int | None = None) -> dict:
+    """The layout asked for; an existing log of another layout is refused (its keys
+    would be missed and scored again, or the log could no longer be read)."""
+    wanted = {"partition_by": list(partition_by or ()), "key_buckets": int(key_buckets) if key_buckets else None}
+    found = log_layout(spark, path)
+    if found is not None and found != wanted:
+        raise ValueError(f"the log at {path} has the layout {found}; asked for was {wanted}")
+    return wanted
 
 
 def append_predictions(df: DataFrame, path: str, partition_by=("vendor", "condition"),
-                       trial_block: int | None = None) -> None:
+                       key_buckets: int | None = None) -> None:
     """Append scored rows in one write per job or micro-batch.
 
     Partitioning by (vendor, condition) lets subset reruns, condition filters
-    and the completed-key lookup prune whole directories; rows are sorted by
-    trial key inside each task (no shuffle), so every row group covers a
-    narrow key range and a range filter on ``trial_idx`` skips the rest.
-    With ``trial_block`` the log is also partitioned by ``trial_idx div
-    trial_block``, so a resume check over a key range lists and reads only
-    the directories of its blocks (:func:`read_predictions` drops the column).
+    and the completed-key lookup prune whole directories; with ``key_buckets``
+    the log is also partitioned by a hash of the trial key, so a resume check for
+    some keys reads only their buckets. The layout is stored with the log and must
+    stay the same. Rows are rebalanced by partition before the write (answers
+    only, no texts), so a write makes files of the advisory partition size rather
+    than one per task and partition, and sorted by trial key, so that a range
+    filter skips row groups.
     """
+    spark = df.sparkSession
+    layout = check_layout(spark, path, partition_by, key_buckets)
     rows = df.select(*PREDICTION_COLUMNS)
     parts = list(partition_by or ())
-    if trial_block:
-        rows = rows.withColumn(TRIAL_BLOCK, F.expr(f"trial_idx div {int(trial_block)}"))
-        parts.append(TRIAL_BLOCK)
+    if key_buckets:
+        rows = rows.withColumn(KEY_BUCKET, key_bucket(key_buckets))
+        parts.append(KEY_BUCKET)
     if parts:
-        rows = rows.sortWithinPartitions(*parts, "trial_idx")
+        rows = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "trial_idx")
     w = rows.write.mode("append")
     if parts:
         w = w.partitionBy(*parts)
     w.parquet(path)
+    record = f"{path.rstrip('/')}/{LAYOUT_FILE}"
+    if read_text(spark, record) is None:
+        write_text(spark, record, json.dumps(layout))
 
 
-def read_prediction_blocks(spark: SparkSession, path: str, blocks, levels: int = 2) -> DataFrame | None:
-    """The log's rows in the given trial blocks only: a glob over the block
-    directories below ``levels`` partition levels, so nothing else is listed
-    or opened. ``None`` when no such directory exists."""
-    alternatives = ",".join(str(b) for b in blocks)
-    glob = f"{path.rstrip('/')}/{'/'.join(['*'] * levels)}/{TRIAL_BLOCK}={{{alternatives}}}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(glob)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jpath)
-    if found is None or len(found) == 0:
-        return None
-    # the matched directories themselves (the glob is expanded once, here)
-    dirs = [status.getPath().toString() for status in found]
-    return (spark.read.schema(PREDICTION_SCHEMA).option("basePath", path).parquet(*dirs)
-            .select(*PREDICTION_COLUMNS))
-
-
-def predictions_exist(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, path)
+def read_log_keys(spark: SparkSession, path: str, buckets=None) -> DataFrame:
+    """The log's rows, with the bucket column where it has one; ``buckets`` (of a
+    bucketed log) is a partition filter, so other directories are not read."""
+    layout = log_layout(spark, path)
+    if not layout["key_buckets"]:
+        return read_predictions(spark, path)
+    schema = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField(KEY_BUCKET, T.IntegerType())])
+    log = spark.read.schema(schema).parquet(path)
+    return log if buckets is None else log.where(F.col(KEY_BUCKET).isin(*buckets))
 
 
 def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv",
-                 order_by: dict[str, list] | None = None) -> None:
+                 order_by: dict[str, list] | None = None, parallel: tuple[str, ...] = ()) -> None:
     """Overwrite each (small) result table as one file with a header.
 
     Result tables hold one row per setting, so a single output partition is
-    cheap; the sort happens within that one partition only.
+    cheap; the sort happens within that one partition only. Tables named in
+    ``parallel`` have rows per value found in the data: they are range-sorted
+    and written by many tasks, in file order.
     """
     order_by = order_by or {}
     for name, df in tables.items():
-        out = df.coalesce(1)
-        if name in order_by:
-            out = out.sortWithinPartitions(*order_by[name])
+        if name in parallel:
+            out = df.orderBy(*order_by[name]) if name in order_by else df
+        else:
+            out = df.coalesce(1)
+            if name in order_by:
+                out = out.sortWithinPartitions(*order_by[name])
         w = out.write.mode("overwrite")
         if fmt == "csv":
             w = w.options(**CSV_WRITE_OPTIONS)
         w.format(fmt).save(f"{out_dir.rstrip('/')}/{name}")
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file through Hadoop's FileSystem; ``None`` when there is none."""
+    if not path_exists(spark, path):
+        return None
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(jpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write one small text file (a rendered report) through Hadoop's
     FileSystem, so it lands as exactly these bytes on any shared store."""

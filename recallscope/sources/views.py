@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Fixed values of the synthetic answer grid (vendor index, condition index, skill %).
 GRID_VENDORS = (("openai", 0), ("gemini", 1), ("anthropic", 2))
@@ -23,20 +22,8 @@ GRID_CONDITIONS = (
 )
 
 
-# Schemas of the driver's (read-only) tables, learnt on first read per path.
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Its schema is inferred once per path (a footer-reading
-    job) and then declared, as for any table of known layout."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def trials_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +31,17 @@ def trials_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     positive = F.col("quality") == 1
+    known = F.col("quality").isNotNull()  # most documents have no label: their truth is missing
     m20 = F.col("doc_id") % 20
-    return d.join(lab, "doc_id").select(
+    return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("trial_idx"),
         title.alias("title"),
         F.col("text").alias("abstract"),
         F.concat(F.lit("10.5555/"), F.col("source"), F.lit("."), F.col("doc_id").cast("string")).alias("doi"),
-        F.when(positive, "POSITIVE").otherwise("NEGATIVE").alias("annotation_accept"),
+        F.when(positive, "POSITIVE").when(known, "NEGATIVE").alias("annotation_accept"),
         F.concat(F.lit("Revised: "), title).alias("counterfactual_title"),
         F.concat(F.lit("Revised. "), F.col("text")).alias("counterfactual_abstract"),
-        F.when(positive, "NEGATIVE").otherwise("POSITIVE").alias("target_label"),
+        F.when(positive, "NEGATIVE").when(known, "POSITIVE").alias("target_label"),
         F.when(m20 == 0, '["title", "results", "conclusion"]')
         .when(m20 == 1, '["methods", "results", "conclusion"]')
         .when(m20 == 2, "[]")
@@ -66,10 +54,6 @@ def grid_cells():
     return [(v, vi, c, ci, sk) for v, vi in GRID_VENDORS for c, ci, sk in GRID_CONDITIONS]
 
 
-def grid_v(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(grid_cells(), "vendor string, v_ix int, condition string, c_ix int, skill int")
-
-
 def _grid_array():
     return F.array(*[
         F.struct(F.lit(v).alias("vendor"), F.lit(vi).alias("v_ix"), F.lit(c).alias("condition"),
@@ -85,7 +69,8 @@ def raw_v(spark: SparkSession, sf_dir: str, rewritten=("counterfactual", "counte
     h = (idx * 37 + F.col("v_ix") * 53 + F.col("c_ix") * 71 + idx * idx) % 9973
     gt = F.when(F.col("condition").isin(*rewritten), F.col("target_label")).otherwise(F.col("annotation_accept"))
     a = a.select("trial_idx", "vendor", "condition", "skill", h.alias("h"), gt.alias("gt"))
-    ans = (F.when((F.col("h") % 100) < F.col("skill"), F.col("gt"))
+    ans = (F.when(F.col("gt").isNull(), F.when(F.col("h") % 2 == 0, "POSITIVE").otherwise("NEGATIVE"))
+           .when((F.col("h") % 100) < F.col("skill"), F.col("gt"))
            .when(F.col("gt") == "POSITIVE", "NEGATIVE").otherwise("POSITIVE"))
     b = a.withColumn("ans", ans)
     h = F.col("h")

@@ -1,58 +1,60 @@
 """Structured Streaming jobs.
 
 Both read a folder of Parquet files as a file stream and keep their progress
-in a checkpoint below the shared checkpoint folder, so a restarted job (or a
-lost executor) resumes where the last committed micro-batch ended.
+in a checkpoint below the shared checkpoint folder, named after the target unless
+given, so a restarted job (or a lost executor) resumes where the last committed
+micro-batch ended.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import metrics, scoring, worklist
-from recallscope.session import fresh_path, materialize, path_exists
-from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions
+from recallscope.session import materialize, shared_dir
+from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions, check_layout
+
+
+def _progress(spark: SparkSession, kind: str, target: str, checkpoint: str | None) -> str:
+    """Where a stream keeps its progress: by default a folder derived from its
+    target, so the same job started again continues."""
+    if checkpoint:
+        return checkpoint
+    name = hashlib.sha256(target.rstrip("/").encode()).hexdigest()[:20]
+    return f"{shared_dir(spark)}/ckpt-{kind}-{name}"
 
 
 def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factory: Callable,
                    design: Design = DEFAULT_DESIGN, checkpoint: str | None = None,
                    max_files_per_trigger: int | None = None, available_now: bool = True,
-                   vendors=None, conditions=None, trial_block: int | None = None):
+                   vendors=None, conditions=None, key_buckets: int | None = None,
+                   parallelism: int | None = None, in_flight: int = 1):
     """Score trials as their files arrive.
 
-    Each micro-batch drops trials repeated inside it (one shuffle of the
-    texts, before the 15-fold worklist exists; copies collapse map-side),
-    anti-joins its narrow (trial, setting) keys against the keys already in
-    the target (re-read every batch, so a replayed batch after a failure adds
-    nothing twice), joins the pending keys back to the texts, scores and
-    appends. The target is read only within the batch's trial-key range and
-    chosen settings: pushed-down filters skip the row groups and partition
-    directories written for other trials, so the cost of the check follows
-    the batch rather than the whole log; with ``trial_block`` the log is
-    partitioned by key block and only the batch's blocks are listed at all.
+    Each micro-batch is the batch job (:func:`pending_prompts`) on the arrived
+    trials: the same rule for repeated and NULL keys, the same anti join against
+    the keys already in the target (re-read every batch, so a replayed batch after
+    a failure adds nothing twice), the same spreading of the calls. With
+    ``key_buckets`` the target is partitioned by a hash of the key and a batch reads
+    only the buckets of its own keys, in whatever order keys arrive.
     ``available_now`` processes what is there and stops.
     """
-    checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-scoring")
+    check_layout(spark, preds_path, key_buckets=key_buckets)
+    checkpoint = _progress(spark, "stream-scoring", preds_path, checkpoint)
     reader = spark.readStream.schema(TRIAL_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     trials = reader.parquet(trials_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        unique = batch.dropDuplicates(["trial_idx"])
-        low = high = None
-        if path_exists(spark, preds_path):
-            low, high = batch.agg(F.min("trial_idx"), F.max("trial_idx")).first()
-        # NULL keys never match a logged key: without a non-NULL key, skip the check
-        target = preds_path if low is not None else None
-        todo = scoring.pending_prompts(spark, unique, target, design, vendors=vendors, conditions=conditions,
-                                       trial_range=(low, high), trial_block=trial_block)
-        append_predictions(worklist.assemble_predictions(scoring.score(todo, factory, design)), preds_path,
-                           trial_block=trial_block)
+        todo = scoring.pending_prompts(spark, batch, preds_path, design, vendors=vendors, conditions=conditions,
+                                       parallelism=parallelism)
+        scored = scoring.score(todo, factory, design, in_flight)
+        append_predictions(worklist.assemble_predictions(scored), preds_path, key_buckets=key_buckets)
 
     writer = trials.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
@@ -69,15 +71,6 @@ def stream_counts(stream: DataFrame) -> DataFrame:
     return metrics.keyed(stream).groupBy("vendor", "condition", "model").agg(*metrics.count_aggregates())
 
 
-def metrics_from_counts(counts: DataFrame) -> DataFrame:
-    """The metrics table from per-model counts (sums over vendor + condition)."""
-    w = Window.partitionBy("vendor", "condition")
-    summed = counts.select("vendor", "model", "condition",
-                           *[F.sum(c).over(w).alias(c) for c in metrics.COUNT_COLUMNS])
-    return (metrics.with_scores(summed).withColumn("pct_valid", metrics.pct_valid())
-            .select(*metrics.METRIC_COLUMNS))
-
-
 def run_stream_metrics(spark: SparkSession, preds_dir: str, out_path: str, checkpoint: str | None = None,
                        max_files_per_trigger: int | None = None, available_now: bool = True):
     """Keep a metrics table current as prediction files arrive.
@@ -85,14 +78,14 @@ def run_stream_metrics(spark: SparkSession, preds_dir: str, out_path: str, check
     Complete output mode hands every micro-batch the full (tiny) count
     table; it is turned into metrics and the target is overwritten.
     """
-    checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-metrics")
+    checkpoint = _progress(spark, "stream-metrics", out_path, checkpoint)
     reader = spark.readStream.schema(PREDICTION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     counts = stream_counts(reader.parquet(preds_dir))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        metrics_from_counts(batch).write.mode("overwrite").parquet(out_path)
+        metrics.metrics_from_counts(batch).write.mode("overwrite").parquet(out_path)
 
     writer = (counts.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint))
@@ -117,7 +110,7 @@ def run_stream_analysis(spark: SparkSession, preds_dir: str, out_dir: str, trial
     """
     from recallscope.plans import analysis
 
-    checkpoint = checkpoint or fresh_path(spark, "ckpt-stream-analysis")
+    checkpoint = _progress(spark, "stream-analysis", out_dir, checkpoint)
     reader = spark.readStream.schema(PREDICTION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -4,8 +4,9 @@ Each setting is given by its confusion counts plus invalid / error rows and
 the truth of those unscored rows; expected values are the published tables.
 """
 
-MODELS = {"openai": "gpt-5.2-2025-12-11", "gemini": "gemini-3-flash-preview",
-          "anthropic": "claude-opus-4-5-20251101"}
+from recallscope.design import MODELS
+
+# Fixed values from here on: the published counts, tables and texts, which results must equal.
 
 # vendor, condition, tp, fn, fp, tn, n_invalid, n_error, unscored_pos, unscored_neg
 SETTINGS = [

@@ -135,6 +135,15 @@ def test_top_f1_ties_keep_design_order(spark):
     ])
     got = [(r.vendor, r.condition) for r in compare.top_f1(m, 2).collect()]
     assert got == [("openai", "baseline"), ("anthropic", "baseline")]
+    # undefined settings fill the places that defined ones leave
+    assert [(r.vendor, r.f1_macro) for r in compare.top_f1(m, 5).collect()][-1] == ("gemini", None)
+    assert compare.top_f1(m, 5).count() == 4
+
+
+@pytest.mark.parametrize("good,n", [('["a"]', 1), (' [ "a" , "b\\u00e9\\n" ] ', 2), ("[]", 0), ('["\\"]"]', 1)])
+def test_section_arrays_that_parse(spark, good, n):
+    t = spark.createDataFrame([(1, good)], "trial_idx long, sections_modified string")
+    assert [len(r.sections) for r in sections.with_sections(t).collect()] == [n]
 
 
 def test_sections_repeats_unknown_and_spacing(spark):
@@ -148,7 +157,8 @@ def test_sections_repeats_unknown_and_spacing(spark):
     assert raw == {"title": 2, "abstract": 1, "a": 2, "b": 2}
 
 
-@pytest.mark.parametrize("bad", ["not json", None, '{"a": 1}'])
+@pytest.mark.parametrize("bad", ["not json", None, '{"a": 1}', "['results','conclusion']", '["a"] junk', '["a"] ["b"]',
+                                 "[NaN]", "[1]", '["a", null]', '["a"', '["a",]', '["\\x"]'])
 def test_malformed_sections_fail(spark, bad):
     t = spark.createDataFrame([(1, '["title"]'), (2, bad)], "trial_idx long, sections_modified string")
     with pytest.raises(Exception):

@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallscope.operators import metrics, scoring, worklist
@@ -56,8 +57,10 @@ def test_stream_scoring_matches_batch(spark):
     _trials(spark).repartition(3).write.parquet(landing)
     target = fresh_path(spark, "t-stream")
     stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1)
-    # a rerun with a fresh checkpoint replays every file: the anti join adds nothing
+    # the default checkpoint follows the target: nothing is left to do
     stream_scoring(spark, landing, target, scoring.byte_length_scorer)
+    # a rerun with a fresh checkpoint replays every file: the anti join adds nothing
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, checkpoint=fresh_path(spark, "t-ckpt"))
     s = io.read_predictions(spark, target)
     n = _trials(spark).count()
     assert s.count() == 15 * n and s.select(*KEYS).distinct().count() == 15 * n
@@ -147,10 +150,56 @@ def test_read_trials_positions_across_files(spark):
     assert [(r.trial_idx, r.doi, r.abstract) for r in t.orderBy("trial_idx").collect()] == want
     # beyond the broadcast limit (no hint; Spark's own size checks decide): same positions
     df = io._reader(spark, "csv", None).load(path)
-    unhinted = io.with_positions(df, broadcast_limit=0)
+    unhinted = io.with_positions(df, "csv", broadcast_limit=0)
     assert [(r.trial_idx, r.doi, r.abstract) for r in unhinted.orderBy("trial_idx").collect()] == want
 
 
+SPLITS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism")
+
+
+@pytest.fixture
+def split_settings(spark):
+    yield lambda size, least: [spark.conf.set(k, v) for k, v in zip(SPLITS, (size, least, least))]
+    for k in SPLITS:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_positions_do_not_depend_on_the_split(spark, split_settings, fmt):
+    """The scan is split otherwise between the read and the action (as when the
+    cores of a cluster change): every row comes back with its own position."""
+    path = fresh_path(spark, f"t-split-{fmt}")
+    n = 6000
+    rows = spark.range(0, n, numPartitions=3).select(
+        F.col("id").cast("string").alias("title"), F.sha2(F.col("id").cast("string"), 512).alias("abstract"))
+    w = rows.write.option("parquet.block.size", 32 * 1024)
+    (w.options(**io.CSV_WRITE_OPTIONS).csv(path) if fmt == "csv" else w.parquet(path))
+    split_settings("16k", "7")
+    t = io.with_positions(io._reader(spark, fmt, None).load(path), fmt)
+    split_settings("4m", "2")
+    got = [(r.trial_idx, r.title) for r in t.select("trial_idx", "title").orderBy("trial_idx").collect()]
+    assert got == [(i, str(i)) for i in range(n)]
+
+
+def test_a_row_without_a_file_entry_fails(spark, monkeypatch):
+    path = fresh_path(spark, "t-lost")
+    spark.range(0, 50, numPartitions=2).write.parquet(path)
+    monkeypatch.setattr(io, "materialize", lambda df: df.limit(1))
+    with pytest.raises(Exception, match="no position"):
+        io.with_positions(spark.read.parquet(path), "parquet").collect()
+
+
+def test_missing_value_markers_of_a_csv(spark):
+    path = fresh_path(spark, "t-markers")
+    rows = [(*r, "POSITIVE", "c", "c", "NEGATIVE") for r in
+            [("T", "NA", "N/A"), ("null", "", "10.1/x"), ("nan", "text", None)]]
+    (spark.createDataFrame(rows, "title string, abstract string, doi string, Annotation_accept string, "
+                                 "counterfactual_title string, counterfactual_abstract string, target_label string").coalesce(1)
+     .write.options(**io.CSV_WRITE_OPTIONS).csv(path))
+    t = io.read_trials(spark, path, "csv").orderBy("trial_idx").collect()
+    assert [(r.title, r.abstract, r.doi) for r in t] == [("T", None, None), (None, None, "10.1/x"), (None, "text", None)]
+
+
 def test_limit_trials_dense_and_sparse(spark):
     t = _trials(spark)
     first = [r.trial_idx for r in worklist.limit_trials(t, 5).collect()]
@@ -174,7 +223,7 @@ def test_positions_across_parquet_splits(spark):
     try:
         df = spark.read.parquet(path)
         assert df.rdd.getNumPartitions() > 2
-        t = io.with_positions(df)
+        t = io.with_positions(df, "parquet")
         got = [(r.trial_idx, r.title) for r in t.select("trial_idx", "title").orderBy("trial_idx").collect()]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -205,44 +254,137 @@ def test_stream_scoring_replayed_batch_adds_nothing(spark):
     assert s.count() == 15 * 30 and s.select(*KEYS).distinct().count() == 15 * 30
 
 
-def test_limit_trials_by_quantile_band(spark):
-    """Large n on sparse keys: the n-th key from approximate quantiles and an
-    exact rank inside the band equals the plain top-n (forced here with tiny
-    thresholds so the band is narrow but not trivial)."""
-    keys = [r.trial_idx for r in _trials(spark).select("trial_idx").collect()]
+def test_limit_trials_is_exact(spark):
+    """The n-th key over several range partitions equals the plain top-n, for every kind of n."""
     t = _trials(spark)
+    keys = sorted(r.trial_idx for r in t.select("trial_idx").collect())
     for n in (1, 7, 50, len(keys) - 1, len(keys), len(keys) + 5):
-        got = sorted(r.trial_idx for r in worklist.limit_trials(t, n, top_k=0, accuracy=20).select(
-            "trial_idx").collect())
-        assert got == sorted(keys)[:n], n
+        got = sorted(r.trial_idx for r in worklist.limit_trials(t, n, keys_per_task=9).select("trial_idx").collect())
+        assert got == keys[:n], n
+
+
+def test_limit_trials_reads_a_bounded_number_of_keys_per_task(spark):
+    """No task that orders keys gets more than a range partition holds."""
+    keys = spark.range(0, 20000, numPartitions=40).select((F.col("id") * 7 % 20011).alias("trial_idx"))
+    ranged = keys.repartitionByRange(20, "trial_idx").groupBy(F.spark_partition_id()).count()
+    assert max(r[1] for r in ranged.collect()) < 3 * 1000
+    got = worklist.limit_trials(keys, 10000, keys_per_task=1000)
+    assert got.count() == 10000
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+REPEATED = [(1, "b"), (1, "a"), (1, "c"), (2, "x")]
+
 
+def _repeated(spark, rows=REPEATED):
+    return spark.createDataFrame([(k, t, t, "POSITIVE", t, t, t, "NEGATIVE", "[]") for k, t in rows], io.TRIAL_SCHEMA)
 
-def test_stream_scoring_with_trial_blocks(spark):
-    """A log partitioned by trial block: the stream still adds every key once
-    (also on a full replay), and a resume check over a key range opens only
-    the files of that range's blocks."""
-    landing = fresh_path(spark, "t-landing-blocks")
+
+def test_repeated_keys_are_one_trial_first_run_resume_and_stream(spark):
+    t = _repeated(spark)
+    assert sorted((r.trial_idx, r.title) for r in worklist.one_per_key(t).collect()) == [(1, "a"), (2, "x")]
+    assert [r.trial_idx for r in worklist.limit_trials(t, 1).collect()] == [1]
+    logs = []
+    for name in ("batch", "stream"):
+        path = fresh_path(spark, f"t-repeated-{name}")
+        if name == "batch":
+            scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, conditions=["title_only"])
+            assert io.read_predictions(spark, path).count() == 6
+            scoring.run_scoring(spark, t, path, scoring.byte_length_scorer)
+        else:
+            landing = fresh_path(spark, "t-repeated-landing")
+            t.repartition(1).write.parquet(landing)
+            stream_scoring(spark, landing, path, scoring.byte_length_scorer)
+        logs.append(sorted(map(tuple, io.read_predictions(spark, path).collect()), key=str))
+    assert logs[0] == logs[1] and len(logs[0]) == 2 * 15
+
+
+@pytest.mark.parametrize("logged", [False, True])
+def test_null_keys_are_refused_with_and_without_a_log(spark, logged):
+    path = fresh_path(spark, "t-null")
+    if logged:
+        scoring.run_scoring(spark, _repeated(spark), path, scoring.byte_length_scorer, conditions=["title_only"])
+    with pytest.raises(ValueError, match="without a key"):
+        scoring.run_scoring(spark, _repeated(spark, [*REPEATED, (None, "n")]), path, scoring.byte_length_scorer)
+
+
+def test_another_layout_is_refused_before_any_call(spark):
+    t = worklist.limit_trials(_trials(spark), 20)
+    path = fresh_path(spark, "t-layout")
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, vendors=["openai"], key_buckets=5)
+    for other in (10, None):
+        with pytest.raises(ValueError, match="layout"):
+            scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, key_buckets=other)
+        with pytest.raises(ValueError, match="layout"):
+            stream_scoring(spark, path, path, scoring.byte_length_scorer, key_buckets=other)
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, key_buckets=5)
+    p = io.read_predictions(spark, path)
+    assert p.count() == 15 * 20 and p.select(*KEYS).distinct().count() == 15 * 20
+    plain = fresh_path(spark, "t-layout-plain")
+    scoring.run_scoring(spark, t, plain, scoring.byte_length_scorer, vendors=["openai"])
+    with pytest.raises(ValueError, match="layout"):
+        scoring.run_scoring(spark, t, plain, scoring.byte_length_scorer, key_buckets=5)
+
+
+def test_a_write_makes_few_files(spark):
+    """Answers from many tasks do not become a file per task and setting."""
+    path = fresh_path(spark, "t-files")
+    scoring.run_scoring(spark, worklist.limit_trials(_trials(spark), 60), path, scoring.byte_length_scorer, parallelism=16)
+    assert len(io.read_predictions(spark, path).inputFiles()) <= 15
+
+
+def _by_vendor():
+    return {"openai": scoring.byte_length_scorer(), "gemini": scoring.byte_length_scorer()}
+
+
+def test_a_dispatch_error_fails_the_job_and_a_failed_call_is_reported(spark):
+    t = worklist.limit_trials(_trials(spark), 8)
+    path = fresh_path(spark, "t-dispatch")
+    with pytest.raises(Exception, match="anthropic"):
+        scoring.run_scoring(spark, t, path, _by_vendor, conditions=["title_only"])
+    seen = scoring.run_scoring(spark, t, path, _by_vendor, conditions=["title_only"], vendors=["openai", "gemini"], in_flight=3)
+    p = io.read_predictions(spark, path)
+    assert p.count() == 16 and seen["failed"] == p.where("parsed_output = 'ERROR'").count()
+    broken = scoring.run_scoring(spark, t, fresh_path(spark, "t-reasons"), _broken, conditions=["title_only"])
+    assert broken["failed"] == 24 and broken["reasons"] == ["ConnectionError"]
+
+
+def test_stream_scoring_with_key_buckets(spark):
+    """A log partitioned by key bucket: the stream still adds every key once (also on
+    a full replay, in any order of keys), and a resume check opens only its buckets."""
+    landing = fresh_path(spark, "t-landing-buckets")
     t = worklist.limit_trials(_trials(spark), 40)
     t.repartition(4).write.parquet(landing)
-    target = fresh_path(spark, "t-stream-blocks")
-    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1, trial_block=10)
-    stream_scoring(spark, landing, target, scoring.byte_length_scorer, trial_block=10)  # fresh checkpoint
+    target = fresh_path(spark, "t-stream-buckets")
+    for ckpt in ("t-ckpt-a", "t-ckpt-b"):
+        stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1, key_buckets=8,
+                       checkpoint=fresh_path(spark, ckpt), parallelism=3)
     s = io.read_predictions(spark, target)
     assert s.count() == 15 * 40 and s.select(*KEYS).distinct().count() == 15 * 40
-    keys = sorted(r.trial_idx for r in t.select("trial_idx").collect())
-    low, high = keys[5], keys[12]
-    done = scoring.logged_keys(spark, target, trial_range=(low, high), trial_block=10)
-    blocks = {f"trial_block={b}" for b in range(low // 10, high // 10 + 1)}
-    assert done.inputFiles() and all(any(b in f for b in blocks) for f in done.inputFiles())
-    assert done.count() == 15 * sum(low <= k <= high for k in keys)
-    assert scoring.logged_keys(spark, target, trial_range=(10**9, 10**9 + 5), trial_block=10) is None
+    some = t.limit(3)
+    wanted = [r[0] for r in some.select(io.key_bucket(8)).distinct().collect()]
+    done = scoring.logged_keys(spark, target, buckets=wanted)
+    scan = done._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "key_bucket" in scan
+    read = {r[0] for r in done.select(F.regexp_extract(F.input_file_name(), "key_bucket=([0-9]+)", 1)).distinct().collect()}
+    assert read == {str(b) for b in wanted}
+
+
+def test_stream_metrics_restarted_without_arguments_continues(spark):
+    landing, out = fresh_path(spark, "t-restart-landing"), fresh_path(spark, "t-restart-out")
+    p = worklist.assemble_predictions(views.preds_v(spark, SF001).withColumn("raw_output", F.lit(None).cast("string")))
+    half = F.col("trial_idx") % 2 == 0
+    p.where(half).coalesce(1).write.parquet(landing)
+    run_stream_metrics(spark, landing, out)
+    first = sum(r.n_total for r in io.read_metrics(spark, out).collect())
+    p.where(~half).coalesce(1).write.mode("append").parquet(landing)
+    run_stream_metrics(spark, landing, out)
+    assert first < sum(r.n_total for r in io.read_metrics(spark, out).collect()) == p.count()
 
 
 def test_cluster_session_needs_a_shared_checkpoint_folder():
     """Off local mode, an unset spark.checkpoint.dir is an error, never a
     machine-local scratch folder; a set one is used as it is."""
-    import pytest
-
     from recallscope.session import shared_dir
 
     class Conf:

@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from recallscope.plans import catalog
 from tests.conftest import SF001
 from tools.oracle_check import SPARK_TYPE, TABLES, rows_of
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def con():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -4,13 +4,13 @@ Python, pruned scans, map-side combine before every shuffle of the log."""
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from recallscope.operators import compare, metrics, worklist
+from recallscope.operators import compare, metrics, plotdata, sections, worklist
+from recallscope.plans import catalog
 from recallscope.session import fresh_path
 from recallscope.sources import io, views
 from tests.conftest import SF001
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 PAIR_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 ROW_PYTHON = ("BatchEvalPython",)
 
@@ -19,6 +19,11 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def relations(df) -> int:
+    """Base tables in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
 @pytest.fixture
 def no_broadcast(spark):
     """Plan as for tables too large to broadcast (what a cluster sees)."""
@@ -78,5 +83,28 @@ def test_positions_stay_in_the_jvm(spark):
     views.trials_v(spark, SF001).drop("trial_idx").write.options(**io.CSV_WRITE_OPTIONS).csv(path)
     t = io.read_trials(spark, path, fmt="csv")
     plan = plan_of(t)
-    assert "monotonically_increasing_id" in plan and "Python" not in plan
+    assert "Python" not in plan
     assert t.select("trial_idx").distinct().count() == t.count()
+
+
+@pytest.mark.parametrize("build", [plotdata.grid_counterfactual, plotdata.panels_confusion_cf, plotdata.grid_counterfactual_only,
+                                   compare.f1_pivot_mean, sections.pattern_counts, sections.sections_per_trial,
+                                   sections.section_report_lines, "remaining"])
+def test_base_tables_are_planned_once(spark, build, monkeypatch):
+    """Every execution of such a query, its inner ones included, reads a base table once
+    at most: what is needed twice is materialized."""
+    import recallscope.session as session
+
+    seen = []
+    for module in (compare, plotdata, sections):
+        monkeypatch.setattr(module, "materialize", lambda df: seen.append(df) or session.materialize(df))
+    trials, preds = views.trials_v(spark, SF001), views.preds_v(spark, SF001)
+    if build == "remaining":
+        out = worklist.remaining_count(worklist.build_worklist(trials), views.raw_v(spark, SF001))
+        assert relations(out) == 4  # trials and log, each documents and labels
+        return
+    source = trials if build.__module__.endswith("sections") else (
+        preds if build is plotdata.panels_confusion_cf else metrics.metrics_by_setting(preds))
+    out = build(source)
+    assert len(seen) == 1 and relations(seen[0]) <= 2
+    assert relations(out) == 0

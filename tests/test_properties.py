@@ -1,8 +1,7 @@
-"""Randomised checks against brute-force Python versions of the reference's
-rules (SURVEY §5 layer 4). Each example is one small table evaluated by one
-Spark job; the expected side is plain Python, row by row."""
+"""Randomised checks of properties: what must hold of parsing,
+formatting, intervals and counts, on constructed inputs whose answer is known."""
 
-import math
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,122 +11,104 @@ from recallscope.functions import WHITESPACE, format_ci, format_fixed, parse_out
 from recallscope.operators import metrics
 
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-LABELS = ("POSITIVE", "NEGATIVE")
 
+# --- parsing: answers built so that their class is known ---------------------------
 
-# --- parsing -------------------------------------------------------------------
-
-def parse_rule(raw):
-    if raw is None:
-        return "ERROR"
-    text = raw.strip().upper()
-    return text if text in LABELS else "INVALID"
-
-
-core = st.sampled_from(["positive", "POSITIVE", "Negative", "negatıve", "poſitive", "yes", "", "POSITIVE.", "NEG"])
-pad = st.text(alphabet=WHITESPACE + "x", max_size=3)
-answers = st.one_of(st.none(), st.builds(lambda a, b, c: a + b + c, pad, core, pad))
+gap = st.text(alphabet=WHITESPACE, max_size=3)
+CLASSES = {
+    "POSITIVE": st.sampled_from(["POSITIVE", "positive", "Positive", "poſitive"]),  # the long s upper-cases to S
+    "NEGATIVE": st.sampled_from(["NEGATIVE", "negative", "nEgAtIvE"]),
+    "INVALID": st.sampled_from(["", "yes", "POSITIVE.", "NEG", "positive negative", "x", "nega\u0307tive"]),
+}
+answer = st.one_of(st.just(("ERROR", None)), *[
+    st.tuples(st.just(k), st.builds(lambda a, b, c: a + b + c, gap, core, gap)) for k, core in CLASSES.items()])
 
 
 @SETTINGS
-@given(st.lists(answers, min_size=1, max_size=60))
-def test_parse_matches_python(spark, raws):
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+@given(st.lists(answer, min_size=1, max_size=60))
+def test_constructed_answers_get_their_class(spark, cases):
+    df = spark.createDataFrame([(i, raw) for i, (_, raw) in enumerate(cases)], "i int, raw string")
     got = {r.i: r.p for r in df.select("i", parse_output("raw").alias("p")).collect()}
-    assert [got[i] for i in range(len(raws))] == [parse_rule(r) for r in raws]
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
 
 
-# --- fixed-point formatting ----------------------------------------------------
+# --- fixed-point formatting: the decimal rounding of the exact binary value ---------
 
 ties = st.builds(lambda k, d: (k + 0.5) / d, st.integers(0, 999), st.sampled_from([100, 1000]))
 unit = st.one_of(st.floats(0, 1, allow_nan=False), ties.filter(lambda x: x <= 1))
-percent = st.one_of(st.floats(0, 100, allow_nan=False), st.builds(lambda k: k / 2000 * 100, st.integers(0, 2000)))
-
-
-@SETTINGS
-@given(st.lists(unit, min_size=1, max_size=80), st.lists(percent, min_size=1, max_size=80))
-def test_format_matches_python(spark, xs, ps):
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
-    got = [r.s for r in df.orderBy("i").select(format_fixed(F.col("x"), 2).alias("s")).collect()]
-    assert got == [f"{x:.2f}" for x in xs]
-    dp = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
-    got = [r.s for r in dp.orderBy("i").select(format_fixed(F.col("p"), 1).alias("s")).collect()]
-    assert got == [f"{p:.1f}" for p in ps]
 
 
-# --- intervals and their strings -----------------------------------------------
+def exact(x: float, digits: int) -> Decimal:
+    return Decimal(x).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN)
 
-def wald_rule(p, n, z=1.96):
-    if n == 0 or p is None:
-        return None, None
-    se = math.sqrt(p * (1 - p) / n)
-    return max(0, p - z * se), min(1, p + z * se)
-
-
-def format_rule(value, lo, hi):
-    if value is None:
-        return "N/A"
-    return f"{value:.2f} ({lo:.2f}-{hi:.2f})"
 
+@SETTINGS
+@given(st.lists(unit, min_size=1, max_size=80))
+def test_formatting_rounds_the_binary_value(spark, xs):
+    df = spark.createDataFrame([(i, x, x * 100) for i, x in enumerate(xs)], "i int, x double, p double")
+    out = df.orderBy("i").select("x", "p", format_fixed(F.col("x"), 2).alias("s"), format_fixed(F.col("p"), 1).alias("t")).collect()
+    for r in out:
+        assert Decimal(r.s) == exact(r.x, 2) and len(r.s.split(".")[1]) == 2
+        assert Decimal(r.t) == exact(r.p, 1) and len(r.t.split(".")[1]) == 1
 
-counts = st.tuples(st.integers(0, 300), st.integers(0, 300))
 
+# --- intervals: symmetry, width, bounds ----------------------------------------------
 
 @SETTINGS
-@given(st.lists(counts, min_size=1, max_size=40))
-def test_intervals_match_python(spark, pairs):
-    rows = [(i, k, n) for i, (k, n) in enumerate(pairs)]
-    df = spark.createDataFrame(rows, "i int, k int, n int")
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), min_size=1, max_size=40))
+def test_intervals(spark, pairs):
+    df = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(pairs)], "i int, k int, n int")
     p = F.try_divide(F.col("k").cast("double"), (F.col("k") + F.col("n")).cast("double"))
     size = F.col("k") + F.col("n")
     ci = wald_ci(p, size)
-    out = df.orderBy("i").select(p.alias("p"), ci["lower"].alias("lo"), ci["upper"].alias("hi"),
+    out = df.orderBy("i").select(p.alias("p"), size.alias("size"), ci["lower"].alias("lo"), ci["upper"].alias("hi"),
                                  format_ci(p, ci["lower"], ci["upper"]).alias("s")).collect()
-    for (i, k, n), r in zip(rows, out):
-        pp = k / (k + n) if k + n else None
-        assert (r.lo, r.hi) == wald_rule(pp, k + n)
-        assert r.s == format_rule(pp, *wald_rule(pp, k + n))
+    for r in out:
+        if r.size == 0:
+            assert (r.p, r.lo, r.hi, r.s) == (None, None, None, "N/A")
+            continue
+        assert 0 <= r.lo <= r.p <= r.hi <= 1
+        if r.lo > 0 and r.hi < 1:
+            assert abs((r.hi - r.p) - (r.p - r.lo)) < 1e-12
+        for side, free in ((r.p - r.lo, r.lo > 0), (r.hi - r.p, r.hi < 1)):
+            square = 1.96**2 * r.p * (1 - r.p)  # n times the squared half width
+            assert abs(side**2 * r.size - square) < 1e-9 if free else side**2 * r.size <= square + 1e-9
+        body = r.s.replace("(", "").replace(")", "")
+        shown, low, high = body.split(" ")[0], *body.split(" ")[1].split("-")
+        assert [Decimal(v) for v in (shown, low, high)] == [exact(v, 2) for v in (r.p, r.lo, r.hi)]
 
 
-# --- the metrics loop ----------------------------------------------------------
+# --- counts: rows built from chosen counts give those counts back --------------------
 
-def metrics_rule(rows):
-    """The reference's per-setting loop in plain Python (NaN keys never match)."""
-    out = {}
-    for v, m, c, _, _ in rows:
-        if (v, m, c) in out or v is None or c is None:
-            continue
-        sel = [r for r in rows if r[0] == v and r[2] == c]
-        preds = [r[4] for r in sel]
-        n_valid = sum(p in LABELS for p in preds)
-        pairs = [(t, p) for _, _, _, t, p in sel if p in LABELS and t in LABELS]
-        if pairs:
-            accuracy = sum(t == p for t, p in pairs) / len(pairs)
-            f1s = []
-            for lab in LABELS:
-                tp = sum(t == lab and p == lab for t, p in pairs)
-                fp = sum(t != lab and p == lab for t, p in pairs)
-                fn = sum(t == lab and p != lab for t, p in pairs)
-                f1s.append(2 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0)
-            f1 = (f1s[0] + f1s[1]) / 2
-        else:
-            accuracy = f1 = None
-        out[(v, m, c)] = (accuracy, f1, len(sel), n_valid, preds.count("INVALID"), preds.count("ERROR"),
-                          n_valid / len(sel) * 100)
-    return out
-
-
-row = st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from(["m1", "m2", None]),
-                st.sampled_from(["c1", "c2", None]), st.sampled_from(["POSITIVE", "NEGATIVE", None, "other"]),
-                st.sampled_from(["POSITIVE", "NEGATIVE", "INVALID", "ERROR", "junk"]))
+CELLS = [(t, p) for t in ("POSITIVE", "NEGATIVE", None) for p in ("POSITIVE", "NEGATIVE", "INVALID", "ERROR")]
+chosen = st.lists(st.integers(0, 4), min_size=len(CELLS), max_size=len(CELLS))
 
 
 @SETTINGS
-@given(st.lists(row, min_size=1, max_size=120))
-def test_metrics_match_reference_loop(spark, rows):
-    df = spark.createDataFrame(rows, "vendor string, model string, condition string, ground_truth string, "
-                                     "parsed_output string")
-    got = {(r.vendor, r.model, r.condition): (r.accuracy, r.f1_macro, r.n_total, r.n_valid, r.n_invalid,
-                                              r.n_error, r.pct_valid)
-           for r in metrics.metrics_by_setting(df).collect()}
-    assert got == metrics_rule(rows)
+@given(st.dictionaries(st.sampled_from([("a", "c1"), ("a", "c2"), ("b", "c1")]), chosen, min_size=1), st.integers(1, 3))
+def test_chosen_counts_come_back(spark, settings_, models):
+    rows = [(v, f"m{i % models}", c, t, p) for (v, c), ns in settings_.items()
+            for (t, p), n in zip(CELLS, ns) for i in range(n)]
+    rows += [(None, "m0", "c1", "POSITIVE", "POSITIVE"), ("a", "m0", None, "POSITIVE", "POSITIVE")]
+    df = spark.createDataFrame(rows, "vendor string, model string, condition string, ground_truth string, parsed_output string")
+    counts = {(r.vendor, r.condition): r for r in metrics.setting_counts(df).collect()}
+    table = metrics.metrics_by_setting(df).collect()
+    assert set(counts) == {k for k, ns in settings_.items() if sum(ns)}
+    for key, ns in settings_.items():
+        if not sum(ns):
+            continue
+        by = dict(zip(CELLS, ns))
+        r = counts[key]
+        pos, neg = "POSITIVE", "NEGATIVE"
+        assert (r.tp, r.fn, r.fp, r.tn) == (by[pos, pos], by[pos, neg], by[neg, pos], by[neg, neg])
+        assert r.n_total == sum(ns) and r.n_invalid == sum(by[t, "INVALID"] for t in (pos, neg, None))
+        mine = [m for m in table if (m.vendor, m.condition) == key]
+        assert 1 <= len(mine) <= models and len({(m.accuracy, m.f1_macro, m.n_total) for m in mine}) == 1
+        n = r.tp + r.fn + r.fp + r.tn
+        m = mine[0]
+        assert (m.accuracy is None) == (m.f1_macro is None) == (n == 0)
+        if n:
+            assert round(m.accuracy * n) == r.tp + r.tn
+            # swapping the two labels in truth and answer leaves macro F1 as it is; all right is 1, all wrong 0
+            assert (m.f1_macro == 1.0) == (r.fn + r.fp == 0 and r.tp > 0 and r.tn > 0)
+            assert (m.f1_macro == 0.0) == (r.tp + r.tn == 0)
