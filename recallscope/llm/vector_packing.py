@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from recallscope.llm.tokenizing import encoder, slices
 GROUP_BYTES = 16 << 20  # text bytes packed together in one task
 GROUP_ROWS = 20_000  # examples packed together at most, on average
 GROUP = "__group"
+SEQUENCE_BITS = 24  # of a sequence's id within its group
 WINDOW = 1024  # examples weighed against each other at once
 
 
@@ -97,7 +98,7 @@ def pack(lengths: np.ndarray, prompts: np.ndarray, limits: Limits) -> np.ndarray
 
 
 def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(),
+                prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), group: Column | None = None,
                 group_bytes: int = GROUP_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of all examples: the id, ``start`` (tokens of the example before the
     piece), ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``,
@@ -106,15 +107,16 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     An example's tokens are those of its prompt (no loss), its text and
     ``end_id``. Examples are dealt to groups by a hash of id and text, one task a
     group of about ``group_bytes``; groups share no sequence, so each leaves one
-    sequence that is not full. A null text counts as empty (one token, the end);
+    sequence that is not full. ``group`` (a number of the caller's, for groups of bounded size)
+    deals them otherwise, e.g. by their place in an order; sequences ascend with it. A null text counts as empty (one token, the end);
     a null id or a repeated row is an example like any other; an empty table
     gives no pieces. Extra columns are left out.
     """
-    used = [F.col(text_col).alias("__text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("__prompt")]
+    name = F.lit(None).cast("long") if group is None else group.cast("long")
+    used = [F.col(text_col).alias("__text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("__prompt"), name.alias(GROUP)]
     docs = docs.select(F.col(id_col), *used)
-    size = docs.agg(F.sum(F.octet_length(F.concat_ws("", "__prompt", "__text")) + 16), F.count(F.lit(1))).first()
-    groups = max(1, -(-int(size[0] or 0) // group_bytes), -(-int(size[1]) // group_rows))
-    dealt = docs.withColumn(GROUP, F.pmod(F.xxhash64(F.col(id_col), F.substring("__text", 1, 64)), F.lit(groups)).cast("int"))
+    if group is None:
+        docs = docs.withColumn(GROUP, _dealt(docs, id_col, group_bytes, group_rows))
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (
         ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()),
         ("loss_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())))])
@@ -144,9 +146,16 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             id_col: table.column(id_col).take(pa.array(row)), "start": begin, "length": length,
             "ids": pa.array([ids[r][s : s + n].tobytes() for r, s, n in zip(row.tolist(), begin.tolist(), length.tolist())], pa.binary()),
             "doc_tokens": lengths[row], "loss_tokens": length - bare,
-            "sequence_id": pieces[:, 3] + (key[0].as_py() << 32), "offset": pieces[:, 4]})
+            "sequence_id": pieces[:, 3] + (key[0].as_py() << SEQUENCE_BITS), "offset": pieces[:, 4]})
+
+    return docs.groupBy(GROUP).applyInArrow(fill, schema)
 
-    return dealt.groupBy(GROUP).applyInArrow(fill, schema)
+
+def _dealt(docs: DataFrame, id_col: str, group_bytes: int, group_rows: int) -> Column:
+    """A group by a hash of id and text, as many as bytes and rows ask for."""
+    size = docs.agg(F.sum(F.octet_length(F.concat_ws("", "__prompt", "__text")) + 16), F.count(F.lit(1))).first()
+    groups = max(1, -(-int(size[0] or 0) // group_bytes), -(-int(size[1]) // group_rows))
+    return F.pmod(F.xxhash64(F.col(id_col), F.substring("__text", 1, 64)), F.lit(groups)).cast("long")
 
 
 def _bytes(table: pa.Table, name: str, first: int, n: int) -> list[bytes | None]:
