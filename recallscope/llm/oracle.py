@@ -15,3 +15,56 @@ kept as (
   from d left join gone using (doc_id))
 select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
 """
+
+JACCARD_JOIN = rf"""
+with recursive d as (select doc_id, {WORDS} as w from documents),
+grams as (
+  select doc_id, unnest(case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+                             when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by x, y),
+links as (
+  select x, y from shared join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 9 * c >= 4 * (s.n + t.n)),
+reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x, min(y) as m from reach group by x),
+degree as (select x, count(*) as n from links group by x),
+copies as (select array_to_string(w, ' ') as s, count(*) as n from d where len(w) > 0 group by s)
+select doc_id, least(doc_id, coalesce(m, doc_id)) as class_id, coalesce(g.n, 0) as n_links, coalesce(c.n, 1) as n_copies,
+  coalesce(m >= doc_id, true) as keep
+from d left join least l on l.x = doc_id left join degree g on g.x = doc_id left join copies c on c.s = array_to_string(d.w, ' ')
+"""
+
+PFAIR_MIX = """
+with recursive sizes as (
+  select source, greatest(1, coalesce(sum(length(text)), 0)) as n from documents group by source),
+exact as (
+  select source, pow(cast(n as double), 0.7) / sum(pow(cast(n as double), 0.7)) over () * 1000 as e from sizes),
+floored as (select source, e, greatest(1, cast(floor(e) as bigint)) as f from exact),
+shares as (
+  select source, f + case when row_number() over (order by f - e, source) <= 1000 - sum(f) over () then 1 else 0 end as w,
+    row_number() over (order by source) as i
+  from floored),
+weights as (select list(w order by i) as ws from shares),
+schedule(t, done, pick) as (
+  select -1, [0 for w in ws], 0 from weights
+  union all
+  select t + 1, [case when j = p then done[j] + 1 else done[j] end for j in range(1, len(done) + 1)], p from (
+    select t, done, list_sort([
+        {'due': cast(ceil((done[j] + 1) * 1000.0 / ws[j]) as bigint), 'i': j} for j in range(1, len(ws) + 1)
+        if floor(done[j] * 1000.0 / ws[j]) <= t + 1])[1].i as p
+    from schedule, weights where t < 999)),
+slots as (
+  select pick as i, t as slot, row_number() over (partition by pick order by t) - 1 as ordinal from schedule where t >= 0),
+placed as (
+  select doc_id, source, coalesce(sum(coalesce(length(text), 0)) over (
+      partition by source order by md5(cast(doc_id as varchar)), doc_id rows between unbounded preceding and 1 preceding), 0) as b
+  from documents),
+blocks as (
+  select doc_id, source, cast(b // 8192 + 1 as bigint) as block, cast(b % 8192 as bigint) as block_offset from placed)
+select b.doc_id, b.source, b.block, b.block_offset,
+  cast(floor((b.block - 1) * 1000.0 / w) as bigint) as release, cast(ceil(b.block * 1000.0 / w) as bigint) as deadline,
+  cast(((b.block - 1) // w) * 1000 + slot as bigint) as slot
+from blocks b join shares s using (source) join slots k on k.i = s.i and k.ordinal = (b.block - 1) % w
+"""

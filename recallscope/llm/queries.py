@@ -115,4 +115,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+        "op4_jaccard_join": oracle.JACCARD_JOIN,
+        "op7_pfair_mix": oracle.PFAIR_MIX,
     }
