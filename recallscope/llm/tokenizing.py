@@ -25,8 +25,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-TABLE_PIECES = 600_000  # entries kept between batches (about 150 MB); then the table starts anew
-BATCH_BYTES = 1 << 16  # bytes a string given to the library
+TABLE_PIECES = 1_000_000  # entries kept between batches (about 200 MB); then the table starts anew
+BATCH_BYTES = 256  # bytes a string given to the library (short ones are encoded fastest, a word at a time is slower)
 SLICE_BYTES = 1 << 23  # text bytes worked on at once
 MARK = b"\x01"  # stands between words in a library call; words holding it are encoded alone
 
@@ -68,6 +68,9 @@ class Encoder:
             self.kind = "piece" if split and _has_dummy_prefix(self.library) else "whole"
         mark = self.encode([MARK.decode()])[0] if self.kind == "word" else []
         self.mark = mark[0] if len(mark) == 1 else None
+        # the pre-tokenizer parts letters from a point or comma, and the normalizer folds case
+        self.folds = self.kind == "word" and '"Lowercase"' in self.library.to_str()
+        self.ends = {ord(c): np.asarray(self.encode([c])[0], np.uint32) for c in ".,"} if self.folds else {}
         self.clear()
 
     def clear(self) -> None:
@@ -99,28 +102,59 @@ class Encoder:
         return np.concatenate(parts) if parts else np.zeros(0, np.int64), first
 
     def _learn(self) -> None:
-        new, self.codes.new = self.codes.new, []
+        """Ids of the new pieces: from the library, or, for a word that differs from
+        another only in A-Z or a last point or comma, from that word's."""
+        known, new = len(self.length), self.codes.new
         if not new:
             return
-        if self.mark is None:
-            ids = [np.asarray(x, np.uint32) for group in _groups(new, 1) for x in self.encode([p.decode() for p in group])]
+        derived: list[tuple[int, int, np.ndarray]] = []
+        if self.folds:
+            plain = []
+            for i, p in enumerate(new[: len(new)]):
+                end = self.ends.get(p[-1])
+                stem = (p if end is None else p[:-1]).lower()
+                if stem != p and stem and stem.decode().isalpha():
+                    derived.append((known + i, self.codes[stem], end))
+                else:
+                    plain.append(known + i)
+            plain += range(known + len(derived) + len(plain), len(self.codes))
+            new = self.codes.new
         else:
-            ids = [None] * len(new)
-            plain = [i for i, p in enumerate(new) if MARK not in p]
-            odd = [i for i, p in enumerate(new) if MARK in p]
-            for i in odd:
-                ids[i] = np.asarray(self.encode([new[i].decode()])[0], np.uint32)
-            at = 0
-            joint = b" " + MARK + b" "
-            for group in _groups([new[i] for i in plain], len(joint)):
-                row = np.asarray(self.encode([joint.join(group).decode()])[0], np.uint32)
-                for x in np.split(row, np.flatnonzero(row == self.mark)):
-                    ids[plain[at]] = x[1:] if len(x) and x[0] == self.mark else x
-                    at += 1
+            plain = list(range(known, known + len(new)))
+        self.codes.new = []
+        ids = self._encode([new[i - known] for i in plain])
         size = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.length = np.concatenate([self.length, size])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.length, self.start = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.length, self.start))
+        self.length[plain], self.start[plain] = size, len(self.flat) + np.cumsum(size) - size
+        flat = np.concatenate([self.flat, *ids])
+        more, at = [], len(flat)
+        for code, stem, end in derived:
+            start, n = self.start[stem], self.length[stem]
+            if end is not None:
+                more.append(flat[start : start + n])
+                more.append(end)
+                start, n, at = at, n + len(end), at + n + len(end)
+            self.start[code], self.length[code] = start, n
+        self.flat = np.concatenate([flat, *more])
+
+    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        if self.mark is None:
+            return [np.asarray(x, np.uint32) for group in _groups(pieces, 1) for x in self.encode([p.decode() for p in group])]
+        ids: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if MARK not in p]
+        for i, p in enumerate(pieces):
+            if MARK in p:
+                ids[i] = np.asarray(self.encode([p.decode()])[0], np.uint32)
+        joint = b" " + MARK + b" "
+        rows = self.encode([joint.join(group).decode() for group in _groups([pieces[i] for i in plain], len(joint))])
+        at = 0
+        for row in rows:
+            row = np.asarray(row, np.uint32)
+            cuts = [-1, *np.flatnonzero(row == self.mark).tolist(), len(row)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                ids[plain[at]] = row[a + 1 : b]
+                at += 1
+        return ids
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         codes, first = self.coded(texts)
