@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ MARK = b"\x01"  # stands between words in a library call; words holding it are e
 _BYTE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _PIECE_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
+# How byte-level BPE shows a byte: printable Latin-1 characters as themselves, the others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
 
 class _Codes(dict):
     """Piece -> code; a new piece gets the next code and is put on the list."""
@@ -137,7 +142,24 @@ class Encoder:
             self.start[code], self.length[code] = start, n
         self.flat = np.concatenate([flat, *more])
 
+    def _letters(self, piece: bytes) -> list[int] | None:
+        """Ids of a lower-case word of letters straight from the library's model: its
+        normalizer leaves such a word as it is and its pre-tokenizer makes it one token."""
+        word = piece.decode()
+        if not word.isalpha() or word.lower() != word or not is_normalized("NFC", word):
+            return None
+        return [t.id for t in self.library.model.tokenize(word if word.isascii() else "".join([_SHOWN[b] for b in piece]))]
+
     def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        if not self.folds:
+            return self._encode_any(pieces)
+        ids = [self._letters(p) for p in pieces]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self._encode_any([pieces[i] for i in rest])):
+            ids[i] = x
+        return [np.asarray(x, np.uint32) for x in ids]
+
+    def _encode_any(self, pieces: list[bytes]) -> list[np.ndarray]:
         if self.mark is None:
             return [np.asarray(x, np.uint32) for group in _groups(pieces, 1) for x in self.encode([p.decode() for p in group])]
         ids: list = [None] * len(pieces)
@@ -145,7 +167,7 @@ class Encoder:
         for i, p in enumerate(pieces):
             if MARK in p:
                 ids[i] = np.asarray(self.encode([p.decode()])[0], np.uint32)
-        joint = b" " + MARK + b" "
+        joint = b" " + MARK + b" "  # the mark is a token of its own and ends the word before it
         rows = self.encode([joint.join(group).decode() for group in _groups([pieces[i] for i in plain], len(joint))])
         at = 0
         for row in rows:
