@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, Words, mix, runs, utf8, windows
+from recallscope.llm.arrays import U64, Words, byte_slices, distinct, mix, runs, utf8, windows
 from recallscope.llm.components import connected_components
 from recallscope.session import materialize
 
@@ -127,7 +127,9 @@ def _pairs_of_small(sets: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarr
             break
         found.append(row[same] * len(sets) + row[same + step])
         step += 1
-    pair, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+    pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    start = runs(pairs)
+    pair, n = pairs[start], np.diff(np.append(start, len(pairs)))
     return pair // max(len(sets), 1), pair % max(len(sets), 1), n
 
 
@@ -164,7 +166,7 @@ def _verify(n: int, threshold: float, text_col: str):
         once = np.concatenate([[True], node[1:] != node[:-1]])  # rows that repeat an id and its text
         table, node = table.filter(pa.array(once)), node[once]
         grams, begin, end = ngram_sets(Words(*utf8(table.column(text_col))), n)
-        sets = [np.unique(grams[x:y]) for x, y in zip(begin, end)]
+        sets = [distinct(grams[x:y]) for x, y in zip(begin, end)]
         size = np.array([len(s) for s in sets], np.int64)
         component, block = table.column("__component").to_numpy(), table.column("__block").to_numpy()
         first, second = table.column("__i")[0].as_py(), table.column("__j")[0].as_py()
@@ -213,7 +215,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("__id"), node_key(text_col).alias(NODE), F.col(text_col).alias("__text"))
 
     def sign(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in byte_slices(whole, 2)):
             words = Words(*utf8(batch.column(2)))
             s = signatures(*ngram_sets(words, n), bands, rows).view(np.int64)
             offsets = pa.array(np.arange(len(s) + 1, dtype=np.int32) * bands)
