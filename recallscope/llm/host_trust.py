@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallscope.llm.passing import packed, unpacked
 from recallscope.session import materialize
 
 DAMPING = 0.85
@@ -92,8 +93,8 @@ def host_trust(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
     """
     pages = pages.drop(*[c for c in ADDED if c in pages.columns and c not in (url_col, html_col)])
     passed = [c for c in pages.columns if c != html_col]
-    read = pages.select(*passed, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    edges = materialize(links(pages.select(url_host(F.col(url_col)).alias("host"), html_col), html=html_col))
+    read = pages.select(packed(passed), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    edges = materialize(links(pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))))
 
     hosts = read.select("host").where("host != ''").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("__above"))
     fit = F.struct((F.length("__rule_host") + F.length("__rule_path")).alias("size"), (F.col("__verdict") == "block").alias("blocks"),
@@ -119,5 +120,5 @@ def host_trust(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
     verdict = F.when(F.col("__fit").isNotNull(), F.when(F.col("__fit.blocks"), "block").otherwise("allow")).otherwise(
         F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow"))
     return ruled.join(scores, "host", "left").select(
-        *passed, "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"),
+        *unpacked(passed), "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallscope.llm.passing import packed, unpacked
 from recallscope.session import materialize
 
 SHARE = 0.75  # of a cell's rows in the subset
@@ -41,21 +42,20 @@ def _length(c: Column) -> Column:
     return F.char_length(c).cast("long")
 
 
-def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with the base counts (null text: no words).
+def text_counts(docs: DataFrame, kept: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns ``kept`` of ``docs`` with the base counts (null text: no words).
 
     ``n_repeat_words`` needs every 3-word window that occurs twice: the windows'
     hashes are packed with their positions into one integer each (as many low bits
     as the text needs), sorted, and compared with their neighbours.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [F.col(c) for c in docs.columns if c != text_col]
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     step = docs.select(
         *kept, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__w"), lines.alias("__lines"),
         _length(F.regexp_replace(text, GAP, "")).alias("word_chars"),
         _length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("n_symbols"))
-    kept += [F.col(c) for c in ("word_chars", "n_symbols")]
+    kept = [F.col(c) for c in step.columns if c not in ("__w", "__lines")]
     step = step.select(*kept, "__w", F.size("__w").cast("long").alias("n_words"), F.size("__lines").cast("long").alias("__n_lines"),
                        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"))
     kept += [F.col(c) for c in ("n_words", "__n_lines", "n_dup_lines")]
@@ -185,14 +185,16 @@ def outlier_rules(docs: DataFrame, text_col: str = "text", cell_cols: tuple[str,
     """
     docs = docs.drop(*[c for c in ADDED if c in docs.columns and c != text_col])
     passed = [c for c in docs.columns if c != text_col]
+    cells = [f"__c{i}" for i in range(len(cell_cols))]
     failed = base_rule() if base_rule else (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = text_counts(docs, text_col).withColumn("base_failed", failed)
+    kept = [packed(passed), *[F.col(c).alias(x) for c, x in zip(cell_cols, cells)]]
+    counted = text_counts(docs, kept, text_col).withColumn("base_failed", failed)
     counted = materialize(counted.select("*", *[f.cast("double").alias(x) for f, x in zip(features(), FEATURES)]))
-    good = materialize(_cells(counted.where(~F.col("base_failed")), list(cell_cols)))
+    good = materialize(_cells(counted.where(~F.col("base_failed")), cells))
     model = estimates(good.where(F.col("__cell").isNotNull()).select("__cell", *FEATURES))
     judged = (good.join(model, "__cell", "left")
               .withColumn("distance", F.sqrt(_distance2(len(FEATURES)) * F.col("scale")))
               .withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(True))))
     bad = counted.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    columns = [*passed, *BASE, "base_failed", "distance", "kept"]
+    columns = [*unpacked(passed), *BASE, "base_failed", "distance", "kept"]
     return judged.select(*columns).unionByName(bad.select(*columns))

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallscope.llm.passing import packed, unpacked
+
 PERIOD = 1000  # slots after which the schedule repeats; also the finest share of a weight
 BLOCK_CHARS = 8192
 RANGE_ROWS = 4000  # rows of a source ordered in one window, on average
@@ -91,8 +93,8 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
         F.lit("no target weight for source "), F.coalesce(F.col(source_col).cast("string"), F.lit("null")))).cast("int"))
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({
-        "__index": known, "__order": order, "__chars": F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long")})
+    rows = docs.select(packed(columns), known.alias("__index"), order.alias("__order"), F.col(id_col).alias("__id"),
+                       F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long").alias("__chars"))
     place = F.conv(F.substring("__order", 1, 7), 16, 10).cast("long")
     rows = rows.withColumn("__range", F.floor(place * F.lit(ranges) / F.lit(1 << 28)).cast("int"))
 
@@ -100,7 +102,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
     before = Window.partitionBy("__index").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__index", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     # repeated rows tie, and any order of theirs gives the same result
-    within = (Window.partitionBy("__index", "__range").orderBy("__order", id_col, "__chars")
+    within = (Window.partitionBy("__index", "__range").orderBy("__order", "__id", "__chars")
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("__before", F.coalesce(F.sum("__chars").over(within), F.lit(0))).join(offsets, ["__index", "__range"])
     begin = F.col("__before") + F.col("__offset")
@@ -109,7 +111,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
         "block": F.floor(begin / block_chars) + 1, "block_offset": F.pmod(begin, F.lit(block_chars)), "__weight": weight})
     turn = F.col("block") - 1
     if not names:
-        return placed.select(*columns, *[F.lit(None).cast("long").alias(c) for c in ADDED]).limit(0)
+        return placed.select(*unpacked(columns), *[F.lit(None).cast("long").alias(c) for c in ADDED]).limit(0)
     # one row per slot of a period: at most ``period`` rows
     slots = F.broadcast(schedule(spark, [share[s] for s in names]))
     total = sum(share.values())
@@ -118,4 +120,4 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
         "__ordinal": F.pmod(turn, F.col("__weight")).cast("int"), "__period": F.floor(turn / F.col("__weight"))})
     out = out.join(slots, (F.col("__index") == F.col("index")) & (F.col("__ordinal") == F.col("ordinal")))
     slot = (F.col("__period") * total + F.col("slot")).alias("slot")
-    return out.select(*columns, "block", "release", "deadline", slot, "block_offset")
+    return out.select(*unpacked(columns), "block", "release", "deadline", slot, "block_offset")
