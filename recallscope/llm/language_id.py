@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallscope.llm.arrays import CHUNK_BYTES, byte_slices, utf8
+from recallscope.llm.passing import packed, unpacked
 from recallscope.session import materialize
 
 SLOTS = 1 << 16  # hashed trigrams
 SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, at most
 MOST_LANGUAGES = 64
+FEW_TEXTS = 10  # labelled texts below which every trigram of a language counts
 OTHER = "und"
 TEMPER = 0.15
 NOISE = 0.5  # share of a text's trigrams that the language need not explain
@@ -55,12 +57,12 @@ def fit(docs: DataFrame, text_col: str, label: Column, sample_rows: int = SAMPLE
         labelled = labelled.where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) < int(2 * share * (1 << 30)))
     sample = labelled.orderBy(F.xxhash64("t"), "t", "l").limit(sample_rows)
 
-    def count(batches):
+    def count(batches):  # per language: occurrences and texts of each trigram, and the number of texts
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                slots = _trigrams(np.frombuffer(t.encode(), np.uint8))
-                total[label] = total.get(label, 0) + np.bincount(slots, minlength=SLOTS)
+                n = np.bincount(_trigrams(np.frombuffer(t.encode(), np.uint8)), minlength=SLOTS)
+                total[label] = total.get(label, 0) + np.concatenate([n, n > 0, [1]])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
                                           pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["l", "n"])
 
@@ -72,8 +74,10 @@ def fit(docs: DataFrame, text_col: str, label: Column, sample_rows: int = SAMPLE
     rows = sorted((r.l, np.frombuffer(r.n, "<i8")) for r in counted.limit(MOST_LANGUAGES + 1).collect())
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages are declared")
-    names = [r[0] for r in rows]
-    counts = np.array([r[1] for r in rows], float).reshape(len(rows), SLOTS) + 0.05
+    names = [name for name, _ in rows]
+    # a trigram of one text alone tells more of that text (or of a wrong label) than of the language
+    seen = [np.where((n[SLOTS : 2 * SLOTS] > 1) | (n[-1] < FEW_TEXTS), n[:SLOTS], 0) for _, n in rows]
+    counts = np.array(seen, float).reshape(len(rows), SLOTS) + 0.05
     model = counts / counts.sum(1, keepdims=True)
     # part of any text is in no language (numbers, keys, markup): such trigrams cost a language little
     model = (1 - NOISE) * model + NOISE / SLOTS
@@ -107,8 +111,9 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     ``declared``, ``suffix``, ``host`` and ``domain`` are columns or None; a null, or a
     language the model does not know, is no evidence. ``label`` (the declared
     language by default) names the labelled rows for ``fit`` unless a fitted model
-    is given. A null or empty text has no text evidence; without any evidence the
-    background class is predicted and the row is not kept. Rows without a host have
+    is given. A null or empty text has no text evidence; without a known
+    declaration or address either, the background class is predicted and the row is
+    not kept. Rows without a host have
     the corpus's prior. Repeated rows count each; an empty table gives an empty
     result; without labelled rows everything is background. Input columns named
     like an added one are replaced.
@@ -120,8 +125,9 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     passed = [c for c in docs.columns if c not in ADDED and c != text_col]
     order = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     place = lambda c: F.coalesce(F.array_position(order, c), F.lit(0)).cast("int")
-    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), place(declared).alias("__declared"),
-                       place(suffix).alias("__suffix"), host.alias("__host"), domain.alias("__domain"))
+    rows = docs.select(packed(passed), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), place(declared).alias("__declared"),
+                       place(suffix).alias("__suffix"), host.alias("__host"), domain.alias("__domain"),
+                       F.coalesce(F.octet_length(text_col), F.lit(0)).alias("__bytes"))
     kinds = [f for f in rows.schema.fields if f.name != "__text"]
 
     def score(batches):
@@ -171,10 +177,12 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     best = F.array_max(F.transform("__post", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
     out = fused.withColumn("__best", best)
     names_all = F.array(*[F.lit(x) for x in [*names, OTHER]])
-    predicted = F.get(names_all, -F.col("__best.i"))
+    # without a trigram and without a known declaration or address there is nothing to go by
+    heard = (F.col("__bytes") > 2) | (F.col("__declared") > 0) | (F.col("__suffix") > 0)
+    predicted = F.when(heard, F.get(names_all, -F.col("__best.i"))).otherwise(OTHER)
     taken = F.array(*[F.lit(x) for x in (names if accepted is None else accepted)]).cast("array<string>")
-    return out.select(*passed, predicted.alias("predicted"), F.col("__best.p").alias("posterior"),
-                      (F.array_contains(taken, predicted) & (F.col("__best.p") >= least)).alias("kept"))
+    return out.select(*unpacked(passed), predicted.alias("predicted"), F.when(heard, F.col("__best.p")).otherwise(1.0 / n).alias("posterior"),
+                      (heard & F.array_contains(taken, predicted) & (F.col("__best.p") >= least)).alias("kept"))
 
 
 def _posterior(scores: Column) -> Column:
