@@ -18,6 +18,7 @@ entry per part and no key makes a hot task.
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, Words, mix, runs, utf8, windows
+from recallscope.llm.arrays import U64, Words, mix, numbered, runs, utf8, windows
 from recallscope.llm.exchange import (PART, blobs, bucket_bounds, pack_keys, planes, text_parts, unpack_keys, unplanes,
                                       with_part)
 from recallscope.session import fresh_path
@@ -96,8 +97,8 @@ class _Part:
         for k in range(1, order + 1):
             h, inside = windows(self.tokens, self.text, k)
             key = ((mix(h) >> U64(32)) % U64(buckets)) << U64(48) | (h & U64((1 << 48) - 1))
-            self.keys[k] = np.unique(key[inside])
-            self.at[k] = np.where(inside, np.searchsorted(self.keys[k], key), 0)
+            self.at[k] = np.zeros(len(key), np.int64)
+            self.keys[k], self.at[k][inside] = numbered(key[inside])
             self.inside[k] = inside
             self.bounds[k] = bucket_bounds(self.keys[k] >> U64(48), buckets)
 
@@ -203,12 +204,12 @@ def _answer_backoff(key, table):
     return _table(rows)
 
 
-def _store(spark, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; then let the driver
-    drop the shuffle files of the finished job (they stay on the executors' disks
-    until its garbage collector has run)."""
+def _store(spark, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back. The shuffle files of the
+    finished job stay on the executors' disks until the driver's garbage collector
+    finds that nothing refers to them, so nothing does, and it is asked to run."""
     path = fresh_path(spark, name)
-    df.write.partitionBy("kind", "n").parquet(path)
+    make().write.partitionBy("kind", "n").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(ROW).parquet(path)
@@ -245,8 +246,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows += p.rows("count", k, key[0].as_py(), lambda i, j: planes(local[i:j]))
         return _table(rows)
 
-    counted = deal().applyInArrow(ask_counts, ROW).groupBy("n", "__bucket").applyInArrow(_answer_counts, ROW)
-    counted = _store(spark, counted, "katz-counts")
+    counted = _store(spark, lambda: deal().applyInArrow(ask_counts, ROW).groupBy("n", "__bucket")
+                     .applyInArrow(_answer_counts, ROW), "katz-counts")
     stats = (counted.where("kind = 'ngrams'").select("n", F.posexplode("stats").alias("i", "x"))
              .groupBy("n", "i").agg(F.sum("x").alias("x")).collect())  # order x (TOP + 3) numbers
     model = {k: discounts([next((r.x for r in stats if (r.n, r.i) == (k, i)), 0) for i in range(TOP + 3)])
@@ -259,14 +260,14 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 return _table([])
             p = _Part(table, text_col, k, buckets)
             prob, total, owned = p.evaluate(given, model, k - 1, k)
-            kept, low = np.zeros(len(p.keys[k - 1])), np.zeros(len(p.keys[k - 1]))
             spot = np.flatnonzero(p.inside[k])
-            g, first = np.unique(p.at[k][spot], return_index=True)
-            spot = spot[first][owned[k][g]]
+            first = np.zeros(len(p.keys[k]), np.int64)
+            first[p.at[k][spot[::-1]]] = spot[::-1]  # one place of each n-gram
+            spot = first[owned[k]]
             c = total[k][p.at[k][spot]]
             h = p.at[k - 1][spot]
-            np.add.at(kept, h, model[k].of(c) * c)
-            np.add.at(low, h, prob[spot + k - 1])
+            kept = np.bincount(h, model[k].of(c) * c, len(p.keys[k - 1]))
+            low = np.bincount(h, prob[spot + k - 1], len(p.keys[k - 1]))
             count = total[k - 1].astype(U64)
             return _table(p.rows("backoff", k - 1, key[0].as_py(), lambda i, j: (
                 kept[i:j].tobytes() + low[i:j].tobytes() + planes(count[i:j]))))
@@ -274,8 +275,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return ask_backoff
 
     for k in range(2, order + 1):
-        asked = deal().cogroup(answers.groupBy("__part")).applyInArrow(backoff_asker(k), ROW)
-        solved = _store(spark, asked.groupBy("n", "__bucket").applyInArrow(_answer_backoff, ROW), "katz-backoff")
+        solved = _store(spark, lambda k=k: deal().cogroup(answers.groupBy("__part")).applyInArrow(backoff_asker(k), ROW)
+                        .groupBy("n", "__bucket").applyInArrow(_answer_backoff, ROW), "katz-backoff")
         answers = answers.unionByName(solved.where("kind = 'backoff'"))
 
     passed = [c for c in docs.columns if c != text_col]
