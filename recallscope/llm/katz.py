@@ -17,8 +17,6 @@ entry per part and no key makes a hot task.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +35,7 @@ END = int(mix(np.array([0x5EED], dtype=U64))[0])
 TRAIN = "__train"
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 ROW = "kind string, n int, __bucket int, __part int, __keys binary, __values binary, stats array<bigint>"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 TOP = 5  # counts up to this one are discounted
 
 
@@ -204,14 +203,16 @@ def _answer_backoff(key, table):
     return _table(rows)
 
 
-def _store(spark, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back. The shuffle files of the
-    finished job stay on the executors' disks until the driver's garbage collector
-    finds that nothing refers to them, so nothing does, and it is asked to run."""
-    path = fresh_path(spark, name)
-    make().write.partitionBy("kind", "n").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _store(spark, df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back. Nothing reads the
+    shuffles of that job again, so Spark is asked to delete them when it ends
+    (otherwise they stay on the executors' disks until the driver collects garbage)."""
+    path, old = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy("kind", "n").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     return spark.read.schema(ROW).parquet(path)
 
 
@@ -246,8 +247,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows += p.rows("count", k, key[0].as_py(), lambda i, j: planes(local[i:j]))
         return _table(rows)
 
-    counted = _store(spark, lambda: deal().applyInArrow(ask_counts, ROW).groupBy("n", "__bucket")
-                     .applyInArrow(_answer_counts, ROW), "katz-counts")
+    counted = _store(spark, deal().applyInArrow(ask_counts, ROW).groupBy("n", "__bucket").applyInArrow(_answer_counts, ROW),
+                     "katz-counts")
     stats = (counted.where("kind = 'ngrams'").select("n", F.posexplode("stats").alias("i", "x"))
              .groupBy("n", "i").agg(F.sum("x").alias("x")).collect())  # order x (TOP + 3) numbers
     model = {k: discounts([next((r.x for r in stats if (r.n, r.i) == (k, i)), 0) for i in range(TOP + 3)])
@@ -275,8 +276,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return ask_backoff
 
     for k in range(2, order + 1):
-        solved = _store(spark, lambda k=k: deal().cogroup(answers.groupBy("__part")).applyInArrow(backoff_asker(k), ROW)
-                        .groupBy("n", "__bucket").applyInArrow(_answer_backoff, ROW), "katz-backoff")
+        asked = deal().cogroup(answers.groupBy("__part")).applyInArrow(backoff_asker(k), ROW)
+        solved = _store(spark, asked.groupBy("n", "__bucket").applyInArrow(_answer_backoff, ROW), "katz-backoff")
         answers = answers.unionByName(solved.where("kind = 'backoff'"))
 
     passed = [c for c in docs.columns if c != text_col]
