@@ -35,13 +35,15 @@ from recallscope.llm.vector_packing import vector_pack
 from recallscope.session import fresh_path
 
 
-PACK_ROWS = 4096  # documents, in mixed order, packed together
+PACK_ROWS = 2048  # documents, in mixed order, packed together
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    found = language_id(docs.withColumn("__full", F.col("text")), declared=F.col("lang"), host=F.col("source"))
-    return (found.where("kept").withColumn("lang", F.col("predicted")).withColumnRenamed("__full", "text").select(*columns))
+    # rows that agree in every column have the same evidence, so their hash names the decision
+    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = language_id(keyed.select("__key", "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"))
+    kept = found.where("kept").groupBy("__key").agg(F.max("predicted").alias("__predicted"))
+    return keyed.join(kept, "__key").withColumn("lang", F.col("__predicted")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
