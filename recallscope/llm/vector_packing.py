@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from recallscope.llm.tokenizing import encoder, slices
 
-GROUP_BYTES = 16 << 20  # text bytes packed together in one task
+GROUP_BYTES = 8 << 20  # text bytes packed together in one task
 GROUP_ROWS = 20_000  # examples packed together at most, on average
 GROUP = "__group"
 SEQUENCE_BITS = 24  # of a sequence's id within its group
@@ -129,6 +129,7 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             heads = tokenizer.ids([x or b"" for x in _bytes(table, "__prompt", first, len(texts))])
             ids += [np.concatenate([h, x, [end_id]]).astype("<u4") for h, x in zip(heads, tokenizer.ids(texts))]
         lengths = np.array([len(x) for x in ids], np.int64)
+        tokenizer.clear()
         names = [(x is None, x, c) for x, c in zip(table.column(id_col).to_pylist(), (x[:64].tobytes() for x in ids))]
         # longest first; the id and the ids break ties, so the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (-lengths[i], names[i][0], names[i][1] or 0, names[i][2]))
