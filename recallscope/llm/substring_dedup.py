@@ -29,7 +29,7 @@ from recallscope.llm.arrays import U64, Words, lookup, runs, utf8
 from recallscope.llm.exchange import (ASK, PART, bucket_bounds, blobs, pack_keys, planes, text_parts, unpack_keys,
                                       unplanes, with_part)
 
-PART_BYTES = 6 << 20  # text of one part; a task holds about 25 times as much in arrays
+PART_BYTES = 4 << 20  # text of one part; a task holds about 25 times as much in arrays
 LAST_ID = np.iinfo(np.int64).max
 ADDED = ("n_words", "n_removed", "removed_spans", "kept_sha256", "kept_text")
 
