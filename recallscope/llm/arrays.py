@@ -12,6 +12,9 @@ multi-byte UTF-8 sequence, so working on bytes equals working on characters.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +43,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
 _BYTE_POWERS = Powers(BYTE_BASE)
 _WINDOW_POWERS = [Powers(b) for b in WINDOW_BASES]
 
@@ -133,6 +137,14 @@ def windows(hashes: np.ndarray, text: np.ndarray, length: int, which: int = 0) -
     return mix((total[length:] - total[:-length]) * down[:m]), text[:m] == text[length - 1 :]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused by later tasks, and
+    large arrays leave free pages that the allocator would keep."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Start of each run of equal values in a sorted array."""
     if len(sorted_keys) == 0:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallscope.session import materialize
+from recallscope.llm.stages import materialize
 
 ROUNDS = 60
 

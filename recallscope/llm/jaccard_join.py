@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, Words, byte_slices, distinct, mix, runs, utf8, windows
+from recallscope.llm.arrays import U64, Words, byte_slices, distinct, mix, runs, trim, utf8, windows
 from recallscope.llm.components import connected_components
-from recallscope.session import materialize
+from recallscope.llm.stages import materialize
 
 NODE = "__node"
 BLOCK = 512  # nodes of a component verified against each other in one task
@@ -193,6 +193,7 @@ def _verify(n: int, threshold: float, text_col: str):
             common = _common([sets[i] for i in left], [sets[i] for i in right])
             x, y = np.nonzero(similar(common, size[left][:, None], size[right][None, :]))
             links.add(left[x], right[y])
+        trim()
         return pa.table({NODE: node, "linked": node[[links.find(i) for i in range(len(node))]], "links": links.links})
 
     return verify
@@ -281,8 +282,10 @@ def _verified(texts: DataFrame, nodes: DataFrame, candidate: DataFrame, n: int,
 def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``jaccard_join`` keeps, one of each class (texts
     without a word all stay)."""
-    kept = decided.where(F.col("keep") & F.col(NODE).isNotNull()).select(F.col(id_col).alias("__kept"), F.col(NODE).alias("__head")).distinct()
+    kept = (decided.where(F.col("keep") & F.col(NODE).isNotNull())
+            .select(F.xxhash64(F.col(id_col), F.col(NODE)).alias("__own")).distinct())
     own = docs.withColumn("__own", node_key(text_col))
-    worded = own.where(F.col("__own").isNotNull()).join(
-        kept, F.col(id_col).eqNullSafe(F.col("__kept")) & (F.col("__own") == F.col("__head")), "left_semi")
-    return (worded.dropDuplicates([id_col, "__own"]).unionByName(own.where(F.col("__own").isNull())).drop("__own"))
+    own = own.withColumn("__own", F.when(F.col("__own").isNotNull(), F.xxhash64(F.col(id_col), F.col("__own"))))
+    # one key for join and de-duplication, so the texts are shuffled once
+    worded = own.where(F.col("__own").isNotNull()).join(materialize(kept), "__own", "left_semi").dropDuplicates(["__own"])
+    return worded.unionByName(own.where(F.col("__own").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, Words, mix, numbered, runs, utf8, windows
+from recallscope.llm.arrays import U64, Words, mix, numbered, runs, trim, utf8, windows
 from recallscope.llm.exchange import (PART, blobs, bucket_bounds, pack_keys, planes, text_parts, unpack_keys, unplanes,
                                       with_part)
+from recallscope.llm.stages import last_reader
 from recallscope.session import fresh_path
 
 PART_BYTES = 6 << 20
@@ -35,7 +36,6 @@ END = int(mix(np.array([0x5EED], dtype=U64))[0])
 TRAIN = "__train"
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 ROW = "kind string, n int, __bucket int, __part int, __keys binary, __values binary, stats array<bigint>"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 TOP = 5  # counts up to this one are discounted
 
 
@@ -204,15 +204,10 @@ def _answer_backoff(key, table):
 
 
 def _store(spark, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back. Nothing reads the
-    shuffles of that job again, so Spark is asked to delete them when it ends
-    (otherwise they stay on the executors' disks until the driver collects garbage)."""
-    path, old = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    """Write a table to the shared folder and read it back."""
+    path = fresh_path(spark, name)
+    with last_reader(spark):
         df.write.partitionBy("kind", "n").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, old)
     return spark.read.schema(ROW).parquet(path)
 
 
@@ -245,6 +240,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             spot = p.inside[k] & p.train[: len(p.inside[k])]
             local = np.bincount(p.at[k][spot], minlength=len(p.keys[k])).astype(U64)
             rows += p.rows("count", k, key[0].as_py(), lambda i, j: planes(local[i:j]))
+        trim()
         return _table(rows)
 
     counted = _store(spark, deal().applyInArrow(ask_counts, ROW).groupBy("n", "__bucket").applyInArrow(_answer_counts, ROW),
@@ -293,6 +289,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c, first = total[1][p.at[1]], p.first[:-1]
         base = np.log10((c + 0.1) / (model[1].tokens + 0.1 * (model[1].types + 1)))
         n = np.diff(p.first)
+        trim()
         return pa.table({**{c: table.column(c) for c in passed}, "n_tokens": n,
                          "n_known": np.add.reduceat((c > 0).astype(np.int64), first),
                          "train_tokens": np.full(len(n), model[1].tokens, np.int64),
