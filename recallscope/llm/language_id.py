@@ -17,15 +17,17 @@ scores, priors and decisions cover every row and every whole text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import CHUNK_BYTES, byte_slices, utf8
+from recallscope.llm.arrays import CHUNK_BYTES, byte_slices, trim, utf8
 from recallscope.llm.passing import packed, unpacked
-from recallscope.session import materialize
+from recallscope.llm.stages import materialize
 
 SLOTS = 1 << 16  # hashed trigrams
 SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, at most
@@ -138,6 +140,7 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(f.name)) for f in kinds), pa.ListArray.from_arrays(at, pa.array(s))],
                 names=[*(f.name for f in kinds), "__text_score"])
+        trim()
 
     scored = rows.mapInArrow(score, T.StructType([*kinds, T.StructField("__text_score", T.ArrayType(T.DoubleType()))]))
 
@@ -172,26 +175,34 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     prior = _share(_without(everything, "__own"))
     prior = F.when(F.col("__d").isNull(), prior).otherwise(_smoothed("__d", "__own", prior))
     prior = F.when(F.col("__kh").isNull(), prior).otherwise(_smoothed("__h", "__own", prior))
-    fused = joined.withColumn("__prior", prior).withColumn(
-        "__post", _posterior(add(F.col("__evidence"), F.transform("__prior", lambda x: F.log(F.greatest(x, F.lit(1e-9)))))))
-    best = F.array_max(F.transform("__post", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-    out = fused.withColumn("__best", best)
+    fused = _posterior(add(F.col("__evidence"), F.transform(prior, lambda x: F.log(F.greatest(x, F.lit(1e-9))))))
+    best = F.array_max(F.transform(fused, lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
     names_all = F.array(*[F.lit(x) for x in [*names, OTHER]])
+    taken = F.array(*[F.lit(x) for x in (names if accepted is None else accepted)]).cast("array<string>")
     # without a trigram and without a known declaration or address there is nothing to go by
     heard = (F.col("__bytes") > 2) | (F.col("__declared") > 0) | (F.col("__suffix") > 0)
-    predicted = F.when(heard, F.get(names_all, -F.col("__best.i"))).otherwise(OTHER)
-    taken = F.array(*[F.lit(x) for x in (names if accepted is None else accepted)]).cast("array<string>")
-    return out.select(*unpacked(passed), predicted.alias("predicted"), F.when(heard, F.col("__best.p")).otherwise(1.0 / n).alias("posterior"),
-                      (heard & F.array_contains(taken, predicted) & (F.col("__best.p") >= least)).alias("kept"))
+    decide = _let(best, lambda b: _let(
+        F.struct(F.when(heard, F.get(names_all, -b["i"])).otherwise(OTHER).alias("predicted"),
+                 F.when(heard, b["p"]).otherwise(1.0 / n).alias("posterior")),
+        lambda d: F.struct(d["predicted"].alias("predicted"), d["posterior"].alias("posterior"),
+                           (heard & F.array_contains(taken, d["predicted"]) & (d["posterior"] >= least)).alias("kept"))))
+    out = joined.withColumn("__decided", decide)
+    return out.select(*unpacked(passed), *[F.col("__decided")[c].alias(c) for c in ADDED])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it
+    (an expression named twice is computed twice, and so on in powers of two)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _posterior(scores: Column) -> Column:
-    return _normal(F.transform(scores, lambda x: F.exp(x - F.array_max(scores))))
+    return _let(scores, lambda s: _let(F.array_max(s), lambda top: _normal(F.transform(s, lambda x: F.exp(x - top)))))
 
 
 def _normal(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    return _let(weights, lambda w: _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x),
+                                        lambda total: F.transform(w, lambda x: x / total)))
 
 
 def _share(weights: Column) -> Column:
