@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, mix, windows
+from recallscope.llm.arrays import U64, mix, trim, windows
 from recallscope.llm.exchange import text_parts
 
 K = 8
@@ -152,6 +152,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(sketch), shown(changed),
                          likeness(sketch, changed), likeness(sketch, behind)))
             sketch = behind
+        trim()
         columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(
             (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
         return pa.table([table.column(id_col).take(pa.array(own, pa.int64())), *columns], names=[f.name for f in schema.fields])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recallscope.llm.arrays import U64, Words, lookup, runs, utf8
+from recallscope.llm.arrays import U64, Words, lookup, runs, trim, utf8
 from recallscope.llm.exchange import (ASK, PART, bucket_bounds, blobs, pack_keys, planes, text_parts, unpack_keys,
                                       unplanes, with_part)
 
@@ -159,6 +159,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask_blocks(key, table):
         keys, block, twice = make(table).probes()
+        trim()
         bounds = bucket_bounds(keys >> U64(32), buckets)
         return _questions(key[0].as_py(), [
             (b, pack_keys(keys[i:j] & U64(0xFFFFFFFF)), np.packbits(np.concatenate([block[i:j], twice[i:j]])).tobytes())
@@ -169,6 +170,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return _questions(0, [])
         p = make(table)
         starts, keys, bucket = p.candidates(_by_bucket(answers))
+        trim()
         order, start, owner = p.owners(starts, keys, bucket)
         k, b = keys[order[start]], bucket[order[start]]
         bounds = bucket_bounds(b, buckets)
@@ -205,6 +207,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cover = np.zeros(len(w.starts) + 1, np.int64)
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + window, -1)
+        trim()
         return _finish(p, np.cumsum(cover[:-1]) > 0, text_col, texts, schema)
 
     deal = dealt.groupBy(PART)

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from recallscope.llm.arrays import trim
 from recallscope.llm.tokenizing import encoder, slices
 
 ADDED = ("n_bytes", "n_tokens", "over_limit")
@@ -33,7 +34,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
 
     def count(batches):
         tokenizer = encoder(vocabulary)
-        tokenizer.clear()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             n = np.concatenate([np.zeros(0, np.int64), *(tokenizer.counts(texts) for _, texts in slices(column))])
@@ -41,6 +41,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in kept), n_bytes, pa.array(n), pa.array(n > limit)],
                 names=[f.name for f in schema.fields])
-        tokenizer.clear()
+            trim()
 
     return docs.mapInArrow(count, schema)

@@ -12,7 +12,7 @@ text are the ids of its pieces in order:
   equals the dummy prefix of the right-hand piece;
 * ``whole``: anything else is not split.
 
-Natural text repeats its words, so a task keeps a bounded table of the pieces it
+Natural text repeats its words, so a worker keeps a bounded table of the pieces it
 has encoded; only new pieces go to the library, in batches of equal bytes.
 """
 
@@ -26,7 +26,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
-TABLE_PIECES = 600_000  # entries of a task's table (about 120 MB); beyond, it starts anew
+TABLE_PIECES = 600_000  # entries of a worker's table (about 120 MB); beyond, it starts anew
 BATCH_BYTES = 256  # bytes a string given to the library (short ones are encoded fastest, a word at a time is slower)
 SLICE_BYTES = 1 << 21  # text bytes worked on at once
 MARK = b"\x01"  # stands between words in a library call; words holding it are encoded alone
@@ -225,8 +225,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a vocabulary file; its table is empty at first and is
-    to be cleared when a task ends, as workers are reused."""
+    """The process's encoder for a vocabulary file (workers are reused between tasks)."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallscope.llm.arrays import trim
 from recallscope.llm.tokenizing import encoder, slices
 
 GROUP_BYTES = 8 << 20  # text bytes packed together in one task
@@ -129,7 +130,6 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             heads = tokenizer.ids([x or b"" for x in _bytes(table, "__prompt", first, len(texts))])
             ids += [np.concatenate([h, x, [end_id]]).astype("<u4") for h, x in zip(heads, tokenizer.ids(texts))]
         lengths = np.array([len(x) for x in ids], np.int64)
-        tokenizer.clear()
         names = [(x is None, x, c) for x, c in zip(table.column(id_col).to_pylist(), (x[:64].tobytes() for x in ids))]
         # longest first; the id and the ids break ties, so the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (-lengths[i], names[i][0], names[i][1] or 0, names[i][2]))
@@ -143,6 +143,7 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         row = woven[pieces[:, 0]]
         begin, length = pieces[:, 1], pieces[:, 2]
         bare = np.clip(prompts[row] - begin, 0, length)
+        trim()
         return pa.table({
             id_col: table.column(id_col).take(pa.array(row)), "start": begin, "length": length,
             "ids": pa.array([ids[r][s : s + n].tobytes() for r, s, n in zip(row.tolist(), begin.tolist(), length.tolist())], pa.binary()),
