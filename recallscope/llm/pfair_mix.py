@@ -14,7 +14,7 @@ all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallscope.llm.passing import packed, unpacked
@@ -63,19 +63,22 @@ def schedule(spark, share: list[int]) -> DataFrame:
     return slots.select("index", (F.row_number().over(in_turn) - 1).alias("ordinal"), "slot")
 
 
-def tempered_targets(docs: DataFrame, source_col: str = "source", text_col: str = "text", power: float = 0.7) -> dict[str | None, float]:
+def tempered_targets(docs: DataFrame, source_col: str = "source", length: Column | None = None,
+                     power: float = 0.7) -> dict[str | None, float]:
     """Weights proportional to a power of the sources' amounts of text (a row per source;
     at most PERIOD sources)."""
-    sizes = docs.groupBy(source_col).agg(F.sum(F.char_length(text_col)).alias("n")).limit(PERIOD + 1).collect()
+    sizes = docs.groupBy(source_col).agg(F.sum(F.char_length("text") if length is None else length).alias("n")).limit(PERIOD + 1).collect()
     return {r[0]: max(1, int(r[1] or 0)) ** power for r in sizes}
 
 
 def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "doc_id", source_col: str = "source",
-              text_col: str = "text", block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+              length: Column | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``block`` (from 1, in its source), ``release``, ``deadline``, ``slot`` and
     ``block_offset`` (characters of the block before the text). Ascending (slot,
     block_offset, id) is the mixed order.
 
+    ``length`` is the column of a text's length, by default the characters of ``text``;
+    all columns of ``docs`` travel along, so leave out a text that is not needed.
     Every row is kept: a source that ends leaves its later slots empty. A text belongs
     to the block in which it begins; a null or empty text has no length. A null source
     is a source of its own; a source without a target is an error. Rows that repeat an
@@ -83,7 +86,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
     an added one are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ADDED if c in docs.columns and c not in (id_col, source_col, text_col)])
+    docs = docs.drop(*[c for c in ADDED if c in docs.columns and c not in (id_col, source_col)])
     columns = docs.columns
     share = integer_shares(targets, period)
     names = list(share)
@@ -94,7 +97,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str | None, float], id_col: str = "
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(packed(columns), known.alias("__index"), order.alias("__order"), F.col(id_col).alias("__id"),
-                       F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long").alias("__chars"))
+                       F.coalesce(F.char_length("text") if length is None else length, F.lit(0)).cast("long").alias("__chars"))
     place = F.conv(F.substring("__order", 1, 7), 16, 10).cast("long")
     rows = rows.withColumn("__range", F.floor(place * F.lit(ranges) / F.lit(1 << 28)).cast("int"))
 

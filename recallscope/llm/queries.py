@@ -73,8 +73,9 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = pfair_mix(docs, tempered_targets(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.char_length("text").alias("length"))
+    length = F.col("length")
+    mixed = pfair_mix(docs, tempered_targets(docs, length=length), length=length)
     return mixed.select("doc_id", "source", "block", "release", "deadline", "slot", "block_offset")
 
 
