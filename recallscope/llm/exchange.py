@@ -46,7 +46,7 @@ def planes(values: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(body).tobytes()
 
 
-def unplanes(blob: bytes, count: int | None = None) -> np.ndarray:
+def unplanes(blob: bytes) -> np.ndarray:
     width = blob[0]
     body = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
     out = np.zeros((body.shape[1], 8), np.uint8)

@@ -31,7 +31,6 @@ NODE = "__node"
 BLOCK = 512  # nodes of a component verified against each other in one task
 BIN_BYTES = 4 << 20  # text of small components verified in one task
 SMALL = 24  # up to so many nodes, components are verified together
-ADDED = ("class_id", "n_links", "n_copies", "keep")
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:

@@ -172,7 +172,7 @@ def language_id(docs: DataFrame, text_col: str = "text", declared: Column | None
     joined = scored.join(known, F.col("__domain").eqNullSafe(F.col("__kd")) & F.col("__host").eqNullSafe(F.col("__kh")), "left")
 
     everything = F.array(*[F.lit(x + 1.0 / n) for x in corpus])
-    prior = _share(_without(everything, "__own"))
+    prior = _normal(_without(everything, "__own"))
     prior = F.when(F.col("__d").isNull(), prior).otherwise(_smoothed("__d", "__own", prior))
     prior = F.when(F.col("__kh").isNull(), prior).otherwise(_smoothed("__h", "__own", prior))
     fused = _posterior(add(F.col("__evidence"), F.transform(prior, lambda x: F.log(F.greatest(x, F.lit(1e-9))))))
@@ -205,10 +205,6 @@ def _normal(weights: Column) -> Column:
                                         lambda total: F.transform(w, lambda x: x / total)))
 
 
-def _share(weights: Column) -> Column:
-    return _normal(weights)
-
-
 def _without(total: Column, own: str) -> Column:
     """A group's sums without the row's own share."""
     return F.zip_with(total, F.col(own), lambda x, y: F.greatest(x - y, F.lit(0.0)) + F.lit(1e-6))
