@@ -26,12 +26,14 @@ from recallscope.session import materialize
 SHARE = 0.75  # of a cell's rows in the subset
 STEPS = 3  # concentration steps
 LEAST_ROWS = 60  # a smaller cell is pooled with its language, then with all
-LIMIT = 10.0  # Mahalanobis distance beyond which a row is an outlier
-# chi-square, as many degrees of freedom as features: the median and the 97.5 % point (fixed values)
-CHI2_MEDIAN, CHI2_975 = 4.3515, 12.8325
+# chi-square, as many degrees of freedom as features: the median, the 97.5 % and the 1 - 1e-6 point (fixed values)
+CHI2_MEDIAN, CHI2_975, CHI2_FAR = 4.3515, 12.8325, 35.8882
+LIMIT = CHI2_FAR**0.5  # Mahalanobis distance beyond which a row is an outlier
 FEATURES = ("x1", "x2", "x3", "x4", "x5")
-#: Least standard deviation of a feature: what is not told apart below it.
-FLOOR = (0.25, 0.25, 0.15, 0.10, 0.10)
+#: Least standard deviation of a feature: what is not told apart below it. Clean texts have no
+#: symbols, but some repeat lines and words (x4 to 0.58, x5 to 0.56 together): narrower last two
+#: reject those, wider ones could not reject x4 (at most 1) or x5 (to 0.785 under the base rule) alone.
+FLOOR = (0.25, 0.25, 0.05, 0.14, 0.11)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*BASE, "base_failed", "distance", "kept")
 GAP = r"[\x20\x09-\x0D]+"

@@ -104,3 +104,31 @@ def test_small_cells_are_pooled(spark, sizes, want):
     for k, d in want.items():
         cell = depth[tuple(k.split("|"))]
         assert cell is None if d == 1 else cell.count("=") == d  # ten German rows: no cell is large enough
+
+
+def ordinary(n=400, seed=3):
+    """Vectors like those of plain prose: no symbols, few repeated lines or words."""
+    rng = np.random.default_rng(seed)
+    few = rng.random(n) < 0.1
+    x = np.column_stack([rng.normal(5.7, 0.8, n), rng.normal(5.0, 0.24, n), np.zeros(n), 0.25 * few, 0.2 * few])
+    return [list(map(float, r)) for r in x]
+
+
+@pytest.mark.parametrize("feature,value", list(enumerate([12.5, 8.0, 0.4**0.5, 0.97, 0.78])))
+def test_a_far_value_in_one_feature_is_rejected(spark, feature, value):
+    plain = [5.7, 5.0, 0.0, 0.0, 0.0]
+    far = [value if i == feature else x for i, x in enumerate(plain)]
+    rows = [(i, "all", *r) for i, r in enumerate([far, plain, *ordinary()])]
+    df = spark.createDataFrame(rows, "id int, __cell string, x1 double, x2 double, x3 double, x4 double, x5 double")
+    model = rules.estimates(df.drop("id"))
+    d = {r.id: r.d for r in df.join(model, "__cell").select("id", F.sqrt(rules._distance2(5) * F.col("scale")).alias("d")).collect()}
+    assert d[0] > rules.LIMIT and all(d[i] <= rules.LIMIT for i in d if i)
+
+
+def test_few_symbols_are_rejected(spark):
+    """A table of pipes, 0.4 symbols a word, among prose."""
+    texts = [prose(i, 80 + i) for i in range(100)]
+    table = "".join(w + ("| " if i % 5 < 2 else " ") for i, w in enumerate(words(prose(500, 150))))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([table, *texts])], "doc_id int, text string, lang string, source string")
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in rules.outlier_rules(docs).collect()}
+    assert kept.pop(0) == (False, False) and set(kept.values()) == {(True, False)}
