@@ -11,8 +11,8 @@ A text's class gets a log score from each source of evidence, added up:
   and that towards the corpus's. The priors come from grouped aggregates of the
   texts' own posteriors, each row taking its own share out again.
 
-The text model is fitted on a bounded sample of labelled rows (``sample_rows``);
-scores, priors and decisions cover every row and every whole text.
+The text model is fitted on a bounded number of distinct texts of every declared
+language (``sample_rows`` each); scores, priors and decisions cover every row and every whole text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from recallscope.llm.passing import packed, unpacked
 from recallscope.llm.stages import materialize
 
 SLOTS = 1 << 16  # hashed trigrams
-SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, at most
+SAMPLE_ROWS = 4000  # distinct texts of a language its model is fitted on, at most
+SAMPLE_TASKS = 8  # tasks that count them: each sends a vector per language
 MOST_LANGUAGES = 64
 FEW_TEXTS = 10  # labelled texts below which every trigram of a language counts
 OTHER = "und"
@@ -50,14 +51,26 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str, label: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities: languages and background x slots) from at most
-    ``sample_rows`` labelled rows, those of the least text hashes. Counts are summed
-    per language in Spark; what reaches the driver is one vector per language."""
+    """(languages, log probabilities: languages and background x slots) from every label's
+    distinct texts, at most ``sample_rows`` of each, those of the least text hashes: a
+    label is fitted however rare it is, and copies count once. More than MOST_LANGUAGES
+    labels are an error. Counts are summed per language in Spark; what reaches the driver
+    is a few numbers and one vector per language."""
     labelled = docs.select(F.col(text_col).alias("t"), label.alias("l")).where("l is not null and t is not null")
-    share = sample_rows / max(1, labelled.count())
-    if share < 0.5:  # thin out before ordering: the order needs only a few more rows than it keeps
-        labelled = labelled.where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 30)) < int(2 * share * (1 << 30)))
-    sample = labelled.orderBy(F.xxhash64("t"), "t", "l").limit(sample_rows)
+    labelled = labelled.withColumn("h", F.xxhash64("t"))
+    texts = materialize(labelled.select("l", "h").distinct())
+    sizes = {r.l: r.n for r in texts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are declared")
+
+    def up_to(last: dict[str, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("l") == x, F.col("h") <= h) for x, h in sorted(last.items())], F.lit(False))
+
+    # thin out before sorting: hashes are even, so the least ones are found among little more than twice as many
+    thin = {x: min((1 << 63) - 1, int((2 * sample_rows + 50) / n * (1 << 64)) - (1 << 63)) for x, n in sizes.items()}
+    least = texts.where(up_to(thin)).groupBy("l").agg(F.array_max(F.slice(F.sort_array(F.collect_list("h")), 1, sample_rows)).alias("h"))
+    last = {r.l: r.h for r in least.collect()}
+    sample = labelled.where(up_to(last)).groupBy("l", "h").agg(F.min("t").alias("t")).select("t", "l").coalesce(SAMPLE_TASKS)
 
     def count(batches):  # per language: occurrences and texts of each trigram, and the number of texts
         total: dict[str, np.ndarray] = {}
@@ -73,9 +86,7 @@ def fit(docs: DataFrame, text_col: str, label: Column, sample_rows: int = SAMPLE
         return pa.table({"l": table.column("l").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
 
     counted = sample.mapInArrow(count, "l string, n binary").groupBy("l").applyInArrow(add, "l string, n binary")
-    rows = sorted((r.l, np.frombuffer(r.n, "<i8")) for r in counted.limit(MOST_LANGUAGES + 1).collect())
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are declared")
+    rows = sorted((r.l, np.frombuffer(r.n, "<i8")) for r in counted.collect())
     names = [name for name, _ in rows]
     # a trigram of one text alone tells more of that text (or of a wrong label) than of the language
     seen = [np.where((n[SLOTS : 2 * SLOTS] > 1) | (n[-1] < FEW_TEXTS), n[:SLOTS], 0) for _, n in rows]

@@ -84,3 +84,19 @@ def test_page_evidence(spark):
            for r in page_evidence(spark.createDataFrame(rows, "url string, html string")).collect()]
     assert got == [("en", "de", "sub.example.de", "example.de", "Hi you"), (None, "fr", "a.example.com", "example.com", "text"),
                    (None, None, "example.com", "example.com", ""), ("de", None, None, None, ""), (None, None, None, None, "")]
+
+
+def test_rare_languages_and_copies(spark):
+    """A language with few texts is fitted beside frequent ones, and copies of a text
+    do not take the places of other texts or languages."""
+    rows = [(i, "the of and in that with for was edth ing " * 3 + str(i % 700), "en") for i in range(3000)]
+    rows += [(4000 + i, f"que los de la una con el se para ciones {i} " * 3, "es") for i in range(12)]
+    rows += [(5000 + i, "der die und das ist nicht ein zu den mit " * 3, "de") for i in range(3000)]  # copies of one text
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(5)
+    for sample_rows in (1, 20):
+        assert fit(docs, "text", F.col("lang"), sample_rows=sample_rows)[0] == ["de", "en", "es"]
+    got = language_id(docs, declared=F.col("lang"), sample_rows=20).collect()
+    assert len(got) == len(rows) and all(r.kept and r.predicted == r.lang for r in got)
+    # the model of copies is that of one text
+    one = docs.dropDuplicates(["lang", "text"])
+    assert (fit(docs, "text", F.col("lang"), 20)[1] == fit(one, "text", F.col("lang"), 20)[1]).all()
