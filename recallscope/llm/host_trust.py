@@ -4,7 +4,8 @@ Links are taken from the pages' html and summed to weighted edges between hosts.
 Trust is a personalised PageRank from trusted hosts along the links; distrust the
 same from blocked hosts against them (who links to bad hosts is suspect). A host
 is blocked if its distrust reaches a threshold and exceeds its trust. Seeds are
-the hosts most of whose pages a rule decides.
+the hosts most of whose pages a rule decides, and the hosts without pages, known
+from links only, that a rule decides as a whole.
 """
 
 from __future__ import annotations
@@ -96,17 +97,25 @@ def host_trust(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
     read = pages.select(packed(passed), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     edges = materialize(links(pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))))
 
-    hosts = read.select("host").where("host != ''").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("__above"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("host"))
+    hosts = (read.select("host").where("host != ''").unionByName(ends).distinct()
+             .select("host", F.explode(suffixes(F.col("host"))).alias("__above")))
     fit = F.struct((F.length("__rule_host") + F.length("__rule_path")).alias("size"), (F.col("__verdict") == "block").alias("blocks"),
                    F.concat("__rule_host", "__rule_path").alias("rule"), F.col("__rule_path").alias("path"))
     named = rules.select(F.col("host").alias("__rule_host"), F.col("path").alias("__rule_path"), F.col("verdict").alias("__verdict"))
     per_host = (hosts.join(named, F.col("__above") == F.col("__rule_host")).groupBy("host")
                 .agg(F.sort_array(F.collect_set(fit), asc=False).alias("__fits")))
-    ruled = read.join(per_host, "host", "left").withColumn(
-        "__fit", F.get(F.filter(F.coalesce("__fits", F.array().cast(per_host.schema["__fits"].dataType)),
-                                lambda r: F.col("path").startswith(r["path"])), F.lit(0)))
+    per_host = materialize(per_host)
 
-    share = ruled.where("host != ''").groupBy("host").agg(
+    def fitted(rows: DataFrame) -> DataFrame:
+        return rows.join(per_host, "host", "left").withColumn(
+            "__fit", F.get(F.filter(F.coalesce("__fits", F.array().cast(per_host.schema["__fits"].dataType)),
+                                    lambda r: F.col("path").startswith(r["path"])), F.lit(0)))
+
+    ruled = fitted(read)
+    # a host without pages counts as one page at its root
+    unseen = ends.distinct().join(read.select("host").distinct(), "host", "left_anti").withColumn("path", F.lit("/"))
+    share = ruled.where("host != ''").select("host", "__fit").unionByName(fitted(unseen).select("host", "__fit")).groupBy("host").agg(
         F.avg((F.coalesce(F.col("__fit.blocks"), F.lit(False))).cast("double")).alias("blocked"),
         F.avg((F.col("__fit").isNotNull() & ~F.coalesce(F.col("__fit.blocks"), F.lit(True))).cast("double")).alias("allowed"))
     share = materialize(share)

@@ -111,3 +111,19 @@ def test_query(spark):
         fit = rule(r.host, r.path, URL_RULES)
         assert (r.host, r.path) == split(pages[r.page_id]) and r.rule == (fit and fit[1])
         assert r.verdict == ("block" if fit and fit[0] else "allow")
+
+
+def test_seeds_without_pages(spark):
+    """Hosts that are only linked to are seeds where a rule decides them: blocked ones,
+    subdomains of a ruled domain and trusted ones, but not those with a rule for some paths only."""
+    out = {"a.test": ["x.bad.net"], "b.test": ["good.org"], "good.test": ["b.test"], "c.test": ["part.com"], "d.test": ["a.test"]}
+    pages = spark.createDataFrame([(i, f"http://{h}/x", "".join(f'<a href="http://{d}/p">' for d in to)) for i, (h, to) in enumerate(out.items())],
+                                  "page_id int, url string, html string")
+    rules = spark.createDataFrame([("bad.net", "/", "block"), ("good.org", "/", "allow"), ("part.com", "/only/", "block")],
+                                  "host string, path string, verdict string")
+    rows = {r.host: r for r in host_trust(pages, rules).collect()}
+    assert set(rows) == set(out)  # no row for a host without pages
+    assert {h for h, r in rows.items() if r.verdict == "block"} == {"a.test", "d.test"}
+    back = power([("x.bad.net", "a.test", 1), ("a.test", "d.test", 1)], ["x.bad.net"])
+    # a chain that returns to its seed still moves by 2 x 0.85 ** 30 of a seed after ROUNDS
+    assert all(abs(rows[h].distrust - back.get(h, 0.0)) < 0.016 for h in rows)
