@@ -68,3 +68,23 @@ select b.doc_id, b.source, b.block, b.block_offset,
   cast(((b.block - 1) // w) * 1000 + slot as bigint) as slot
 from blocks b join shares s using (source) join slots k on k.i = s.i and k.ordinal = (b.block - 1) % w
 """
+
+HARD_NEGATIVES = """
+with e as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+scored as (
+  select a.id as a, c.id as c, a.label = c.label as same,
+    cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) as bigint) as s
+  from e a join e c on a.id <> c.id where a.id % 100 = 0),
+positives as (
+  select a, c, s from scored where same qualify row_number() over (partition by a order by s desc, c) <= 5),
+negatives as (
+  select p.a, p.c as p, p.s as ps, n.c as n, n.s as ns, row_number() over (partition by p.a, p.c order by n.s desc, n.c) as r
+  from positives p join scored n on n.a = p.a where not n.same and 30 * p.s <= 100 * n.s and 100 * n.s <= 90 * p.s)
+select a as anchor_id, p as positive_id, cast(r as integer) as rank, n as negative_id, ps as positive_score, ns as negative_score
+from negatives where r <= 10
+"""

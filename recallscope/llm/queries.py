@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallscope.llm import oracle
+from recallscope.llm.hard_negatives import hard_negatives
 from recallscope.llm.host_trust import host_trust
 from recallscope.llm.jaccard_join import jaccard_join
 from recallscope.llm.katz import katz_scores
@@ -97,6 +98,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -110,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_host_trust": op9_host_trust,
         "op10_order_minhash": op10_order_minhash,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -118,4 +126,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
         "op4_jaccard_join": oracle.JACCARD_JOIN,
         "op7_pfair_mix": oracle.PFAIR_MIX,
+        "op12_hard_negatives": oracle.HARD_NEGATIVES,
     }
