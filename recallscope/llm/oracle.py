@@ -88,3 +88,32 @@ negatives as (
 select a as anchor_id, p as positive_id, cast(r as integer) as rank, n as negative_id, ps as positive_score, ns as negative_score
 from negatives where r <= 10
 """
+
+PHRASE_COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) as phrase
+  from w, (select unnest([1, 2, 3, 4]) as m)),
+f as (select lang, m, phrase, count(*) as f from grams group by all),
+totals as (select lang, sum(f) as n from f where m = 1 group by lang),
+candidates as (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m >= 2 and f >= 30),
+cuts as (
+  select c.lang, c.phrase, c.m, c.a, k, x.f as l, y.f as r,
+    cast((cast(2000000 as hugeint) * c.a) // (x.f + y.f) as bigint) as score
+  from (select *, unnest(range(1, m)) as k from candidates) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:m], ' ')),
+scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_phrases as (
+  select lang, a, array_to_string(ws[i:i + k - 1], ' ') as phrase
+  from (select *, unnest(range(1, m - k + 2)) as i from (select *, unnest(range(2, m)) as k from candidates))),
+replaced as (select distinct s.lang, s.phrase from scored s join inner_phrases p using (lang, phrase) where 100 * p.a >= 80 * s.a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from scored anti join replaced using (lang, phrase))
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked join totals using (lang) where rank <= 2000
+"""

@@ -16,6 +16,8 @@ from recallscope.llm.language_id import language_id, page_evidence
 from recallscope.llm.order_minhash import edited_neighbours
 from recallscope.llm.outlier_rules import BASE, outlier_rules
 from recallscope.llm.pfair_mix import pfair_mix, tempered_targets
+from recallscope.llm.phrases import phrase_collocations
+from recallscope.llm.ring_shards import ring_shards
 from recallscope.llm.substring_dedup import substring_dedup
 from recallscope.llm.token_counts import token_counts
 from recallscope.llm.vector_packing import vector_pack
@@ -98,12 +100,25 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + F.lit(8).cast("long")).alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = ring_shards(docs, shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "hops")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0, label=label)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -117,7 +132,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_host_trust": op9_host_trust,
         "op10_order_minhash": op10_order_minhash,
+        "op11_ring_shards": op11_ring_shards,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -127,4 +144,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": oracle.JACCARD_JOIN,
         "op7_pfair_mix": oracle.PFAIR_MIX,
         "op12_hard_negatives": oracle.HARD_NEGATIVES,
+        "op13_phrase_collocations": oracle.PHRASE_COLLOCATIONS,
     }
