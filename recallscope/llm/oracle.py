@@ -102,11 +102,11 @@ f as (select lang, m, phrase, count(*) as f from grams group by all),
 totals as (select lang, sum(f) as n from f where m = 1 group by lang),
 candidates as (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m >= 2 and f >= 30),
 cuts as (
-  select c.lang, c.phrase, c.m, c.a, k, x.f as l, y.f as r,
+  select c.lang, c.phrase, c.a, k, x.f as l, y.f as r,
     cast((cast(2000000 as hugeint) * c.a) // (x.f + y.f) as bigint) as score
-  from (select *, unnest(range(1, m)) as k from candidates) c
+  from (select lang, phrase, a, ws, m as size, unnest(range(1, m)) as k from candidates) c
   join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ')
-  join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:m], ' ')),
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:size], ' ')),
 scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
 inner_phrases as (
   select lang, a, array_to_string(ws[i:i + k - 1], ' ') as phrase
@@ -117,3 +117,54 @@ ranked as (
   from scored anti join replaced using (lang, phrase))
 select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked join totals using (lang) where rank <= 2000
 """
+
+RING_SHARDS = """
+with recursive crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+    from (select unnest(range(256)) as i))),
+docs as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+sums as (
+  select doc_id, strlen(text) + 8 as size, xor(list_reduce(list_prepend(4294967295, list_transform(
+    range(0, strlen(text)), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) as text_crc32,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as spot
+  from docs, crc_table),
+spots as (
+  select spot, shard, row_number() over (order by spot, shard) - 1 as i
+  from (select s as shard, cast('0x' || substr(md5('shard ' || s || ' point ' || v), 1, 15) as bigint) as spot
+        from (select unnest(range(24)) as s), (select unnest(range(256)) as v))),
+keys as (
+  select doc_id, size, text_crc32, k.spot, coalesce(p.i + 1, 0) as arc, row_number() over (order by k.spot, doc_id) - 1 as along
+  from sums k asof left join spots p on k.spot > p.spot),
+arcs as (select arc, count(*) as n, min(along) as low from keys group by arc),
+tries as (
+  select arc, shard, row_number() over (partition by arc order by away) - 1 as hop
+  from (select arc, shard, min((i - arc + 2 * 6144) % 6144) as away from arcs, spots group by arc, shard)),
+room as (
+  select s as shard, (select count(*) from keys) // 24 + case when s < (select count(*) from keys) % 24 then 1 else 0 end as most
+  from (select unnest(range(24)) as s)),
+rounds as (  -- arcs (arc >= 0: where their waiting keys start, how many) and shards (arc = -1 - shard: free places)
+  select cast(-1 as bigint) as hop, arc, low, n as waiting, cast(0 as bigint) as taken, cast(-1 as bigint) as shard from arcs
+  union all
+  select -1, -1 - shard, 0, most, 0, -1 from room
+  union all (
+    select hop, arc, low, waiting - take, take, shard from (
+      select r.hop + 1 as hop, r.arc, r.low + r.taken as low, r.waiting, t.shard, greatest(0, least(r.waiting, f.waiting - coalesce(
+        sum(r.waiting) over (partition by t.shard order by r.arc rows between unbounded preceding and 1 preceding), 0))) as take
+      from rounds r join tries t on t.arc = r.arc and t.hop = r.hop + 1 join rounds f on f.arc = -1 - t.shard
+      where r.arc >= 0 and r.waiting > 0)
+    union all
+    select f.hop + 1, f.arc, 0, greatest(0, f.waiting - coalesce(asked, 0)), 0, -1
+    from rounds f left join (
+      select t.shard, sum(r.waiting) as asked from rounds r join tries t on t.arc = r.arc and t.hop = r.hop + 1
+      where r.arc >= 0 and r.waiting > 0 group by t.shard) d on f.arc = -1 - d.shard
+    where f.arc < 0 and exists (select 1 from rounds w where w.arc >= 0 and w.waiting > 0))),
+runs as (
+  select low, taken, shard, cast(hop as integer) as hops,
+    coalesce(sum(taken) over (partition by shard order by low rows between unbounded preceding and 1 preceding), 0) as first_slot
+  from rounds where taken > 0)
+select doc_id, size, text_crc32, 'rows' as law, cast(shard as integer) as shard, cast(first_slot + along - low as bigint) as slot,
+  cast(null as integer) as grown_shard, hops
+from keys asof join runs on keys.along >= runs.low
+"""
