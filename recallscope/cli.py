@@ -21,6 +21,7 @@ from recallscope.design import DEFAULT_DESIGN
 from recallscope.operators import scoring, worklist
 from recallscope.plans import analysis
 from recallscope.sources import io
+from recallscope.sources.journal import FLUSH_ANSWERS
 
 
 def _fmt(path: str, given: str | None) -> str:
@@ -50,6 +51,11 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--parallelism", type=int, default=None, help="concurrent scorer tasks")
     s.add_argument("--in-flight", type=int, default=1, help="calls at once in one task")
     s.add_argument("--scorer", default=None, help="module:factory of the scorer (not needed for --dry-run)")
+    s.add_argument("--journal", default=None,
+                   help="folder where answers are saved while tasks run (default: beside the log, with -journal at the end "
+                        "of its name); it must lie on a store that Python tasks can write to")
+    s.add_argument("--no-journal", action="store_true", help="save answers only when the job ends")
+    s.add_argument("--flush-answers", type=int, default=FLUSH_ANSWERS, help="answers a task may hold unsaved")
     s.add_argument("--key-buckets", type=int, default=None,
                    help="also partition the log by a hash of the trial key (resume checks read only the buckets of "
                         "their keys); recorded with the log, another value is refused later")
@@ -85,7 +91,9 @@ def _score(spark: SparkSession, args) -> None:
     failures = scoring.run_scoring(spark, trials, args.predictions, _factory(args.scorer),
                                    max_trials=args.max_trials, vendors=vendors, conditions=conditions,
                                    parallelism=args.parallelism, dense=dense, key_buckets=args.key_buckets,
-                                   in_flight=args.in_flight)
+                                   in_flight=args.in_flight, flush_answers=args.flush_answers,
+                                   journal=None if args.no_journal else
+                                   args.journal or f"{args.predictions.rstrip('/')}-journal")
     if failures.get("failed"):
         print(f"{failures['failed']} calls failed: {', '.join(sorted(failures['reasons']))}", file=sys.stderr)
 

@@ -11,10 +11,11 @@ the job.
 
 Exactly-once notes: a scored DataFrame is written once and never evaluated
 twice (no count before the write); resume skips keys already in the target.
-Keep speculative execution off for paid scorers: a retried task repeats its
-calls, although the anti join keeps the table itself free of repeated keys
-across runs. Prompts can be large: batches are bounded by bytes
-(``spark.sql.execution.arrow.maxBytesPerBatch``, set where the scoring plan is built).
+Without a journal the unit of loss is the job; with one (``journal=``, see
+:mod:`recallscope.sources.journal`) answers are saved while tasks run, a retried task
+or a new run asks only for what was not saved, and the unit of loss is a call.
+Keep speculative execution off for paid scorers. Prompts can be large: Spark bounds
+batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default).
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from recallscope.operators.worklist import (
     assemble_predictions,
     build_prompt,
     build_worklist,
+    dedupe_predictions,
     limit_trials,
     model_expr,
     one_per_key,
@@ -41,10 +43,11 @@ from recallscope.operators.worklist import (
     route_fields,
 )
 from recallscope.sources.io import append_predictions, check_layout, key_bucket, log_layout, read_log_keys
+from recallscope.sources.journal import (FLUSH_ANSWERS, FLUSH_SECONDS, KEY_FIELDS, drop_runs, journal_runs, qualified,
+                                         read_journal, write_journal)
 
 SCORED_SCHEMA = ("trial_idx long, vendor string, model string, condition string, "
                  "ground_truth string, raw_output string, error string")
-ARROW_BATCH_BYTES = 64 << 20  # a batch carries whole prompts: bounded by bytes, not only rows
 
 
 class ByteLengthScorer:
@@ -100,7 +103,6 @@ def score(work: DataFrame, factory: Callable, design: Design = DEFAULT_DESIGN, i
     Parsing runs JVM-side after the Python step; ``error`` names the exception
     class of a failed call.
     """
-    work.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     cols = work.select("trial_idx", "vendor", "model", "condition", "prompt", "ground_truth")
     raw = cols.mapInPandas(_call_batches(factory, design.system_prompt, in_flight), SCORED_SCHEMA)
     return raw.withColumn("parsed_output", parse_output("raw_output"))
@@ -182,11 +184,43 @@ def logged_keys(spark: SparkSession, preds_path: str, design: Design = DEFAULT_D
     return log.where(cond).select(*KEYS)
 
 
+def merge_journal(spark: SparkSession, journal: str, preds_path: str, design: Design = DEFAULT_DESIGN,
+                  partition_by=("vendor", "condition"), key_buckets: int | None = None) -> dict:
+    """Move the answers that a journal holds into the log; returns failed calls as
+    :func:`run_scoring` does.
+
+    Idempotent per key: of answers to one key (a call repeated because its first answer
+    was not seen in time) one stays by the rule of :func:`dedupe_predictions`, keys
+    that the log has are left out, and the runs read here are deleted only after the
+    append has been committed. Repeated after a crash at any point it adds nothing twice.
+    """
+    runs = journal_runs(spark, journal)
+    if not runs:
+        return {"failed": 0, "reasons": []}
+    answers = read_journal(spark, runs).withColumn("parsed_output", parse_output("raw_output"))
+    # a key's answers travel as one row; an error class beside the columns of the log
+    kept = dedupe_predictions(answers)
+    errors = answers.groupBy(*KEY_FIELDS).agg(F.max("error").alias("error"))
+    kept = kept.join(errors, list(KEY_FIELDS)).withColumn(
+        "error", F.when(F.col("raw_output").isNull(), F.col("error")))
+    layout = log_layout(spark, preds_path)
+    if layout is not None:
+        buckets = None
+        if layout["key_buckets"]:  # at most that many values
+            buckets = [r[0] for r in answers.select(key_bucket(layout["key_buckets"])).distinct().collect()]
+        kept = pending_work(kept, logged_keys(spark, preds_path, design, buckets=buckets))
+    scored, seen = with_failures(kept)
+    append_predictions(assemble_predictions(scored), preds_path, partition_by, key_buckets)
+    drop_runs(spark, runs)
+    return failures(seen)
+
+
 def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory: Callable,
                 design: Design = DEFAULT_DESIGN, max_trials: int | None = None, vendors=None,
                 conditions=None, parallelism: int | None = None, dense: bool = False,
                 partition_by=("vendor", "condition"), key_buckets: int | None = None,
-                in_flight: int = 1) -> dict:
+                in_flight: int = 1, journal: str | None = None, flush_answers: int = FLUSH_ANSWERS,
+                flush_seconds: float = FLUSH_SECONDS) -> dict:
     """Score everything not yet in ``preds_path`` and append it.
 
     One lazy plan up to one write: rerunning adds no key twice, and a failed
@@ -194,12 +228,27 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
     of failed calls and their exception classes. A log of another layout is refused
     before any call.
 
+    With ``journal`` (a folder on a store that Python tasks can write to) answers
+    are saved as they are paid for, at most ``flush_answers`` and about ``flush_seconds``
+    behind: what an earlier, failed run left there is moved into the log first, then
+    only the rest is asked for, and at the end the journal is moved into the log.
+
     ``parallelism`` is the number of scorer tasks (the session's default parallelism
     if unset) and ``in_flight`` the calls at once in each; set them to what the
     API's rate limits allow.
     """
     check_layout(spark, preds_path, partition_by, key_buckets)
+    if journal is not None:
+        journal = qualified(spark, journal)
+        if journal.startswith(qualified(spark, preds_path).rstrip("/") + "/"):
+            raise ValueError("the journal must not lie below the log")
+        merge_journal(spark, journal, preds_path, design, partition_by, key_buckets)
     todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense, parallelism)
+    if journal is not None:
+        tasks = parallelism or spark.sparkContext.defaultParallelism
+        write_journal(todo.repartition(tasks, *KEYS), journal, factory, design.system_prompt, in_flight, flush_answers,
+                      flush_seconds)
+        return merge_journal(spark, journal, preds_path, design, partition_by, key_buckets)
     scored, seen = with_failures(score(todo, factory, design, in_flight))
     append_predictions(assemble_predictions(scored), preds_path, partition_by, key_buckets)
     return failures(seen)

@@ -21,6 +21,7 @@ from recallscope.operators import compare, metrics, plotdata, report, scoring, s
 from recallscope.plans import oracle as O
 from recallscope.session import fresh_path
 from recallscope.sources import io, views
+from recallscope.sources.journal import write_journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,6 +205,18 @@ def q_run_scoring(spark, sf):
     return io.read_predictions(spark, path)
 
 
+def q_run_scoring_journal(spark, sf):
+    """W14 after a job that was lost before its log was written: the journal holds the answers to
+    three conditions; the run moves them into the log and asks for the rest."""
+    path = fresh_path(spark, "scoring-journal")
+    t = _trials(spark, sf)
+    work = worklist.build_worklist(t, conditions=DONE_CONDITIONS)
+    write_journal(scoring.prompts_for(work), f"{path}-journal", scoring.byte_length_scorer,
+                  DEFAULT_DESIGN.system_prompt, flush_answers=1000)
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, journal=f"{path}-journal", flush_answers=1000)
+    return io.read_predictions(spark, path)
+
+
 def q_stream_scoring(spark, sf):
     from recallscope.streaming import stream_scoring
 
@@ -575,6 +588,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                      + "select trial_idx, vendor, model, condition, ground_truth, raw_output, parsed_output from parsed_v"),
     "assemble_predictions": (q_assemble_predictions, O.with_(*O.BASE_RAW) + f"select {PRED_COLS} from parsed_v"),
     "run_scoring": (q_run_scoring, O.scored_predictions_sql()),
+    "run_scoring_journal": (q_run_scoring_journal, O.scored_predictions_sql()),
     "stream_scoring": (q_stream_scoring, O.scored_predictions_sql()),
     # metrics
     "distinct_settings": (q_distinct_settings, O.with_(*O.BASE_PREDS)

@@ -1,0 +1,198 @@
+"""The answer journal: what was paid for survives a lost job, and is never paid for twice."""
+
+import collections
+import os
+import tempfile
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from recallscope.operators import scoring, worklist
+from recallscope.session import fresh_path
+from recallscope.sources import io, journal as J, views
+from tests.conftest import SF001
+
+SETTINGS = {"vendors": ["openai", "gemini"], "conditions": ["title_only", "doi_only"]}
+
+
+def _trials(spark, n=30):
+    return worklist.limit_trials(views.trials_v(spark, SF001), n)
+
+
+class Counting:
+    """Notes every call in a folder (one file per worker); ``crash_after`` calls in one worker end
+    that worker without a word, as a lost executor does."""
+
+    def __init__(self, folder, crash_after=None, refuse=()):
+        self.folder, self.crash_after, self.refuse = folder, crash_after, refuse
+
+    def __call__(self):
+        made = 0
+
+        def call(vendor, model, system_prompt, user_prompt):
+            nonlocal made
+            if self.crash_after is not None and made >= self.crash_after:
+                time.sleep(1.0)  # let the other tasks make some calls
+                os._exit(1)
+            made += 1
+            with open(f"{self.folder}/{os.getpid()}", "a") as f:
+                f.write(repr((vendor, user_prompt)) + "\n")
+            return scoring.ByteLengthScorer()(vendor, model, system_prompt, user_prompt)
+
+        return {v: call for v in ("openai", "gemini", "anthropic") if v not in self.refuse}
+
+
+def _calls(folder):
+    out = collections.Counter()
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as f:
+            out.update(f.read().splitlines())
+    return out
+
+
+def _same(a, b):
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _plain(spark, trials):
+    work = worklist.build_worklist(trials, **SETTINGS)
+    return worklist.assemble_predictions(scoring.score(scoring.prompts_for(work), scoring.byte_length_scorer))
+
+
+def _saved(spark, folder):
+    runs = J.journal_runs(spark, folder)
+    return J.read_journal(spark, runs) if runs else None
+
+
+def test_same_log_as_without_a_journal(spark):
+    path, t = fresh_path(spark, "j-log"), _trials(spark)
+    seen = scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, journal=f"{path}-journal", in_flight=3, **SETTINGS)
+    plain = fresh_path(spark, "j-plain")
+    want = scoring.run_scoring(spark, t, plain, scoring.byte_length_scorer, **SETTINGS)
+    _same(io.read_predictions(spark, path), io.read_predictions(spark, plain))
+    assert (seen["failed"], sorted(seen["reasons"])) == (want["failed"], sorted(want["reasons"]))
+    assert J.journal_runs(spark, f"{path}-journal") == []  # moved into the log, then deleted
+    scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, journal=f"{path}-journal", **SETTINGS)
+    assert io.read_predictions(spark, path).count() == 120
+
+
+def test_job_lost_midway(spark):
+    """A worker dies with its job: the log is not there, but the answers are; the next run asks only for
+    the others, and the log has every key once."""
+    path, folder = fresh_path(spark, "j-crash"), tempfile.mkdtemp(prefix="calls-", dir="/tmp")
+    t = _trials(spark)
+    with pytest.raises(Exception):
+        scoring.run_scoring(spark, t, path, Counting(folder, crash_after=4), journal=f"{path}-journal", parallelism=6,
+                            flush_answers=1, **SETTINGS)
+    before = _calls(folder)
+    saved = _saved(spark, f"{path}-journal")
+    n = saved.select(*worklist.KEYS).distinct().count()
+    # flush_answers=1 and one call at a time: no finished call is lost
+    assert 4 <= n == saved.count() == sum(before.values()) < 120
+    scoring.run_scoring(spark, t, path, Counting(folder), journal=f"{path}-journal", flush_answers=1, **SETTINGS)
+    after = _calls(folder)
+    assert sum(after.values()) - sum(before.values()) == 120 - n  # only what was not saved
+    log = io.read_predictions(spark, path)
+    assert log.count() == log.select(*worklist.KEYS).distinct().count() == 120
+    _same(log, _plain(spark, t))
+
+
+def test_error_outside_a_call_keeps_what_was_paid(spark):
+    """A vendor without a callable fails the job; the answers so far stay and are used."""
+    path, folder = fresh_path(spark, "j-refuse"), tempfile.mkdtemp(prefix="calls-", dir="/tmp")
+    t = _trials(spark, 10)
+    with pytest.raises(Exception, match="gemini"):
+        scoring.run_scoring(spark, t, path, Counting(folder, refuse=("gemini",)), journal=f"{path}-journal", parallelism=1,
+                            in_flight=4, flush_answers=1000, flush_seconds=1000, **SETTINGS)
+    paid = sum(_calls(folder).values())
+    assert paid == (0 if (s := _saved(spark, f"{path}-journal")) is None else s.count())
+    scoring.run_scoring(spark, t, path, Counting(folder), journal=f"{path}-journal", **SETTINGS)
+    assert sum(_calls(folder).values()) == 40
+    _same(io.read_predictions(spark, path), _plain(spark, t))
+
+
+def test_merge_repeated_after_a_crash(spark, monkeypatch):
+    """The append was committed, the journal not yet deleted: merging again adds nothing."""
+    path, t = fresh_path(spark, "j-merge"), _trials(spark, 12)
+    prompts = scoring.prompts_for(worklist.build_worklist(t, **SETTINGS))
+    for _ in range(2):  # every key twice, in two runs
+        J.write_journal(prompts, f"{path}-journal", scoring.byte_length_scorer, "s", flush_answers=5)
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "drop_runs", lambda *a: None)
+        first = scoring.merge_journal(spark, f"{path}-journal", path)
+    assert len(J.journal_runs(spark, f"{path}-journal")) == 2
+    again = scoring.merge_journal(spark, f"{path}-journal", path)
+    assert J.journal_runs(spark, f"{path}-journal") == [] and again["failed"] == 0
+    log = io.read_predictions(spark, path)
+    assert log.count() == 48 and first["failed"] == log.where("parsed_output = 'ERROR'").count()
+    _same(log, _plain(spark, t))
+
+
+def test_second_attempt_of_a_task(tmp_path):
+    """An attempt that ended early is continued; a torn segment is not seen."""
+    rows = [{"trial_idx": i, "vendor": "v", "model": "m", "condition": "c", "ground_truth": None, "prompt": str(i)} for i in range(10)]
+    asked = []
+
+    def factory():
+        def call(vendor, model, system_prompt, prompt):
+            asked.append(prompt)
+            return prompt
+        return call
+
+    def broken(n):
+        yield from rows[:n]
+        raise RuntimeError("input lost")
+
+    run = f"file://{tmp_path}/run-1"
+    with pytest.raises(RuntimeError):
+        J.save_answers(broken(6), J.Segments(run, 3, 0), factory, "s", flush_answers=4)
+    (tmp_path / "run-1" / "p000003" / "_1-torn-000000.parquet").write_bytes(b"PAR1")
+    saved = J.save_answers(iter(rows), J.Segments(run, 3, 1), factory, "s", in_flight=3, flush_answers=4)
+    assert asked[:6] == [str(i) for i in range(6)] and sorted(asked[6:]) == ["6", "7", "8", "9"] and saved.answers == 4
+    assert J.Segments(run, 3, 2).answered() == {(i, "v", "c") for i in range(10)}
+    assert J.Segments(run, 4, 0).answered() == set()
+
+
+def test_slow_calls_do_not_hold_saved_answers(tmp_path):
+    """Answers are written when they are old enough, though a call is still running."""
+    rows = [{"trial_idx": i, "vendor": "v", "model": "m", "condition": "c", "ground_truth": "x", "prompt": str(i)} for i in range(4)]
+    run, seen = f"file://{tmp_path}/run-1", []
+
+    def factory():
+        def call(vendor, model, system_prompt, prompt):
+            if prompt == "0":
+                time.sleep(2.5)
+                seen.append(len(J.Segments(run, 0, 9).answered()))
+            return prompt
+        return call
+
+    J.save_answers(iter(rows), J.Segments(run, 0, 0), factory, "s", in_flight=2, flush_answers=1000, flush_seconds=0.3)
+    assert seen == [3] and len(J.Segments(run, 0, 9).answered()) == 4
+
+
+def test_key_buckets_and_places(spark):
+    path, t = fresh_path(spark, "j-buckets"), _trials(spark, 8)
+    for _ in range(2):
+        scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, journal=f"{path}-journal", key_buckets=3, **SETTINGS)
+    _same(io.read_predictions(spark, path), _plain(spark, t))
+    with pytest.raises(ValueError, match="below the log"):
+        scoring.run_scoring(spark, t, path, scoring.byte_length_scorer, journal=f"{path}/_journal", key_buckets=3)
+    with pytest.raises(ValueError, match="store that Python"):
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.only.link./in", "file:///tmp")
+        J.qualified(spark, "viewfs://only/in/x")  # a store that only Spark opens is refused before any call
+
+
+def test_unset_answers_are_errors(spark):
+    """A failed call is saved as such and becomes an ERROR row, as without a journal."""
+    path, t = fresh_path(spark, "j-error"), _trials(spark, 5)
+
+    def factory():
+        def call(*a):
+            raise ConnectionError("down")
+        return call
+
+    seen = scoring.run_scoring(spark, t, path, factory, journal=f"{path}-journal", **SETTINGS)
+    assert seen["failed"] == 20 and seen["reasons"] == ["ConnectionError"]
+    log = io.read_predictions(spark, path)
+    assert log.where((F.col("parsed_output") == "ERROR") & F.col("raw_output").isNull()).count() == 20
