@@ -185,7 +185,7 @@ def logged_keys(spark: SparkSession, preds_path: str, design: Design = DEFAULT_D
 
 
 def merge_journal(spark: SparkSession, journal: str, preds_path: str, design: Design = DEFAULT_DESIGN,
-                  partition_by=("vendor", "condition"), key_buckets: int | None = None) -> dict:
+                  partition_by=("vendor", "condition"), key_buckets: int | None = None, check_log: bool = True) -> dict:
     """Move the answers that a journal holds into the log; returns failed calls as
     :func:`run_scoring` does.
 
@@ -193,6 +193,7 @@ def merge_journal(spark: SparkSession, journal: str, preds_path: str, design: De
     was not seen in time) one stays by the rule of :func:`dedupe_predictions`, keys
     that the log has are left out, and the runs read here are deleted only after the
     append has been committed. Repeated after a crash at any point it adds nothing twice.
+    ``check_log=False`` is for answers whose keys are known to be new: the log is not read.
     """
     runs = journal_runs(spark, journal)
     if not runs:
@@ -203,7 +204,7 @@ def merge_journal(spark: SparkSession, journal: str, preds_path: str, design: De
     errors = answers.groupBy(*KEY_FIELDS).agg(F.max("error").alias("error"))
     kept = kept.join(errors, list(KEY_FIELDS)).withColumn(
         "error", F.when(F.col("raw_output").isNull(), F.col("error")))
-    layout = log_layout(spark, preds_path)
+    layout = log_layout(spark, preds_path) if check_log else None
     if layout is not None:
         buckets = None
         if layout["key_buckets"]:  # at most that many values

@@ -228,6 +228,23 @@ def q_stream_scoring(spark, sf):
     return io.read_predictions(spark, target)
 
 
+def q_stream_scoring_state(spark, sf):
+    """W15 with keyed state: a log that a batch job began is the initial state; the stream adds the rest
+    (every trial file arrives twice, in a later micro-batch, and adds nothing)."""
+    from recallscope.streaming import stream_scoring
+
+    landing = fresh_path(spark, "trials-landing-state")
+    t = _trials(spark, sf)
+    for _ in range(2):
+        t.repartition(2, "trial_idx").write.mode("append").parquet(landing)
+    target = fresh_path(spark, "stream-scoring-state")
+    scoring.run_scoring(spark, t, target, scoring.byte_length_scorer, conditions=DONE_CONDITIONS,
+                        key_buckets=STREAM_KEY_BUCKETS)
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=2,
+                   key_buckets=STREAM_KEY_BUCKETS, seen="state")
+    return io.read_predictions(spark, target)
+
+
 # --- metrics -------------------------------------------------------------------
 
 def q_distinct_settings(spark, sf):
@@ -588,6 +605,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                      + "select trial_idx, vendor, model, condition, ground_truth, raw_output, parsed_output from parsed_v"),
     "assemble_predictions": (q_assemble_predictions, O.with_(*O.BASE_RAW) + f"select {PRED_COLS} from parsed_v"),
     "run_scoring": (q_run_scoring, O.scored_predictions_sql()),
+    "stream_scoring_state": (q_stream_scoring_state, O.scored_predictions_sql()),
     "run_scoring_journal": (q_run_scoring_journal, O.scored_predictions_sql()),
     "stream_scoring": (q_stream_scoring, O.scored_predictions_sql()),
     # metrics

@@ -17,6 +17,8 @@ from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import metrics, scoring, worklist
 from recallscope.session import materialize, shared_dir
 from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions, check_layout
+from recallscope.sources.journal import FLUSH_ANSWERS, qualified
+from recallscope.streaming import resume
 
 
 def _progress(spark: SparkSession, kind: str, target: str, checkpoint: str | None) -> str:
@@ -32,7 +34,8 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
                    design: Design = DEFAULT_DESIGN, checkpoint: str | None = None,
                    max_files_per_trigger: int | None = None, available_now: bool = True,
                    vendors=None, conditions=None, key_buckets: int | None = None,
-                   parallelism: int | None = None, in_flight: int = 1):
+                   parallelism: int | None = None, in_flight: int = 1, seen: str = "log", journal: str | None = None,
+                   flush_answers: int = FLUSH_ANSWERS):
     """Score trials as their files arrive.
 
     Each micro-batch is the batch job (:func:`pending_prompts`) on the arrived
@@ -42,7 +45,18 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
     ``key_buckets`` the target is partitioned by a hash of the key and a batch reads
     only the buckets of its own keys, in whatever order keys arrive.
     ``available_now`` processes what is there and stops.
+
+    ``seen="state"`` keeps what was handed out as keyed state of the stream instead, so a
+    micro-batch reads nothing of the log (:mod:`recallscope.streaming.resume`); for a
+    log that only this stream appends to. With it, ``journal`` saves answers while
+    tasks run (at most ``flush_answers`` behind), as in the batch job.
     """
+    if seen not in ("log", "state"):
+        raise ValueError('seen must be "log" or "state"')
+    if journal is not None:
+        if seen != "state":
+            raise ValueError('a journal needs seen="state"')
+        journal = qualified(spark, journal)
     check_layout(spark, preds_path, key_buckets=key_buckets)
     checkpoint = _progress(spark, "stream-scoring", preds_path, checkpoint)
     reader = spark.readStream.schema(TRIAL_SCHEMA)
@@ -56,9 +70,18 @@ def stream_scoring(spark: SparkSession, trials_dir: str, preds_path: str, factor
         scored = scoring.score(todo, factory, design, in_flight)
         append_predictions(worklist.assemble_predictions(scored), preds_path, key_buckets=key_buckets)
 
-    writer = trials.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
+    def score_new(batch: DataFrame, batch_id: int) -> None:
+        resume.score_pending(batch, batch_id, preds_path, factory, design, key_buckets, parallelism, in_flight, journal,
+                             vendors, conditions, flush_answers)
+
+    if seen == "state":
+        pending = resume.pending_stream(trials, resume.logged_settings(spark, preds_path), design, vendors, conditions)
+        writer = pending.writeStream.foreachBatch(score_new)
+    else:
+        writer = trials.writeStream.foreachBatch(score_batch)
+    writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    query = writer.start()
+    query = resume.start_with_state(spark, writer.start) if seen == "state" else writer.start()
     if available_now:
         query.awaitTermination()
     return query
