@@ -1,8 +1,9 @@
 """Readers and writers.
 
 CSV input follows the reference's dialect (doubled quotes, raw newlines in
-fields), which needs ``multiLine`` and is therefore not splittable: convert
-it to Parquet once (:func:`csv_to_parquet`) and run every job on Parquet.
+fields). Spark's own reader takes one task per file for it; trials and prediction
+logs go through :mod:`recallscope.sources.records`, which reads ranges of one file in many
+tasks. Converting a file once (:func:`csv_to_parquet`) spares later jobs the parsing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallscope.session import fresh_path, materialize, path_exists
+from recallscope.sources.records import read_csv
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_idx", T.LongType()),
@@ -68,6 +70,7 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     return r.format(fmt)
 
 
+POSITION = "__position"
 # Largest file table (one row per input file) sent whole to every task.
 POSITION_BROADCAST_LIMIT = 64 * 1024 * 1024
 
@@ -120,11 +123,16 @@ def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     case-insensitively as ``annotation_accept``. In a CSV the usual markers of
     a missing value, and a quoted empty field, are missing values.
     """
-    df = _reader(spark, fmt, None).load(path)
-    if not any(c.lower() == "trial_idx" for c in df.columns):
-        df = with_positions(df, fmt)
     if fmt == "csv":
-        df = df.select([F.when(~F.col(f"`{c}`").cast("string").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
+        df = _marked(read_csv(spark, path, _CSV_OPTIONS, position=POSITION))
+        if any(c.lower() == "trial_idx" for c in df.columns):
+            df = df.drop(POSITION)
+        else:
+            df = df.withColumnRenamed(POSITION, "trial_idx")
+    else:
+        df = _reader(spark, fmt, None).load(path)
+        if not any(c.lower() == "trial_idx" for c in df.columns):
+            df = with_positions(df, fmt)
     rename = {c: c.lower() for c in df.columns if c.lower() in TRIAL_SCHEMA.names}
     df = df.select([F.col(f"`{c}`").alias(rename.get(c, c)) for c in df.columns])
     if "sections_modified" not in df.columns:
@@ -132,8 +140,21 @@ def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return df.select([F.col(f.name).cast(f.dataType) for f in TRIAL_SCHEMA.fields])
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """A CSV's markers of a missing value as NULL, in every text column."""
+    return df.select([F.when(~F.col(f"`{f.name}`").isin(*MISSING), F.col(f"`{f.name}`")).alias(f.name)
+                      if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Prediction log; an explicit schema keeps partition columns as strings."""
+    """Prediction log; an explicit schema keeps partition columns as strings. In a CSV the usual
+    markers of a missing value, and a quoted empty field, are missing values, as in
+    :func:`read_trials`; columns are found by name, one that is not there is missing."""
+    if fmt == "csv":
+        df = _marked(read_csv(spark, path, _CSV_OPTIONS))
+        have = set(df.columns)
+        return df.select([(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                          for f in PREDICTION_SCHEMA.fields])
     return _reader(spark, fmt, PREDICTION_SCHEMA).load(path).select(*PREDICTION_COLUMNS)
 
 
@@ -209,14 +230,20 @@ def append_predictions(df: DataFrame, path: str, partition_by=("vendor", "condit
         write_text(spark, record, json.dumps(layout))
 
 
+def log_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of the log, with the bucket column where it has one."""
+    if not log_layout(spark, path)["key_buckets"]:
+        return PREDICTION_SCHEMA
+    return T.StructType([*PREDICTION_SCHEMA.fields, T.StructField(KEY_BUCKET, T.IntegerType())])
+
+
 def read_log_keys(spark: SparkSession, path: str, buckets=None) -> DataFrame:
     """The log's rows, with the bucket column where it has one; ``buckets`` (of a
     bucketed log) is a partition filter, so other directories are not read."""
     layout = log_layout(spark, path)
     if not layout["key_buckets"]:
         return read_predictions(spark, path)
-    schema = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField(KEY_BUCKET, T.IntegerType())])
-    log = spark.read.schema(schema).parquet(path)
+    log = spark.read.schema(log_schema(spark, path)).parquet(path)
     return log if buckets is None else log.where(F.col(KEY_BUCKET).isin(*buckets))
 
 
@@ -267,3 +294,9 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
