@@ -55,6 +55,8 @@ def _parser() -> argparse.ArgumentParser:
                    help="folder where answers are saved while tasks run (default: beside the log, with -journal at the end "
                         "of its name); it must lie on a store that Python tasks can write to")
     s.add_argument("--no-journal", action="store_true", help="save answers only when the job ends")
+    s.add_argument("--key-index", action="store_true",
+                   help="keep an index of the log's keys beside it and resume from that: only new log files are opened")
     s.add_argument("--flush-answers", type=int, default=FLUSH_ANSWERS, help="answers a task may hold unsaved")
     s.add_argument("--key-buckets", type=int, default=None,
                    help="also partition the log by a hash of the trial key (resume checks read only the buckets of "
@@ -92,6 +94,7 @@ def _score(spark: SparkSession, args) -> None:
                                    max_trials=args.max_trials, vendors=vendors, conditions=conditions,
                                    parallelism=args.parallelism, dense=dense, key_buckets=args.key_buckets,
                                    in_flight=args.in_flight, flush_answers=args.flush_answers,
+                                   key_index=args.key_index,
                                    journal=None if args.no_journal else
                                    args.journal or f"{args.predictions.rstrip('/')}-journal")
     if failures.get("failed"):

@@ -42,6 +42,7 @@ from recallscope.operators.worklist import (
     pending_work,
     route_fields,
 )
+from recallscope.sources import key_index as key_index_of
 from recallscope.sources.io import append_predictions, check_layout, key_bucket, log_layout, read_log_keys
 from recallscope.sources.journal import (FLUSH_ANSWERS, FLUSH_SECONDS, KEY_FIELDS, drop_runs, journal_runs, qualified,
                                          read_journal, write_journal)
@@ -138,7 +139,7 @@ def prompts_for(work: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
 def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | None,
                     design: Design = DEFAULT_DESIGN, max_trials: int | None = None,
                     vendors=None, conditions=None, dense: bool = False,
-                    parallelism: int | None = None) -> DataFrame:
+                    parallelism: int | None = None, key_index: bool = False) -> DataFrame:
     """Prompts still to score, spread over ``parallelism`` tasks.
 
     One trial per key (:func:`one_per_key`), log or no log. The resume check runs
@@ -146,7 +147,9 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
     pending settings of a trial are gathered (at most one per setting), joined to
     the trials, and only then expanded to prompts, so texts are shuffled per trial
     and not per (trial, setting), and calls run in as many tasks as asked for, even
-    when the trials are one unsplittable file.
+    when the trials are one unsplittable file. With ``key_index`` the narrow keys are
+    probed against the log's resume index instead, which is brought up to date first
+    (:mod:`recallscope.sources.key_index`): of the log only files new since then are opened.
     """
     trials = limit_trials(trials, max_trials, dense)
     if not (dense or max_trials):
@@ -157,11 +160,14 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
         return prompts_for(build_worklist(trials.repartition(tasks), design, vendors, conditions), design)
     trial_range = (0, max_trials - 1) if dense and max_trials else None  # dense keys: the limit is this key range
     narrow = trials.select("trial_idx")
-    buckets = None
-    if layout["key_buckets"]:  # at most that many values
-        buckets = [r[0] for r in narrow.select(key_bucket(layout["key_buckets"])).distinct().collect()]
-    done = logged_keys(spark, preds_path, design, vendors, conditions, trial_range, buckets)
-    pending = pending_work(build_worklist(narrow, design, vendors, conditions), done)
+    work = build_worklist(narrow, design, vendors, conditions)
+    if key_index:
+        pending = key_index_of.pending_by_index(work, key_index_of.refresh(spark, preds_path))
+    else:
+        buckets = None
+        if layout["key_buckets"]:  # at most that many values
+            buckets = [r[0] for r in narrow.select(key_bucket(layout["key_buckets"])).distinct().collect()]
+        pending = pending_work(work, logged_keys(spark, preds_path, design, vendors, conditions, trial_range, buckets))
     cells = pending.groupBy("trial_idx").agg(F.collect_list(F.struct("condition", "vendor")).alias("_cells"))
     spread = trials.join(cells, "trial_idx").repartition(tasks)
     return prompts_for(spread.select(*trials.columns, F.inline("_cells")), design)
@@ -221,7 +227,7 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
                 conditions=None, parallelism: int | None = None, dense: bool = False,
                 partition_by=("vendor", "condition"), key_buckets: int | None = None,
                 in_flight: int = 1, journal: str | None = None, flush_answers: int = FLUSH_ANSWERS,
-                flush_seconds: float = FLUSH_SECONDS) -> dict:
+                flush_seconds: float = FLUSH_SECONDS, key_index: bool = False) -> dict:
     """Score everything not yet in ``preds_path`` and append it.
 
     One lazy plan up to one write: rerunning adds no key twice, and a failed
@@ -233,6 +239,8 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
     are saved as they are paid for, at most ``flush_answers`` and about ``flush_seconds``
     behind: what an earlier, failed run left there is moved into the log first, then
     only the rest is asked for, and at the end the journal is moved into the log.
+    ``key_index`` keeps a resume index beside the log, so that a run opens only log files
+    that the index has not seen.
 
     ``parallelism`` is the number of scorer tasks (the session's default parallelism
     if unset) and ``in_flight`` the calls at once in each; set them to what the
@@ -244,7 +252,8 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
         if journal.startswith(qualified(spark, preds_path).rstrip("/") + "/"):
             raise ValueError("the journal must not lie below the log")
         merge_journal(spark, journal, preds_path, design, partition_by, key_buckets)
-    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense, parallelism)
+    todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense, parallelism,
+                           key_index)
     if journal is not None:
         tasks = parallelism or spark.sparkContext.defaultParallelism
         write_journal(todo.repartition(tasks, *KEYS), journal, factory, design.system_prompt, in_flight, flush_answers,

@@ -20,7 +20,7 @@ from recallscope.functions import wald_ci
 from recallscope.operators import compare, metrics, plotdata, report, scoring, sections, worklist
 from recallscope.plans import oracle as O
 from recallscope.session import fresh_path
-from recallscope.sources import io, views
+from recallscope.sources import io, key_index, views
 from recallscope.sources.journal import write_journal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,26 @@ def q_remaining_count(spark, sf):
     return worklist.remaining_count(_work(spark, sf), _log(spark, sf))
 
 
+def _indexed_log(spark, sf):
+    """The same log written in two appends, its index brought up to date after each."""
+    path = fresh_path(spark, "indexed-log")
+    log = worklist.assemble_predictions(_log(spark, sf))
+    for part in (F.col("trial_idx") % 3 == 0, F.col("trial_idx") % 3 != 0):
+        io.append_predictions(log.where(part), path)
+        index = key_index.refresh(spark, path)
+    return index
+
+
+def q_pending_work_index(spark, sf):
+    """W8 from the resume index: no log file is opened for it."""
+    return key_index.pending_by_index(_work(spark, sf), _indexed_log(spark, sf)).select("trial_idx", "condition", "vendor")
+
+
+def q_remaining_count_index(spark, sf):
+    """W9 from the index's cardinalities."""
+    return key_index.remaining_by_index(_trials(spark, sf), _indexed_log(spark, sf))
+
+
 def q_attach_model(spark, sf):
     return worklist.attach_model(_work(spark, sf).select("trial_idx", "condition", "vendor"))
 
@@ -525,6 +545,12 @@ def _heatmap_sql(design=DEFAULT_DESIGN):
             f"and vendor in (select vendor from metrics where f1_macro is not null) group by vendor")
 
 
+def _pending_sql():
+    return (O.with_(*O.BASE_RAW, O.work_cte(), _log_cte())
+            + "select trial_idx, condition, vendor from work w where not exists (select 1 from log l "
+              "where l.trial_idx = w.trial_idx and l.vendor = w.vendor and l.condition = w.condition)")
+
+
 def _scan_trials_sql():
     return (O.with_(*O.BASE_TRIALS)
             + """select cast(row_number() over (order by trial_idx) - 1 as bigint) as trial_idx, nullif(title, '') as title,
@@ -577,7 +603,8 @@ _MODEL_CASE = O.case_map("vendor", DEFAULT_DESIGN.models)
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     # sources / sinks
     "scan_trials": (q_scan_trials, _scan_trials_sql()),
-    "scan_predictions": (q_scan_predictions, O.with_(*O.BASE_RAW) + f"select {PRED_COLS} from parsed_v"),
+    "scan_predictions": (q_scan_predictions, O.with_(*O.BASE_RAW) + "select trial_idx, vendor, model, condition, "
+                         "nullif(raw_output, '') as raw_output, parsed_output, ground_truth from parsed_v"),
     "scan_metrics": (q_scan_metrics, _sql_preds_metrics() + f"select {O.METRIC_SELECT} from metrics"),
     "append_predictions": (q_append_predictions, O.with_(*O.BASE_RAW) + f"select {PRED_COLS} from parsed_v"),
     "write_tables": (q_write_tables, _sql_preds_metrics() + f"select {O.METRIC_SELECT} from metrics"),
@@ -594,10 +621,10 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "build_prompt": (q_build_prompt, _work_sql(_prompt_select())),
     "completed_keys": (q_completed_keys, O.with_(*O.BASE_RAW, _log_cte())
                        + "select distinct trial_idx, vendor, condition from log"),
-    "pending_work": (q_pending_work, O.with_(*O.BASE_RAW, O.work_cte(), _log_cte())
-                     + "select trial_idx, condition, vendor from work w where not exists (select 1 from log l "
-                       "where l.trial_idx = w.trial_idx and l.vendor = w.vendor and l.condition = w.condition)"),
+    "pending_work": (q_pending_work, _pending_sql()),
+    "pending_work_index": (q_pending_work_index, _pending_sql()),
     "remaining_count": (q_remaining_count, _remaining_sql()),
+    "remaining_count_index": (q_remaining_count_index, _remaining_sql()),
     "attach_model": (q_attach_model, _work_sql(f"select trial_idx, condition, vendor, {_MODEL_CASE} as model from work")),
     "dedupe_predictions": (q_dedupe_predictions, _dedupe_sql()),
     "score_batch": (q_score_batch, O.scored_predictions_sql()),

@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from recallscope.sources.io import delete
+
 KEY_FIELDS = ("trial_idx", "vendor", "condition")
 ANSWER_FIELDS = ("trial_idx", "vendor", "model", "condition", "ground_truth", "raw_output", "error")
 ANSWER_SCHEMA = "trial_idx long, vendor string, model string, condition string, ground_truth string, raw_output string, error string"
@@ -219,7 +221,5 @@ def read_journal(spark: SparkSession, runs: list[str]) -> DataFrame:
 
 
 def drop_runs(spark: SparkSession, runs: list[str]) -> None:
-    jvm = spark.sparkContext._jvm
     for run in runs:
-        jpath = jvm.org.apache.hadoop.fs.Path(run)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        delete(spark, run)
