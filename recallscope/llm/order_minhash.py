@@ -43,10 +43,17 @@ class Sketcher:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
         k = min(self.k, len(points))
         kmer, _ = windows(points + U64(1), np.zeros(len(points), np.int8), k)
-        # occurrence numbers: sort (k-mer, position) as one integer; equal k-mers then stand in text order
+        # occurrence numbers: equal k-mers side by side, in text order. The low bits of the hash make room for the
+        # position, so that one plain sort does it; a k-mer's value stays its whole hash, whatever the length of
+        # the text, and where two k-mers differ in those low bits only, the slower stable sort is used
         bits = U64(max(1, len(kmer).bit_length()))
         packed = np.sort(kmer >> bits << bits | np.arange(len(kmer), dtype=U64))
-        kmer, place = packed >> bits, packed & ((U64(1) << bits) - U64(1))
+        place = (packed & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        ranked, packed = kmer[place], packed >> bits
+        if ((packed[1:] == packed[:-1]) & (ranked[1:] != ranked[:-1])).any():
+            place = np.argsort(kmer, kind="stable")
+            ranked = kmer[place]
+        kmer = ranked
         rank = np.arange(len(kmer))
         new = np.concatenate([[True], kmer[1:] != kmer[:-1]])
         number = rank - np.maximum.accumulate(np.where(new, rank, 0))
