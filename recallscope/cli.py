@@ -68,6 +68,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--trials", default=None, help="trials table, for the section tables")
     a.add_argument("--trials-format", choices=("csv", "parquet"))
     a.add_argument("--output-dir", required=True)
+    a.add_argument("--snapshot", action="store_true", help="publish all tables at once as a new version below _versions")
     a.add_argument("--charts", action="store_true", help="also write the data behind the charts")
 
     c = sub.add_parser("convert", help="reference-dialect CSV to Parquet")
@@ -106,7 +107,7 @@ def _analyze(spark: SparkSession, args) -> None:
     trials = None
     if args.trials:
         trials = io.read_trials(spark, args.trials, _fmt(args.trials, args.trials_format))
-    tables = analysis.analyze(spark, preds, args.output_dir, trials, charts=args.charts)
+    tables = analysis.analyze(spark, preds, args.output_dir, trials, charts=args.charts, snapshot=args.snapshot)
     print(f"Wrote {len(tables)} tables to {args.output_dir}")
 
 

@@ -19,6 +19,7 @@ from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import compare, metrics, plotdata, report, sections
 from recallscope.session import materialize
 from recallscope.sources.io import write_tables, write_text
+from recallscope.sources.snapshots import publishing
 
 
 # key of the section report's lines among the result tables (written as text)
@@ -82,9 +83,13 @@ def chart_tables(preds: DataFrame | None, design: Design = DEFAULT_DESIGN, m: Da
 
 
 def analyze(spark: SparkSession, preds: DataFrame, out_dir: str, trials: DataFrame | None = None,
-            design: Design = DEFAULT_DESIGN, charts: bool = False) -> dict[str, DataFrame]:
-    """Write every result table (and optionally the chart data) to ``out_dir``."""
-    return analyze_counts(spark, log_counts(preds), out_dir, trials, design, charts)
+            design: Design = DEFAULT_DESIGN, charts: bool = False, snapshot: bool = False) -> dict[str, DataFrame]:
+    """Write every result table (and optionally the chart data) to ``out_dir``; as a new version that
+    becomes current at once (:mod:`recallscope.sources.snapshots`) with ``snapshot``."""
+    if not snapshot:
+        return analyze_counts(spark, log_counts(preds), out_dir, trials, design, charts)
+    with publishing(spark, out_dir) as folder:
+        return analyze_counts(spark, log_counts(preds), folder, trials, design, charts)
 
 
 def analyze_counts(spark: SparkSession, counts: DataFrame, out_dir: str, trials: DataFrame | None = None,

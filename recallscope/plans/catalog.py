@@ -20,7 +20,7 @@ from recallscope.functions import wald_ci
 from recallscope.operators import compare, metrics, plotdata, report, scoring, sections, worklist
 from recallscope.plans import oracle as O
 from recallscope.session import fresh_path
-from recallscope.sources import io, key_index, views
+from recallscope.sources import io, key_index, snapshots, views
 from recallscope.sources.journal import write_journal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,17 @@ def q_write_tables(spark, sf):
     return io.read_metrics(spark, f"{path}/metrics", fmt="csv")
 
 
+def q_write_tables_snapshot(spark, sf):
+    """C5 as versions: an earlier result set (of a part of the log), then the whole one; what is current is read."""
+    path = fresh_path(spark, "snapshots")
+    p = _preds(spark, sf)
+    for log in (p.where("trial_idx % 2 = 0"), p):
+        m = metrics.metrics_by_setting(log)
+        now = snapshots.publish_tables(spark, {"metrics": m, "degradation": compare.degradation(m, FLAG_DESIGN)}, path,
+                                       order_by={"metrics": [FLAG_DESIGN.condition_ord(), FLAG_DESIGN.vendor_ord()]})
+    return now.table("metrics")
+
+
 # --- worklist and scoring ------------------------------------------------------
 
 def q_limit_trials(spark, sf):
@@ -608,6 +619,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "scan_metrics": (q_scan_metrics, _sql_preds_metrics() + f"select {O.METRIC_SELECT} from metrics"),
     "append_predictions": (q_append_predictions, O.with_(*O.BASE_RAW) + f"select {PRED_COLS} from parsed_v"),
     "write_tables": (q_write_tables, _sql_preds_metrics() + f"select {O.METRIC_SELECT} from metrics"),
+    "write_tables_snapshot": (q_write_tables_snapshot, _sql_preds_metrics() + f"select {O.METRIC_SELECT} from metrics"),
     # worklist / scoring
     "limit_trials": (q_limit_trials, O.with_(*O.BASE_TRIALS)
                      + f"select trial_idx, title, annotation_accept from trials_v order by trial_idx limit {LIMIT_N}"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -68,12 +70,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Inside, :func:`materialize` writes below one folder of the shared store, which is deleted on the
+    way out. For work that repeats for as long as a stream runs: checkpoints would pile
+    up. Nothing materialized inside may be read after it."""
+    folder = fresh_path(spark, "scratch")
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def materialize(df):
     """Compute a small result once and cut its lineage.
 
     For tables bounded by the experiment design (one row per setting) that
     several later steps read. ``checkpoint`` writes to the shared checkpoint
-    folder, so the result survives the loss of any executor.
+    folder, so the result survives the loss of any executor; inside :func:`scratch`
+    a Parquet table there does the same.
     """
+    folder = _SCRATCH.get()
+    if folder is not None:
+        path = f"{folder}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recallscope.design import DEFAULT_DESIGN, Design
 from recallscope.operators import metrics, scoring, worklist
-from recallscope.session import materialize, shared_dir
+from recallscope.session import materialize, scratch, shared_dir
 from recallscope.sources.io import PREDICTION_SCHEMA, TRIAL_SCHEMA, append_predictions, check_layout
 from recallscope.sources.journal import FLUSH_ANSWERS, qualified
+from recallscope.sources.snapshots import publishing
 from recallscope.streaming import resume
 
 
@@ -121,7 +122,7 @@ def run_stream_metrics(spark: SparkSession, preds_dir: str, out_path: str, check
 
 def run_stream_analysis(spark: SparkSession, preds_dir: str, out_dir: str, trials: DataFrame | None = None,
                         design: Design = DEFAULT_DESIGN, charts: bool = False, checkpoint: str | None = None,
-                        max_files_per_trigger: int | None = None, available_now: bool = True):
+                        max_files_per_trigger: int | None = None, available_now: bool = True, snapshots: bool = False):
     """Keep every result table and both text reports current as prediction
     files arrive (the reference re-runs its whole analysis over the grown log).
 
@@ -129,7 +130,10 @@ def run_stream_analysis(spark: SparkSession, preds_dir: str, out_dir: str, trial
     one row per setting plus at most a few NULL-key groups; complete output
     mode hands each micro-batch that whole table, which is materialized and
     given to the analysis, which derives every table from it and overwrites
-    the outputs. No micro-batch re-reads the log.
+    the outputs. No micro-batch re-reads the log. With ``snapshots`` each micro-batch
+    publishes a new version instead (:mod:`recallscope.sources.snapshots`): readers
+    see all tables of one micro-batch, never a mixture. What a micro-batch
+    materializes on the way is deleted when it ends.
     """
     from recallscope.plans import analysis
 
@@ -140,7 +144,13 @@ def run_stream_analysis(spark: SparkSession, preds_dir: str, out_dir: str, trial
     counts = metrics.model_counts(reader.parquet(preds_dir))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        analysis.analyze_counts(spark, materialize(batch), out_dir, trials, design, charts)
+        with scratch(spark):
+            counted = materialize(batch)
+            if not snapshots:
+                analysis.analyze_counts(spark, counted, out_dir, trials, design, charts)
+                return
+            with publishing(spark, out_dir, info={"batch": batch_id}) as folder:
+                analysis.analyze_counts(spark, counted, folder, trials, design, charts)
 
     writer = (counts.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint))
