@@ -28,16 +28,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallscope.llm.arrays import distinct, lookup, trim
-from recallscope.llm.stages import last_reader, materialize
+from recallscope.llm.stages import last_reader
 from recallscope.session import fresh_path
 
 SCALE = 2_000_000
 CHUNK_BYTES = 8 << 20
+BROADCAST_ROWS = 300_000  # of phrases, or languages, that are sent to every task; more are joined by a shuffle
 HARD, SOFT = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 KIND = np.zeros(256, np.uint8)
 KIND[list(SOFT)], KIND[list(HARD)] = 1, 2
@@ -47,6 +48,7 @@ NONE = np.int32(-1)  # between pieces, and where a phrase is not frequent
 
 TOKENS = "chunk long, lang string, local int, phrase string, n long, seq binary"
 COUNTS = "chunk long, lang string, local int, second int, phrase string, n long"
+PAIR_CHUNKS = "chunk long, lang string, seq binary, locals binary, names array<string>"
 
 
 def chunks(flat: np.ndarray, limit: int = CHUNK_BYTES):
@@ -129,8 +131,8 @@ def _counted(chunk: int, lang: str, first, second, phrase: pa.Array, n) -> pa.Ta
 
 
 def _seq(table: pa.Table) -> tuple[int, str, np.ndarray]:
-    row = table.slice(0, 1).to_pylist()[0]
-    return row["chunk"], row["lang"], np.frombuffer(row["seq"], np.int32)
+    value = lambda c: table.column(c)[0].as_py()
+    return value("chunk"), value("lang"), np.frombuffer(value("seq"), np.int32)
 
 
 def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -152,41 +154,44 @@ def _word_pairs(seqs: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def _pair_chunks(seqs: pa.Table, answers: pa.Table) -> pa.Table:
-    """The chunk in numbers of its frequent pairs; places without one are drawn together."""
-    empty = pa.table({"chunk": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "seq": pa.array([], pa.binary())})
+    """The chunk in numbers of its frequent pairs, places without one drawn together, and those
+    pairs: their local numbers and names."""
+    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()), ("locals", pa.binary()),
+                        ("names", pa.list_(pa.string()))])
     if seqs.num_rows == 0 or answers.num_rows == 0:
-        return empty
+        return schema.empty_table()
     level = answers.column("level")
     kept, _ = _by_local(answers.filter(pc.equal(level, 1)))
-    pairs, _ = _by_local(answers.filter(pc.equal(level, 2)))
+    pairs, names = _by_local(answers.filter(pc.equal(level, 2)))
     if not len(pairs):
-        return empty
+        return schema.empty_table()
     chunk, lang, seq = _seq(seqs)
     key, ok = _pairs(_recoded(seq, kept), len(kept))
     at, found = lookup(key, distinct(key[ok])[pairs])
     codes = np.where(ok & found, at, NONE).astype(np.int32)
     keep = (codes >= 0) | np.concatenate([[True], codes[:-1] >= 0])
     trim()
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang], pa.string()),
-                     "seq": pa.array([codes[keep].tobytes()], pa.binary())})
+    names = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+    return pa.Table.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([codes[keep].tobytes()], pa.binary()),
+                                 pa.array([pairs.astype(np.int32).tobytes()], pa.binary()), names], schema=schema)
 
 
-def _extensions(seqs: pa.Table, answers: pa.Table) -> pa.Table:
+def _extensions(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     """Counts of all extensions by one word of the prefixes to expand. ``answers`` holds the
-    chunk's frequent pairs (level 2, ``expand`` where it is to be) and the triples to
-    expand (level 3, as numbers of their two pairs)."""
+    chunk's pairs to expand (``second`` < 0) and triples (numbers of their two pairs)."""
     nothing = _counted(0, "", [], [], pa.array([], pa.string()), np.zeros(0, np.int64))
-    if seqs.num_rows == 0 or answers.num_rows == 0:
+    if chunks.num_rows == 0 or answers.num_rows == 0:
         return nothing
-    chunk, lang, seq = _seq(seqs)
-    pairs = answers.filter(pc.equal(answers.column("level"), 2)).sort_by("local")
-    names, n = pairs.column("phrase").combine_chunks(), pairs.num_rows
-    expand = np.append(pairs.column("expand").to_numpy(zero_copy_only=False).astype(bool), False)
-    triples = answers.filter(pc.equal(answers.column("level"), 3))
-    # local numbers of pairs count all distinct pairs of the chunk; its codes count the frequent ones
-    local = pairs.column("local").to_numpy()
-    code = lambda c: np.searchsorted(local, triples.column(c).to_numpy())
-    wanted = np.sort(code("local") * n + code("second"))
+    chunk, lang, seq = _seq(chunks)
+    # local numbers count all distinct pairs of the chunk, its codes the frequent ones
+    local = np.frombuffer(chunks.column("locals")[0].as_py(), np.int32)
+    names = chunks.column("names").combine_chunks().flatten()
+    n = len(local)
+    first, second = (np.searchsorted(local, answers.column(c).to_numpy()) for c in ("local", "second"))
+    pair = answers.column("second").to_numpy() < 0
+    expand = np.zeros(n + 1, bool)  # the last stands for places without a pair
+    expand[first[pair]] = True
+    wanted = np.sort((first * n + second)[~pair])
     codes = seq.astype(np.int64)
     key, ok = _pairs(codes, n)
     out = []
@@ -194,8 +199,8 @@ def _extensions(seqs: pa.Table, answers: pa.Table) -> pa.Table:
     three, count = np.unique(key[grown], return_counts=True)
     if len(three):
         a, b = three // n, three % n
-        last = pc.replace_substring_regex(names, pattern=r"^[^ ]* ", replacement="")
-        out.append(_counted(chunk, lang, local[a], local[b], _joined(names.take(pa.array(a)), last.take(pa.array(b))), count))
+        last = pc.replace_substring_regex(names.take(pa.array(b)), pattern=r"^[^ ]* ", replacement="")
+        out.append(_counted(chunk, lang, local[a], local[b], _joined(names.take(pa.array(a)), last), count))
     if len(wanted):
         at, found = lookup(key[:-1], wanted)
         four = (ok[:-1] & found) & (codes[2:] >= 0)
@@ -271,6 +276,12 @@ def _first(live: DataFrame, top: int) -> DataFrame:
     return live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _small(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed; sent to every task if it is counted to be small, else joined by a shuffle."""
+    df = _kept(spark, df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def phrase_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000,
                         chunk_bytes: int = CHUNK_BYTES, ease: tuple[int, int] = (7, 8)) -> DataFrame:
     """The first ``top`` phrases of 2 to 4 words of each language: lang, rank, phrase, a, l, r, n, score.
@@ -301,25 +312,28 @@ def phrase_collocations(docs: DataFrame, text_col: str = "text", lang_col: str =
     pairs = _kept(spark, _frequent(pair_rows, least), "pairs")
     answers = words.select("chunk", "local", "phrase", F.lit(1).alias("level")).unionByName(
         pairs.select("chunk", "local", "phrase", F.lit(2).alias("level")))
-    pair_seqs = _kept(spark, seqs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _pair_chunks, "chunk long, lang string, seq binary"), "pair-chunks")
+    pair_seqs = seqs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pair_chunks, PAIR_CHUNKS)
+    # kept on the executors' disks with its partitioning, so no wave shuffles the chunks again; what is lost with an
+    # executor is computed again from the tables
+    pair_seqs = pair_seqs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").persist(
+        StorageLevel.DISK_ONLY)
 
     ones, twos = (_kept(spark, _table(t), "counts") for t in (words, pairs))
     roots = ones.select("lang", F.col("phrase").alias("first"), F.col("f").alias("w"))
     gram = lambda df: (_scored(df, known).withColumn("first", F.substring_index("phrase", " ", 1)).join(roots, ["lang", "first"])
                        .withColumn("bound", _exact(F.col("f"), F.col("w") + F.col("f"))).drop("w"))
     known = ones
-    scored2 = materialize(gram(twos))
+    scored2 = _kept(spark, gram(twos), "pairs-scored")
     longer = spark.createDataFrame([], scored2.schema)
-    places3 = spark.createDataFrame([], pairs.schema)
     done = longer.select("lang", "phrase")
     size = F.size(_words())
+    waves, folder = 0, fresh_path(spark, "phrases-grown")
 
     while True:
-        live = materialize(_live(scored2.unionByName(longer), longer))
+        live = _kept(spark, _live(scored2.unionByName(longer), longer), "live")
         best = _first(live, top)
-        limits = best.groupBy("lang").agg(F.when(F.count(F.lit(1)) >= top, F.min("score") * ease[0] / ease[1])
-                                          .otherwise(0).cast("long").alias("limit"))
+        limit = F.when(F.count(F.lit(1)) >= top, F.min("score") * ease[0] / ease[1]).otherwise(0).cast("long")
+        limits = _small(spark, best.groupBy("lang").agg(limit.alias("limit")), "limits")
         # a phrase above the limit is replaced from the left by an extension of (.., its first words)
         above = live.join(limits, "lang").where(F.col("score") >= F.col("limit"))
         heads = F.array(F.col("first"), F.when(size == 3, F.substring_index("phrase", " ", 2)))
@@ -331,22 +345,24 @@ def phrase_collocations(docs: DataFrame, text_col: str = "text", lang_col: str =
         # a four-word phrase's last three words are counted as well: their first two are expanded with its prefix
         names = F.array(F.col("phrase"), F.when(size == 3, F.col("tail")))
         wave = frontier.select("lang", F.explode(names).alias("phrase")).where("phrase is not null").distinct()
-        wave = materialize(wave.join(done, ["lang", "phrase"], "left_anti").withColumn("expand", F.lit(True)))
+        wave = _small(spark, wave.join(done, ["lang", "phrase"], "left_anti"), "wave")
         if wave.isEmpty():
             break
-        flags = pairs.join(wave, ["lang", "phrase"], "left").select(
-            "chunk", "local", F.lit(-1).alias("second"), "phrase", F.coalesce("expand", F.lit(False)).alias("expand"),
-            F.lit(2).alias("level"))
-        triples = places3.join(wave, ["lang", "phrase"]).select("chunk", "local", "second", "phrase", "expand",
-                                                                F.lit(3).alias("level"))
-        grown = pair_seqs.groupBy("chunk").cogroup(flags.unionByName(triples).groupBy("chunk")).applyInArrow(_extensions, COUNTS)
-        grown = _kept(spark, _frequent(grown, least), "grown")
-        places3 = places3.unionByName(grown.where("local >= 0"))
+        hits = pairs.join(wave, ["lang", "phrase"]).select("chunk", "local", F.lit(-1).alias("second"))
+        if waves:
+            places = spark.read.parquet(folder).where("local >= 0")
+            hits = hits.unionByName(places.join(wave, ["lang", "phrase"]).select("chunk", "local", "second"))
+        grown = pair_seqs.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extensions, COUNTS)
+        with last_reader(spark):
+            _frequent(grown, least).write.option("compression", "zstd").parquet(f"{folder}/wave={waves}")
+        grown = spark.read.parquet(f"{folder}/wave={waves}")
+        waves += 1
         new = _table(grown)
         threes = longer.where(size == 3).select("lang", "phrase", "f").unionByName(new.where(size == 3))
         known = ones.unionByName(twos).unionByName(threes)
-        longer = materialize(longer.unionByName(gram(new)))
-        done = done.unionByName(wave.drop("expand"))
+        longer = _kept(spark, longer.unionByName(gram(new)), "longer")
+        done = _kept(spark, done.unionByName(wave), "done")
 
-    out = best.join(materialize(total), "lang")
+    pair_seqs.unpersist()
+    out = best.join(_small(spark, total, "totals"), "lang")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
