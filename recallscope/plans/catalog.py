@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recallscope.design import DEFAULT_DESIGN, FLAG_DESIGN, SECTION_REPORT_ROWS, SECTIONS, Design
 from recallscope.functions import wald_ci
-from recallscope.operators import compare, metrics, plotdata, report, scoring, sections, worklist
+from recallscope.operators import bootstrap, compare, metrics, plotdata, report, scoring, sections, worklist
 from recallscope.plans import oracle as O
 from recallscope.session import fresh_path
 from recallscope.sources import io, key_index, snapshots, views
@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # condition by condition), so resume has real work left.
 DONE_CONDITIONS = DEFAULT_DESIGN.conditions[:3]
 TOP_K = 5
+BOOTSTRAP_REPLICATES = 50
 # the streamed log is partitioned into this many key buckets
 STREAM_KEY_BUCKETS = 4
 LIMIT_N = 100
@@ -319,6 +320,11 @@ def q_metric_intervals(spark, sf):
     return metrics.metric_intervals(metrics.with_scores(metrics.confusion_counts(_preds(spark, sf))))
 
 
+def q_bootstrap_intervals(spark, sf):
+    """M12 by resampling trials: 50 replicates, whose weights are a hash of the trial key."""
+    return bootstrap.bootstrap_intervals(_preds(spark, sf), replicates=BOOTSTRAP_REPLICATES)
+
+
 def q_format_ci(spark, sf):
     return report.format_ci_table(_preds(spark, sf))
 
@@ -335,6 +341,18 @@ def q_stream_metrics(spark, sf):
     return io.read_metrics(spark, out)
 
 
+def q_stream_metrics_deduped(spark, sf):
+    """M14 over a log with repeated keys: the failed rerun of three conditions lies in the landing files
+    before, between and after the good answers."""
+    from recallscope.streaming import run_stream_metrics_deduped
+
+    landing = fresh_path(spark, "preds-landing-deduped")
+    _rerun_log(spark, sf).repartition(4).write.parquet(landing)
+    out = fresh_path(spark, "stream-metrics-deduped")
+    run_stream_metrics_deduped(spark, landing, out, max_files_per_trigger=2)
+    return snapshots.Snapshot(spark, out).table("metrics")
+
+
 def q_stream_report(spark, sf):
     """The whole analysis kept current by a stream over landing prediction
     files; the report table it wrote is read back."""
@@ -588,17 +606,65 @@ def _remaining_sql():
      as remaining_naive""")
 
 
-def _dedupe_sql():
+def _bootstrap_sql(replicates: int = BOOTSTRAP_REPLICATES, seed: int = bootstrap.SEED, level: float = 0.95):
+    """The weights written out: a 32-bit scrambling of the key, then of key and replicate, held against
+    the cumulated Poisson probabilities."""
+    def mixed(name, source, value):
+        return (f"{name}_a as (select *, xor({value}, ({value}) >> 16) as a1 from {source}),\n"
+                f"{name}_b as (select * exclude a1, (a1 * 569420461) % 4294967296 as b1 from {name}_a),\n"
+                f"{name}_c as (select * exclude b1, (xor(b1, b1 >> 15) * 1935289751) % 4294967296 as c1 from {name}_b),\n"
+                f"{name} as (select * exclude c1, xor(c1, c1 >> 15) as {name}_h from {name}_c)")
+
+    cumulated = bootstrap.POISSON
+    weight = " + ".join(f"case when drawn_h >= {p} then 1 else 0 end" for p in cumulated)
+    cells = {"tp": ("POSITIVE", "POSITIVE"), "fn": ("POSITIVE", "NEGATIVE"), "fp": ("NEGATIVE", "POSITIVE"),
+             "tn": ("NEGATIVE", "NEGATIVE")}
+    sums = ", ".join(f"cast(sum(case when ground_truth = '{t}' and parsed_output = '{p}' then w else 0 end) as bigint) as {c}"
+                     for c, (t, p) in cells.items())
+    names = ("accuracy", "f1_macro", "sensitivity", "specificity")
+    low, high = (1 - level) / 2, (1 + level) / 2
+    at = lambda m, share: (f"list_sort(list({m}) filter (where {m} is not null))"
+                           f"[greatest(1, cast(ceil(count({m}) * cast({share!r} as double)) as bigint))]")
+    bounds = ", ".join(f"{at(m, low)} as {m}_lower, {at(m, high)} as {m}_upper" for m in names)
+    return (O.with_(*O.BASE_PREDS, O.counts_cte("preds_v"), O.scored_cte(),
+                    "pairs as (select trial_idx, vendor, condition, ground_truth, parsed_output, trial_idx & 4294967295 as lo, "
+                    "(trial_idx >> 32) & 4294967295 as hi from preds_v where vendor is not null and condition is not null "
+                    "and parsed_output in ('POSITIVE','NEGATIVE') and ground_truth in ('POSITIVE','NEGATIVE'))",
+                    mixed("one", "pairs", f"xor(lo, cast({seed} as bigint))"), mixed("own", "one", "xor(one_h, hi)"),
+                    f"resampled as (select vendor, condition, ground_truth, parsed_output, r, "
+                    f"(own_h + (r + 1) * 2654435769 % 4294967296) % 4294967296 as x "
+                    f"from own, (select unnest(range({replicates})) as r))",
+                    mixed("drawn", "resampled", "x"),
+                    f"draws as (select vendor, condition, r, {sums} from (select *, {weight} as w from drawn) group by vendor, condition, r)",
+                    f"replicates as (select vendor, condition, {', '.join(names)} from (select *, {O.score_exprs()} from "
+                    f"(select *, 1 as n_valid, 1 as n_total from draws)))",
+                    f"bounds as (select vendor, condition, {bounds} from replicates group by vendor, condition)")
+            + "select s.vendor, s.condition, s.n_pairs, " + ", ".join(f"s.{m}, b.{m}_lower, b.{m}_upper" for m in names)
+            + " from scored s left join bounds b on b.vendor = s.vendor and b.condition = s.condition")
+
+
+def _dedupe_parts():
+    """The rerun log as a CTE, and the select of the rows it keeps."""
     rank = ("case when parsed_output in ('POSITIVE','NEGATIVE') then 0 when parsed_output = 'INVALID' then 1 "
             "when parsed_output = 'ERROR' then 2 else 3 end")
     ties = ", ".join(f"{c} is null, {c}" for c in ("model", "raw_output", "ground_truth", "parsed_output"))
-    return (O.with_(*O.BASE_RAW,
-                    f"log as (select {PRED_COLS} from parsed_v union all select trial_idx, vendor, model, condition, "
-                    f"cast(null as varchar) as raw_output, 'ERROR' as parsed_output, ground_truth from parsed_v "
-                    f"where condition in {O.in_list(DONE_CONDITIONS)})")
-            + f"""select {PRED_COLS} from (
+    log = (f"log as (select {PRED_COLS} from parsed_v union all select trial_idx, vendor, model, condition, "
+           f"cast(null as varchar) as raw_output, 'ERROR' as parsed_output, ground_truth from parsed_v "
+           f"where condition in {O.in_list(DONE_CONDITIONS)})")
+    return log, f"""select {PRED_COLS} from (
   select *, row_number() over (partition by trial_idx, vendor, condition order by {rank}, {ties}) as rn from log)
-where rn = 1""")
+where rn = 1"""
+
+
+def _dedupe_sql():
+    log, kept = _dedupe_parts()
+    return O.with_(*O.BASE_RAW, log) + kept
+
+
+def _deduped_metrics_sql():
+    """Metrics of the de-duplicated rerun log."""
+    log, kept = _dedupe_parts()
+    return O.with_(*O.BASE_RAW, log, f"kept as ({kept})", O.metrics_cte("kept")) + f"select {O.METRIC_SELECT} from metrics"
 
 
 def _prompt_select():
@@ -673,9 +739,11 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
                     *O.wald_sql("accuracy", "n_pairs"))),
     "metric_intervals": (q_metric_intervals, _sql_scored_counts(O.BASE_PREDS, "preds_v")
                          + f"select vendor, condition, {_interval_cols()} from scored"),
+    "bootstrap_intervals": (q_bootstrap_intervals, _bootstrap_sql()),
     "format_ci": (q_format_ci, _sql_scored_counts(O.BASE_PREDS, "preds_v")
                   + f"select vendor, condition, {_format_cols()} from scored"),
     "stream_metrics": (q_stream_metrics, _stream_metrics_sql()),
+    "stream_metrics_deduped": (q_stream_metrics_deduped, _deduped_metrics_sql()),
     "stream_report": (q_stream_report, O.report_sql(FLAG_DESIGN, O.BASE_PREDS)),
     # comparisons
     "f1_pivot": (q_f1_pivot, _pivot_sql(FLAG_DESIGN, FLAG_DESIGN.conditions)),

@@ -20,8 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -37,6 +36,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CELLS = T.ArrayType(T.StructType([T.StructField("condition", T.StringType()), T.StructField("vendor", T.StringType())]))
 PENDING = T.StructType([*TRIAL_SCHEMA.fields, T.StructField("_cells", CELLS)])
 FIELDS = tuple(f.name for f in TRIAL_SCHEMA.fields)
+TEXTS = tuple(c for c in FIELDS if c != "trial_idx")
 PAIR, CELL = "\x1f", "\x1e"  # in the stored text: between condition and vendor, between settings
 
 
@@ -55,30 +55,21 @@ class HandedOut(StatefulProcessor):
     def init(self, handle) -> None:
         self.seen = handle.getValueState("handed_out", "settings string")
 
-    def _known(self) -> set[str]:
-        return set(self.seen.get()[0].split(CELL)) if self.seen.exists() else set()
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((CELL.join(sorted(initialState["settings"].iloc[0])),))
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((CELL.join(sorted(initialState["settings"])),))
 
     def handleInputRows(self, key, rows, timerValues):
-        if key[0] is None or key[0] != key[0]:
+        if key[0] is None:
             raise ValueError("trials without a key (trial_idx is NULL) cannot be scored or resumed")
-        known = self._known()
+        stored = self.seen.get()  # None where the key is new
+        known = set() if stored is None else set(stored[0].split(CELL))
         new = [(c, v) for c, v in self.cells if c + PAIR + v not in known]
-        texts = [c for c in FIELDS if c != "trial_idx"]
-        least = None
-        for pdf in rows:
-            for row in pdf[texts].astype(object).itertuples(index=False, name=None):
-                row = tuple(None if x is None or x != x else x for x in row)
-                if least is None or _rank(row) < _rank(least):
-                    least = row
-        if not new or least is None:
+        least = min((tuple(row[c] for c in TEXTS) for row in rows), key=_rank)
+        if not new:
             return
         self.seen.update((CELL.join(sorted(known | {c + PAIR + v for c, v in new})),))
-        values = dict(zip(texts, least), trial_idx=key[0])
-        out = {c: pd.Series([values[c]], dtype="int64" if c == "trial_idx" else object) for c in FIELDS}
-        yield pd.DataFrame(out | {"_cells": [[{"condition": c, "vendor": v} for c, v in new]]})
+        values = dict(zip(TEXTS, least), trial_idx=key[0])
+        yield Row(**{c: values[c] for c in FIELDS}, _cells=[Row(condition=c, vendor=v) for c, v in new])
 
     def close(self) -> None:
         pass
@@ -97,7 +88,7 @@ def pending_stream(trials: DataFrame, initial: DataFrame, design: Design = DEFAU
                    conditions=None) -> DataFrame:
     """A stream of trials as (trial, new settings) rows, one per key and micro-batch."""
     processor = HandedOut(worklist.settings(design, vendors, conditions))
-    return trials.select(*FIELDS).groupBy("trial_idx").transformWithStateInPandas(
+    return trials.select(*FIELDS).groupBy("trial_idx").transformWithState(
         processor, PENDING, "append", "None", initial.groupBy("trial_idx"))
 
 

@@ -5,7 +5,6 @@ import os
 import shutil
 import tempfile
 
-import pandas as pd
 import pytest
 
 from recallscope.operators import scoring, worklist
@@ -159,12 +158,12 @@ def test_state_survives_another_order_of_settings():
         def getValueState(self, name, schema):
             return self.value
 
-    frame = pd.DataFrame([{c: 5 if c == "trial_idx" else "x" for c in resume.FIELDS}])
+    row = resume.Row(**{c: 5 if c == "trial_idx" else "x" for c in resume.FIELDS})
     out = []
     for cells in ([("c1", "v1"), ("c2", "v1")], [("c2", "v1"), ("c3", "v1"), ("c1", "v1")], [("c3", "v1")]):
         p = resume.HandedOut(cells)
         p.init(Handle())
-        out.append([x for f in p.handleInputRows((5,), iter([frame]), None) for x in f["_cells"].iloc[0]])
+        out.append([x.asDict() for r in p.handleInputRows((5,), iter([row]), None) for x in r["_cells"]])
     assert out == [[{"condition": "c1", "vendor": "v1"}, {"condition": "c2", "vendor": "v1"}], [{"condition": "c3", "vendor": "v1"}], []]
 
 
