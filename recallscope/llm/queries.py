@@ -143,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
         "op4_jaccard_join": oracle.JACCARD_JOIN,
         "op7_pfair_mix": oracle.PFAIR_MIX,
+        "op11_ring_shards": oracle.RING_SHARDS,
         "op12_hard_negatives": oracle.HARD_NEGATIVES,
         "op13_phrase_collocations": oracle.PHRASE_COLLOCATIONS,
     }
