@@ -186,9 +186,8 @@ def remaining_by_index(trials: DataFrame, index: DataFrame, design: Design = DEF
     both = sides.groupBy(*KEYS).agg(F.bitmap_or_agg("bits").alias("either"), F.sum(F.bitmap_count("bits")).alias("n"),
                                     F.bool_or("work").alias("work"))
     shared = both.where("work").agg(F.coalesce(F.sum(F.col("n") - F.bitmap_count("either")), F.lit(0)).alias("shared"))
-    total = trials.agg((F.count(F.lit(1)) * F.lit(len(cells))).cast("bigint").alias("total_calls"))
     completed = index.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_completed"))
-    one = F.lit(1).alias("_one")
-    row = total.select("*", one).join(completed.select("*", one), "_one").join(shared.select("*", one), "_one")
+    total = trials.agg((F.count(F.lit(1)) * F.lit(len(cells))).cast("bigint").alias("total_calls"))
+    row = total.select("total_calls", completed.scalar().alias("n_completed"), shared.scalar().alias("shared"))
     return row.select("total_calls", "n_completed", (F.col("total_calls") - F.col("shared")).cast("bigint").alias("remaining"),
                       (F.col("total_calls") - F.col("n_completed")).alias("remaining_naive"))

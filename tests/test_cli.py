@@ -56,7 +56,8 @@ def test_scoring_needs_a_scorer(spark):
 
 
 def test_convert_predictions_csv(spark):
-    """A predictions CSV in the reference's dialect becomes Parquet once."""
+    """A predictions CSV in the reference's dialect becomes Parquet once; a quoted empty answer is a
+    missing value, as the reference's reader takes it."""
     base = tempfile.mkdtemp(prefix="cli-conv-", dir="/tmp")
     rows = [(0, "openai", "m", "baseline", '  "POSITIVE",\nsure ', "INVALID", "POSITIVE"),
             (1, "gemini", "g", "doi_only", None, "ERROR", "NEGATIVE"),
@@ -65,7 +66,7 @@ def test_convert_predictions_csv(spark):
     df.coalesce(1).write.options(**io.CSV_WRITE_OPTIONS).csv(f"{base}/predictions.csv")
     cli.main(["convert", "--kind", "predictions", "--csv", f"{base}/predictions.csv", "--out", f"{base}/p"])
     back = io.read_predictions(spark, f"{base}/p")
-    assert sorted(back.collect()) == sorted(df.collect())
+    assert sorted(back.collect()) == sorted(df.replace("", None, ["raw_output"]).collect())
 
 
 def test_score_with_key_buckets(spark, capsys):
