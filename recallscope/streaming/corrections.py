@@ -5,21 +5,32 @@ already. The batch rule keeps one row per (trial, vendor, condition)
 (:func:`recallscope.operators.worklist.dedupe_predictions`); counting a stream row by row
 would count them all. Here the row that counts for a key is keyed state (RocksDB behind
 ``transformWithState``); when a better one arrives the stream says what changes: the old
-row with sign -1, the new one with +1. Sums of those signs per setting, added to the counts so
-far (a row per setting), are the counts of the de-duplicated log after every micro-batch.
+row with sign -1, the new one with +1 (equal rows of one group as one row with their net
+sign). Sums of those signs per setting, added to the counts so far (a row per setting), are
+the counts of the de-duplicated log after every micro-batch.
+
+A state call is a round trip between Python and the JVM, which costs more than a row's
+comparison. So the keys are grouped by a hash of the trial (:mod:`recallscope.streaming.groups`),
+and a group's rows are one state value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import json
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from recallscope.design import LABELS, STATUS_ERROR, STATUS_INVALID
 from recallscope.operators import metrics
+from recallscope.operators.worklist import KEYS
 from recallscope.session import path_exists, scratch
 from recallscope.sources import io
 from recallscope.sources.snapshots import publishing
+from recallscope.streaming.groups import GROUP, key_group
 
 FIELDS = ("model", "raw_output", "ground_truth", "parsed_output")  # also the order in which ties are settled
 CHANGES = "vendor string, condition string, model string, ground_truth string, parsed_output string, sign long"
@@ -34,22 +45,36 @@ def preference(row: tuple) -> tuple:
     return (rank, *((v is None, (v or "").encode("utf-8", "surrogatepass")) for v in row))
 
 
-class KeptRow(StatefulProcessor):
-    """State per key: the row that counts. Emits the change when that becomes another one."""
+class KeptRows(StatefulProcessor):
+    """State per group of trials: the row that counts for each of its keys. Emits what changes where
+    those become other ones."""
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("kept", ", ".join(f"{c} string" for c in FIELDS))
+        self.kept = handle.getValueState("kept", "rows string")
 
     def handleInputRows(self, key, rows, timerValues):
-        old = self.kept.get()  # None where the key is new
-        old = None if old is None else tuple(old)
-        best = min(([] if old is None else [old]) + [tuple(row[c] for c in FIELDS) for row in rows], key=preference)
-        if best == old:
+        stored = self.kept.get()  # None where the group is new
+        kept = {} if stored is None else {tuple(k): tuple(row) for k, row in json.loads(stored[0])}
+        old: dict = {}  # of the keys that changed
+        for table in rows:
+            columns = [table[c].tolist() for c in (*KEYS, *FIELDS)]
+            for name, new in zip(zip(*columns[:len(KEYS)]), zip(*columns[len(KEYS):])):
+                had = kept.get(name)
+                if had == new or had is not None and preference(had) <= preference(new):
+                    continue
+                old.setdefault(name, had)
+                kept[name] = new
+        if not old:
             return
-        self.kept.update(best)
-        for row, sign in ((old, -1), (best, 1)):
-            if row is not None:
-                yield Row(vendor=key[1], condition=key[2], model=row[0], ground_truth=row[2], parsed_output=row[3], sign=sign)
+        self.kept.update((json.dumps(list(kept.items()), ensure_ascii=False, separators=(",", ":")),))
+        signs: Counter = Counter()
+        for name, had in old.items():
+            for row, sign in ((had, -1), (kept[name], 1)):
+                if row is not None:
+                    signs[name[1], name[2], row[0], row[2], row[3]] += sign
+        out = [(vendor, condition, *rest, sign) for (vendor, condition, *rest), sign in signs.items() if sign]
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
     def close(self) -> None:
         pass
@@ -57,8 +82,9 @@ class KeptRow(StatefulProcessor):
 
 def changes(stream: DataFrame) -> DataFrame:
     """A prediction stream as signed rows."""
-    return stream.select("trial_idx", "vendor", "condition", *FIELDS).groupBy("trial_idx", "vendor", "condition") \
-        .transformWithState(KeptRow(), CHANGES, "append", "None")
+    # the key as text: pandas has no integer column with missing values
+    return stream.select(key_group(), F.col("trial_idx").cast("string").alias("trial_idx"), *KEYS[1:], *FIELDS).groupBy(GROUP) \
+        .transformWithStateInPandas(KeptRows(), CHANGES, "append", "None")
 
 
 def signed_counts(rows: DataFrame) -> DataFrame:
@@ -94,8 +120,8 @@ def run_stream_metrics_deduped(spark: SparkSession, preds_dir: str, out_path: st
     """Keep the metrics of the de-duplicated log current as prediction files arrive.
 
     After every micro-batch the published table equals the batch metrics of
-    :func:`dedupe_predictions` over all rows that arrived. State is one row per key; no micro-batch
-    reads earlier files again. The table is published in versions
+    :func:`dedupe_predictions` over all rows that arrived. State is one row per key, read and written
+    by groups of keys; no micro-batch reads earlier files again. The table is published in versions
     (:class:`recallscope.sources.snapshots.Snapshot`).
     """
     from recallscope.streaming.jobs import _progress
