@@ -1,8 +1,9 @@
 """Streaming scoring that knows what it has scored.
 
 Which settings of a trial have been handed out is keyed state of the stream (RocksDB
-behind ``transformWithState``), so a micro-batch reads the state of its own trial keys and
-nothing of the log, however long that has grown. The log is read at two moments only:
+behind ``transformWithState``), so a micro-batch reads the state of its own trial keys (by
+groups of keys, :mod:`recallscope.streaming.groups`) and nothing of the log, however long that
+has grown. The log is read at two moments only:
 
 * when a stream starts with a new checkpoint, its keys become the initial state;
 * when a micro-batch runs *again* (a restart after a failure, a checkpoint restored from
@@ -30,6 +31,7 @@ from recallscope.operators import scoring, worklist
 from recallscope.session import path_exists
 from recallscope.sources import io, journal as journals
 from recallscope.sources.io import TRIAL_SCHEMA
+from recallscope.streaming.groups import GROUP, key_group
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,30 +48,51 @@ def _rank(row: tuple) -> tuple:
 
 
 class HandedOut(StatefulProcessor):
-    """State per trial key: the settings handed out so far (names, so a later design may
-    list them in another order). Emits the least row of a key with the settings that are new."""
+    """State per group of trials: the settings of each that have been handed out so far (names, so a
+    later design may list them in another order), stored as the trials of each set of
+    settings. Emits the least row of a key with the settings that are new."""
 
     def __init__(self, cells: list[tuple[str, str]]):
         self.cells = cells
 
     def init(self, handle) -> None:
-        self.seen = handle.getValueState("handed_out", "settings string")
+        self.seen = handle.getValueState("handed_out", "trials string")
+
+    def _save(self, known: dict[int, str]) -> None:
+        trials: dict[str, list[int]] = {}
+        for trial, settings in known.items():
+            trials.setdefault(settings, []).append(trial)
+        self.seen.update((json.dumps(trials, ensure_ascii=False, separators=(",", ":")),))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((CELL.join(sorted(initialState["settings"])),))
+        self._save({t["trial_idx"]: CELL.join(sorted(t["settings"])) for t in initialState["trials"]})
 
     def handleInputRows(self, key, rows, timerValues):
-        if key[0] is None:
-            raise ValueError("trials without a key (trial_idx is NULL) cannot be scored or resumed")
-        stored = self.seen.get()  # None where the key is new
-        known = set() if stored is None else set(stored[0].split(CELL))
-        new = [(c, v) for c, v in self.cells if c + PAIR + v not in known]
-        least = min((tuple(row[c] for c in TEXTS) for row in rows), key=_rank)
-        if not new:
+        stored = self.seen.get()  # None where the group is new
+        known = {} if stored is None else {t: settings for settings, trials in json.loads(stored[0]).items() for t in trials}
+        names = [c + PAIR + v for c, v in self.cells]
+        new: dict[str | None, list[int]] = {}  # by what was handed out: positions of the settings that were not
+        least: dict[int, tuple] = {}
+        for row in rows:
+            trial = row["trial_idx"]
+            if trial is None:
+                raise ValueError("trials without a key (trial_idx is NULL) cannot be scored or resumed")
+            had = known.get(trial)
+            if had not in new:
+                seen = set() if had is None else set(had.split(CELL))
+                new[had] = [i for i, name in enumerate(names) if name not in seen]
+            if new[had]:
+                texts = tuple(row[c] for c in TEXTS)
+                least[trial] = min(least[trial], texts, key=_rank) if trial in least else texts
+        if not least:
             return
-        self.seen.update((CELL.join(sorted(known | {c + PAIR + v for c, v in new})),))
-        values = dict(zip(TEXTS, least), trial_idx=key[0])
-        yield Row(**{c: values[c] for c in FIELDS}, _cells=[Row(condition=c, vendor=v) for c, v in new])
+        for trial, texts in least.items():
+            had = known.get(trial)
+            known[trial] = CELL.join(sorted({*(had.split(CELL) if had is not None else ()), *(names[i] for i in new[had])}))
+            values = dict(zip(TEXTS, texts), trial_idx=trial)
+            yield Row(**{c: values[c] for c in FIELDS},
+                      _cells=[Row(condition=self.cells[i][0], vendor=self.cells[i][1]) for i in new[had]])
+        self._save(known)
 
     def close(self) -> None:
         pass
@@ -88,8 +111,9 @@ def pending_stream(trials: DataFrame, initial: DataFrame, design: Design = DEFAU
                    conditions=None) -> DataFrame:
     """A stream of trials as (trial, new settings) rows, one per key and micro-batch."""
     processor = HandedOut(worklist.settings(design, vendors, conditions))
-    return trials.select(*FIELDS).groupBy("trial_idx").transformWithState(
-        processor, PENDING, "append", "None", initial.groupBy("trial_idx"))
+    groups = initial.groupBy(key_group()).agg(F.collect_list(F.struct("trial_idx", "settings")).alias("trials"))
+    return trials.select(key_group(), *FIELDS).groupBy(GROUP).transformWithState(
+        processor, PENDING, "append", "None", groups.groupBy(GROUP))
 
 
 class Started:
@@ -114,8 +138,10 @@ def score_pending(batch: DataFrame, batch_id: int, preds_path: str, factory: Cal
     spark = batch.sparkSession
     started = Started(spark, preds_path, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
     again = started.ran_before(batch_id)
-    tasks = parallelism or spark.sparkContext.defaultParallelism
-    work = batch.select(*FIELDS, F.inline("_cells"))
+    # the batch is evaluated once, so its size is not known: as many tasks as the session shuffles to
+    tasks = parallelism or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["trial_idx"] if journal is not None else []
+    work = (batch if again else batch.repartition(tasks, *keys)).select(*FIELDS, F.inline("_cells"))
     if again:
         if journal is not None:
             scoring.merge_journal(spark, journal, preds_path, design, key_buckets=key_buckets)
@@ -124,12 +150,13 @@ def score_pending(batch: DataFrame, batch_id: int, preds_path: str, factory: Cal
     else:
         started.note(batch_id)
     prompts = scoring.prompts_for(work, design)
+    if again:  # the join has dealt the rows by key, whatever the number of tasks asked for
+        prompts = prompts.repartition(tasks, *keys)
     if journal is not None:
-        journals.write_journal(prompts.repartition(tasks, *worklist.KEYS), journal, factory, design.system_prompt, in_flight,
-                               flush_answers)
+        journals.write_journal(prompts, journal, factory, design.system_prompt, in_flight, flush_answers)
         scoring.merge_journal(spark, journal, preds_path, design, key_buckets=key_buckets, check_log=again)
         return
-    scored = scoring.score(prompts.repartition(tasks), factory, design, in_flight)
+    scored = scoring.score(prompts, factory, design, in_flight)
     io.append_predictions(worklist.assemble_predictions(scored), preds_path, key_buckets=key_buckets)
 
 
