@@ -41,6 +41,7 @@ from recallscope.operators.worklist import (
     one_per_key,
     pending_work,
     route_fields,
+    tasks_for,
 )
 from recallscope.sources import key_index as key_index_of
 from recallscope.sources.io import append_predictions, check_layout, key_bucket, log_layout, read_log_keys
@@ -139,8 +140,9 @@ def prompts_for(work: DataFrame, design: Design = DEFAULT_DESIGN) -> DataFrame:
 def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | None,
                     design: Design = DEFAULT_DESIGN, max_trials: int | None = None,
                     vendors=None, conditions=None, dense: bool = False,
-                    parallelism: int | None = None, key_index: bool = False) -> DataFrame:
-    """Prompts still to score, spread over ``parallelism`` tasks.
+                    parallelism: int | None = None, key_index: bool = False, by_key: bool = False) -> DataFrame:
+    """Prompts still to score, spread over ``parallelism`` tasks (:func:`tasks_for`), with ``by_key``
+    by a hash of the trial key, so that a second attempt of a task gets the same rows.
 
     One trial per key (:func:`one_per_key`), log or no log. The resume check runs
     on narrow keys: (trial key x settings) anti join the log's key columns; the
@@ -154,10 +156,10 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
     trials = limit_trials(trials, max_trials, dense)
     if not (dense or max_trials):
         trials = one_per_key(trials)
-    tasks = parallelism or spark.sparkContext.defaultParallelism
+    deal = (tasks_for(trials, parallelism), *(["trial_idx"] if by_key else []))
     layout = log_layout(spark, preds_path) if preds_path is not None else None
     if layout is None:
-        return prompts_for(build_worklist(trials.repartition(tasks), design, vendors, conditions), design)
+        return prompts_for(build_worklist(trials.repartition(*deal), design, vendors, conditions), design)
     trial_range = (0, max_trials - 1) if dense and max_trials else None  # dense keys: the limit is this key range
     narrow = trials.select("trial_idx")
     work = build_worklist(narrow, design, vendors, conditions)
@@ -169,7 +171,7 @@ def pending_prompts(spark: SparkSession, trials: DataFrame, preds_path: str | No
             buckets = [r[0] for r in narrow.select(key_bucket(layout["key_buckets"])).distinct().collect()]
         pending = pending_work(work, logged_keys(spark, preds_path, design, vendors, conditions, trial_range, buckets))
     cells = pending.groupBy("trial_idx").agg(F.collect_list(F.struct("condition", "vendor")).alias("_cells"))
-    spread = trials.join(cells, "trial_idx").repartition(tasks)
+    spread = trials.join(cells, "trial_idx").repartition(*deal)
     return prompts_for(spread.select(*trials.columns, F.inline("_cells")), design)
 
 
@@ -242,8 +244,8 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
     ``key_index`` keeps a resume index beside the log, so that a run opens only log files
     that the index has not seen.
 
-    ``parallelism`` is the number of scorer tasks (the session's default parallelism
-    if unset) and ``in_flight`` the calls at once in each; set them to what the
+    ``parallelism`` is the number of scorer tasks (if unset, the session's default parallelism,
+    or more where the texts are large) and ``in_flight`` the calls at once in each; set them to what the
     API's rate limits allow.
     """
     check_layout(spark, preds_path, partition_by, key_buckets)
@@ -253,11 +255,9 @@ def run_scoring(spark: SparkSession, trials: DataFrame, preds_path: str, factory
             raise ValueError("the journal must not lie below the log")
         merge_journal(spark, journal, preds_path, design, partition_by, key_buckets)
     todo = pending_prompts(spark, trials, preds_path, design, max_trials, vendors, conditions, dense, parallelism,
-                           key_index)
+                           key_index, by_key=journal is not None)
     if journal is not None:
-        tasks = parallelism or spark.sparkContext.defaultParallelism
-        write_journal(todo.repartition(tasks, *KEYS), journal, factory, design.system_prompt, in_flight, flush_answers,
-                      flush_seconds)
+        write_journal(todo, journal, factory, design.system_prompt, in_flight, flush_answers, flush_seconds)
         return merge_journal(spark, journal, preds_path, design, partition_by, key_buckets)
     scored, seen = with_failures(score(todo, factory, design, in_flight))
     append_predictions(assemble_predictions(scored), preds_path, partition_by, key_buckets)

@@ -65,6 +65,22 @@ def limit_trials(trials: DataFrame, n: int | None, dense: bool = False, keys_per
     return trials.where(F.col("trial_idx") <= F.lit(last))
 
 
+TASK_BYTES = 64 * 1024 * 1024  # text bytes of the trials one task gets, unless the number of tasks is given
+
+
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: texts as UTF-8, 8 for any other value. One pass, a number per task."""
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
+             for f in df.schema.fields]
+    return int(df.agg(F.sum(sum(sizes, F.lit(0)).cast("long"))).first()[0] or 0)
+
+
+def tasks_for(trials: DataFrame, parallelism: int | None = None, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks that share the trials: ``parallelism`` where given, else the session's default parallelism, or
+    as many more as keep a task's texts near ``task_bytes``."""
+    return parallelism or max(trials.sparkSession.sparkContext.defaultParallelism, -(-text_bytes(trials) // task_bytes))
+
+
 def settings(design: Design = DEFAULT_DESIGN, vendors=None, conditions=None) -> list[tuple[str, str]]:
     """Validated (condition, vendor) cells in run order; unknown names fail
     before any job starts."""
