@@ -72,6 +72,18 @@ def _work(spark, sf):
     return worklist.build_worklist(_trials(spark, sf))
 
 
+LANDED_BYTES = 64 * 1024 * 1024  # of a landed file, uncompressed
+
+
+def _land(df: DataFrame, path: str, batches: int, *by: str, times: int = 1) -> int:
+    """Land ``df`` as files for a stream, ``times`` times over; returns the files per trigger that make ``batches``
+    micro-batches of a landing. The number of files grows with the data, so that each stays small."""
+    files = max(1, -(-worklist.text_bytes(df) // (batches * LANDED_BYTES)))
+    for _ in range(times):
+        df.repartition(batches * files, *by).write.mode("append").parquet(path)
+    return files
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 REFERENCE_TRIAL_COLUMNS = ("title", "abstract", "doi", "Annotation_accept", "counterfactual_title",
@@ -253,9 +265,9 @@ def q_stream_scoring(spark, sf):
     from recallscope.streaming import stream_scoring
 
     landing = fresh_path(spark, "trials-landing")
-    _trials(spark, sf).repartition(3).write.parquet(landing)
+    files = _land(_trials(spark, sf), landing, 3)
     target = fresh_path(spark, "stream-scoring")
-    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=1,
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=files,
                    key_buckets=STREAM_KEY_BUCKETS)
     return io.read_predictions(spark, target)
 
@@ -267,12 +279,11 @@ def q_stream_scoring_state(spark, sf):
 
     landing = fresh_path(spark, "trials-landing-state")
     t = _trials(spark, sf)
-    for _ in range(2):
-        t.repartition(2, "trial_idx").write.mode("append").parquet(landing)
+    files = _land(t, landing, 2, "trial_idx", times=2)
     target = fresh_path(spark, "stream-scoring-state")
     scoring.run_scoring(spark, t, target, scoring.byte_length_scorer, conditions=DONE_CONDITIONS,
                         key_buckets=STREAM_KEY_BUCKETS)
-    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=2,
+    stream_scoring(spark, landing, target, scoring.byte_length_scorer, max_files_per_trigger=2 * files,
                    key_buckets=STREAM_KEY_BUCKETS, seen="state")
     return io.read_predictions(spark, target)
 
@@ -333,11 +344,10 @@ def q_stream_metrics(spark, sf):
     from recallscope.streaming import run_stream_metrics
 
     landing = fresh_path(spark, "preds-landing")
-    worklist.assemble_predictions(
-        _preds(spark, sf).withColumn("raw_output", F.lit(None).cast("string"))
-    ).repartition(4).write.parquet(landing)
+    files = _land(worklist.assemble_predictions(
+        _preds(spark, sf).withColumn("raw_output", F.lit(None).cast("string"))), landing, 4)
     out = fresh_path(spark, "stream-metrics")
-    run_stream_metrics(spark, landing, out, max_files_per_trigger=2)
+    run_stream_metrics(spark, landing, out, max_files_per_trigger=2 * files)
     return io.read_metrics(spark, out)
 
 
@@ -347,9 +357,9 @@ def q_stream_metrics_deduped(spark, sf):
     from recallscope.streaming import run_stream_metrics_deduped
 
     landing = fresh_path(spark, "preds-landing-deduped")
-    _rerun_log(spark, sf).repartition(4).write.parquet(landing)
+    files = _land(_rerun_log(spark, sf), landing, 4)
     out = fresh_path(spark, "stream-metrics-deduped")
-    run_stream_metrics_deduped(spark, landing, out, max_files_per_trigger=2)
+    run_stream_metrics_deduped(spark, landing, out, max_files_per_trigger=2 * files)
     return snapshots.Snapshot(spark, out).table("metrics")
 
 
@@ -359,11 +369,10 @@ def q_stream_report(spark, sf):
     from recallscope.streaming import run_stream_analysis
 
     landing = fresh_path(spark, "preds-landing-analysis")
-    worklist.assemble_predictions(
-        _preds(spark, sf).withColumn("raw_output", F.lit(None).cast("string"))
-    ).repartition(4).write.parquet(landing)
+    files = _land(worklist.assemble_predictions(
+        _preds(spark, sf).withColumn("raw_output", F.lit(None).cast("string"))), landing, 4)
     out = fresh_path(spark, "stream-analysis")
-    run_stream_analysis(spark, landing, out, design=FLAG_DESIGN, max_files_per_trigger=2)
+    run_stream_analysis(spark, landing, out, design=FLAG_DESIGN, max_files_per_trigger=2 * files)
     schema = ", ".join(f"`{c}` string" for c in report.REPORT_COLUMNS)
     return spark.read.schema(schema).options(**io.CSV_WRITE_OPTIONS).csv(f"{out}/table_manuscript")
 

@@ -1,9 +1,15 @@
 """The keyed state of the streams is read and written by groups of keys, not key by key."""
 
+import glob
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from recallscope.operators import metrics
+from recallscope.operators import metrics, scoring, worklist
+from recallscope.plans import catalog
+from recallscope.session import fresh_path
+from recallscope.sources import io
 from recallscope.streaming import corrections as C, groups, resume
 
 
@@ -64,3 +70,30 @@ def test_handed_out_settings_of_many_keys_are_one_state_value():
 def test_groups_are_bounded_whatever_the_keys(spark):
     n = spark.range(40000).select((F.col("id") * 1000003).alias("trial_idx")).select(groups.key_group()).distinct().count()
     assert 4000 < n <= groups.KEY_GROUPS
+
+
+def test_tasks_and_landed_files_grow_with_the_texts(spark):
+    """No fixed number of tasks or files shares a growing table; a number that is given is kept."""
+    least = spark.sparkContext.defaultParallelism
+    big = spark.range(50).select(F.col("id").alias("trial_idx"), F.repeat(F.lit("é"), 10).alias("title"))
+    assert worklist.text_bytes(big) == 50 * 28 and worklist.text_bytes(big.where("false")) == 0
+    assert worklist.tasks_for(big) == least and worklist.tasks_for(big, 3, task_bytes=1) == 3
+    assert worklist.tasks_for(big, task_bytes=10) == max(least, 140)
+    for limit, files in ((1 << 20, 1), (100, 7)):
+        path = fresh_path(spark, "g-landing")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(catalog, "LANDED_BYTES", limit)
+            assert catalog._land(big, path, 2, times=2) == files
+        assert len(glob.glob(f"{path}/*.parquet")) == 4 * files and spark.read.parquet(path).count() == 100
+
+
+def test_journal_shuffles_trials_not_prompts(spark):
+    """Dealing the rows to the scorer by key moves a trial's texts once, not once per setting."""
+    trials = spark.createDataFrame([(i, "t", "a" * 50) for i in range(20)], "trial_idx long, title string, abstract string")
+    for f in io.TRIAL_SCHEMA.fields[3:]:
+        trials = trials.withColumn(f.name, F.lit(None).cast(f.dataType))
+    todo = scoring.pending_prompts(spark, trials, None, parallelism=4, by_key=True)
+    parts = todo.select("trial_idx", F.spark_partition_id().alias("p")).distinct().collect()
+    assert todo.rdd.getNumPartitions() == 4 and len(parts) == 20 and len({r.p for r in parts}) > 1
+    plan = todo._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")  # the expansion lies above the shuffle
