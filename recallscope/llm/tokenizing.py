@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -117,6 +118,9 @@ class Encoder:
             plain = []
             for i, p in enumerate(new[: len(new)]):
                 end = self.ends.get(p[-1])
+                if end is None and p.islower():  # no A-Z
+                    plain.append(known + i)
+                    continue
                 stem = (p if end is None else p[:-1]).lower()
                 if stem != p and stem and stem.decode().isalpha():
                     derived.append((known + i, self.codes[stem], end))
@@ -131,7 +135,7 @@ class Encoder:
         size = np.array([len(x) for x in ids], np.int64)
         self.length, self.start = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.length, self.start))
         self.length[plain], self.start[plain] = size, len(self.flat) + np.cumsum(size) - size
-        flat = np.concatenate([self.flat, *ids])
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
         more, at = [], len(flat)
         for code, stem, end in derived:
             start, n = self.start[stem], self.length[stem]
@@ -145,19 +149,21 @@ class Encoder:
     def _letters(self, piece: bytes) -> list[int] | None:
         """Ids of a lower-case word of letters straight from the library's model: its
         normalizer leaves such a word as it is and its pre-tokenizer makes it one token."""
+        if piece.isalpha() and piece.islower():  # a-z only
+            return [t.id for t in self.library.model.tokenize(piece.decode())]
         word = piece.decode()
         if not word.isalpha() or word.lower() != word or not is_normalized("NFC", word):
             return None
         return [t.id for t in self.library.model.tokenize(word if word.isascii() else "".join([_SHOWN[b] for b in piece]))]
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
         if not self.folds:
-            return self._encode_any(pieces)
+            return [x.tolist() for x in self._encode_any(pieces)]
         ids = [self._letters(p) for p in pieces]
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self._encode_any([pieces[i] for i in rest])):
-            ids[i] = x
-        return [np.asarray(x, np.uint32) for x in ids]
+            ids[i] = x.tolist()
+        return ids
 
     def _encode_any(self, pieces: list[bytes]) -> list[np.ndarray]:
         if self.mark is None:

@@ -124,11 +124,16 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
     def fill(key, table):
         tokenizer = encoder(vocabulary)
-        prompts = [x for _, texts in slices(table.column("__prompt")) for x in tokenizer.counts(texts)]
+        bare = table.column("__prompt").null_count == table.num_rows  # no prompts: nothing to encode for them
+        prompts = [0] * table.num_rows if bare else [x for _, texts in slices(table.column("__prompt")) for x in tokenizer.counts(texts)]
         ids: list[np.ndarray] = []
+        end = np.array([end_id], "<u4")
         for first, texts in slices(table.column("__text")):
+            if bare:
+                ids += [np.append(x, end).astype("<u4", copy=False) for x in tokenizer.ids(texts)]
+                continue
             heads = tokenizer.ids([x or b"" for x in _bytes(table, "__prompt", first, len(texts))])
-            ids += [np.concatenate([h, x, [end_id]]).astype("<u4") for h, x in zip(heads, tokenizer.ids(texts))]
+            ids += [np.concatenate([h, x, end]).astype("<u4", copy=False) for h, x in zip(heads, tokenizer.ids(texts))]
         lengths = np.array([len(x) for x in ids], np.int64)
         names = [(x is None, x, c) for x, c in zip(table.column(id_col).to_pylist(), (x[:64].tobytes() for x in ids))]
         # longest first; the id and the ids break ties, so the result does not depend on the order of arrival
@@ -142,12 +147,12 @@ def vector_pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         pieces = pack(lengths[woven], prompts[woven], limits)
         row = woven[pieces[:, 0]]
         begin, length = pieces[:, 1], pieces[:, 2]
-        bare = np.clip(prompts[row] - begin, 0, length)
+        unlost = np.clip(prompts[row] - begin, 0, length)
         trim()
         return pa.table({
             id_col: table.column(id_col).take(pa.array(row)), "start": begin, "length": length,
             "ids": pa.array([ids[r][s : s + n].tobytes() for r, s, n in zip(row.tolist(), begin.tolist(), length.tolist())], pa.binary()),
-            "doc_tokens": lengths[row], "loss_tokens": length - bare,
+            "doc_tokens": lengths[row], "loss_tokens": length - unlost,
             "sequence_id": pieces[:, 3] + (key[0].as_py() << SEQUENCE_BITS), "offset": pieces[:, 4]})
 
     return docs.groupBy(GROUP).applyInArrow(fill, schema)
